@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import common, decontam, langid, mixing, simhash, sstable
+from factloom.llm import common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Labelled documents of each language that the language model is fitted on, at most.
@@ -18,11 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repetition.repetition(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select(F.col("id").alias("doc_id"), *counts, failed.alias("base_failed"), (~failed & repetition.passes()).alias("kept"), "covered_chars", "longest_repeat")
+
+
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.removed(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), common.run_folder(spark, "warc"))
+    out = warc.read(spark, archives, payloads=False)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -48,12 +66,27 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def url_rules(spark: SparkSession) -> DataFrame:
+    """The rules of the query: (host, path, action)."""
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    return spark.createDataFrame(rules, "host string, path string, action string")
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judged(table(spark, sf_dir, "pages"), url_rules(spark)).withColumnRenamed("id", "page_id")
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = sstable.write(docs, common.run_folder(spark, "sstable"), sstable.path_of("byte_bpe_50k.json"))
     return sstable.read(spark, manifest).withColumnRenamed("id", "doc_id")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.main_text(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,11 +94,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repetition": op1_repetition,
+    "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
+    "op8_url_rules": op8_url_rules,
     "op9_token_shards": op9_token_shards,
+    "op10_main_text": op10_main_text,
     "pipeline": pipeline,
 }
 
