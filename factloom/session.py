@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows hold whole documents, so Arrow batches are bounded by bytes well below Spark's default.
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -34,4 +36,6 @@ def attach(spark: SparkSession) -> SparkSession:
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    if spark.conf.get(BATCH_BYTES, None) in (None, BATCH_DEFAULT):
+        spark.conf.set(BATCH_BYTES, "8m")
     return spark
