@@ -107,4 +107,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+_SPLIT = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_substrings": f"""
+WITH d AS (SELECT doc_id, coalesce({_SPLIT}, []) AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p+12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-11)) AS p FROM d)),
+firsts AS (SELECT k, min(doc_id) AS f FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p+13)) AS i FROM win JOIN firsts USING (k) WHERE f < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+left_ AS (SELECT doc_id, count(g.i) AS n_removed, string_agg(x, ' ' ORDER BY words.i) FILTER (g.i IS NULL) AS kept FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ USING (doc_id)""",
+    "op3_mixing": f"""
+WITH s AS (SELECT doc_id, source, coalesce(len({_SPLIT}), 0) AS size, md5('mix:' || CAST(doc_id AS VARCHAR)) AS key FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s GROUP BY 1),
+wt AS (SELECT *, CAST([5.0, 2.0, 1.0][nth % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM src),
+fill AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap/weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fullest,
+  sum(weight) OVER (ORDER BY cap/weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM wt),
+lev AS (SELECT arg_min((total-fullest)/open_weight, (cap/weight, nth)) FILTER ((total-fullest)/open_weight*weight <= cap) AS level FROM fill),
+aim AS (SELECT source, source_size, nth, CASE WHEN level IS NULL THEN cap ELSE least(cap, level*weight) END AS target FROM fill, lev),
+edge AS (SELECT nth, coalesce(sum(target) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)/sum(target) OVER () AS lo, sum(target) OVER () AS total FROM aim WHERE target > 0),
+span AS (SELECT nth, lo, coalesce(lead(lo) OVER (ORDER BY nth), 1.0) AS hi FROM edge),
+slot AS (SELECT (n % 2147483647 * 1327217885) % 2147483647 / 2147483647.0::DOUBLE AS u FROM range(CAST((SELECT ceil(sum(target)/128) FROM aim) AS BIGINT)) t(n)),
+won AS (SELECT nth, count(*) * 128 AS words FROM slot JOIN span ON u >= lo AND u < hi GROUP BY 1),
+line AS (SELECT s.*, a.nth, a.source_size, a.target, coalesce(sum(size) OVER (PARTITION BY a.nth ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM s JOIN aim a ON s.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(place+size, w)-place) + greatest(0, least(source_size+place+size, w)-source_size-place) AS BIGINT) AS taken
+FROM (SELECT line.*, coalesce(words, 0) AS w FROM line LEFT JOIN won USING (nth))""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS best FROM h WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT h.page_id, payload_bytes, payload_digest, CASE WHEN best <> h.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> h.page_id THEN best END AS refers_to FROM h LEFT JOIN m USING (payload_digest)""",
+    "op7_decontamination": f"""
+WITH d AS (SELECT doc_id, coalesce({_PLAIN}, []) AS w FROM documents), b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[p:p+least(10, len(w))-1], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w)-least(10, len(w))+2)) AS p FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, p, array_to_string(w[p:p+size-1], ' ') AS k FROM (SELECT doc_id, w, size, unnest(range(1, len(w)-size+2)) AS p FROM d, sizes)),
+hits AS (SELECT doc_id, item_id, dw.size, p FROM dw JOIN bw ON dw.k = bw.k AND dw.size = bw.size),
+covered AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p+size)) AS i FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op8_url_rules": r"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(h, q, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(action, length(h || q)) AS action FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)""",
+}

@@ -258,7 +258,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     else:
         host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1)), F.lit(""))
         dealt = rows.withColumns({"host": host, "salt": F.pmod(F.xxhash64("id", "url"), F.lit(salts))})
-        per_host = found.groupBy("host").agg(F.collect_list("hash").alias("hashes")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        per_host = found.groupBy("host").agg(F.collect_list("hash").alias("hashes")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         rows = dealt.join(per_host, ["host", "salt"], "left").select("id", "url", "html", "hashes")
 
     def run(batches):
