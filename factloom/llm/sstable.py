@@ -56,7 +56,7 @@ class Encoder:
     #: The word pattern of byte-level BPE (fixed value).
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         import json
 
         import regex
@@ -103,6 +103,10 @@ class Encoder:
             return hit
         if (hit := old.get(key)) is not None:
             return self._remember(memo, key, hit)
+        if key.isalpha() and max(key) < "\u0250":  # one piece, without asking the pattern
+            return self._remember(memo, key, self._ids(text))
+        if key[:-1].isalpha() and key[-1] in ".,;:!?" and max(key) < "\u0250":  # two
+            return self._remember(memo, key, self._piece(text[:-1]) + self._piece(key[-1]))
         if any(x in text for x in self.added):
             return self._remember(memo, key, self._whole(text))
         return self._remember(memo, key, b"".join(map(self._piece, self.pieces_of(text))))
@@ -112,10 +116,14 @@ class Encoder:
         if (hit := new.get(piece)) is not None:
             return hit
         if (hit := old.get(piece)) is None:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            hit = array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+            hit = self._ids(piece)
         return self._remember("pieces", piece, hit)
 
+    def _ids(self, piece: str) -> bytes:
+        """The ids of one piece from the library's model, its bytes shown as letters."""
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids of the text, without the end id, as packed numbers."""
         if not self.plain:
