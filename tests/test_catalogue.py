@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from factloom.plans import catalogue
+from factloom.plans import catalogue, catalogue_flow, catalogue_text  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
