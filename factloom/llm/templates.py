@@ -50,6 +50,9 @@ GONE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription widget widgets pagination pager skip masthead".split()
 )
 
+#: With one of these beside it, `header` is the head of the article, not of the page.
+HEADED = frozenset("article post entry story content title".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|\Z)", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -167,6 +170,7 @@ class Page:
                         words = _WORD.findall(value)
                         if name not in ("body", "html", "article", "main") or key == "class" and name == "article":
                             gone |= not GONE_WORDS.isdisjoint(words)
+                            gone |= "header" in words and not self.rooted[stack[-1]] and HEADED.isdisjoint(words)
                         mark += f" {value}"
             if inline and not gone:
                 continue  # transparent: its text belongs to the block around it

@@ -238,3 +238,9 @@ def test_pipeline_stages_keep_the_columns(spark):
             assert docs.columns == first.columns
             docs = common.materialise(docs, "t")
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and docs.count() > 100
+
+
+@pytest.mark.parametrize("name", ["op3_mixing", "op8_url_rules"])
+def test_native_operators_run_no_python(spark, name):
+    plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|InArrow", plan)

@@ -197,6 +197,7 @@ def test_main_text_of_pages():
         "<main><header><h1>T</h1></header><p>x</main><aside>s": "T\n\nx",
         "<script>var a='<p>';</script>z<style>": "z",
         "<!-- <p>no</p> -->ok": "ok",
+        "<div class='site-header'>S</div><div class='post-header'><h1>T</h1></div><p>x": "T\n\nx",
     }
     for html, want in cases.items():
         assert templates.Page(html).text(()) == want, html
