@@ -76,7 +76,12 @@ def boundaries(rules: DataFrame) -> DataFrame:
 
 def _split_points(places: DataFrame) -> list[tuple[str, int]]:
     """Places that cut the urls into ranges of about equal size, from a bounded sample."""
-    sample = sorted((r.key, r.salt) for r in places.select("key", "salt").orderBy("salt").limit(RANGES * PER_RANGE).collect())
+    chance = F.xxhash64("salt", F.lit("sample"))  # not the salt itself, which is part of a place
+    most, n = RANGES * PER_RANGE, places.count()
+    # A cut at about twice the sample first, so that no task sends more than its share to the driver.
+    cut = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 2 * most / max(1, n))))
+    near = places.select("key", "salt", chance.alias("chance")).filter(F.col("chance") <= F.lit(cut).cast("long"))
+    sample = sorted((r.key, r.salt) for r in near.orderBy("chance", "key", "salt").limit(most).collect())
     return [sample[i] for i in range(PER_RANGE, len(sample), PER_RANGE)]
 
 
