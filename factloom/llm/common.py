@@ -115,6 +115,32 @@ def utf8(column) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release_memory() -> None:
+    """Give back to the system what a finished task no longer needs: workers are kept and reused,
+    and the allocators of Arrow and of C would hold their largest task's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(run):
+    """Wraps a function of Arrow batches: memory is released when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 # --- files in the shared folder -------------------------------------------------
 
 

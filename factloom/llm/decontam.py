@@ -138,7 +138,7 @@ def contamination(
                 ["id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.releasing(run), schema)
 
 
 def _arrow(kind: str):
@@ -169,4 +169,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             keep = [sum(b - a for a, b in r) <= share * n for r, n in zip(runs, words)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.releasing(run), docs.schema)

@@ -139,7 +139,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[c]) for c in COLUMNS]], ["id", *COLUMNS])
 
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in COLUMNS)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.releasing(run), schema)
 
 
 def passes(most_covered: float = 0.3, longest: int = 100):

@@ -72,7 +72,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t, shingle) for t in common.utf8(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.releasing(run), f"id {kind}, fp long")
 
 
 @cache
@@ -248,8 +248,8 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
             if (out := forest(*(np.concatenate(c) for c in zip(*kept)))) is not None:
                 yield out
 
-    spreaded = distinct.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
-    return spreaded.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    spreaded = distinct.select("fp").mapInArrow(common.releasing(spread), "anchor long, fp long, home boolean")
+    return spreaded.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(common.releasing(compare), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame, name: str = "simhash") -> DataFrame:

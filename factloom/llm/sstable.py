@@ -343,21 +343,23 @@ class Entry:
     base: int
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> list[Entry]:
+def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 300_000) -> list[Entry]:
     """Encode and write all documents in ascending id order; returns the manifest, one entry a
-    shard (their number follows the partitions, not the rows)."""
+    shard (their number follows the partitions, not the rows). A worker remembers the ids of at
+    most twice `remembered` words (about 0.2 KB each); fewer cost time, not results."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        if (tokenizer, remembered) not in _encoders:
+            _encoders.clear()
+            _encoders[tokenizer, remembered] = Encoder(tokenizer, remembered)
+        encoder = _encoders[tokenizer, remembered]
         end = np.array([END_ID], encoder.dtype).tobytes()
         part = TaskContext.get().partitionId()
         uri, shard = f"{folder}/shard-{part:06d}.sst", None
@@ -376,7 +378,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "docs": shard.docs, "ids": shard.ids}])
 
     sorted_ = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    made = sorted(sorted_.mapInArrow(run, "part long, uri string, docs long, ids long").collect())
+    made = sorted(sorted_.mapInArrow(common.releasing(run), "part long, uri string, docs long, ids long").collect())
     out, base = [], 0
     for row in made:
         out.append(Entry(row.uri, row.docs, row.ids, base))
@@ -408,7 +410,7 @@ def read(spark, manifest: list[Entry], kind: str = "bigint") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame([(e.uri, e.base) for e in manifest], "uri string, base long")
-    return shards.repartition(min(len(manifest), 2048), "uri").mapInArrow(run, schema)
+    return shards.repartition(min(len(manifest), 2048), "uri").mapInArrow(common.releasing(run), schema)
 
 
 def lookup(manifest: list[Entry], doc_id) -> list[np.ndarray]:

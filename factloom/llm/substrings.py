@@ -72,7 +72,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if texts:
             yield row()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "block long, n_words long, ids array<long>, sizes array<int>, body binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(common.releasing(run), "block long, n_words long, ids array<long>, sizes array<int>, body binary")
 
 
 class Block:
@@ -185,7 +185,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         bit[order] = np.repeat(several, np.diff(np.append(head, len(order))))
         return _told(table, bit, sizes)
 
-    asked = blocks.select("block", "ids", "sizes", "body").mapInArrow(ask_seeds, "bucket long, block long, hashes binary")
+    asked = blocks.select("block", "ids", "sizes", "body").mapInArrow(common.releasing(ask_seeds), "bucket long, block long, hashes binary")
     seeds = _by_block(asked.groupBy("bucket").applyInArrow(tell_seeds, "block long, bucket long, bits binary"))
     flags = common.materialise(seeds, "substrings-seeds")
 
@@ -210,7 +210,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         return _told(table, bit, sizes)
 
     seeded = blocks.select("block", "ids", "sizes", "body").join(flags, "block", "left")
-    windows = seeded.mapInArrow(ask_windows, "bucket long, block long, hashes binary, ids binary")
+    windows = seeded.mapInArrow(common.releasing(ask_windows), "bucket long, block long, hashes binary, ids binary")
     told = _by_block(windows.groupBy("bucket").applyInArrow(tell_windows, "block long, bucket long, bits binary")).withColumnRenamed("answers", "told")
     both = common.materialise(flags.join(told, "block", "left"), "substrings-windows")
 
@@ -240,7 +240,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 yield pa.RecordBatch.from_arrays([pa.array(own.ids, pa.int64()), pa.array(own.sizes), pa.array(counts), pa.array(kept, pa.string()), pa.array(spans, kinds)], ["id", "n_words", "n_removed", "kept", "spans"])
 
     out = blocks.select("block", "ids", "sizes", "body").join(both, "block", "left")
-    return out.mapInArrow(finish, "id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
+    return out.mapInArrow(common.releasing(finish), "id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
 
 
 def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarray]:

@@ -239,7 +239,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
             host, own, above = zip(*seen) if seen else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(own, pa.int64()), pa.array(above, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "hash", "above", "n"])
 
-    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(count, "host string, hash long, above long, n long")
+    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(common.releasing(count), "host string, hash long, above long, n long")
     distinct = rows.groupBy("host", "hash", "above").agg(F.sum("n").alias("n"))
     by_hash = distinct.groupBy("host", "hash").agg(F.count("above").alias("places"), F.sum(F.when(F.col("above").isNull(), F.col("n"))).alias("pages"))
     by_hash = common.materialise(by_hash.filter((F.col("places") >= least_pages) | F.col("pages").isNotNull()), "templates")
@@ -273,4 +273,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             own = [shared.value.get(host_of(u), frozenset()) for u in urls] if shared else [frozenset(x or ()) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([Page(h or "").text(t) for h, t in zip(pages_, own)], pa.string())], ["id", "url", "text"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.releasing(run), schema)
