@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import common
+
 #: Modulus and multiplier of the golden-ratio points (fixed values).
 M, A = 2147483647, 1327217885
 BIN_DIGITS = 3  # hexadecimal digits of the shuffle key: 4096 bins
@@ -115,8 +117,9 @@ def blocks(lines: DataFrame, block: int = 128, most: int = 2) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, targets, slices). Slices are the mix in order of `slot`: document `id` of source
     number `nth`, words from_word up to to_word."""
-    rows = sized(docs, id_col, text_col, source_col, seed)
-    aims = targets(rows, weights, share)
+    # Texts are read once: sizes and targets are small and are written before they are used again.
+    rows = common.materialise(sized(docs, id_col, text_col, source_col, seed), "mixing-sizes")
+    aims = common.materialise(targets(rows, weights, share), "mixing-targets")
     lines = placed(rows, aims)
     slices = blocks(lines, block).join(schedule(aims, block), ["nth", "rank"])
     return lines, aims, slices.select("slot", "nth", "pass", "id", "size", "start", "from_word", "to_word")
