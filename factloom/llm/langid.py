@@ -24,7 +24,7 @@ returned as often as they occur.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import common
@@ -59,67 +59,40 @@ class Model:
         """counts: language -> k -> (sorted grams of k+1 bytes, their counts)."""
         self.languages = sorted(counts)
         self.order = order
+        if not self.languages:
+            return
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        grams = {k: [counts[lang].get(k, empty) for lang in self.languages] for k in range(order + 1)}
-        seen = np.unique(np.concatenate([g for g, _ in grams[0]])) if self.languages else np.zeros(0, np.int64)
+        grams = [[counts[lang].get(k, empty) for lang in self.languages] for k in range(order + 1)]
+        seen = np.unique(np.concatenate([g for g, _ in grams[0]]))
         self.column = np.zeros(256, np.int64)  # 0: a byte that no language saw
         self.column[seen] = np.arange(1, len(seen) + 1)
-        width = len(seen) + 1
-        # order -1 and 0
-        table = np.full((1, width, len(self.languages)), 8.0)
-        contexts = np.zeros(1, np.int64)
-        parent_of = None
-        self.steps = []
-        for k in range(order + 1):
-            known = np.unique(np.concatenate([g >> 8 for g, _ in grams[k]])) if k else np.zeros(1, np.int64)
-            if k:
-                # the suffix of a context of k bytes: its last k-1 bytes, known because the text that has one has the other
-                suffix = np.searchsorted(contexts, known & ((1 << (8 * (k - 1))) - 1))
-                fresh = table[suffix].copy()
-            else:
-                fresh = table.copy()
-            for i, (g, n) in enumerate(grams[k]):
-                if not len(g):
-                    continue
-                row = np.searchsorted(known, g >> 8)
-                total = np.bincount(row, weights=n, minlength=len(known))
-                distinct = np.bincount(row, minlength=len(known))
-                has = distinct > 0
-                escape = np.zeros(len(known))
-                escape[has] = np.log2((total[has] + distinct[has]) / distinct[has])
-                fresh[:, :, i] += escape[:, None]
-                fresh[row, self.column[g & 255], i] = np.log2((total + distinct)[row] / n)
-            if k:
-                self.steps.append((contexts, known))
-            parent_of = table
-            table, contexts = fresh, known
-            if k < order:
-                self._keep(k, table, contexts)
-        del parent_of
-        self._keep(order, table, contexts)
-        self._index()
-
-    def _keep(self, k: int, table: np.ndarray, contexts: np.ndarray) -> None:
-        self.levels = [*getattr(self, "levels", []), (contexts, table.astype(np.float32))]
-
-    def _index(self) -> None:
-        """One table for all orders, and for each order the row of (row of the shorter context, byte before it)."""
-        base, tables, self.next = [], [], []
-        at = 0
-        for contexts, table in self.levels:
-            base.append(at)
-            tables.append(table)
-            at += len(contexts)
-        self.table = np.concatenate(tables) if self.languages else np.zeros((1, 1, 0), np.float32)
-        self.width = self.table.shape[1]
-        for k in range(1, self.order + 1):
-            shorter, known = self.levels[k - 1][0], self.levels[k][0]
-            step = np.full((len(shorter), self.width), -1, np.int32)
-            last = np.searchsorted(shorter, known & ((1 << (8 * (k - 1))) - 1))
-            step[last, self.column[known >> (8 * (k - 1))]] = np.arange(len(known))
+        self.width = len(seen) + 1
+        contexts = [np.zeros(1, np.int64)]  # by order: the contexts that some language saw
+        tables = [self._coded(np.full((1, self.width, len(self.languages)), 8.0), contexts[0], grams[0])]
+        self.next = []  # by order: row of (row of the shorter context, byte before it), or -1
+        for k in range(1, order + 1):
+            known = np.unique(np.concatenate([g >> 8 for g, _ in grams[k]]))
+            # A context's suffix is known, because every text that has the one has the other.
+            suffix = np.searchsorted(contexts[-1], known & ((1 << (8 * (k - 1))) - 1))
+            tables.append(self._coded(tables[-1][suffix], known, grams[k]))
+            step = np.full((len(contexts[-1]), self.width), -1, np.int32)
+            step[suffix, self.column[known >> (8 * (k - 1))]] = np.arange(len(known))
             self.next.append(step)
-        self.base = base
-        del self.levels, self.steps
+            contexts.append(known)
+        self.base = np.cumsum([0, *map(len, contexts)])[:-1].tolist()
+        self.table = np.concatenate(tables).astype(np.float32)
+
+    def _coded(self, shorter: np.ndarray, known: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Code lengths after each context, from those after its suffix."""
+        out = shorter.copy()
+        for i, (gram, n) in enumerate(grams):
+            row = np.searchsorted(known, gram >> 8)
+            total = np.bincount(row, weights=n, minlength=len(known))
+            distinct = np.bincount(row, minlength=len(known))
+            has = distinct > 0
+            out[has, :, i] += np.log2((total[has] + distinct[has]) / distinct[has])[:, None]
+            out[row, self.column[gram & 255], i] = np.log2((total + distinct)[row] / n)
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
@@ -179,13 +152,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Count the trees over the sampled documents, in Spark, and collect the counts: their
     number is bounded by the sample."""
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(_window("lang", "key"))
     keys = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"))
-    last = {r.lang: r.key for r in keys.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("key").alias("key")).collect()}
-    if not last:
+    # Hashes are spread evenly, so a cut at twice the share asked for leaves about twice as many of each
+    # language, and their rows in order are few, however large the language is.
+    size = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not size:
         return Model({}, order)
-    bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
-    sample = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(text_col).alias("text")).filter(F.col("key") <= bound[F.col("lang")])
+    low, whole = -(1 << 63), 1 << 64
+    cut = {lang: min((1 << 63) - 1, low + int(whole * min(1.0, (2 * per_language + 100) / n))) for lang, n in size.items()}
+    near = keys.filter(F.col("key") <= _by_language(cut)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    last = {r.lang: r.key for r in near.filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("key").alias("key")).collect()}
+    sample = known.withColumn("_key", F.xxhash64(F.col(id_col), F.lit(seed))).select(F.col(lang_col).alias("lang"), "_key", F.col(text_col).alias("text")).filter(F.col("_key") <= _by_language(last))
 
     def count(batches):
         import pyarrow as pa
@@ -197,7 +174,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 gram, k, n = _counted([t for t, x in zip(texts, langs) if x == lang], order)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(k), pa.array(n)], ["lang", "gram", "k", "n"])
 
-    sums = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, k long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    sums = sample.select("lang", "text").mapInArrow(common.releasing(count), "lang string, gram long, k long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     table = sums.toArrow().to_pandas()
     counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     for (lang, k), part in table.groupby(["lang", "k"]):
@@ -206,10 +183,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(counts, order)
 
 
-def _window(group: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group).orderBy(order)
+def _by_language(values: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for pair in values.items() for x in pair])[F.col("lang")]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +199,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             lang, score, bits = shared.value.predict(common.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.releasing(run), f"id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
@@ -240,4 +215,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", least_score:
             lang, score, _ = shared.value.predict(common.utf8(batch.column(at)))
             yield batch.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.releasing(run), docs.schema)
