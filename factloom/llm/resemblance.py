@@ -1,0 +1,209 @@
+"""Near-duplicates by resemblance: sets of word shingles whose Jaccard similarity reaches `least`.
+
+Every pair is found, by prefix filtering: with the shingles of each set in one order that
+holds for all, two sets as similar as that share one of the first n - ceil(least * n) + 1 of
+the n shingles of either. The order is by frequency in a sample of the sets, then by hash; any
+order is exact, and one that puts frequent shingles last keeps the groups of a shingle small.
+Equal sets are one node. Candidates are the members of a shingle's group whose sizes, and what
+follows the shared shingle in either set, still allow the similarity; each is tested on the
+whole texts. Members are first tested against the least member of their group; then only
+members that have not been linked to the same one are tested against each other, so a group
+of copies costs about its length, and no pair that could join two components is left out.
+
+Nulls, empties, ties: null and wordless texts are equal to each other. Fewer words than a
+shingle: the whole sequence is the one shingle. Words are lower-cased, shingles of a text
+count once. Rows with null or repeated ids take part.
+"""
+
+from __future__ import annotations
+
+from math import ceil
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from factloom.llm import common, simhash
+
+_SAMPLE, _ORDERED = 10_000, 200_000
+_SLACK = 1e-9
+_PAIRS = 50_000
+_KEPT_BYTES = 32 << 20
+
+
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """The sorted set of hashes of the k-word shingles of a text."""
+    raw = np.frombuffer(text, np.uint8)
+    words = common.word_hashes(raw, *common.word_bounds(raw))
+    return np.unique(common.window_hashes(words, min(k, len(words)))) if len(words) else words
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - _SLACK
+
+
+def _digest(own: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(own.tobytes())
+
+
+def _prefix(own: np.ndarray, known: np.ndarray, count: np.ndarray, least: float) -> np.ndarray:
+    """The shingles of a set that its similar ones share one of, rarest first."""
+    place = np.searchsorted(known, own)
+    place[place == len(known)] = 0
+    often = np.where(known[place] == own, count[place], 0) if len(known) else np.zeros(len(own), np.int64)
+    return own[np.lexsort((own, often))][: len(own) - ceil(least * len(own) - _SLACK) + 1]
+
+
+def _sets(docs: DataFrame, k: int, sample: bool = False) -> DataFrame:
+    """(tie, s): hash of the text and digest of its set. With `sample`, (s, h): the sets' hashes too."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = [shingles(t, k) for t in common.utf8(batch.column(1))]
+            s = pa.array(np.array([_digest(x) for x in own], np.uint64).view(np.int64))
+            if sample:
+                yield pa.RecordBatch.from_arrays([s, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["s", "h"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), s], ["tie", "s"])
+
+    return docs.select("tie", F.lower("text")).mapInArrow(common.releasing(run), "s long, h array<long>" if sample else "tie long, s long")
+
+
+def _order(texts: DataFrame, total: int, k: int):
+    """(hashes, counts) of the shingles that several sets of a sample hold, sorted by hash."""
+    some = texts.filter(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) < int(_SAMPLE / max(total, 1) * (1 << 30)) + 1)
+    often = _sets(some, k, sample=True).dropDuplicates(["s"]).select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1")
+    found = often.orderBy(F.col("count").desc(), "h").limit(_ORDERED).toArrow()
+    known, count = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(known)
+    return known[order], count[order]
+
+
+def _prefixes(texts: DataFrame, k: int, least: float, shared) -> DataFrame:
+    """(key, s, n, at): each shingle of a set's prefix, the set, its size and the shingle's place."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known, count = shared.value
+        for batch in batches:
+            own = [shingles(t, k) for t in common.utf8(batch.column(1))]
+            keys = [_prefix(x, known, count, least) for x in own]
+            size = np.array([len(x) for x in keys], np.int64)
+            if not size.sum():
+                continue
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            n = np.repeat([len(x) for x in own], size).astype(np.int32)
+            s = np.repeat(batch.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(s), pa.array(n), pa.array(at.astype(np.int32))], ["key", "s", "n", "at"])
+
+    return texts.select("s", F.lower("text")).mapInArrow(common.releasing(run), "key long, s long, n int, at int")
+
+
+def _possible(n, at, x, y, least: float) -> np.ndarray:
+    """Can members x and y of a group be similar, if the group's shingle is the first they share?"""
+    rest = np.minimum(n[x] - at[x], n[y] - at[y])
+    return rest * (1 + least) >= least * (n[x] + n[y]) - _SLACK * n[x]
+
+
+def _candidates(groups: DataFrame, least: float, star: bool) -> DataFrame:
+    """(a, b): pairs to test of each group (column members: structs of s, n, at, label, sorted by s);
+    with `star` those of its first member only, else those of members with different labels."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(x, y, s):
+            for i in range(0, len(x), _PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[x[i : i + _PAIRS]], s[y[i : i + _PAIRS]])), pa.array(np.maximum(s[x[i : i + _PAIRS]], s[y[i : i + _PAIRS]]))], ["a", "b"])
+
+        for batch in batches:
+            lists = batch.column(0)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            s, n, at, label = (flat.field(i).to_numpy() for i in range(4))
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            end = np.repeat(np.cumsum(size), size)
+            rows = np.arange(len(s))
+            if star:
+                first = end - np.repeat(size, size)
+                hit = (s[first] != s) & _possible(n, at, first, rows, least)
+                yield from out(first[hit], rows[hit], s)
+                continue
+            step = 1
+            while len(rows):
+                rows = rows[rows + step < end[rows]]
+                hit = rows[(label[rows] != label[rows + step]) & _possible(n, at, rows, rows + step, least)]
+                yield from out(hit, hit + step, s)
+                step += 1
+
+    return groups.select("members").mapInArrow(common.releasing(run), "a long, b long").distinct()
+
+
+def _tested(pairs: DataFrame, texts: DataFrame, k: int, least: float, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar."""
+    pairs = common.materialise(pairs, f"{name}-pairs")
+    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+    held = common.materialise(texts.join(wanted, "s", "left_semi").select("s", F.lower("text").alias("text")), f"{name}-texts")
+    both = pairs.join(held.select(F.col("s").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("s").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept, size = {}, 0
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            hit = np.zeros(len(a), bool)
+            for i, (x, y, tx, ty) in enumerate(zip(a.tolist(), b.tolist(), common.utf8(batch.column(2)), common.utf8(batch.column(3)))):
+                if size > _KEPT_BYTES:
+                    kept, size = {}, 0
+                for s, t in ((x, tx), (y, ty)):
+                    if s not in kept:
+                        kept[s] = shingles(t, k)
+                        size += kept[s].nbytes + 100
+                hit[i] = similar(kept[x], kept[y], least)
+            yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], ["a", "b"])
+
+    return common.materialise(both.select("a", "b", "ta", "tb").mapInArrow(common.releasing(run), "a long, b long"), f"{name}-links")
+
+
+def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(a, b): links between sets that give the same components as all pairs of at least that
+    similarity. `texts` has one row of each set: tie, s, text."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(_order(texts, texts.count(), shingle))
+    rows = _prefixes(texts, shingle, least, shared)
+    of_key = rows.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").drop("m")
+    members = common.materialise(of_key, "resemblance-members")
+    own = F.sort_array(F.collect_list(F.struct("s", "n", "at", F.col("label").alias("label"))))
+    groups = members.withColumn("label", F.col("s")).groupBy("key").agg(own.alias("members"))
+    first = _tested(_candidates(groups, least, star=True), texts, shingle, least, "resemblance-first")
+    label = first.groupBy(F.col("b").alias("s")).agg(F.min("a").alias("label"))
+    labelled = members.join(label, "s", "left").withColumn("label", F.coalesce("label", "s"))
+    groups = labelled.groupBy("key").agg(own.alias("members"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h")
+    rest = _candidates(groups, least, star=False).join(first, ["a", "b"], "left_anti")
+    return first.unionByName(_tested(rest, texts, shingle, least, "resemblance-rest"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of `docs`, all columns as they are, one of each group of near-duplicates: that
+    with the smallest id (nulls first; of equal ids, the smallest hash of the text)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    by_text = common.materialise(_sets(rows.select("tie", "text"), shingle).distinct(), "resemblance-sets")
+    distinct = by_text.groupBy("s").agg(F.min("tie").alias("tie"))
+    once = rows.select("tie", "text").join(distinct, "tie").select("tie", "s", "text")
+    texts = common.materialise(once.dropDuplicates(["s"]), "resemblance-distinct")
+    roots = simhash.connected(links(texts, shingle, least), "resemblance")
+    rooted = by_text.join(roots, by_text.s == roots.node, "left").select("tie", F.coalesce("root", "s").alias("root"))
+    best = rows.select(F.struct("id", "tie").alias("key"), "tie").join(rooted, "tie").groupBy("root").agg(F.min("key").alias("key"))
+    best = best.select(F.col("key.id").alias("_id"), F.col("key.tie").alias("_tie"))
+    kept = docs.withColumn("_own", F.xxhash64(text_col)).join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy("_own"))
+    return kept.withColumn("_row", first).filter("_row = 1").drop("_own", "_row")
