@@ -1,10 +1,11 @@
 """Main text of HTML pages by site template removal.
 
-Pass 1 hashes every element's subtree (tag, class, text, children) and counts per host in how
-many different surroundings (hashes of the parent) it stands. A template piece recurs within
-parents that differ from page to page; a paragraph of a page that was copied as a whole
-recurs within equal parents and is not one. Subtrees with at least `least_pages` surroundings,
-and at least `share` of the host's pages, are templates of the host.
+Pass 1 hashes every element's subtree (tag, class, text, children) and counts per host on how
+many pages it stands, once a page, and in how many different surroundings (hashes of the
+parent). Subtrees on at least `least_pages` pages, and at least `share` of the host's pages, are
+templates of the host if they have at least `least_pages` surroundings too: a template piece
+recurs within parents that differ from page to page; a paragraph of a page that was copied as a
+whole recurs within equal parents and is not one.
 
 Pass 2 takes the page's article (or main element, or else the whole body) and deletes from it
 template subtrees and elements whose tag, role, class or id says menu, header, footer, sidebar,
@@ -224,7 +225,7 @@ class Page:
         return "\n\n".join(blocks)
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.005) -> DataFrame:
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.1) -> DataFrame:
     """(host, hash): the template subtrees of each host."""
 
     def count(batches):
@@ -234,21 +235,23 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
             seen: Counter = Counter()
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
-                seen[(host, 0, None)] += 1
-                seen.update({(host, own, above) for own, above in Page(html or "").subtrees()})
+                pieces = set(Page(html or "").subtrees())
+                seen[(host, None, None)] += 1
+                seen.update({(host, own, None) for own, _ in pieces})
+                seen.update((host, own, above) for own, above in pieces)
             host, own, above = zip(*seen) if seen else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(own, pa.int64()), pa.array(above, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "hash", "above", "n"])
 
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(common.releasing(count), "host string, hash long, above long, n long")
     distinct = rows.groupBy("host", "hash", "above").agg(F.sum("n").alias("n"))
     by_hash = distinct.groupBy("host", "hash").agg(F.count("above").alias("places"), F.sum(F.when(F.col("above").isNull(), F.col("n"))).alias("pages"))
-    by_hash = common.materialise(by_hash.filter((F.col("places") >= least_pages) | F.col("pages").isNotNull()), "templates")
-    hosts = by_hash.filter("pages is not null").select(F.col("host").alias("_host"), "pages")
-    pieces = by_hash.filter("pages is null").select("host", "hash", "places")
-    return pieces.join(hosts, F.col("host") == F.col("_host")).filter(F.col("places") >= share * F.col("pages")).select("host", "hash")
+    by_hash = common.materialise(by_hash.filter((F.col("places") >= least_pages) & (F.col("pages") >= least_pages) | F.col("hash").isNull()), "templates")
+    hosts = by_hash.filter("hash is null").select(F.col("host").alias("_host"), F.col("pages").alias("_pages"))
+    pieces = by_hash.filter("hash is not null")
+    return pieces.join(hosts, F.col("host") == F.col("_host")).filter(F.col("pages") >= share * F.col("_pages")).select("host", "hash")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.005, broadcast_hashes: int = 2_000_000, salts: int = 64) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.1, broadcast_hashes: int = 2_000_000, salts: int = 64) -> DataFrame:
     """(id, url, text): the main text of every page."""
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()

@@ -209,6 +209,17 @@ def test_templates_are_counted_per_host(spark):
     assert templates.main_text(pages.limit(0)).collect() == []
 
 
+def test_templates_are_counted_by_pages(spark):
+    table = "<table>" + "".join(f"<tr><td>row {i}</td><td>Yes</td></tr>" for i in range(12)) + "</table>"
+    rows = [(0, "http://t.example/0", f"<body>{table}<p>the end</p></body>")]
+    rows += [(i, f"http://t.example/{i}", f"<body><div>Site of things</div><p>story {i}</p>{'<h2>Results</h2>' if i <= 12 else ''}<p>{'word ' * 20}{i}</p></body>") for i in range(1, 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.id: r.text for r in templates.main_text(pages).collect()}
+    assert got[0].split("\n\n").count("Yes") == 12  # many places of one page
+    assert "Results" in got[5].split("\n\n")  # 12 of 200 pages are not many
+    assert "Site of things" not in got[5] and got[5].startswith("story 5")
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_against_sql(spark, name):
     folder = "/root/testdata/sf0.001"
