@@ -20,7 +20,8 @@ host dealt out over `salts` keys.
 
 Nulls, empties, ties: null HTML is empty and gives an empty text; a null url has the empty
 host, which is a host like any other; null and repeated ids are kept; broken markup closes as
-browsers do it (a block start ends an open paragraph, an end tag ends what is open in it).
+browsers do it (a block start ends an open paragraph, an end tag ends what is open in it, and
+what cannot stand in a head ends an open one).
 """
 
 from __future__ import annotations
@@ -51,6 +52,9 @@ GONE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription widget widgets pagination pager skip masthead".split()
 )
 
+#: What may stand in a head; the start of any other element ends an open one.
+HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
+
 #: With one of these beside it, `header` is the head of the article, not of the page.
 HEADED = frozenset("article post entry story content title".split())
 
@@ -84,6 +88,8 @@ class Page:
         def text(run: str) -> None:
             if run:
                 run = unescape(run) if "&" in run else run
+                if not run.isspace():
+                    end_head()
                 block.append((stack[-1], run))
                 if plain := " ".join(run.split()):
                     self.size[stack[-1]] += len(plain)
@@ -105,6 +111,12 @@ class Page:
                     parts[above].append(digest)
                 self.size[above] += self.size[node]
 
+        def end_head() -> None:
+            """Close a head whose end tag is left out, at what cannot stand in it."""
+            if self.tag[stack[-1]] == "head":
+                flush()
+                close(len(stack) - 1)
+
         while at < end:
             found = _TOKEN.search(html, at)
             if not found:
@@ -128,6 +140,8 @@ class Page:
                         break  # an inline end tag does not end a block
                 continue
             attributes = found[3] if found[2] else found[6]
+            if name not in HEAD:
+                end_head()
             if name in RAW:
                 if name not in _LAST:
                     _LAST[name] = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I)

@@ -203,6 +203,17 @@ def test_main_text_of_pages():
         assert templates.Page(html).text(()) == want, html
 
 
+def test_open_head_ends_where_the_body_begins():
+    cases = {
+        "<html><head><title>t</title><meta charset=utf-8><body><article><p>x</article>": "x",
+        "<head><link rel=a href=b><p>x<p>y": "x\n\ny",
+        "<head><style>s</style>\n words <b>here</b>": "words here",
+        "<head><template><p>no</p></template><title>t</title></head><body>x": "x",
+    }
+    for html, want in cases.items():
+        assert templates.Page(html).text(()) == want, html
+
+
 def test_sha1_of_records_is_of_the_payload():
     data = warc.record(7, "http://x/\r\ny", b"abc")
     assert b"WARC-Target-URI: http://x/%0D%0Ay\r\n" in data and hashlib.sha1(b"abc").hexdigest()
