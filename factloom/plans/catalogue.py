@@ -633,3 +633,33 @@ def jsonld_nodes(s, d):
     node = lambda prefix, c, kind: F.struct(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("id"), F.lit(kind).alias("type"))
     nodes = rows.select(F.explode(F.array(node("doc/", "doc_id", "ScholarlyArticle"), node("person/", "author", "Person"))).alias("n")).select("n.*").distinct()
     return nodes.groupBy("id", "type").agg(F.count("*").alias("n"))
+
+
+# Reports of the whole fact table; the entity is what is counted, and no fact is left out before.
+
+
+@query("""SELECT pkey, doc_id FROM parameter WHERE source='grammar' AND (value_low IS NOT NULL OR value_high IS NOT NULL)""")
+def verify_needed_all(s, d):
+    """F29 L04"""
+    return facts.needs_check(_par(s, d)).select("pkey", "doc_id")
+
+
+@query("""SELECT quote AS canon, count(DISTINCT doc_id) AS sources FROM parameter GROUP BY 1 HAVING count(DISTINCT doc_id)<1500 ORDER BY sources, canon LIMIT 12""")
+def risk_low_sources_all(s, d):
+    """A05 A30"""
+    return coverage.low_sources(_par(s, d).withColumn("canon", F.col("quote")), 1500, 12)
+
+
+@query("""SELECT * FROM (SELECT canon, count(*) FILTER (geo='EUROPE') AS home, count(*) FILTER (geo<>'EUROPE') AS abroad, CASE WHEN home>0 AND abroad=0 THEN 'only_home' WHEN home=0 AND abroad>0 THEN 'only_abroad' END AS side
+  FROM (SELECT DISTINCT p.quote || '|' || CAST(p.author AS VARCHAR) AS canon, p.doc_id, d.geo FROM parameter p JOIN document d USING (doc_id)) GROUP BY 1) WHERE side IS NOT NULL""")
+def risk_only_side_all(s, d):
+    """A06"""
+    p = _par(s, d).select(F.concat("quote", F.lit("|"), F.col("author").cast("string")).alias("canon"), "doc_id")
+    return coverage.one_sided(p, _doc(s, d), HOME)
+
+
+@query("""SELECT canon, min(geo) AS only, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT p.quote || '|' || CAST(p.author AS VARCHAR) AS canon, p.doc_id, d.geo FROM parameter p JOIN document d USING (doc_id) WHERE d.geo IS NOT NULL) GROUP BY 1 HAVING min(geo)=max(geo)""")
+def lang_coverage_gap_all(s, d):
+    """A15"""
+    p = _par(s, d).select(F.concat("quote", F.lit("|"), F.col("author").cast("string")).alias("canon"), "doc_id")
+    return coverage.coverage_gaps(p, _doc(s, d), "geo")

@@ -121,3 +121,10 @@ def swapped_bounds(s, d):
     """K07"""
     rows = ad.parameter(s, d).filter("canon = 'Brand#13'").withColumn("value_high", F.col("value_high") - 3)
     return lifecycle.swapped(rows).select("pkey", "value_low", "value_high")
+
+
+@query("SELECT p.pkey, least(p.value_low*1.0, p.value_high-3) AS value_low, greatest(p.value_low, p.value_high-3) AS value_high FROM parameter p")
+def swapped_bounds_all(s, d):
+    """Of all facts"""
+    rows = ad.parameter(s, d).withColumn("value_high", F.col("value_high") - 3)
+    return lifecycle.swapped(rows).select("pkey", "value_low", "value_high")

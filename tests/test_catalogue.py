@@ -56,3 +56,8 @@ def test_query_without_oracle_has_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["verify_needed", "swapped_bounds", "risk_low_sources", "risk_only_side", "lang_coverage_gap"])
+def test_reports_of_the_whole_table_have_rows(spark, name):
+    assert catalogue.QUERIES[f"{name}_all"](spark, FOLDER).count() > 0
