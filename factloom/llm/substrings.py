@@ -1,4 +1,4 @@
-"""Substring dedup: seed and extend over winnowed anchors.
+"""Substring dedup: exact lookup of the windows under shared winnowed anchors.
 
 A match is a run of at least `least` words that also starts in a document with a smaller id.
 Of the k-grams in each window of `least` words the one with the smallest hash is the window's
