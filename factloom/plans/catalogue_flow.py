@@ -79,7 +79,7 @@ def stream_latest_per_key(s, d):
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     folder = _folder(s)
     pipelines.drain(stream, f"{folder}/state", sink=pipelines.upsert_into(f"{folder}/out", ["user_id"], ["ts", "event_id"]))
-    return s.read.schema(schema).parquet(f"{folder}/out/v=0").select("user_id", "event_id")
+    return s.read.schema(schema).parquet(f"{folder}/out/v={pipelines.versions(s, f'{folder}/out')[-1]}").select("user_id", "event_id")
 
 
 @query("SELECT pkey, count(*) AS n FROM parameter GROUP BY 1 HAVING count(*)>1")

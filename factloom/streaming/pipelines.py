@@ -45,15 +45,20 @@ def new_hits(hits: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return hits.join(subscriptions, "query").filter(F.col("at") > F.col("last_seen")).select("user", "query", "doc_id", "at")
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that `upsert_into` has written, oldest first."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v=")) if fs.exists(fs_path) else []
+
+
 def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch that writes a new version of a keyed table for each batch. A batch
     that runs again writes the version it wrote before, so the result is the same."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        known = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v=")) if fs.exists(fs_path) else []
+        known = versions(spark, path)
         before = [v for v in known if v < number]
         new = lifecycle.keep_last(batch, keys, order)
         if before:

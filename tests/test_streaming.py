@@ -49,3 +49,16 @@ def test_upsert_runs_again_with_one_result(spark, tmp_path):
 def test_first_seen(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "doc_id string, n int")
     assert pipelines.first_seen(df).count() == 2
+
+
+def test_latest_per_key_of_several_batches(spark, monkeypatch):
+    from factloom.plans import catalogue_flow
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/events.parquet")
+    middle = sorted(r.ts for r in rows.select("ts").collect())[rows.count() // 2]
+    parts = [rows.filter(F.col("ts") < F.lit(middle)), rows.filter(F.col("ts") >= F.lit(middle))]
+    monkeypatch.setattr(pipelines, "drain", lambda stream, state, sink: [sink(part, i) for i, part in enumerate(parts)])
+    got = catalogue_flow.stream_latest_per_key(spark, folder)
+    want = lifecycle.keep_last(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
