@@ -3,9 +3,9 @@
 A match is a run of at least `least` words that also starts in a document with a smaller id.
 Of the k-grams in each window of `least` words the one with the smallest hash is the window's
 anchor (winnowing), so two equal windows have equal anchors at the same place. Seeds are
-anchors that occur in more than one document. A seed is extended both ways over the windows
-that it anchors: an occurrence goes on to the left and right as long as the window's words
-occur in a document with a smaller id, and the maximal repeats are the unions of such windows.
+anchors that occur in more than one document. No seed is extended: every window that a seed
+anchors is hashed and looked up for the smallest document id that holds it, and the maximal
+repeats are the unions of the windows that occur in a document with a smaller id.
 
 Documents are packed into blocks, written once to the shared folder; all steps exchange
 packed arrays between blocks and hash buckets, never one row a word:
