@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MASK = (1 << 64) - 1
 
 
-def _mixed(n: int, seed: int) -> np.ndarray:
+def mixed(n: int, seed: int) -> np.ndarray:
     """n well-spread 64-bit numbers: the splitmix64 sequence from `seed`."""
     with np.errstate(over="ignore"):
         z = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
@@ -34,7 +34,7 @@ def mix64(z: np.ndarray) -> np.ndarray:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_CODE = _mixed(256, 7)
+_BYTE_CODE = mixed(256, 7)
 _BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _pow_cache: dict[tuple[int, int], np.ndarray] = {}
@@ -115,6 +115,16 @@ def utf8(column) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def arrow_type(kind: str):
+    """The Arrow type of a column of ids: whole numbers or strings."""
+    import pyarrow as pa
+
+    known = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
+    if kind not in known:
+        raise TypeError(f"ids must be whole numbers or strings, not {kind}")
+    return known[kind]
+
+
 def release_memory() -> None:
     """Give back to the system what a finished task no longer needs: workers are kept and reused,
     and the allocators of Arrow and of C would hold their largest task's memory."""

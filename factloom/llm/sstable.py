@@ -17,7 +17,7 @@ again replaces it.
 
 Nulls, empties, ties: a null text is the empty text and holds the end id only; a null id is
 the smallest key; rows with equal ids are kept all, next to each other; an empty table gives
-no shard. The order of rows with equal ids is by their texts.
+no shard; ids are whole numbers or strings. The order of rows with equal ids is by their token ids.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -34,128 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import common
+from factloom.llm.encoder import Encoder
 
 MAGIC = b"FLSST001"
 _FOOTER = struct.Struct("<QQQQQBB8s")
 BLOCK_BYTES = 1 << 16
 END_ID = 2
 
-# --- tokens ---------------------------------------------------------------------
-
-
-class Encoder:
-    """Ids of whole texts from a tokenizer file of the tokenizers library.
-
-    For byte-level BPE with the usual word pattern, a text may be cut at every single space
-    and every single newline between two visible characters without changing an id: the
-    pattern always starts a new piece there. The pieces between are remembered, so the
-    library's model is asked once for each. Any other tokenizer, and any piece that holds an
-    added token's text, goes through the library's whole encoding.
-    """
-
-    #: The word pattern of byte-level BPE (fixed value).
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-    def __init__(self, path: str, most: int = 300_000):
-        import json
-
-        import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.tokenize = self.library.model.tokenize
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre = kind.get("pre_tokenizer") or {}
-        self.plain = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and (kind.get("model") or {}).get("type") == "BPE"
-        self.added = [x["content"] for x in kind.get("added_tokens", [])]
-        self.pieces_of = regex.compile(self.PATTERN).findall
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 and END_ID < 1 << 16 else 4
-        self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.code = "H" if self.width == 2 else "I"
-        self.most = most
-        self.spaced: tuple[dict, dict] = ({}, {})  # by the word after the space
-        self.bare: tuple[dict, dict] = ({}, {})
-        self.pieces: tuple[dict, dict] = ({}, {})
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in set(shown)]
-        self.newline = self._whole("\n")
-        self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-
-    def _remember(self, memo: str, key: str, value: bytes) -> bytes:
-        """Two generations: a full one becomes the old one, what is still used moves on."""
-        new, old = getattr(self, memo)
-        if len(new) >= self.most:
-            new, old = {}, new
-            setattr(self, memo, (new, old))
-        new[key] = value
-        return value
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _part(self, memo: str, key: str, text: str) -> bytes:
-        """The ids of `text`, a part between cuts, remembered under `key`."""
-        new, old = getattr(self, memo)
-        if (hit := new.get(key)) is not None:
-            return hit
-        if (hit := old.get(key)) is not None:
-            return self._remember(memo, key, hit)
-        if key.isalpha() and max(key) < "\u0250":  # one piece, without asking the pattern
-            return self._remember(memo, key, self._ids(text))
-        if key[:-1].isalpha() and key[-1] in ".,;:!?" and max(key) < "\u0250":  # two
-            return self._remember(memo, key, self._piece(text[:-1]) + self._piece(key[-1]))
-        if any(x in text for x in self.added):
-            return self._remember(memo, key, self._whole(text))
-        return self._remember(memo, key, b"".join(map(self._piece, self.pieces_of(text))))
-
-    def _piece(self, piece: str) -> bytes:
-        new, old = self.pieces
-        if (hit := new.get(piece)) is not None:
-            return hit
-        if (hit := old.get(piece)) is None:
-            hit = self._ids(piece)
-        return self._remember("pieces", piece, hit)
-
-    def _ids(self, piece: str) -> bytes:
-        """The ids of one piece from the library's model, its bytes shown as letters."""
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of the text, without the end id, as packed numbers."""
-        if not self.plain:
-            return self._whole(text)
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # some other or repeated white space
-            return b"".join([self._part("bare", part, part) for part in _careful(text)])
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            ids = list(map(self.spaced[0].get, words))
-            ids[0] = self._part("bare", words[0], words[0])
-            if None in ids:
-                ids = [self._part("spaced", w, " " + w) if x is None else x for x, w in zip(ids, words)]
-            if out:
-                out.append(self.newline)
-            out += ids
-        return b"".join(out)
-
-
-_CUT = None
-
-
-def _careful(text: str) -> list[str]:
-    """Parts of a text with any white space, cut between visible characters only."""
-    global _CUT
-    if _CUT is None:
-        import regex
-
-        _CUT = regex.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-    return _CUT.split(text)
-
-
 def path_of(name: str = "byte_bpe_50k.json") -> str:
     """The file of a public tokenizer as installed on the machine."""
     import public_tokenizers
@@ -171,7 +55,9 @@ def key_of(doc_id) -> bytes:
         return b"\x00"
     if isinstance(doc_id, int):
         return b"\x01" + struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
-    return b"\x02" + str(doc_id).encode()
+    if not isinstance(doc_id, str):
+        raise TypeError("ids must be whole numbers or strings")
+    return b"\x02" + doc_id.encode()
 
 
 def id_of(key: bytes):
@@ -346,28 +232,63 @@ class Entry:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 300_000) -> list[Entry]:
+def _encoder(tokenizer: str, remembered: int) -> Encoder:
+    """One encoder a worker."""
+    if (tokenizer, remembered) not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer, remembered] = Encoder(tokenizer, remembered)
+    return _encoders[tokenizer, remembered]
+
+
+def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 100_000, bounds: list[bytes] = ()) -> DataFrame:
+    """(part, id, ids): the packed ids of each document with the end id, and how many of the
+    ascending keys in `bounds` are not above its key."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder = _encoder(tokenizer, remembered)
+        for batch in batches:
+            texts = common.utf8(batch.column(1))
+            ids, start = encoder.encode_all(texts)
+            ids = np.insert(ids, start[1:], END_ID).tobytes()
+            ends = ((start[1:] + np.arange(1, len(start))) * encoder.width).tolist()
+            part = [bisect_right(bounds, key_of(x)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), pa.array([ids[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], ["part", "id", "ids"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.releasing(run), f"part int, id {kind}, ids binary")
+
+
+def _bounds(docs: DataFrame, id_col: str, shard_docs: int) -> list[bytes]:
+    """Keys at which a new shard begins, for about `shard_docs` documents in each: the smallest
+    ids of the partitions of a range partitioning of the ids alone; no text is read."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    spark = docs.sparkSession
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // shard_docs))
+    firsts = ids.repartitionByRange(shards, F.col("id").asc_nulls_first()).groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("id"))
+    return sorted(key_of(r.id) for r in firsts.collect())[1:]
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 100_000, shard_docs: int = 1 << 16) -> list[Entry]:
     """Encode and write all documents in ascending id order; returns the manifest, one entry a
-    shard (their number follows the partitions, not the rows). A worker remembers the ids of at
-    most twice `remembered` words (about 0.2 KB each); fewer cost time, not results."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shard of about `shard_docs` documents or less. Texts are read once and encoded where they are
+    read, so that only ids are exchanged. A worker remembers the ids of at most twice
+    `remembered` units (about 0.2 KB each); fewer cost time, not results."""
+    bounds = _bounds(docs, id_col, shard_docs)
+    width = _encoder(tokenizer, remembered).width
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        if (tokenizer, remembered) not in _encoders:
-            _encoders.clear()
-            _encoders[tokenizer, remembered] = Encoder(tokenizer, remembered)
-        encoder = _encoders[tokenizer, remembered]
-        end = np.array([END_ID], encoder.dtype).tobytes()
         part = TaskContext.get().partitionId()
         uri, shard = f"{folder}/shard-{part:06d}.sst", None
         try:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    shard = shard or Writer(uri, encoder.width)
-                    shard.add(key_of(doc_id), encoder.encode(text) + end)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    shard = shard or Writer(uri, width)
+                    shard.add(key_of(doc_id), ids)
             if shard:
                 shard.close()
         except BaseException:
@@ -377,7 +298,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         if shard:
             yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "docs": shard.docs, "ids": shard.ids}])
 
-    sorted_ = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    rows = encoded(docs, tokenizer, id_col, text_col, remembered, bounds).repartitionById(len(bounds) + 1, "part")
+    sorted_ = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), "ids").select("id", "ids")
     made = sorted(sorted_.mapInArrow(common.releasing(run), "part long, uri string, docs long, ids long").collect())
     out, base = [], 0
     for row in made:
@@ -406,7 +328,7 @@ def read(spark, manifest: list[Entry], kind: str = "bigint") -> DataFrame:
                         col.append(value)
                     at += len(wide)
                 shard.close()
-                types = (pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                types = (common.arrow_type(kind), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame([(e.uri, e.base) for e in manifest], "uri string, base long")
