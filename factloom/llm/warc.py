@@ -13,7 +13,9 @@ members inside payloads are never taken for records. A second pass reads the kep
 
 Nulls, empties, ties: a null payload is an empty one; a null id is smaller than any other; a
 null url is written as an empty target; of repeated rows with the largest id all are
-responses. A last record that is cut off is dropped. No pages give no archive.
+responses. Heads and payloads may be of any length. A last record that is cut off is dropped;
+if an archive's number of records is known and the chain keeps another, reading fails, so no
+record is lost unseen. No pages give no archive. Ids are whole numbers or strings.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ _CONTROL = re.compile(r"[\x00-\x20\x7f]")  # written percent-encoded in a target
 class Archive:
     uri: str
     size: int
-    records: int
+    records: int | None = None
 
 
 def _urn(page_id) -> str:
@@ -69,13 +71,27 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", gzip: bool = True, least_bytes: int = 1000) -> list[Archive]:
-    """Write all pages; returns the archives (their number follows partitions and bytes)."""
+def write(
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", gzip: bool = True, least_bytes: int = 1000, broadcast_digests: int = 500_000, salts: int = 64
+) -> list[Archive]:
+    """Write all pages; returns the archives (their number follows partitions and bytes).
+
+    Which payloads occur twice is found on (id, digest) rows. If at most `broadcast_digests` do,
+    that table is broadcast, and payloads are written where they are read; else payloads are
+    joined to it, those of one digest dealt out over `salts` keys."""
+    spark = pages.sparkSession
+    common.arrow_type(pages.schema[id_col].dataType.simpleString())
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    own = rows.filter(F.length("payload") >= least_bytes)
-    shared = own.groupBy(F.col("digest").alias("_digest")).agg(F.max("id").alias("best"), F.count("*").alias("n")).filter("n > 1")
-    decided = rows.join(shared.select("_digest", "best"), F.col("digest") == F.col("_digest"), "left")
+    own = rows.filter(F.length("payload") >= least_bytes).select(F.col("digest").alias("_digest"), "id")
+    shared = own.groupBy("_digest").agg(F.max("id").alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = common.materialise(shared, "warc-shared")
+    if shared.count() <= broadcast_digests:
+        decided = rows.join(F.broadcast(shared), F.col("digest") == F.col("_digest"), "left")
+    else:
+        dealt = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt = F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")
+        decided = rows.withColumn("salt", salt).join(dealt, (F.col("digest") == F.col("_digest")) & (F.col("salt") == F.col("_salt")), "left")
     revisit = F.col("_digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("best"))
     decided = decided.select("id", "url", "payload", "digest", revisit.alias("revisit"), "best")
 
@@ -110,7 +126,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         if made:
             yield pa.RecordBatch.from_pylist(made)
 
-    return [Archive(r.uri, r.size, r.records) for r in sorted(decided.mapInArrow(run, "uri string, size long, records long").collect())]
+    return [Archive(r.uri, r.size, r.records) for r in sorted(decided.mapInArrow(common.releasing(run), "uri string, size long, records long").collect())]
 
 
 class _Source:
@@ -134,22 +150,34 @@ class _Source:
         self.file.close()
 
 
+_FIRST = re.compile(rb"WARC/1\.[0-9]+\Z")
+
+
 def _head(read, at: int) -> tuple[dict[str, str], int] | None:
-    """(fields, length of the head with its empty line) of the plain record at `at`."""
-    size = 4096
+    """(fields, length of the head with its empty line) of the plain record at `at`, or None if
+    none starts there. Reading stops at the first line that no head can hold."""
+    fields: dict[str, str] = {}
+    line, size, data = 0, 4096, read(at, 4096)
     while True:
-        data = read(at, size)
-        end = data.find(b"\r\n\r\n")
-        if end >= 0:
-            break
-        if len(data) < size or size > 1 << 20:
-            return None
-        size *= 4
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/1."):
-        return None
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
+        end = data.find(b"\r\n", line)
+        if end < 0:
+            if len(data) < size or line == 0 and len(data) > 64:
+                return None
+            size *= 4
+            data = read(at, size)
+            continue
+        text = data[line:end]
+        if line == 0:
+            if not _FIRST.match(text):
+                return None
+        elif not text:
+            return (fields, end + 2) if fields.get("content-length", "").isdigit() else None
+        else:
+            name, colon, value = text.partition(b":")
+            if not colon:
+                return None
+            fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        line = end + 2
 
 
 def _successor(source: _Source, at: int, gzip: bool) -> int | None:
@@ -206,22 +234,28 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     return reach[:n]
 
 
+def _ranges(archives: list[Archive], range_bytes: int) -> int:
+    """Tasks for all ranges of all archives."""
+    return min(1 << 16, max(1, sum(-(-a.size // range_bytes) for a in archives)))
+
+
 def boundaries(spark: SparkSession, archives: list[Archive], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(uri, lo, hi, first, records): per range the first verified record and their number."""
-    files = spark.createDataFrame([(a.uri, a.size) for a in archives], "uri string, size long")
-    ranges = files.select("uri", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("lo"))
-    ranges = ranges.withColumn("hi", F.least("size", F.col("lo") + range_bytes)).repartition(min(4096, max(1, sum(-(-a.size // range_bytes) for a in archives))), "uri", "lo")
+    files = spark.createDataFrame([(a.uri, a.size, a.records) for a in archives], "uri string, size long, told long")
+    ranges = files.select("uri", "size", "told", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("lo"))
+    ranges = ranges.withColumn("hi", F.least("size", F.col("lo") + range_bytes)).repartition(_ranges(archives, range_bytes), "uri", "lo")
 
     def scan(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for uri, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("uri", "lo", "hi"))):
+            for uri, told, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("uri", "told", "lo", "hi"))):
                 source = _Source(uri)
                 offsets, ends = candidates(source, lo, hi, uri.endswith(".gz"))
                 ends = np.where(ends > source.size, -1, ends)
                 source.close()
-                yield pa.RecordBatch.from_pylist([{"uri": uri, "lo": lo, "hi": hi, "offsets": offsets.tobytes(), "successors": ends.tobytes()}])
+                row = {"uri": uri, "told": told, "lo": lo, "hi": hi, "offsets": offsets.tobytes(), "successors": ends.tobytes()}
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], list(row))
 
     def chain(table):
         import pyarrow as pa
@@ -230,6 +264,9 @@ def boundaries(spark: SparkSession, archives: list[Archive], range_bytes: int =
         parts = [np.frombuffer(x, np.int64) for x in table.column("offsets").to_pylist()]
         ends = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("successors").to_pylist()])
         good = reachable(np.concatenate(parts), ends) & (ends >= 0)
+        told = table.column("told")[0].as_py()
+        if told is not None and good.sum() != told:
+            raise ValueError(f"{table.column('uri')[0]}: {good.sum()} records on the chain from the file's start, {told} were written")
         rows, at = [], 0
         for uri, lo, hi, part in zip(*(table.column(c).to_pylist() for c in ("uri", "lo", "hi")), parts):
             own = part[good[at : at + len(part)]]
@@ -239,7 +276,7 @@ def boundaries(spark: SparkSession, archives: list[Archive], range_bytes: int =
         schema = pa.schema([("uri", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("first", pa.int64()), ("records", pa.int64())])
         return pa.Table.from_pylist(rows, schema)
 
-    scanned = ranges.select("uri", "lo", "hi").mapInArrow(scan, "uri string, lo long, hi long, offsets binary, successors binary")
+    scanned = ranges.select("uri", "told", "lo", "hi").mapInArrow(common.releasing(scan), "uri string, told long, lo long, hi long, offsets binary, successors binary")
     return scanned.groupBy("uri").applyInArrow(chain, "uri string, lo long, hi long, first long, records long")
 
 
@@ -281,7 +318,7 @@ def read(spark: SparkSession, archives: list[Archive], kind: str = "bigint", pay
     def run(batches):
         import pyarrow as pa
 
-        own = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+        own = common.arrow_type(kind)
         columns = [("id", own), ("uri", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", own)]
         arrow = pa.schema(columns + [("payload", pa.binary())] * payloads)
         for batch in batches:
@@ -305,4 +342,6 @@ def read(spark: SparkSession, archives: list[Archive], kind: str = "bigint", pay
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return boundaries(spark, archives, range_bytes).mapInArrow(run, schema)
+    # one task a range again: what the chain keeps is small and would be read by a single one
+    kept = boundaries(spark, archives, range_bytes).repartition(_ranges(archives, range_bytes), "uri", "lo")
+    return kept.mapInArrow(common.releasing(run), schema)
