@@ -84,7 +84,7 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = templates.main_text(table(spark, sf_dir, "pages"))
-    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_counted")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,34 @@
 """Main text of HTML pages by site template removal.
 
-Pass 1 hashes every element's subtree (tag, class, text, children) and counts per host on how
-many pages it stands, once a page, and in how many different surroundings (hashes of the
-parent). Subtrees on at least `least_pages` pages, and at least `share` of the host's pages, are
-templates of the host if they have at least `least_pages` surroundings too: a template piece
-recurs within parents that differ from page to page; a paragraph of a page that was copied as a
-whole recurs within equal parents and is not one.
-
-Pass 2 takes the page's article (or main element, or else the whole body) and deletes from it
-template subtrees and elements whose tag, role, class or id says menu, header, footer, sidebar,
-notice, advert, form or comments; scripts, styles and comments in the markup always go.
-Protected from the count are subtrees with half of the content's text or more, and, where the
-page says what its article is, single paragraphs, headings, items and cells of it. What is
-left is put out in blocks.
+Pass 1 hashes every element's subtree in two ways and counts per host on how many pages each
+hash stands, once a page.
+
+* Whole: tag, class, text, children. Counted are also the different surroundings (hashes of the
+  parent): a template piece recurs within parents that differ from page to page; a paragraph of
+  a page that was copied as a whole recurs within equal parents and is not one.
+* Shape: tag, class, children, runs of equal children as one, no text. It finds menus, adverts
+  and footers whose words change from page to page. Shapes are counted only for what stands
+  beside the article (or main element) of a page, as paragraphs have shapes too.
+
+Hashes on at least `least_pages` pages, and at least `share` of the host's pages, are templates
+of the host; whole subtrees must have `least_pages` surroundings too.
+
+Pass 2 deletes template subtrees first. What the count cannot know (hosts of few pages, rare
+pieces) is then deleted by `rules`: elements whose tag, role, class or id says menu, header,
+footer, sidebar, notice, advert, form or comments, and what stands beside the article. Scripts,
+styles and comments in the markup always go. Protected from the count are subtrees with half of
+the content's text or more, and, where the page says what its article is, single paragraphs,
+headings, items and cells of it. What is left is put out in blocks.
 
 Templates are at most `most of a page / share` per host. All of them are broadcast if the
 measured total is at most `broadcast_hashes`; above that they are joined to the pages, each
 host dealt out over `salts` keys.
 
 Nulls, empties, ties: null HTML is empty and gives an empty text; a null url has the empty
-host, which is a host like any other; null and repeated ids are kept; broken markup closes as
-browsers do it (a block start ends an open paragraph, an end tag ends what is open in it, and
-what cannot stand in a head ends an open one).
+host, which is a host like any other; null and repeated ids are kept; repeated rows count as
+pages of their own; an empty table gives no row; broken markup closes as browsers do it (a block
+start ends an open paragraph, an end tag ends what is open in it, and what cannot stand in a
+head ends an open one).
 """
 
 from __future__ import annotations
@@ -62,6 +69,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|\Z)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"://([^/?#]*)")
+_DIGITS = re.compile(rb"[0-9]+")
 _LAST: dict[str, re.Pattern] = {}
 
 
@@ -70,17 +78,22 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+#: In place of a parent's hash: the row counts a shape.
+_SHAPE = 0
+
+
 class Page:
     """The elements of a page in document order, its text runs, and its blocks."""
 
-    __slots__ = ("tag", "parent", "gone", "rooted", "size", "hash", "blocks")
+    __slots__ = ("tag", "parent", "gone", "rooted", "size", "hash", "shape", "blocks", "inside", "found")
 
     def __init__(self, html: str):
         from xxhash import xxh3_64_digest
 
-        self.tag, self.parent, self.gone, self.rooted, self.size, self.hash = ["#"], [-1], [False], [False], [0], [b""]
+        self.tag, self.parent, self.gone, self.rooted, self.size, self.hash, self.shape = ["#"], [-1], [False], [False], [0], [b""], [b""]
         self.blocks: list[list[tuple[int, str]]] = []
         parts: list[list[bytes]] = [[b"#"]]  # what goes into the hash of each element
+        forms: list[list[bytes]] = [[b"#"]]  # what goes into the hash of its shape
         stack = [0]
         block: list[tuple[int, str]] = []
         at, end = 0, len(html)
@@ -109,6 +122,9 @@ class Page:
                 above = self.parent[node]
                 if self.size[node] or len(parts[node]) > 1:
                     parts[above].append(digest)
+                    self.shape[node] = shape = xxh3_64_digest(b"\1".join(forms[node]))
+                    if forms[above][-1] != shape:
+                        forms[above].append(shape)
                 self.size[above] += self.size[node]
 
         def end_head() -> None:
@@ -198,49 +214,77 @@ class Page:
             self.rooted.append(self.rooted[above] or rooted)
             self.size.append(0)
             self.hash.append(b"")
+            self.shape.append(b"")
             parts.append([f"{name}{mark}".encode("utf-8", "surrogatepass")])
+            forms.append([_DIGITS.sub(b"0", parts[-1][0])])
             stack.append(node)
         flush()
         close(1)
         self.hash[0] = xxh3_64_digest(b"\0".join(parts[0]))
+        self.inside, self.found = self._content()
 
-    def subtrees(self):
-        """(hash, hash of the parent) of every block element with text."""
-        return [(int.from_bytes(self.hash[i], "big", signed=True), int.from_bytes(self.hash[self.parent[i]], "big", signed=True)) for i in range(1, len(self.tag)) if self.size[i]]
-
-    def text(self, templates) -> str:
-        """The blocks of the main content, without template subtrees."""
+    def _content(self) -> tuple[list[bool], bool]:
+        """Which elements are in the main content: the outermost articles that are not gone, else
+        main elements, else everything; and whether the page says so."""
         n = len(self.tag)
-        # the outermost articles that are not gone, else main elements, else everything
-        inside = [False] * n
-        found = False
-        for wanted in (("article",), ("main",)):
+        for wanted in ("article", "main"):
+            inside = [False] * n
             for i in range(1, n):
-                up = self.parent[i]
-                inside[i] = inside[up] or (self.tag[i] in wanted and not self.gone[i])
-                found |= inside[i]
-            if found:
-                break
-        if not found:
-            found = any(self.rooted[i] and not self.gone[i] for i in range(n))
-            inside = [self.rooted[i] for i in range(n)] if found else [True] * n
+                inside[i] = inside[self.parent[i]] or (self.tag[i] == wanted and not self.gone[i])
+            if any(inside):
+                return inside, True
+        found = any(self.rooted[i] and not self.gone[i] for i in range(n))
+        return (list(self.rooted), True) if found else ([True] * n, False)
+
+    def _beside(self) -> list[bool]:
+        """Which elements stand beside the content that the page names: neither in nor around it."""
+        out = [self.found and not x for x in self.inside]
+        for i in range(len(out) - 1, 0, -1):  # children come after their parents
+            if not out[i]:
+                out[self.parent[i]] = False
+        return out
+
+    def subtrees(self) -> tuple[set[tuple[int, int]], set[int]]:
+        """((hash, hash of the parent) of every block element with text, shapes beside the content)."""
+        rows = [i for i in range(1, len(self.tag)) if self.size[i]]
+        beside = self._beside() if self.found else ()
+        return {(_number(self.hash[i]), _number(self.hash[self.parent[i]])) for i in rows}, {_number(self.shape[i]) for i in rows if beside and beside[i]}
+
+    def text(self, templates=(), rules: bool = True) -> str:
+        return self.cleaned(templates, rules)[0]
+
+    def cleaned(self, templates=(), rules: bool = True) -> tuple[str, int]:
+        """The blocks of the main content, without template subtrees; and how many code points of
+        the page's text the count deleted."""
+        n, inside, found = len(self.tag), self.inside, self.found
         whole = sum(self.size[i] for i in range(1, n) if inside[i] and not inside[self.parent[i]]) if found else self.size[0]
+        beside = self._beside() if templates and found else ()
         out = [False] * n
-        for i in range(n):
-            up = self.parent[i]
-            out[i] = (i > 0 and out[up]) or self.gone[i]
-            if not out[i] and i and templates and 2 * self.size[i] < whole and not (found and self.tag[i] in LEAF):
-                out[i] = int.from_bytes(self.hash[i], "big", signed=True) in templates
+        counted = 0
+        for i in range(1, n) if templates else ():
+            out[i] = out[self.parent[i]]
+            if out[i] or not self.size[i]:
+                continue
+            if not (found and inside[i] and self.tag[i] in LEAF) and 2 * self.size[i] < whole:
+                out[i] = _number(self.hash[i]) in templates
+            if beside and beside[i]:
+                out[i] = out[i] or _number(self.shape[i]) in templates
+            counted += self.size[i] * out[i]
         blocks = []
         for block in self.blocks:
-            words = "".join([run for node, run in block if inside[node] and not out[node]]).split()
+            words = "".join([run for node, run in block if not out[node] and not (rules and (self.gone[node] or not inside[node]))]).split()
             if words:
                 blocks.append(" ".join(words))
-        return "\n\n".join(blocks)
+        return "\n\n".join(blocks), counted
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "big", signed=True)
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.1) -> DataFrame:
-    """(host, hash): the template subtrees of each host."""
+    """(host, hash): the template subtrees and shapes of each host. Pages are counted, and the
+    surroundings of whole subtrees; a batch is counted before it is sent, and shapes have no surroundings."""
 
     def count(batches):
         import pyarrow as pa
@@ -249,27 +293,33 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
             seen: Counter = Counter()
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
-                pieces = set(Page(html or "").subtrees())
+                pieces, shapes = Page(html or "").subtrees()
                 seen[(host, None, None)] += 1
                 seen.update({(host, own, None) for own, _ in pieces})
                 seen.update((host, own, above) for own, above in pieces)
+                seen.update((host, own, _SHAPE) for own in shapes)
             host, own, above = zip(*seen) if seen else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(own, pa.int64()), pa.array(above, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "hash", "above", "n"])
 
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(common.releasing(count), "host string, hash long, above long, n long")
     distinct = rows.groupBy("host", "hash", "above").agg(F.sum("n").alias("n"))
-    by_hash = distinct.groupBy("host", "hash").agg(F.count("above").alias("places"), F.sum(F.when(F.col("above").isNull(), F.col("n"))).alias("pages"))
-    by_hash = common.materialise(by_hash.filter((F.col("places") >= least_pages) & (F.col("pages") >= least_pages) | F.col("hash").isNull()), "templates")
+    shape = F.coalesce(F.col("above") == _SHAPE, F.lit(False))
+    places = F.count(F.when(~shape, F.col("above")))
+    pages_of = F.coalesce(F.sum(F.when(shape, F.col("n"))), F.sum(F.when(F.col("above").isNull(), F.col("n"))))
+    by_hash = distinct.groupBy("host", "hash").agg(places.alias("places"), pages_of.alias("pages"), F.max(shape).alias("shape"))
+    many = (F.col("pages") >= least_pages) & (F.col("shape") | (F.col("places") >= least_pages))
+    by_hash = common.materialise(by_hash.filter(many | F.col("hash").isNull()), "templates")
     hosts = by_hash.filter("hash is null").select(F.col("host").alias("_host"), F.col("pages").alias("_pages"))
     pieces = by_hash.filter("hash is not null")
     return pieces.join(hosts, F.col("host") == F.col("_host")).filter(F.col("pages") >= share * F.col("_pages")).select("host", "hash")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.1, broadcast_hashes: int = 2_000_000, salts: int = 64) -> DataFrame:
-    """(id, url, text): the main text of every page."""
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.1, rules: bool = True, broadcast_hashes: int = 500_000, salts: int = 64) -> DataFrame:
+    """(id, url, text, n_counted): the main text of every page, and how many code points of the
+    page's text the count deleted. Without `rules` only the count deletes."""
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, url string, text string"
+    schema = f"id {kind}, url string, text string, n_counted long"
     found = common.materialise(templates(pages, url_col, html_col, least_pages, share), "templates")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     shared = None
@@ -288,6 +338,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             urls, pages_ = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             own = [shared.value.get(host_of(u), frozenset()) for u in urls] if shared else [frozenset(x or ()) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([Page(h or "").text(t) for h, t in zip(pages_, own)], pa.string())], ["id", "url", "text"])
+            texts, counted = zip(*[Page(h or "").cleaned(t, rules) for h, t in zip(pages_, own)]) if own else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counted, pa.int64())], ["id", "url", "text", "n_counted"])
 
     return rows.mapInArrow(common.releasing(run), schema)
