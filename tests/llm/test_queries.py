@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from factloom.llm import common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
 from factloom.llm import queries as q
@@ -115,6 +117,30 @@ def test_warc_rejects_magic_inside_payloads(spark, gzip):
     assert warc.read(spark, warc.write(pages.limit(0), common.run_folder(spark, "t"))).collect() == []
 
 
+@pytest.mark.parametrize("gzip", [True, False])
+def test_warc_long_heads_and_corrupt_records(spark, gzip):
+    rows = [(1, "http://h/" + "u" * (6 << 20), "<p>x"), (2, "http://h/2", "WARC/1.1\r\nno head\r\n\r\n" * 50), (3, None, "y" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    (archive,) = warc.write(pages, common.run_folder(spark, "t"), gzip=gzip)
+    got = {r.id: r for r in warc.read(spark, [archive], range_bytes=1 << 20).collect()}
+    assert sorted(got) == [1, 2, 3] and got[1].url == rows[0][1] and got[3].payload == rows[2][2].encode()
+    fs, path = common.filesystem(archive.uri)
+    data = bytearray(fs.open_input_file(path).read())
+    at = data.find(b"\x1f\x8b\x08" if gzip else b"WARC/1.", 10)
+    data[at : at + 3] = b"???"
+    with fs.open_output_stream(path) as out:
+        out.write(bytes(data))
+    with pytest.raises(Exception, match="records on the chain"):
+        warc.read(spark, [archive], range_bytes=1 << 20).collect()
+
+
+def test_warc_duplicates_without_broadcast(spark):
+    rows = [(i, "u", "z" * 1000 if i % 3 else f"{i}" * 500) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    read = lambda **kw: sorted((r.id, r.record_type, r.refers_to) for r in warc.read(spark, warc.write(pages, common.run_folder(spark, "t"), **kw)).collect())
+    assert read() == read(broadcast_digests=-1) and sum(t == "revisit" for _, t, _ in read()) == 39
+
+
 def test_simhash_components(spark, docs, none):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
@@ -126,9 +152,6 @@ def test_simhash_components(spark, docs, none):
         own = [ids[k] for k in range(len(ids)) if root[k] == root[ids.index(r.id)]]
         assert r.component == min((i for i in own if i is not None), default=None)
     assert simhash.near_duplicates(none).collect() == []
-    kept = simhash.deduplicated(docs)
-    assert kept.schema == docs.schema and kept.filter("doc_id in (1, 2)").count() == 1 and kept.filter("doc_id = 6").count() == 0
-    assert simhash.deduplicated(none).collect() == []
 
 
 def test_connected_chain(spark):
@@ -150,13 +173,14 @@ def test_language(docs, none):
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, PASSAGE.upper()), (2, None), (3, "  "), (4, PASSAGE), (None, "le chat")], "item_id long, text string")
     one = decontam.contamination(docs, bench)
-    many = decontam.contamination(docs, bench, block_bytes=100)
+    many = decontam.contamination(docs, bench, block_words=5, resident=2)
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(one) == rows(many) and one.count() == len(ROWS)
     got = {r.id: r for r in one.collect()}
     assert got[2].n_hit == 60 and got[2].items == [1, 4] and got[8].n_hit == 6 and got[3].n_words == 0
     text = ROWS[0][1]
     assert [text[s.start : s.end] for s in got[1].spans] == [PASSAGE]
+    assert rows(decontam.clean(docs, bench)) == rows(decontam.clean(docs, bench, block_words=5, resident=1))
     kept = decontam.clean(docs, bench)
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 7}
     assert decontam.clean(docs, bench.limit(0)).count() == len(ROWS) and decontam.contamination(none, bench).collect() == []
@@ -182,16 +206,36 @@ def test_url_rules_against_suffixes(spark):
     assert urlrules.judged(pages, spark.createDataFrame([], "host string, path string, action string")).filter("rule is not null").count() == 0
 
 
+def digest(text, library=[]):
+    """(number of ids with the end id, their CRC-32) by the library alone."""
+    if not library:
+        library.append(Tokenizer.from_file(sstable.path_of()))
+    ids = library[0].encode(text or "", add_special_tokens=False).ids + [2]
+    return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_shards_of_a_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = q.table(spark, folder, "documents").collect()
+    got = {r.doc_id: r for r in q.op9_token_shards(spark, folder).collect()}
+    at = 0
+    for row in sorted(rows, key=lambda r: r.doc_id):
+        assert (got[row.doc_id].n_tokens, got[row.doc_id].ids_crc32, got[row.doc_id].start) == (*digest(row.text), at)
+        at += got[row.doc_id].n_tokens
+
+
 def test_token_shards(spark, docs, none):
     manifest = sstable.write(docs, common.run_folder(spark, "t"), sstable.path_of())
     got = sstable.read(spark, manifest).orderBy("start").collect()
     assert [r.id for r in got] == sorted([r[0] for r in ROWS], key=lambda x: (x is not None, x or 0))
-    encoder = sstable.Encoder(sstable.path_of())
     at = 0
     for r in got:
         assert r.start == at
         at += r.n_tokens
-    assert at == sum(len(encoder._whole(r[1] or "")) // 2 + 1 for r in ROWS)
+    own = [(r[0], *digest(r[1])) for r in ROWS]
+    assert sorted(((r.id, r.n_tokens, r.ids_crc32) for r in got), key=repr) == sorted(own, key=repr)
+    few = sstable.write(docs.withColumn("doc_id", F.col("doc_id").cast("string")), common.run_folder(spark, "t"), sstable.path_of(), shard_docs=2)
+    assert len(few) > 3 and sorted(((r.id, r.n_tokens) for r in sstable.read(spark, few, "string").collect()), key=repr) == sorted(((None if i is None else str(i), n) for i, n, _ in own), key=repr)
     assert sstable.lookup(manifest, 4)[0].tolist() == [2] and len(sstable.lookup(manifest, 2)) == 2 and sstable.lookup(manifest, 77) == []
     assert sstable.write(none, common.run_folder(spark, "t"), sstable.path_of()) == [] and sstable.read(spark, []).collect() == []
 

@@ -7,7 +7,9 @@ import re
 import numpy as np
 import pytest
 
+from factloom.llm import encoder as encoder_module
 from factloom.llm import common, decontam, langid, repetition, simhash, sstable, templates, warc
+from factloom.llm.encoder import Encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOREM = ["a", "b", "cé", "d e", "ſ", "x|y", "日本"]
@@ -146,23 +148,71 @@ def test_ppm_without_labels():
     assert lang == ["und", "und"] and score.tolist() == [0, 0]
 
 
-def test_decontamination_against_windows():
+def test_decontamination_spans():
     items = [(1, b"The quick BROWN fox jumps over the lazy dog again and again"), (2, b"short item"), (3, b"!!"), (4, b"short item")]
-    machine = decontam.automaton(decontam.patterns(items, 10))
+    block = decontam.Block(items, 10).open()
     text = "x The-quick, brown fox jumps over the lazy dog again y short item café short".encode()
-    n, hits = decontam.scan(text, machine)
-    assert n == 16 and decontam.merged([(a, b) for a, b, _ in hits]) == [(1, 11), (12, 14)]
-    assert {i for _, _, i in hits} == {1, 2, 4}
-    (a, b), (c, d) = decontam.spans(text, [(1, 11), (12, 14)])
+    n, runs, found = decontam._hits(text, [block])
+    assert n == 16 and runs == [(1, 11), (12, 14)] and found == {1, 2, 4}
+    (a, b), (c, d) = decontam.spans(text, runs)
     assert text.decode()[a:b].startswith("The-quick") and text.decode()[a:b].endswith("again") and text.decode()[c:d] == "short item"
-    assert decontam.scan(b"", machine) == (0, []) and decontam.scan(b"shorts item", machine)[1] == []
+    assert decontam._hits(b"", [block]) == (0, [], set()) and decontam._hits(b"shorts item", [block])[1] == []
+    assert decontam.Block([], 10).open().scan([b"x"]) == []
+
+
+@pytest.mark.parametrize("window", [1, 2, 9, 10])
+def test_decontamination_against_all_windows(window):
+    r = random.Random(window)
+    words = [b"a", b"b", b"c", "d\u00e9".encode()]
+    items = [(i, b" ".join(r.choice(words) for _ in range(r.randint(0, 25)))) for i in range(12)] + [(90, b"a b c a b"), (91, b"a b c a b")]
+    block = decontam.Block(items, window).open()
+    for _ in range(60):
+        text = [r.choice([*words, b"other"]) for _ in range(r.randint(0, 60))] + items[r.randrange(12)][1].split()[: r.randint(0, 30)]
+        want = set()
+        for i, t in items:
+            own = t.split()
+            size = min(window, len(own))
+            wins = {tuple(own[p : p + size]) for p in range(len(own) - size + 1)} if size else set()
+            want |= {(p, p + size, i) for p in range(len(text) - size + 1) if tuple(text[p : p + size]) in wins}
+        assert set(block.scan(text)) == want
+
+
+def test_a_block_needs_little_memory_a_word():
+    import pickle
+
+    r = random.Random(3)
+    text = b" ".join(b"%d" % r.randrange(20_000) for _ in range(20_000))
+    assert len(pickle.dumps(decontam.Block([(1, text)], 10))) < 60 * 20_000
 
 
 def test_encoder_equals_the_library():
-    encoder = sstable.Encoder(sstable.path_of(), most=20)
+    encoder = Encoder(sstable.path_of(), most=20)
     odd = ["", " ", "  a  b", "a \n b\n\nc", " a ", "\n\na\n", "don't we'll 's x.", "a <|endoftext|> b", "naïve  café x", "a\x85b \x1c c", "漢字 😀.", "A.B c, d! e: ǅ. ɐz", "1 22 3a", "x\r\ny"]
-    for t in [*odd, *texts(5, 60), *odd]:
-        assert encoder.encode(t) == encoder._whole(t), t
+    r = random.Random(6)
+    signs = ["a", "Z", "é", "×", " ", "\n", "\t", "\r", "\xa0", "\u3000", "'", "s", "1", "²", "漢", "😀", ".", "ſ", "ǅ", "ɐ", "\x85", "\x1c"]
+    mixed = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    every = [t.encode() for t in [*odd, *texts(5, 60), *mixed, *odd]]
+    for ts in (every, [], [b""], [b" "], every[:1]):
+        ids, bounds = encoder.encode_all(ts)
+        assert len(bounds) == len(ts) + 1
+        for i, t in enumerate(ts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.whole(t).tolist(), t
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    encoder = Encoder(sstable.path_of())
+    text = ("l'été, 12 words  and\n more <|endoftext|> x" * 40).encode()
+    want = encoder.whole(text).tolist()
+    monkeypatch.setattr(encoder_module, "SLICE", 100)
+    assert encoder.encode_all([b"a b", text, b""])[0].tolist() == encoder.whole(b"a b").tolist() + want
+    long = text.replace(b"<|endoftext|>", b"")
+    assert len(list(encoder_module._cut(long))) > 5 and encoder.encode_all([long])[0].tolist() == encoder.whole(long).tolist()
+
+
+def test_other_tokenizers_are_asked_whole():
+    encoder = Encoder(sstable.path_of("word_bpe_49k.json"))
+    ids, bounds = encoder.encode_all([b"Some Words", b"", "é x".encode()])
+    assert not encoder.plain and ids[: bounds[1]].tolist() == encoder.whole(b"Some Words").tolist() and bounds[1] == bounds[2]
 
 
 def test_shard_round_trip(tmp_path):
