@@ -91,6 +91,72 @@ def technology_comparison(facts: DataFrame, axes: dict[str, Column], technologie
     return rows.groupBy("canon").agg(F.countDistinct("doc_id").alias("sources"), *aggregates)
 
 
+#: Parts of metrics, units and conditions that put a fact on an axis (fixed values).
+EFFICIENCY, ENERGY, ENERGY_UNITS = ("извлеч", "выход", "степень"), ("энерг", "расход электро", "удельн"), ("A_m2",)
+ECOLOGY = ("выброс", "so2", "co2", "пыл", "стоки", "шлам", "отвал", "экологи", "загрязн")
+COLD = ("холодный климат", "Заполярье")
+
+
+def axes_of_technologies(metric: str = "metric", unit: str = "unit_canon") -> dict[str, Column]:
+    """A10: efficiency, energy, temperature and ecology; costs are in no fact."""
+    named = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(F.coalesce(metric, F.lit(""))), p))
+    return {
+        "efficiency_pct": (F.col(unit) == "pct") & named(EFFICIENCY),
+        "energy": named(ENERGY) | F.coalesce(F.col(unit).isin(*ENERGY_UNITS), F.lit(False)),
+        "temperature_c": F.col(unit) == "degC",
+        "ecology": named(ECOLOGY),
+    }
+
+
+def technologies(facts: DataFrame, edges: DataFrame, names: DataFrame, axes: dict[str, Column] | None = None, cold: tuple[str, ...] = COLD) -> DataFrame:
+    """A10: per technology (column canon) its sources and facts, each axis' bounds, unit and number
+    of facts, its conditions (edges src, dst, type OPERATES_AT_CONDITION), whether one of them is cold,
+    and capex, which is null. A technology without facts is kept."""
+    axes = axes_of_technologies() if axes is None else axes
+    figures = technology_comparison(facts, axes, names)
+    total = facts.join(names.select("canon"), "canon", "left_semi").groupBy("canon").agg(F.count("*").alias("total_facts"))
+    own = edges.filter("type = 'OPERATES_AT_CONDITION'").join(names.select(F.col("canon").alias("src")), "src", "left_semi")
+    conditions = own.groupBy(F.col("src").alias("canon")).agg(F.sort_array(F.collect_set("dst")).alias("conditions"), F.max(F.col("dst").isin(*cold)).alias("cold_climate"))
+    rows = names.select("canon").distinct().join(figures, "canon", "left").join(total, "canon", "left").join(conditions, "canon", "left")
+    made = [F.col(f"{a}_{x}") for a in axes for x in ("min", "max", "unit")] + [F.coalesce(f"{a}_n", F.lit(0)).alias(f"{a}_n") for a in axes]
+    return rows.select(
+        "canon",
+        F.coalesce("sources", F.lit(0)).alias("sources"),
+        F.coalesce("total_facts", F.lit(0)).alias("total_facts"),
+        *made,
+        F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"),
+        F.coalesce("cold_climate", F.lit(False)).alias("cold_climate"),
+        F.lit(None).cast("double").alias("capex"),
+    )
+
+
+def dashboard(documents: DataFrame, facts: DataFrame, authors: DataFrame, domains: DataFrame, relations: DataFrame, home: str, limit: int = 20) -> dict[str, DataFrame | None]:
+    """Q11: all parts of the overview, as plans that nobody has run. A part whose inputs lack a column
+    is None, the others are there."""
+    from pyspark.errors import AnalysisException
+
+    from factloom.operators.relations import contradictions
+
+    parts = {
+        "summary": lambda: summary(documents, facts, authors, domains, relations.filter("rel = 'CONTRADICTS'"), home),
+        "by_domain": lambda: by_domain(domains, facts, authors),
+        "by_year": lambda: by_column(documents, facts, F.col("year"), "year"),
+        "by_geo": lambda: by_column(documents, facts, F.col("geo"), "geo"),
+        "low_sources": lambda: low_sources(facts, 2, limit),
+        "one_sided": lambda: one_sided(facts, documents, home),
+        "contradictions": lambda: contradictions(relations, limit),
+        "activity": lambda: activity(documents, facts, authors, limit),
+        "experts": lambda: experts(authors, domains, 15, limit),
+    }
+    out: dict[str, DataFrame | None] = {}
+    for name, make in parts.items():
+        try:
+            out[name] = make()
+        except AnalysisException:
+            out[name] = None
+    return out
+
+
 def top_entities(facts: DataFrame, k: int) -> DataFrame:
     """A11."""
     return facts.groupBy("canon").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "canon").limit(k)

@@ -20,6 +20,7 @@ ROLE_LEVELS = {
     "lead": ("public", "internal", "secret"),
     "admin": ("public", "internal", "secret"),
 }
+HIGHEST_ROLE = "admin"
 #: Value bounds per unit in three contexts (F11 load, F12 relation, F13 display; B05). None: open.
 UNIT_BOUNDS = {
     "load": {"pct": (0.0, 100.0), "pH": (0.0, 14.0), "degC": (-273.0, None), "g_t": (0.0, None), "mg_L": (0.0, None), "ppm": (0.0, None)},

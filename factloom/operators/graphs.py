@@ -68,6 +68,39 @@ def answer_subgraph(branches: dict[str, tuple[DataFrame, int]], documents: DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Branches of the process chain: type of edge, labels of its other end, how many of a process.
+CHAIN = (("USES_MATERIAL", ("Material",), 6), ("PRODUCES_OUTPUT", ("Material", "Phase"), 6), ("OPERATES_AT_CONDITION", ("Condition",), 4), ("OPERATES_AT_CONDITION", ("Equipment",), 4))
+
+
+def answer_graph(doc_ids: DataFrame, facts: DataFrame, edges: DataFrame, mentions: DataFrame, relations: DataFrame, authors: DataFrame, limit: int = 60, most_documents: int = 40) -> DataFrame:
+    """The links (src, dst, type) around the documents of an answer, and links without dst for nodes
+    alone: their processes (at most `limit`) with materials, outputs, conditions and equipment;
+    equipment (15), facilities (15), contradictions between them (30) and authors (25).
+
+    facts: doc_id, label, canon. edges: src, dst, dst_label, type. mentions: doc_id, label, canon.
+    relations: rel, doc_a, doc_b. Each list is ranked by itself before anything is joined to it, so no
+    branch multiplies another."""
+    ids = doc_ids.select("doc_id").distinct().orderBy("doc_id").limit(most_documents)
+    measured = facts.join(F.broadcast(ids), "doc_id", "left_semi")
+    link = lambda rows, src, dst, kind: rows.select(F.col(src).cast("string").alias("src"), (F.lit(None) if dst is None else F.col(dst)).cast("string").alias("dst"), F.lit(kind).alias("type"))
+    processes = measured.filter("label = 'Process'").select(F.col("canon").alias("src")).distinct().orderBy("src").limit(limit)
+    parts = [link(processes, "src", None, "Process")]
+    for kind, labels, most in CHAIN:
+        own = edges.filter((F.col("type") == kind) & F.col("dst_label").isin(*labels)).join(F.broadcast(processes), "src", "left_semi").select("src", "dst").distinct()
+        nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+        parts.append(link(own.withColumn("nth", nth).filter(F.col("nth") <= most), "src", "dst", kind))
+    equipment = measured.filter("label = 'Equipment'").select("canon").distinct().orderBy("canon").limit(15)
+    parts.append(link(equipment, "canon", None, "Equipment"))
+    places = mentions.filter("label = 'Facility'").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "canon").distinct().orderBy("doc_id", "canon").limit(15)
+    parts.append(link(places, "doc_id", "canon", "MENTIONS"))
+    against = relations.filter("rel = 'CONTRADICTS'").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).filter("a < b").distinct()
+    inside = against.join(F.broadcast(ids.select(F.col("doc_id").alias("a"))), "a", "left_semi").join(F.broadcast(ids.select(F.col("doc_id").alias("b"))), "b", "left_semi")
+    parts.append(link(inside.orderBy("a", "b").limit(30), "a", "b", "CONTRADICTS"))
+    own = authors.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "author").distinct().orderBy("doc_id", "author").limit(25)
+    parts.append(link(own, "doc_id", "author", "AUTHORED_BY"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def merged_edges(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """One edge per (src, dst, type, doc_id), its sources put together."""
     rows = edges.select("src", "dst", "type", "doc_id", F.array("source").alias("sources"))

@@ -50,36 +50,36 @@ def comparable(a: str, b: str, compositions: tuple[str, ...] = COMPOSITION) -> C
     return F.when((ca == "") & (cb == ""), F.coalesce(bare, F.lit(False))).otherwise((ca != "") & (ca == cb))
 
 
-def first_per_document(facts: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """One fact per group and document, numbered by document within the group."""
+def first_documents_of(facts: DataFrame, order: tuple[str, ...], most: int) -> DataFrame:
+    """One fact per group and document, of the first `most` documents of each group,
+    numbered. Both ranks are limited before rows are exchanged, so a group of many documents
+    sends at most `most` rows from each task."""
     keys = [F.coalesce(k, F.lit("")) if k == "phase" else F.col(k) for k in GROUP]
     first = F.row_number().over(Window.partitionBy(*keys, "doc_id").orderBy(*order))
     one = facts.withColumn("_first", first).filter("_first = 1").drop("_first")
-    return one.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")))
+    return one.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))).filter(F.col("nth") <= most)
 
 
 def pairs(facts: DataFrame, documents: DataFrame | None = None, order: tuple[str, ...] = ("pkey",), cap: int = 40, agree: float = 0.10, differ: float = 0.20, compositions: tuple[str, ...] = COMPOSITION) -> DataFrame:
     """VALIDATED_BY and CONTRADICTS between documents. `documents` gives `origin` for the
-    kind. Ordered pairs are counted before the gates, as (1,2), (1,3), ..., (2,3), ..."""
-    reps = first_per_document(facts.filter(eligible()), order)
+    kind. Ordered pairs are counted before the gates, as (1,2), (1,3), ..., (2,3), ...
+
+    Only the first cap+1 documents of a group can be in one of its first `cap` pairs. They are put
+    into one row, and its pairs are made from it: one exchange, and no join of facts with facts."""
+    reps = first_documents_of(facts.filter(eligible()), order, cap + 1)
     if documents is not None:
         reps = reps.join(documents.select("doc_id", "origin"), "doc_id", "left")
     else:
         reps = reps.withColumn("origin", F.lit(None).cast("string"))
     keys = [F.coalesce(k, F.lit("")).alias(k) if k == "phase" else F.col(k) for k in GROUP]
-    fields = ["doc_id", "value_low", "value_high", "quote", "conditions", "source", "phase", "metric", "origin", "nth"]
-    size = F.count("*").over(Window.partitionBy(*GROUP))
-    side = reps.select(*keys, F.struct(*fields).alias("f")).withColumn("n", size).filter("n > 1")
-    # Only the first cap+1 documents can be in one of the first `cap` pairs: group by group at most cap+1 rows meet.
-    side = side.filter(F.col("f.nth") <= cap + 1)
-    a = side.select(*[F.col(k) for k in GROUP], F.col("f").alias("a"), "n")
-    b = side.select(*[F.col(k).alias(f"_{k}") for k in GROUP], F.col("f").alias("b"))
-    same = F.col("a.nth") < F.col("b.nth")
-    for k in GROUP:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    i, j, n = F.col("a.nth"), F.col("b.nth"), F.col("n")
-    number = (i - 1) * n - F.expr("a.nth * (a.nth - 1) div 2") + (j - i)
-    joined = a.join(b, same).filter(number <= cap).filter(comparable("a", "b", compositions))
+    fields = ["nth", "doc_id", "value_low", "value_high", "quote", "conditions", "source", "phase", "metric", "origin"]
+    groups = reps.select(*keys, F.struct(*fields).alias("f")).groupBy(*GROUP).agg(F.sort_array(F.collect_list("f")).alias("fs")).filter(F.size("fs") > 1)
+    n = F.size("fs")
+    # the number of pair (i, j) among the pairs of n documents; with n = cap+1 the first row is full already
+    number = lambda i, j: (i - 1) * n - (i * (i - 1) / 2).cast("int") + (j - i)
+    later = lambda i: F.filter(F.transform(F.sequence(i + 1, n), lambda j: F.struct(i.alias("i"), j.alias("j"))), lambda p: number(p["i"], p["j"]) <= cap)
+    made = groups.withColumn("p", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), later))))
+    joined = made.select(*GROUP, F.element_at("fs", F.col("p.i")).alias("a"), F.element_at("fs", F.col("p.j")).alias("b")).filter(comparable("a", "b", compositions))
     va = (F.coalesce("a.value_low", "a.value_high") + F.coalesce("a.value_high", "a.value_low")) / 2
     vb = (F.coalesce("b.value_low", "b.value_high") + F.coalesce("b.value_high", "b.value_low")) / 2
     gap = F.abs(va - vb) / F.coalesce(F.nullif(F.greatest(F.abs(va), F.abs(vb)), F.lit(0.0)), F.lit(1.0))
@@ -101,13 +101,21 @@ def relations_of(relations: DataFrame, doc_ids: DataFrame, limit: int = 300) ->
 
 
 def grouped(relations: DataFrame, confidences: DataFrame) -> DataFrame:
-    """Per (rel, entity, metric, phase, unit) the number of relations, of documents at
-    either end, of values on one side only, and the mean confidence of the documents."""
-    ends = relations.select("rel", "entity", "metric", "phase", "unit", F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    docs = ends.join(confidences, "doc_id", "left").groupBy("rel", "entity", "metric", "phase", "unit").agg(F.count("*").alias("n_docs"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
-    sides = relations.groupBy("rel", "entity", "metric", "phase", "unit").agg(F.count("*").alias("n"), F.collect_set("val_a").alias("a"), F.collect_set("val_b").alias("b"))
-    out = sides.join(docs, ["rel", "entity", "metric", "phase", "unit"])
-    return out.select("rel", "entity", "metric", "phase", "unit", "n", "n_docs", "mean_confidence", F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
+    """Per (rel, entity, metric, phase, unit) the number of relations, of documents at
+    either end, of values on one side only, and the mean confidence of the documents. Pairs are
+    aggregated once; a group has at most 41 documents, which then meet their confidences."""
+    keys = ["rel", "entity", "metric", "phase", "unit"]
+    one = relations.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_set("val_a").alias("a"), F.collect_set("val_b").alias("b"), F.collect_set("doc_a").alias("da"), F.collect_set("doc_b").alias("db"))
+    docs = F.array_union("da", "db")
+    rows = one.select(*keys, "n", F.size(docs).cast("long").alias("n_docs"), F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.explode(docs).alias("doc_id"))
+    out = rows.join(confidences, "doc_id", "left").groupBy(*keys, "n", "n_docs", "only_a", "shared").agg(F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return out.select(*keys, "n", "n_docs", "mean_confidence", "only_a", "shared")
+
+
+def contradictions(relations: DataFrame, limit: int = 50) -> DataFrame:
+    """Disagreements by kind and entity."""
+    rows = relations.filter("rel = 'CONTRADICTS'")
+    return rows.orderBy("kind", "entity", "metric", "phase", "unit", "doc_a", "doc_b").limit(limit)
 
 
 def mean_confidence(facts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def span_distance(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -13,8 +14,8 @@ def span_distance(a_start: Column, a_end: Column, b_start: Column, b_end: Column
 
 def nearest(values: DataFrame, mentions: DataFrame, group: str, tier: Column | None = None) -> DataFrame:
     """For every value (group, vid, v_start, v_end) its nearest mention (group, mid, m_start,
-    m_end): lowest tier, then distance, then position. One aggregate over the pairs of a group;
-    groups are sentences, which are short."""
+    m_end): lowest tier, then distance, then position. One aggregate over the pairs of a group:
+    for groups that are short, as sentences are. Points of long groups: `nearest_points`."""
     rows = values.join(mentions, group)
     gap = span_distance(F.col("v_start"), F.col("v_end"), F.col("m_start"), F.col("m_end"))
     best = F.min(F.struct((tier if tier is not None else F.lit(0)).alias("tier"), gap.alias("gap"), F.col("m_start"), F.col("mid")))
@@ -22,6 +23,24 @@ def nearest(values: DataFrame, mentions: DataFrame, group: str, tier: Column | N
     return out.select(group, "vid", F.col("b.mid").alias("mid"), F.col("b.gap").alias("gap"))
 
 
+def nearest_points(values: DataFrame, mentions: DataFrame, group: str) -> DataFrame:
+    """For every value (group, vid, v_at) the nearest mention (group, mid, m_at): by distance,
+    then the earlier, then the smaller mid. No pairs: both sides stand in one line of their group,
+    and each value sees the last mention up to it and the first from it on. Values of a group
+    without mentions are left out."""
+    points = mentions.groupBy(group, F.col("m_at").alias("at")).agg(F.min("mid").alias("mid"))
+    seen = F.struct("at", "mid")
+    nothing = F.lit(None).cast(T.StructType([T.StructField("at", points.schema["at"].dataType), T.StructField("mid", points.schema["mid"].dataType)]))
+    vid = F.lit(None).cast(values.schema["vid"].dataType)
+    line = values.select(group, F.col("v_at").alias("at"), "vid", nothing.alias("m"), F.lit(True).alias("own")).unionByName(points.select(group, "at", vid.alias("vid"), seen.alias("m"), F.lit(False).alias("own")))
+    up = Window.partitionBy(group).orderBy("at", "own").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(group).orderBy(F.col("at").desc(), "own").rowsBetween(Window.unboundedPreceding, 0)
+    both = line.select(group, "vid", "at", "own", F.last("m", ignorenulls=True).over(up).alias("before"), F.last("m", ignorenulls=True).over(down).alias("after")).filter("own")
+    near = lambda m: F.when(m.isNotNull(), F.struct(F.abs(F.col("at") - m["at"]).alias("gap"), m["at"].alias("at"), m["mid"].alias("mid")))
+    best = both.select(group, "vid", F.least(near(F.col("before")), near(F.col("after"))).alias("b")).filter("b is not null")
+    return best.select(group, "vid", F.col("b.mid").alias("mid"), F.col("b.gap").alias("gap"))
+
+
 def last_before(left: DataFrame, right: DataFrame, group: str, at: str, value: str, within: Column | None = None) -> DataFrame:
     """An as-of join without pairs: both sides in one sorted line per group, the last right value
     carried on to the left rows. `left` has (group, lid, at), `right` (group, at, value)."""

@@ -200,6 +200,22 @@ def relation_group_consensus(s, d):
     return out.select("rel", "entity", "metric", "phase", "unit", "n", "n_docs")
 
 
+@query("""SELECT r.rel, r.entity, r.metric, r.phase, r.unit, r.n, m.n_docs, round(m.c, 6) AS mean_confidence, r.only_a, r.shared FROM
+  (SELECT rel, entity, metric, phase, unit, count(*) AS n, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS BIGINT) AS only_a, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS BIGINT) AS shared
+   FROM (SELECT rel, entity, metric, phase, unit, list(DISTINCT val_a) AS a, list(DISTINCT val_b) AS b FROM rel GROUP BY ALL) JOIN rel USING (rel, entity, metric, phase, unit) GROUP BY ALL) r
+  JOIN (SELECT rel, entity, metric, phase, unit, count(*) AS n_docs, avg(c) AS c FROM (SELECT DISTINCT rel, entity, metric, phase, unit, unnest([doc_a, doc_b]) AS doc_id FROM rel) LEFT JOIN (SELECT doc_id, avg(confidence) AS c FROM parameter GROUP BY 1) USING (doc_id) GROUP BY ALL) m
+  USING (rel, entity, metric, phase, unit)""", PAIRS_SQL.strip())
+def relation_group_details(s, d):
+    """With confidences and the values of one side only"""
+    return relations.grouped(_relations(s, d), relations.mean_confidence(_par(s, d)))
+
+
+@query("SELECT kind, entity, metric, phase, unit, doc_a, doc_b, val_a, val_b FROM (SELECT *, 'method_vs_method' AS kind FROM rel WHERE rel='CONTRADICTS') ORDER BY kind, entity, metric, phase, unit, doc_a, doc_b LIMIT 50", PAIRS_SQL.strip())
+def contradictions_by_kind(s, d):
+    """T07"""
+    return relations.contradictions(_relations(s, d), 50).select("kind", "entity", "metric", "phase", "unit", "doc_a", "doc_b", "val_a", "val_b")
+
+
 @query("""SELECT rel, metric, entity, phase, unit, doc_a, doc_b FROM rel WHERE doc_a IN (SELECT doc_id FROM document WHERE kg_value=1) OR doc_b IN (SELECT doc_id FROM document WHERE kg_value=1)
   ORDER BY rel, doc_a, doc_b, metric, entity, phase, unit LIMIT 300""", PAIRS_SQL.strip())
 def relations_touching(s, d):
@@ -581,9 +597,9 @@ def asof_left_phase(s, d):
 def nearest_span_join(s, d):
     """J21 J24 M06"""
     e = ad.table(s, d, "events").withColumn("at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000))
-    v = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("vid"), F.col("at").alias("v_start"), F.col("at").alias("v_end"))
-    m = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("mid"), F.col("at").alias("m_start"), F.col("at").alias("m_end"))
-    return spans.nearest(v, m, "user_id").select("vid", "mid", F.col("gap").cast("long").alias("gap"))
+    v = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("vid"), F.col("at").alias("v_at"))
+    m = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("mid"), F.col("at").alias("m_at"))
+    return spans.nearest_points(v, m, "user_id").select("vid", "mid", F.col("gap").cast("long").alias("gap"))
 
 
 @query("SELECT DISTINCT conv_id, u.text AS u, length(a.text) AS a_size FROM (SELECT DISTINCT conv_id, text FROM conversations WHERE role='system') u JOIN (SELECT DISTINCT conv_id, text FROM conversations WHERE role='assistant') a USING (conv_id)", plain=True)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.operators import facts, lifecycle
 from factloom.plans import adapters as ad
 from factloom.plans import extraction, search
@@ -18,8 +18,8 @@ from factloom.streaming import pipelines
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder for a stream's state and output: in the cluster's shared one, if it names one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="factloom-")
+    """A folder for a stream's state and output: in the cluster's shared one."""
+    root = session.shared_root(spark)
     return f"{root.rstrip('/')}/factloom/stream-{uuid.uuid4().hex}"
 
 
@@ -79,7 +79,7 @@ def stream_latest_per_key(s, d):
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     folder = _folder(s)
     pipelines.drain(stream, f"{folder}/state", sink=pipelines.upsert_into(f"{folder}/out", ["user_id"], ["ts", "event_id"]))
-    return s.read.schema(schema).parquet(f"{folder}/out/v={pipelines.versions(s, f'{folder}/out')[-1]}").select("user_id", "event_id")
+    return pipelines.current(s, f"{folder}/out", schema).select("user_id", "event_id")
 
 
 @query("SELECT pkey, count(*) AS n FROM parameter GROUP BY 1 HAVING count(*)>1")

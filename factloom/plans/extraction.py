@@ -1,37 +1,131 @@
-"""From texts to facts, edges and the graph's tables."""
+"""From texts to facts, edges and the graph's tables (E11-E12, F35, H05-H06, K01-K08, S10, J17,
+J21-J25, R01).
+
+Python reads a sentence once: its values, mentions and verbs go side by side into its row. All that
+follows (whom a value belongs to, which way an edge points) is decided on those arrays in the
+JVM, row by row; only what holds for a whole document is grouped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import asdict
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions import gazetteer, grammar, text
 from factloom.operators import facts as ops
 from factloom.operators import graphs, lifecycle
+from factloom.schemas import MENTION, VALUE
+
+# --- fixed values ---------------------------------------------------------------
+
+#: stems of verbs and nouns that say that a process takes or gives a material
+TAKES = ("выщелачива", "плавк", "плавл", "флотаци", "обраб", "раствор", "экстрак", "перераб", "загруж", "подаю", "подают", "подач")
+GIVES = ("получа", "образу", "образо", "выход", "извлека", "производ", "выпуск", "выплавля")
+#: what comes out of smelting and roasting, and is never taken in
+OUTPUTS = ("штейн", "шлак", "файнштейн", "огарок", "кек", "возгон")
+#: words before a value that make it no part of a composition
+QUALIFIERS = ("до", "более", "менее", "на", "около", "порядка", "свыше")
+QUALIFIER_STEMS = ("потер", "выход")
+#: processes by domain, for documents that name none
+PYRO = ("плавка", "взвешенная плавка", "конвертирование", "обжиг", "обеднение шлаков")
+BENEFICIATION = ("флотация", "магнитная сепарация", "гравитационное обогащение", "измельчение", "флотоконцентрирование")
+OTHER_DOMAIN = "гидрометаллургия"
+
+VERB = T.StructType([T.StructField("span_start", T.IntegerType()), T.StructField("span_end", T.IntegerType()), T.StructField("type", T.StringType())])
+
+
+def verbs_of(sentence: str) -> list[dict]:
+    """Where a sentence says that something is taken or given."""
+    out = []
+    low = sentence.lower()
+    for kind, stems in (("PRODUCES_OUTPUT", GIVES), ("USES_MATERIAL", TAKES)):
+        for stem in stems:
+            at = low.find(stem)
+            while at >= 0:
+                out.append({"span_start": at, "span_end": at + len(stem), "type": kind})
+                at = low.find(stem, at + 1)
+    return sorted(out, key=lambda v: (v["span_start"], v["type"]))
+
+
+def reader(entries: list[gazetteer.Entry]):
+    """One pass of Python over sentences: a struct of values, mentions and verbs, in Arrow batches."""
+    matcher = gazetteer.Matcher(entries)
+    kind = T.StructType([T.StructField("values", T.ArrayType(VALUE)), T.StructField("mentions", T.ArrayType(MENTION)), T.StructField("verbs", T.ArrayType(VERB))])
+
+    @F.pandas_udf(kind)
+    def read(sentence: pd.Series) -> pd.DataFrame:
+        rows = [([asdict(v) for v in grammar.parse(t)], matcher.match(t), verbs_of(t or "")) for t in sentence]
+        return pd.DataFrame(rows, columns=["values", "mentions", "verbs"])
+
+    return read
 
 
 def sentence_facts(documents: DataFrame, entries: list[gazetteer.Entry], guard: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sentences with their values and mentions: the one place where Python reads the text. Noise
-    is dropped before, in the JVM."""
+    """(doc_id, sent_no, sent, values, mentions, verbs): sentences that hold a value or a mention.
+    Noise is dropped before, in the JVM."""
     rows = text.sentence_rows(documents, id_col, text_col)
     if guard:
         rows = rows.filter(text.noise(F.col("sent")).isNull())
-    return rows.withColumn("values", grammar.values_udf()("sent")).withColumn("mentions", gazetteer.mentions_udf(entries)("sent"))
+    read = rows.withColumn("read", reader(entries)("sent")).select("doc_id", "sent_no", "sent", "read.values", "read.mentions", "read.verbs")
+    return read.filter((F.size("values") > 0) | (F.size("mentions") > 0))
+
+
+def _of(kind: str) -> Column:
+    return F.filter("mentions", lambda m: m["type"] == kind)
+
+
+def _canons(kind: str) -> Column:
+    return F.array_distinct(F.transform(_of(kind), lambda m: m["canon"]))
+
+
+def _gap(a: Column, b: Column) -> Column:
+    return F.greatest(F.lit(0), a["span_start"] - b["span_end"], b["span_start"] - a["span_end"])
+
+
+def intruder(value: Column, sentence: Column) -> Column:
+    """a value that is no part of a composition: a bound, one with a qualifier before it, or one
+    of something (`5 % которого`)."""
+    left = F.substring(sentence, 1, value["span_start"])
+    word = F.lower(F.regexp_extract(left, r"(?U)([\p{L}]+)\s*$", 1))
+    stem = F.exists(F.array(*map(F.lit, QUALIFIER_STEMS)), lambda x: F.startswith(word, x))
+    right = F.substring(sentence, value["span_end"] + 1, F.lit(20))
+    return (F.coalesce(value["comparator"], F.lit("=")) != "=") | word.isin(*QUALIFIERS) | stem | right.rlike(r"(?iU)^\s*(?:%[\p{L}.]*)?\s*котор")
+
+
+def foreign_between(value: Column, mention: Column) -> Column:
+    """Does another value stand between a value and a mention?"""
+    lo, hi = F.least(value["span_end"], mention["span_end"]), F.greatest(value["span_start"], mention["span_start"])
+    other = lambda g: (g["span_start"] != value["span_start"]) & (lo <= g["span_start"]) & (g["span_end"] <= hi)
+    return F.exists("values", other)
+
+
+def is_output(mention: Column) -> Column:
+    """H06."""
+    return F.translate(F.lower(mention["canon"]), "ё", "е").isin(*OUTPUTS)
 
 
 def facts_of(sentences: DataFrame) -> DataFrame:
-    """A fact for each value, its entity the material that the grammar read, else the nearest
-    mention: materials before processes and equipment, then by distance. The mentions of a sentence
-    are ranked in the row, so nothing is shuffled."""
+    """A fact for each value, its entity the material that the grammar read, else the
+    nearest mention without another value between: materials before processes and equipment, then
+    by distance. Values of compositions that are none are left out where the sentence lists as many
+    values as materials. The mentions of a sentence are ranked in the row, so nothing is shuffled."""
     v = F.explode("values").alias("v")
-    rows = sentences.select("doc_id", "sent_no", "sent", "mentions", v)
-    gap = lambda m: F.greatest(F.lit(0), m["span_start"] - F.col("v.span_end"), F.col("v.span_start") - m["span_end"])
+    rows = sentences.select("doc_id", "sent_no", "sent", "values", "mentions", v)
+    value = F.col("v")
+    listed = (F.size("values") >= 2) & (F.size("values") == F.size(F.filter("mentions", lambda m: m["type"].isin("Material", "Phase"))))
+    rows = rows.filter(~(listed & F.coalesce(F.col("v.metric").isin("содержание", "концентрация"), F.lit(False)) & intruder(value, F.col("sent"))))
     tier = lambda m: F.when(m["type"] == "Material", 0).when(m["type"] == "Phase", 2).otherwise(1)
-    usable = F.filter("mentions", lambda m: m["type"].isin("Material", "Process", "Equipment", "Phase"))
-    ranked = F.array_min(F.transform(usable, lambda m: F.struct(tier(m).alias("tier"), gap(m).alias("gap"), m["span_start"].alias("at"), m["canon"].alias("canon"), m["type"].alias("type"))))
-    conditions = F.array_join(F.array_sort(F.transform("v.conditions", lambda c: F.concat_ws(" ", c["kind"], c["value"].cast("string"), c["unit_canon"]))), ", ")
-    # The last phase before the value is its phase, where the grammar read none
-    before = F.filter("mentions", lambda m: (m["type"] == "Phase") & (m["span_end"] <= F.col("v.span_start")))
+    usable = F.filter("mentions", lambda m: m["type"].isin("Material", "Process", "Equipment", "Phase") & ~foreign_between(value, m))
+    ranked = F.array_min(F.transform(usable, lambda m: F.struct(tier(m).alias("tier"), _gap(m, value).alias("gap"), m["span_start"].alias("at"), m["canon"].alias("canon"), m["type"].alias("type"))))
+    measured = F.transform("v.conditions", lambda c: F.concat_ws(" ", c["kind"], c["value"].cast("string"), c["unit_canon"]))
+    conditions = F.array_join(F.array_distinct(F.concat(F.array_sort(measured), F.array_sort(_canons("Condition")))), ", ")
+    # The last phase of the clause before the value is its phase, where the grammar read none
+    clause = F.length(F.regexp_extract(F.substring(F.col("sent"), F.lit(1), F.col("v.span_start")), r"(?s)^(.*[,;:—(])", 1))
+    before = F.filter("mentions", lambda m: (m["type"] == "Phase") & (m["span_end"] <= F.col("v.span_start")) & (m["span_start"] >= clause))
     phase = F.coalesce("v.phase", F.get(before, F.size(before) - 1)["canon"])
     out = rows.withColumn("near", ranked).select(
         "doc_id",
@@ -48,15 +142,75 @@ def facts_of(sentences: DataFrame) -> DataFrame:
         F.lit("grammar").alias("source"),
         text.quote_window(F.col("sent"), F.col("v.span_start"), F.col("v.span_end")).alias("quote"),
     )
+    out = out.withColumn("phase", F.when(F.col("label") != "Phase", F.col("phase")))
     return out.filter("canon is not null")
 
 
-def edges_of(sentences: DataFrame) -> DataFrame:
-    """Processes with the materials they use and the equipment they run in, per sentence."""
-    part = lambda kind: F.array_distinct(F.transform(F.filter("mentions", lambda m: m["type"] == kind), lambda m: m["canon"]))
-    rows = sentences.select("doc_id", part("Process").alias("p"), part("Material").alias("m"), part("Equipment").alias("e")).filter(F.size("p") > 0)
-    link = lambda name, other: rows.select("doc_id", F.explode("p").alias("src"), other).select("src", F.explode(other).alias("dst"), F.lit(name).alias("type"), "doc_id", F.lit("grammar").alias("source"))
-    return graphs.merged_edges(link("USES_MATERIAL", "m").unionByName(link("OPERATES_AT_CONDITION", "e")))
+def _edges(rows: DataFrame, src: str, src_label: str, dst: str, dst_label: str | Column, kind: str | Column, source: str = "pattern") -> DataFrame:
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    return rows.select(F.col(src).cast("string").alias("src"), F.lit(src_label).alias("src_label"), F.col(dst).alias("dst"), as_column(dst_label).alias("dst_label"), as_column(kind).alias("type"), "doc_id", F.lit(source).alias("source"))
+
+
+def sentence_edges(sentences: DataFrame) -> DataFrame:
+    """What a sentence says of its processes. A material belongs to the nearest process;
+    the nearest verb says whether it is taken or given; a product of smelting is given if any verb
+    says so, and never taken. Equipment and conditions belong to every process."""
+    rows = sentences.filter(F.exists("mentions", lambda m: m["type"] == "Process"))
+    processes = _of("Process")
+    nearest = lambda m, others: F.array_min(F.transform(others, lambda o: F.struct(_gap(m, o).alias("gap"), o["span_start"].alias("at"), o.alias("o"))))["o"]
+    gives = F.exists("verbs", lambda x: x["type"] == "PRODUCES_OUTPUT")
+    materials = F.filter("mentions", lambda m: m["type"].isin("Material", "Phase"))
+    made = F.transform(
+        materials,
+        lambda m: F.struct(
+            nearest(m, processes)["canon"].alias("src"),
+            m["canon"].alias("dst"),
+            m["type"].alias("label"),
+            F.when(is_output(m), F.when(gives, "PRODUCES_OUTPUT")).otherwise(nearest(m, F.col("verbs"))["type"]).alias("type"),
+        ),
+    )
+    linked = rows.select("doc_id", F.explode(made).alias("m")).select("doc_id", "m.*").filter("type is not null")
+    out = _edges(linked, "src", "Process", "dst", F.col("label"), F.col("type"))
+    for kind in ("Equipment", "Condition"):
+        pairs = rows.select("doc_id", F.explode(_canons("Process")).alias("p"), _canons(kind).alias("others")).select("doc_id", "p", F.explode("others").alias("o"))
+        out = out.unionByName(_edges(pairs, "p", "Process", "o", kind, "OPERATES_AT_CONDITION"))
+    return out
+
+
+def document_domains(sentences: DataFrame) -> DataFrame:
+    """(doc_id, domain): the domains that a document names, else those of its processes."""
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("names"))))
+    per = sentences.select("doc_id", _canons("Domain").alias("d"), _canons("Process").alias("p"))
+    domain = lambda p: F.when(p.isin(*PYRO), "пирометаллургия").when(p.isin(*BENEFICIATION), "обогащение").otherwise(OTHER_DOMAIN)
+    named = per.select("doc_id", F.col("d").alias("names")).groupBy("doc_id").agg(kinds.alias("named"))
+    told = per.select("doc_id", F.transform("p", domain).alias("names")).groupBy("doc_id").agg(kinds.alias("told"))
+    both = named.join(told, "doc_id")
+    return both.select("doc_id", F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(F.col("told"))).alias("domain"))
+
+
+def document_edges(documents: DataFrame, sentences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """AUTHORED_BY, IN_DOMAIN (every author of a document with every domain of it) and SHOWED."""
+    authors = documents.select(F.col(id_col).alias("doc_id"), F.explode(text.authors(F.col(text_col))).alias("author")).filter(~text.junk_author(F.col("author"))).distinct()
+    claims = text.sentence_rows(documents, id_col, text_col).select("doc_id", text.claims(F.col("sent")).alias("claim")).filter("claim is not null").distinct()
+    areas = authors.join(document_domains(sentences), "doc_id")
+    out = _edges(authors, "doc_id", "Document", "author", "Author", "AUTHORED_BY", "regex")
+    return out.unionByName(_edges(areas, "author", "Author", "domain", "Domain", "IN_DOMAIN", "regex")).unionByName(_edges(claims, "doc_id", "Document", "claim", "Claim", "SHOWED", "regex"))
+
+
+def edges_of(sentences: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """All edges, each (src, dst, type, doc_id) once."""
+    rows = sentence_edges(sentences)
+    if documents is not None:
+        rows = rows.unionByName(document_edges(documents, sentences))
+    return graphs.merged_edges(rows)
+
+
+def mention_nodes(sentences: DataFrame) -> DataFrame:
+    """(doc_id, label, canon): facilities, conditions and domains that a document names."""
+    found = F.explode(F.filter("mentions", lambda m: m["type"].isin("Facility", "Condition", "Domain"))).alias("m")
+    named = sentences.select("doc_id", found).select("doc_id", F.col("m.type").alias("label"), F.col("m.canon").alias("canon"))
+    areas = document_domains(sentences).select("doc_id", F.lit("Domain").alias("label"), F.col("domain").alias("canon"))
+    return named.unionByName(areas).distinct()
 
 
 def parameters(facts: DataFrame, extracted_at) -> DataFrame:

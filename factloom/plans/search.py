@@ -10,16 +10,21 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import grammar
+from factloom.functions import display, grammar
+from factloom.operators import coverage, graphs, relations, retrieval
 from factloom.operators import facts as ops
-from factloom.operators import relations, retrieval
 
 _LAST_YEARS = re.compile(r"(?:за|for|over)?\s*(?:последн\w+|the last|last)\s+(\d{1,2})\s+(?:лет|год\w*|years?)", re.I)
 _SINCE = re.compile(r"(?:\bс|\bsince|\bfrom)\s+((?:19|20)\d\d)", re.I)
 _EXPERT = re.compile(r"кто\b|эксперт|специалист|автор|who\b|expert|author", re.I)
+#: words of a query -> a ready question to the graph, asked besides the tracks (fixed values)
+DESALINATION = ("обессоливан", "сульфат", "desalinat", "sulfate", "sulphate")
+CATHOLYTE = ("католит", "электроэкстракц", "catholyte", "electrowinning", "electro-winning")
+SPREAD, SPREAD_PHASES = ("распределени", "distribution"), ("штейн", "шлак", "matte", "slag")
+KINDS_SHOWN = {"Process": "процесс", "Material": "материал", "Equipment": "оборудование", "Facility": "объект", "Phase": "фаза", "Parameter": "параметр", "Document": "документ", "Publication": "публикация"}
 _LIST = re.compile(r"список|перечисл|какие|list|which", re.I)
 
 
@@ -37,13 +42,16 @@ def intent_of(query: str, numbers: int) -> str:
 
 @dataclass
 class Corpus:
-    """The tables a search reads. `semantic` gives (doc_id, score) for a query, if there is one."""
+    """The tables a search reads. `semantic` gives (doc_id, score) for a query, if there is one;
+    `shortcuts` gives, by name, a function of the query's numbers to facts of a ready question."""
 
     documents: DataFrame
     parameters: DataFrame
     authors: DataFrame | None = None
     index: DataFrame | None = None
     semantic: object | None = None
+    edges: DataFrame | None = None
+    shortcuts: dict | None = None
 
 
 @dataclass
@@ -83,6 +91,98 @@ def fact_track(corpus: Corpus, query: str, role: str, nf: ops.Filters | None, en
     return out
 
 
+def shortcut_names(query: str) -> list[str]:
+    """Q06: the ready questions that a query's words call for."""
+    low = query.lower()
+    out = []
+    if any(w in low for w in DESALINATION):
+        out.append("desalination")
+    if any(w in low for w in CATHOLYTE):
+        out.append("catholyte")
+    if any(w in low for w in SPREAD) and any(w in low for w in SPREAD_PHASES):
+        out.append("pgm")
+    return out
+
+
+def sulfate_limit(numbers: list, default: float = 300.0) -> float:
+    """Q06: the first upper bound in mg/L that a query names."""
+    return next((v.value_high for v in numbers if v.unit_canon == "mg_L" and v.value_high is not None), default)
+
+
+def shortcut_facts(corpus: Corpus, query: str, seen: DataFrame, nf: ops.Filters | None) -> DataFrame | None:
+    """Q06: facts of the ready questions, within the role's view and the filters, marked `ref`."""
+    numbers, out = grammar.parse(query), None
+    for name in shortcut_names(query):
+        make = (corpus.shortcuts or {}).get(name)
+        if make is None:
+            continue
+        rows = make(numbers).drop("year", "geo").join(seen.select("doc_id", "year", "geo"), "doc_id").withColumn("ref", F.lit(True))
+        if nf:
+            rows = rows.filter(ops.fact_matches(nf))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def expert_track(corpus: Corpus, numeric: list, semantic: list, most: int = 15, limit: int = 25) -> list[dict]:
+    """Authors of the documents that numbers led to; if those have none, of all found."""
+    if corpus.authors is None:
+        return []
+    kind = corpus.documents.schema["doc_id"].dataType.simpleString()
+    for ids in (numeric, numeric + semantic):
+        if not ids:
+            continue
+        scope = corpus.documents.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], f"doc_id {kind}")
+        found = coverage.topic_experts(corpus.authors, scope, most, limit).select("author", "docs").collect()
+        if found:
+            return [r.asDict() for r in found]
+    return []
+
+
+def adjacent_topics(corpus: Corpus, entities: list[str], limit: int = 12) -> list[dict]:
+    """Neighbours of the query's entities in the graph."""
+    if corpus.edges is None or not entities:
+        return []
+    start = corpus.edges.sparkSession.createDataFrame([(e,) for e in entities], "node string")
+    return [{"canon": r.node} for r in graphs.adjacent(corpus.edges, start, F.lit(True), limit).collect()]
+
+
+def recommendations(corpus: Corpus, result: Result, entities: list[str], most: int = 8) -> dict:
+    """Q04: documents that only likeness found, neighbouring topics, and experts."""
+    similar = [d for d in result.docs if d["source"] == "semantic"][:most]
+    numeric = [f["doc_id"] for f in result.facts] + [d["doc_id"] for d in result.docs if d["source"] != "semantic"]
+    return {"similar_cases": similar, "adjacent_topics": adjacent_topics(corpus, entities), "experts": expert_track(corpus, numeric, [d["doc_id"] for d in similar])}
+
+
+def recommendations_text(rec: dict) -> str:
+    """Q04 as Markdown; nothing to recommend is nothing."""
+    lines: list[str] = []
+    if rec["similar_cases"]:
+        lines += ["**Похожие документы:**", "", *[f"- [«{c.get('name') or c['doc_id']}» ({c.get('year') or display.NO_YEAR})](/sources?doc={c['doc_id']})" for c in rec["similar_cases"][:8]], ""]
+    if rec["adjacent_topics"]:
+        lines += ["**Смежные темы:**", "", ", ".join(f"{t['canon']} ({KINDS_SHOWN.get(t.get('type'), 'тема')})" for t in rec["adjacent_topics"][:12]), ""]
+    if rec["experts"]:
+        lines += ["**Эксперты по теме**:", "", *[f"- {e['author']} — публикаций: {e['docs']}" for e in rec["experts"][:8]], ""]
+    return "\n".join(["### Рекомендации", "", *lines]) if lines else ""
+
+
+def composed(corpus: Corpus, result: Result, previews: DataFrame | None = None, most: int = 15) -> str:
+    """Q07: the answer in Markdown: its documents, at most `most`, and the counts. Facts and experts
+    are lists of their own."""
+    lines = [f"## Результаты поиска: {result.query}", ""]
+    if not result.facts:
+        lines += ["_Числовых фактов по запросу не найдено._", ""]
+    shown = [d["doc_id"] for d in result.docs[:most]]
+    if shown:
+        rows = corpus.documents.filter(F.col("doc_id").isin(shown)).select("doc_id", F.col("name") if "name" in corpus.documents.columns else F.lit(None).cast("string").alias("name"), "year")
+        rows = rows.join(previews.select("doc_id", "preview"), "doc_id", "left") if previews is not None else rows.withColumn("preview", F.lit(None).cast("string"))
+        line = dict(rows.select("doc_id", display.preview_line(F.col("doc_id"), F.col("name"), F.col("year"), F.col("preview")).alias("line")).collect())
+        lines += ["### Релевантные документы", "", *[line.get(i, f"- {i}") for i in shown], ""]
+    lines.append(f"Документов в выдаче: {len(result.docs)}.")
+    if result.hidden_count:
+        lines.append(f"Скрыто по правам доступа: {result.hidden_count}.")
+    return "\n".join(lines)
+
+
 def search(corpus: Corpus, query: str, role: str = "researcher", filters: dict | None = None, entities: list[str] | None = None, now: int = 2024, most_facts: int = 40, most_docs: int = 24) -> Result:
     """Q01."""
     numbers = grammar.parse(query)
@@ -90,10 +190,16 @@ def search(corpus: Corpus, query: str, role: str = "researcher", filters: dict |
     result = Result(query, intent_of(query, len(numbers)), nf)
     seen = ops.visible(corpus.documents, role)
     track = fact_track(corpus, query, role, nf, entities or [])
+    ready = shortcut_facts(corpus, query, seen, nf)
     semantic = corpus.semantic(query) if corpus.semantic else None
     target = ops.Wanted(None, None, numbers[0].value_low, numbers[0].value_high).point() if numbers else None
     if track is not None:
-        rows = track.withColumns({"ref": F.lit(False), "bad_quote": F.lit(0)}).filter(ops.plausible("display"))
+        track = track.withColumn("ref", F.lit(False))
+    if ready is not None:
+        ready = ready.withColumns({"in_range": F.lit(False), "dist": F.lit(None).cast("double")})
+        track = ready if track is None else track.unionByName(ready, allowMissingColumns=True)
+    if track is not None:
+        rows = track.withColumn("bad_quote", F.lit(0)).filter(ops.plausible("display"))
         order = [*ops.rank_key(target), F.col("doc_id"), F.col("pkey")]
         result.facts = [r.asDict() for r in ops.deduplicated(rows, order).orderBy(*order).limit(most_facts).collect()]
     hits: list[dict] = [{"doc_id": d, "source": "numeric", "score": None} for d in dict.fromkeys(f["doc_id"] for f in result.facts)]
@@ -113,14 +219,26 @@ def search(corpus: Corpus, query: str, role: str = "researcher", filters: dict |
         rows = retrieval.keyword_search(corpus.index.join(seen.select("doc_id"), "doc_id", "left_semi"), n, terms)
         hits += [{"doc_id": r.doc_id, "source": "keyword", "score": r.score} for r in rows.collect() if r.doc_id not in known]
     result.docs = hits[:most_docs]
-    result.hidden_count = ops.hidden_count(corpus.documents, role).first()[0]
-    if result.intent == "expert" and corpus.authors is not None and result.docs:
-        scope = corpus.documents.sparkSession.createDataFrame([(h["doc_id"],) for h in result.docs], f"doc_id {corpus.documents.schema['doc_id'].dataType.simpleString()}")
-        own = corpus.authors.join(scope, "doc_id", "left_semi").groupBy("author").agg(F.countDistinct("doc_id").alias("docs"))
-        result.experts = [r.asDict() for r in own.orderBy(F.col("docs").desc(), "author").limit(25).collect()]
+    result.hidden_count = hidden_hits(corpus, query, role, nf, entities or [], semantic)
+    if result.intent == "expert":
+        result.experts = expert_track(corpus, [h["doc_id"] for h in hits if h["source"] != "semantic"], [h["doc_id"] for h in hits if h["source"] == "semantic"])
     return result
 
 
+def hidden_hits(corpus: Corpus, query: str, role: str, nf: ops.Filters | None, entities: list[str], semantic: DataFrame | None, most: int = 50) -> int:
+    """how many documents the same search would show to a role that sees all, but not to this one:
+    of the documents in its tracks, those above the role's levels."""
+    found = fact_track(corpus, query, ops.HIGHEST_ROLE, nf, entities, most)
+    ids = None if found is None else found.select("doc_id")
+    if semantic is not None:
+        near = semantic.filter(F.col("score") >= 0.35).orderBy(F.col("score").desc(), "doc_id").limit(most).select("doc_id")
+        ids = near if ids is None else ids.unionByName(near)
+    if ids is None:
+        return 0
+    rows = corpus.documents.join(ids.distinct(), "doc_id", "left_semi")
+    return ops.hidden_count(rows, role).first()[0]
+
+
 def review(corpus: Corpus, query: str, role: str = "researcher", filters: dict | None = None, entities: list[str] | None = None, now: int = 2024) -> str:
     """Q02: methods, regimes, agreement, disagreement and gaps, as Markdown."""
     result = search(corpus, query, role, filters, entities, now)
@@ -129,20 +247,23 @@ def review(corpus: Corpus, query: str, role: str = "researcher", filters: dict |
     lines += [f"- {f['canon']}, {f['metric']}: {value_text(f)}" for f in result.facts] or ["- none"]
     if ids:
         scope = corpus.parameters.filter(F.col("doc_id").isin(ids))
-        found = [r.asDict() for r in relations.pairs(scope).limit(100).collect()]
+        nth = F.row_number().over(Window.partitionBy("rel").orderBy("entity", "metric", "phase", "unit", "doc_a", "doc_b"))
+        found = relations.pairs(scope).withColumn("nth", nth).filter("nth <= 100").orderBy("rel", "nth").collect()
         for title, rel in (("Agreement", "VALIDATED_BY"), ("Disagreement", "CONTRADICTS")):
-            own = [r for r in found if r["rel"] == rel]
+            own = [r.asDict() for r in found if r.rel == rel]
             lines += ["", f"## {title}"] + ([f"- {r['entity']}, {r['metric']}: {r['val_a']:g} and {r['val_b']:g}" for r in own] or ["- none"])
     gaps = [f for f in result.facts if not f.get("quote")]
     lines += ["", "## Gaps"] + ([f"- {f['canon']}: no quote" for f in gaps] or ["- none"])
     return "\n".join(lines)
 
 
-def recommend(corpus: Corpus, query: str, role: str = "researcher", filters: dict | None = None, now: int = 2024, most: int = 28) -> dict:
+def recommend(corpus: Corpus, query: str, role: str = "researcher", filters: dict | None = None, entities: list[str] | None = None, now: int = 2024, most: int = 28) -> dict:
     """Without a model the answer is the list of its grounds, and says so."""
-    result = search(corpus, query, role, filters, now=now)
+    result = search(corpus, query, role, filters, entities, now)
     grounds = [f"[{i}] {f['canon']} {value_text(f)}" for i, f in enumerate(result.facts[:most], 1)]
-    return {"answer_md": "\n".join(grounds), "grounded": False, "legend": {i: f["doc_id"] for i, f in enumerate(result.facts[:most], 1)}}
+    rec = recommendations(corpus, result, entities or [])
+    text = "\n".join(grounds + ([recommendations_text(rec)] if any(rec.values()) else []))
+    return {"answer_md": text, "grounded": False, "recommendations": rec, "legend": {i: f["doc_id"] for i, f in enumerate(result.facts[:most], 1)}}
 
 
 def valid_relations(found: list[dict], canons: set[str], text: str) -> list[dict]:

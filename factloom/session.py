@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,3 +40,18 @@ def attach(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH_BYTES, None) in (None, BATCH_DEFAULT):
         spark.conf.set(BATCH_BYTES, "8m")
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines share, as spark.checkpoint.dir names it. A temporary one where
+    none is named and all runs on this machine; on a cluster it must be named."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        context.setCheckpointDir(root)
+    if "://" not in root and not root.startswith("file:"):
+        root = "file://" + os.path.abspath(root)
+    return root.rstrip("/")

@@ -56,27 +56,131 @@ def _markup(content: bytes) -> str:
     return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", text)).split())
 
 
+def _tag(element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _said(block) -> str:
+    return "".join(t.text or "" for t in block.iter() if _tag(t) == "t")
+
+
 def _office(content: bytes) -> str:
-    """Word paragraphs, slides and sheet cells, from the parts of the package."""
+    """Word paragraphs and tables, slides, and sheets, from the parts of the package."""
     import io
     import re
     import zipfile
     from xml.etree import ElementTree
 
-    out = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
-        parts = [n for n in names if n == "word/document.xml"] or sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1])) or [n for n in names if n == "xl/sharedStrings.xml"]
+        numbered = lambda pattern: sorted((n for n in names if re.fullmatch(pattern, n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        sheets = numbered(r"xl/worksheets/sheet\d+\.xml")
+        if sheets:
+            shared = [_said(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _tag(e) == "si"] if "xl/sharedStrings.xml" in names else []
+            return "\n".join(line for n in sheets[:SHEETS] for line in _sheet(z.read(n), shared))
+        parts = [n for n in names if n == "word/document.xml"] or numbered(r"ppt/slides/slide\d+\.xml")
+        out = []
         for name in parts:
-            for block in ElementTree.fromstring(z.read(name)).iter():
-                if block.tag.rpartition("}")[2] in ("p", "si"):
-                    line = "".join(t.text or "" for t in block.iter() if t.tag.rpartition("}")[2] == "t")
-                    if line.strip():
-                        out.append(line)
-    return "\n".join(out)
+            body = ElementTree.fromstring(z.read(name))
+            in_cells = {p for row in body.iter() if _tag(row) == "tr" for p in row.iter() if _tag(p) == "p"}
+            for block in body.iter():
+                if _tag(block) == "tr":
+                    out.append(" | ".join(" ".join(_said(p) for p in cell.iter() if _tag(p) == "p") for cell in block if _tag(cell) == "tc"))
+                elif _tag(block) == "p" and block not in in_cells:
+                    out.append(_said(block))
+        return "\n".join(line for line in out if line.strip(" |"))
 
 
-BUILT_IN = {"txt": _plain, "html": _markup, "rtf": _plain, "zip": _office, "docx": _office, "pptx": _office, "xlsx": _office}
+#: How much of a workbook is read.
+SHEETS, SHEET_ROWS = 8, 60
+
+
+def _sheet(part: bytes, shared: list[str]) -> list[str]:
+    """The rows of a sheet, cells parted by tabs: shared, own and numeric values. A sheet that
+    cannot be read is left out."""
+    from xml.etree import ElementTree
+
+    try:
+        rows = [r for r in ElementTree.fromstring(part).iter() if _tag(r) == "row"][:SHEET_ROWS]
+    except ElementTree.ParseError:
+        return []
+    out = []
+    for row in rows:
+        cells = []
+        for cell in row:
+            value = next((v.text for v in cell if _tag(v) == "v"), None)
+            if cell.get("t") == "s" and value is not None:
+                value = shared[int(value)] if int(value) < len(shared) else ""
+            elif cell.get("t") == "inlineStr":
+                value = _said(cell)
+            cells.append(value or "")
+        if any(cells):
+            out.append("\t".join(cells))
+    return out
+
+
+#: Groups of RTF whose text is not the document's (fixed values).
+RTF_ASIDE = frozenset("fonttbl colortbl stylesheet info pict header footer headerl headerr headerf footerl footerr footerf generator themedata datastore xmlnstbl listtable listoverridetable rsidtbl object".split())
+
+
+def _rtf(content: bytes) -> str:
+    """The text of an RTF file: control words read, groups beside the text left out."""
+    import re
+
+    code = re.compile(rb"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
+    page = re.search(rb"\\ansicpg(\d+)", content)
+    charset = f"cp{page[1].decode()}" if page else "cp1252"
+    out: list[str] = []
+    stack: list[tuple[bool, int]] = []
+    aside, skip, after = False, 1, 0
+    raw = bytearray()
+
+    def flush() -> None:
+        if raw:
+            out.append(raw.decode(charset, "replace"))
+            raw.clear()
+
+    for m in code.finditer(content):
+        word, number, hexed, sign, brace, text = m.groups()
+        if brace == b"{":
+            stack.append((aside, skip))
+        elif brace == b"}":
+            flush()
+            aside, skip = stack.pop() if stack else (False, 1)
+        elif sign == b"*" or word and word.decode() in RTF_ASIDE:
+            aside = True
+        elif aside:
+            continue
+        elif word in (b"par", b"line", b"sect", b"page", b"row"):
+            flush()
+            out.append("\n")
+        elif word in (b"tab", b"cell"):
+            flush()
+            out.append("\t")
+        elif word == b"uc":
+            skip = int(number or 1)
+        elif word == b"u" and number:
+            flush()
+            out.append(chr(int(number) % 65536))
+            after = skip
+        elif hexed:
+            if after:
+                after -= 1
+            else:
+                raw.append(int(hexed, 16))
+        elif sign == b"~":
+            raw += b" "
+        elif sign in (b"\\", b"{", b"}"):
+            raw += sign
+        elif text:
+            raw += text[after:]
+            after = max(0, after - len(text))
+    flush()
+    whole = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return "\n".join(line.strip() for line in whole.split("\n") if line.strip())
+
+
+BUILT_IN = {"txt": _plain, "html": _markup, "rtf": _rtf, "zip": _office, "docx": _office, "pptx": _office, "xlsx": _office}
 
 
 def archive_members(files: DataFrame) -> DataFrame:

@@ -81,17 +81,48 @@ def json_ld(result: Result) -> str:
     return json.dumps({"@context": "https://schema.org", "@graph": list(nodes.values())}, ensure_ascii=False, default=str)
 
 
+def _fonts(text: str) -> dict[str, tuple[int, int]]:
+    """Letter -> (font, code): Latin ones in font 0 under their own codes, others 200 to a font."""
+    others = sorted({c for c in text if not " " <= c <= "~"})
+    return {c: (0, ord(c)) for c in map(chr, range(32, 127))} | {c: (1 + i // 200, 32 + i % 200) for i, c in enumerate(others)}
+
+
+def _font(letters: list[tuple[int, str]], cmap: int) -> tuple[bytes, bytes]:
+    """A font whose codes stand for named letters, and the table that tells readers which."""
+    names = b" ".join(b"%d /uni%04X" % (code, ord(c)) if ord(c) < 65536 else b"%d /u%05X" % (code, ord(c)) for code, c in letters)
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /Type /Encoding /Differences [" + names + b"] >> /ToUnicode %d 0 R >>" % cmap
+    rows = b"\n".join(b"<%02X> <" % code + c.encode("utf-16-be").hex().upper().encode() + b">" for code, c in letters)
+    table = b"/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapName /own def /CMapType 2 def 1 begincodespacerange <00> <FF> endcodespacerange %d beginbfchar\n" % len(letters) + rows + b"\nendbfchar endcmap end end"
+    return font, b"<< /Length %d >>\nstream\n" % len(table) + table + b"\nendstream"
+
+
 def pdf(result: Result, per_page: int = 48) -> bytes:
-    """A plain PDF of the report; letters outside Latin-1 are shown as question marks."""
+    """A plain PDF of the report. No letter is lost: those outside ASCII stand in fonts that name
+    them, with a table from which readers search and copy the text."""
     lines = markdown(result).split("\n")
+    place = _fonts("".join(lines))
+    fonts = 1 + max(f for f, _ in place.values())
     pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)] or [[]]
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    named = [3]
+    for f in range(1, fonts):
+        named.append(len(objects) + 1)
+        objects += _font(sorted((code, c) for c, (own, code) in place.items() if own == f), len(objects) + 2)
+    resources = b" ".join(b"/F%d %d 0 R" % (i, n) for i, n in enumerate(named))
+
+    def shown(line: str) -> bytes:
+        runs: list[tuple[int, bytearray]] = []
+        for font, code in map(place.get, line):
+            if not runs or runs[-1][0] != font:
+                runs.append((font, bytearray()))
+            runs[-1][1].append(code)
+        return b" ".join(b"/F%d 10 Tf <%s> Tj" % (font, codes.hex().encode()) for font, codes in runs) + b" T*"
+
     kids = []
     for page in pages:
-        shown = [x.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") for x in page]
-        body = b"BT /F1 10 Tf 40 800 Td 14 TL " + b" ".join(b"(" + x + b") Tj T*" for x in shown) + b" ET"
+        body = b"BT 40 800 Td 14 TL " + b" ".join(map(shown, page)) + b" ET"
         objects.append(b"<< /Length %d >>\nstream\n" % len(body) + body + b"\nendstream")
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << " + resources + b" >> >> /Contents %d 0 R >>" % len(objects))
         kids.append(len(objects))
     objects[1] = b"<< /Type /Pages /Count %d /Kids [" % len(kids) + b" ".join(b"%d 0 R" % k for k in kids) + b"] >>"
     out, places = bytearray(b"%PDF-1.4\n"), []

@@ -45,29 +45,66 @@ def new_hits(hits: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return hits.join(subscriptions, "query").filter(F.col("at") > F.col("last_seen")).select("user", "query", "doc_id", "at")
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions that `upsert_into` has written, oldest first."""
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v=")) if fs.exists(fs_path) else []
+    return [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that `upsert_into` has finished, oldest first."""
+    return sorted(int(n[2:]) for n in _listed(spark, path) if n.startswith("v=") and "_SUCCESS" in _listed(spark, f"{path}/{n}"))
+
 
+def current_parts(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """Bucket -> folder of its last version (before a version, if one is given)."""
+    out = {}
+    for v in versions(spark, path):
+        if before is None or v < before:
+            out |= {int(n[7:]): f"{path}/v={v}/{n}" for n in _listed(spark, f"{path}/v={v}") if n.startswith("bucket=")}
+    return out
 
-def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that writes a new version of a keyed table for each batch. A batch
-    that runs again writes the version it wrote before, so the result is the same."""
+
+def current(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The keyed table as it stands."""
+    parts = sorted(current_parts(spark, path).values())
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that keeps a keyed table. Rows lie in buckets by their keys; a batch
+    reads and writes the buckets that its keys fall into, as version `v=number`, and leaves the
+    others where they are. A batch that runs again reads the versions before its own, so it writes
+    what it wrote before. `superseded` tells which folders no reader needs any more."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = versions(spark, path)
-        before = [v for v in known if v < number]
-        new = lifecycle.keep_last(batch, keys, order)
-        if before:
-            new = lifecycle.upserted(spark.read.schema(batch.schema).parquet(f"{path}/v={before[-1]}"), batch, keys, order)
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        try:
+            touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+            known = current_parts(spark, path, number)
+            before = [known[b] for b in touched if b in known]
+            new = lifecycle.keep_last(batch, keys, order)
+            if before:
+                new = lifecycle.upserted(spark.read.schema(batch.schema).parquet(*before), batch, keys, order)
+            new.withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/v={number}")
+        finally:
+            batch.unpersist()
 
     return write
 
 
+def superseded(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Folders of buckets that a later version replaces, the last `keep` versions left alone: a
+    batch may still be run again."""
+    every = versions(spark, path)
+    used = set(current_parts(spark, path).values())
+    old = every[: len(every) - keep] if keep else every
+    return [f"{path}/v={v}/{n}" for v in old for n in _listed(spark, f"{path}/v={v}") if n.startswith("bucket=") and f"{path}/v={v}/{n}" not in used]
+
+
 def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, name: str | None = None, mode: str = "append") -> None:
     """Run a stream over what is there, and stop."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)

@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import gazetteer, grammar, tables, text
-from factloom.operators import coverage, facts, graphs, lifecycle, relations, retrieval
-from factloom.plans import search
+from factloom.functions import display, gazetteer, grammar, tables, text
+from factloom.operators import coverage, facts, graphs, lifecycle, relations, retrieval, spans
+from factloom.plans import extraction, search
 from factloom.sources import files, sinks
 
 FACT = "pkey string, doc_id string, canon string, label string, metric string, unit_canon string, value_low double, value_high double, comparator string, confidence double, source string, quote string, conditions string, phase string, extracted_at timestamp"
@@ -194,9 +194,116 @@ def test_search_and_reports(spark):
     assert b"| 95 pct |" in made["report.md"].replace("медь".encode(), b"m") and made["report.pdf"].startswith(b"%PDF") and made["report.jsonld"].count(b'"doc/a"') >= 1
     assert search.recommend(corpus, "извлечение меди не менее 94 %")["grounded"] is False
     assert "## Gaps" in search.review(corpus, "извлечение меди не менее 94 %")
+    assert search.search(corpus, "извлечение меди не менее 94 %", "admin").hidden_count == 0
+    composed = search.composed(corpus, found)
+    assert "Документов в выдаче: 2." in composed and "Скрыто по правам доступа: 1." in composed and "[**a** (2020)](/sources?doc=a)" in composed
     assert search.since_year("за последние 5 лет", 2024) == 2019 and search.since_year("с 2010", 2024) == 2010 and search.since_year("медь", 2024) is None
 
 
+def test_ready_questions_and_recommendations(spark):
+    docs = spark.createDataFrame([("a", 2020, "RU", "public"), ("b", 2021, "RU", "secret")], "doc_id string, year int, geo string, sensitivity string")
+    rows = facts_of(spark, fact("1", "a", 95.0), fact("2", "b", 90.0))
+    edges = spark.createDataFrame([("медь", "электролиз", "USES_MATERIAL")], "src string, dst string, type string")
+    limits = []
+    shortcuts = {"desalination": lambda numbers: (limits.append(search.sulfate_limit(numbers)), rows)[1]}
+    corpus = search.Corpus(docs, rows, authors=spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, author string"), edges=edges, shortcuts=shortcuts, semantic=lambda q: docs.select("doc_id", F.lit(0.9).alias("score")))
+    found = search.search(corpus, "обессоливание: сульфат не более 200 мг/л", "researcher")
+    assert limits == [200.0] and [f["pkey"] for f in found.facts] == ["1"] and found.facts[0]["ref"]
+    assert search.shortcut_names("Distribution in matte") == ["pgm"] and search.shortcut_names("католит") == ["catholyte"] and search.shortcut_names("медь") == []
+    rec = search.recommend(corpus, "медь", entities=["медь"])["recommendations"]
+    assert rec["adjacent_topics"] == [{"canon": "электролиз"}] and rec["experts"] == [{"author": "x", "docs": 1}]
+    assert "Смежные темы" in search.recommendations_text(rec) and search.recommendations_text({"similar_cases": [], "adjacent_topics": [], "experts": []}) == ""
+
+
+def test_display(spark):
+    d = F.col
+    df = spark.createDataFrame([("содержание", 5.0, 12.5, "pct", "шлак", "q" * 300, "d1", "T", "2020"), ("pH", None, 3.0, "pH", None, None, None, None, None), (None, None, None, None, None, None, "d2", None, "x")], "m string, lo double, hi double, u string, p string, q string, d string, t string, y string")
+    got = [r.b for r in df.select(display.bullet(d("m"), d("lo"), d("hi"), d("u"), d("p"), d("q"), d("d"), d("t"), d("y")).alias("b")).collect()]
+    assert got[0] == f"- содержание 5–12.5 % [шлак] — «{'q' * 237}…» — [«T» (2020)](/sources?doc=d1)" and got[1] == "- pH ≤3 — (б.г.)"
+    places = spark.createDataFrame([("ru", None, None, None, None), ("en", None, None, "x", None), (None, "internal", None, None, None), ("en", None, "Норильск", None, None), (None, None, "Chile", None, None), (None, None, "Статьи", None, "Статьи"), (None, None, "Марс", None, "Статьи")], "l string, s string, g string, r string, c string")
+    assert [r.p for r in places.select(display.place(d("l"), d("s"), d("g"), d("r"), d("c")).alias("p")).collect()] == ["RU", "WORLD", "RU", "RU", "WORLD", None, "Марс"]
+    names = spark.createDataFrame([("material",), ("publication",), ("nonsense",), (None,)], "t string")
+    assert [tuple(r.e) for r in names.select(display.endpoint(d("t")).alias("e")).collect()] == [("Material", "canon"), ("Document", "doc_id"), ("Material", "canon"), ("Material", "canon")]
+    assert [r.y for r in df.select(display.fact_year(d("y"), F.lit(1999)).alias("y")).collect()] == [2020, 1999, None]
+
+
+def test_edges_of_texts(spark):
+    kinds = {"медь": "Material", "руда": "Material", "штейн": "Phase", "плавка": "Process", "печь": "Equipment", "Заполярье": "Condition"}
+    entries = gazetteer.checked([{"type": t, "canon": c, "aliases": [c]} for c, t in kinds.items()])
+    body = "Иванов И.О., Петров П.П.\n\nПри плавке руды в печи получают штейн с содержанием меди 45 %. В Заполярье плавка идёт и составляет основу дела. Установлено, что медь остаётся в шлаке."
+    docs = spark.createDataFrame([("d1", body), ("d2", None), ("d3", "")], "doc_id string, text string")
+    read = extraction.sentence_facts(docs, entries)
+    got = {(r.src, r.dst, r.type) for r in extraction.edges_of(read, docs).collect()}
+    assert {("плавка", "штейн", "PRODUCES_OUTPUT"), ("плавка", "печь", "OPERATES_AT_CONDITION"), ("плавка", "Заполярье", "OPERATES_AT_CONDITION"), ("d1", "Иванов И.О.", "AUTHORED_BY"), ("Петров П.П.", "пирометаллургия", "IN_DOMAIN"), ("d1", "медь остаётся в шлаке", "SHOWED")} <= got
+    assert not any(d == "штейн" and t == "USES_MATERIAL" for _, d, t in got)
+    assert {(r.label, r.canon) for r in extraction.mention_nodes(read).collect()} == {("Condition", "Заполярье"), ("Domain", "пирометаллургия")}
+    fact_ = extraction.facts_of(read).collect()
+    assert [(r.canon, r.phase, r.value_low) for r in fact_] == [("медь", "штейн", 45.0)]
+
+
+def test_other_values_come_between(spark):
+    entries = gazetteer.checked([{"type": "Process", "canon": "обжиг", "aliases": ["обжиг"]}])
+    docs = spark.createDataFrame([("d", "Доля 10 % при 500 °C и ещё 7 г/т составляет обжиг вещества.")], "doc_id string, text string")
+    got = extraction.facts_of(extraction.sentence_facts(docs, entries)).collect()
+    assert [r.unit_canon for r in got] == ["g_t"]  # the others are cut off from the process
+
+
+def test_rich_text_and_sheets():
+    import io
+    import zipfile
+
+    rtf = rb"{\rtf1\ansi\ansicpg1251{\fonttbl{\f0 Arial;}}{\*\generator x;}\f0 \'cc\'e5\'e4\'fc 5 %\par second \u1052?\{a\}}"
+    assert files._rtf(rtf) == "Медь 5 %\nsecond М{a}"
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst xmlns='x'><si><t>Cu</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet xmlns='x'><sheetData><row><c t='s'><v>0</v></c><c><v>45.5</v></c><c t='inlineStr'><is><t>own</t></is></c></row>" + "<row><c><v>1</v></c></row>" * 80 + "</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", "<broken")
+    lines = files._office(box.getvalue()).split("\n")
+    assert lines[0] == "Cu\t45.5\town" and len(lines) == 60
+    word = io.BytesIO()
+    with zipfile.ZipFile(word, "w") as z:
+        z.writestr("word/document.xml", "<d xmlns='x'><p><t>before</t></p><tbl><tr><tc><p><t>a</t></p></tc><tc><p><t>b</t></p></tc></tr></tbl></d>")
+    assert files._office(word.getvalue()) == "before\na | b"
+
+
+def test_pdf_loses_no_letter():
+    made = sinks.pdf(search.Result("медь и 銅 é", "search", None))
+    assert b"?" not in made.split(b"stream")[1] and "м".encode("utf-16-be").hex().upper().encode() in made and b"/uni043C" in made and "銅".encode("utf-16-be").hex().upper().encode() in made
+
+
+def test_technologies_keep_those_without_facts(spark):
+    rows = facts_of(spark, fact("1", "a", 95.0), fact("2", "b", 900.0, metric="температура", unit_canon="degC"))
+    edges = spark.createDataFrame([("медь", "Заполярье", "OPERATES_AT_CONDITION")], "src string, dst string, type string")
+    got = {r.canon: r for r in coverage.technologies(rows, edges, spark.createDataFrame([("медь",), ("нет",)], "canon string")).collect()}
+    assert (got["медь"].efficiency_pct_max, got["медь"].temperature_c_n, got["медь"].cold_climate, got["медь"].sources) == (95.0, 1, True, 2)
+    assert (got["нет"].sources, got["нет"].cold_climate, got["нет"].conditions, got["нет"].capex) == (0, False, [], None)
+
+
+def test_dashboard_does_without_a_part(spark):
+    docs = spark.createDataFrame([("a", 2020)], "doc_id string, year int")  # no geo
+    rows = facts_of(spark, fact("1", "a"))
+    rel = spark.createDataFrame([], "rel string, kind string, entity string, metric string, phase string, unit string, doc_a string, doc_b string")
+    made = coverage.dashboard(docs, rows, spark.createDataFrame([("a", "x")], "doc_id string, author string"), spark.createDataFrame([("a", "d")], "doc_id string, domain string"), rel, "RU")
+    assert made["summary"] is None and made["by_geo"] is None and made["by_year"].collect()[0].documents == 1 and made["contradictions"].count() == 0
+
+
+def test_nearest_points(spark):
+    import random
+
+    r = random.Random(3)
+    vs = [(r.randrange(3), i, r.randrange(40)) for i in range(60)]
+    ms = [(r.randrange(2), i, r.randrange(40)) for i in range(30)]
+    got = {x.vid: (x.mid, x.gap) for x in spans.nearest_points(spark.createDataFrame(vs, "g int, vid int, v_at int"), spark.createDataFrame(ms, "g int, mid int, m_at int"), "g").collect()}
+    want = {}
+    for g, v, at in vs:
+        near = [(abs(at - m_at), m_at, m) for h, m, m_at in ms if h == g]
+        if near:
+            gap, _, m = min(near)
+            want[v] = (m, gap)
+    assert got == want
+
+
 def test_relations_proposed_are_validated():
     good = {"src": "a", "dst": "b", "quote": "A  makes b"}
     assert search.valid_relations([good, {**good, "dst": "z"}, {**good, "quote": "no"}], {"a", "b"}, "x a makes B y") == [good]

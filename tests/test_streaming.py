@@ -42,7 +42,7 @@ def test_upsert_runs_again_with_one_result(spark, tmp_path):
     write = pipelines.upsert_into(path, ["user_id"], ["ts", "event_id"])
     pipelines.drain(stream, f"file://{tmp_path}/c4", sink=write)
     write(batch, 0)
-    got = spark.read.schema(batch.schema).parquet(f"{path}/v=0")
+    got = pipelines.current(spark, path, batch.schema)
     assert sorted(map(str, got.collect())) == sorted(map(str, lifecycle.keep_last(batch, ["user_id"], ["ts", "event_id"]).collect()))
 
 
@@ -62,3 +62,16 @@ def test_latest_per_key_of_several_batches(spark, monkeypatch):
     got = catalogue_flow.stream_latest_per_key(spark, folder)
     want = lifecycle.keep_last(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_batch_writes_the_buckets_of_its_keys_only(spark, tmp_path):
+    path = f"file://{tmp_path}/buckets"
+    write = pipelines.upsert_into(path, ["k"], ["n"], buckets=16)
+    write(spark.createDataFrame([(f"k{i}", i) for i in range(100)], "k string, n int"), 0)
+    write(spark.createDataFrame([("k3", 1000), ("new", 1)], "k string, n int"), 1)
+    parts = pipelines.current_parts(spark, path)
+    assert sum("/v=1/" in p for p in parts.values()) <= 2 and len(parts) == 16
+    got = {r.k: r.n for r in pipelines.current(spark, path, spark.createDataFrame([], "k string, n int").schema).collect()}
+    assert got == {f"k{i}": i for i in range(100)} | {"k3": 1000, "new": 1}
+    assert len(pipelines.superseded(spark, path)) == sum("/v=1/" in p for p in parts.values())
+    assert pipelines.current(spark, f"{path}/none", spark.createDataFrame([], "k string, n int").schema).count() == 0
