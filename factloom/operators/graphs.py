@@ -98,7 +98,7 @@ def answer_graph(doc_ids: DataFrame, facts: DataFrame, edges: DataFrame, mention
     parts.append(link(inside.orderBy("a", "b").limit(30), "a", "b", "CONTRADICTS"))
     own = authors.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "author").distinct().orderBy("doc_id", "author").limit(25)
     parts.append(link(own, "doc_id", "author", "AUTHORED_BY"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def merged_edges(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:

@@ -108,7 +108,7 @@ def grouped(relations: DataFrame, confidences: DataFrame) -> DataFrame:
     one = relations.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_set("val_a").alias("a"), F.collect_set("val_b").alias("b"), F.collect_set("doc_a").alias("da"), F.collect_set("doc_b").alias("db"))
     docs = F.array_union("da", "db")
     rows = one.select(*keys, "n", F.size(docs).cast("long").alias("n_docs"), F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.explode(docs).alias("doc_id"))
-    out = rows.join(confidences, "doc_id", "left").groupBy(*keys, "n", "n_docs", "only_a", "shared").agg(F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    out = rows.join(confidences, "doc_id", "left").groupBy(*keys, "n", "n_docs", "only_a", "shared").agg(F.avg("confidence").alias("mean_confidence"))
     return out.select(*keys, "n", "n_docs", "mean_confidence", "only_a", "shared")
 
 

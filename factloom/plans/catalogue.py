@@ -200,14 +200,15 @@ def relation_group_consensus(s, d):
     return out.select("rel", "entity", "metric", "phase", "unit", "n", "n_docs")
 
 
-@query("""SELECT r.rel, r.entity, r.metric, r.phase, r.unit, r.n, m.n_docs, round(m.c, 6) AS mean_confidence, r.only_a, r.shared FROM
+@query("""SELECT r.rel, r.entity, r.metric, r.phase, r.unit, r.n, m.n_docs, round(m.c + 1e-9, 6) AS mean_confidence, r.only_a, r.shared FROM
   (SELECT rel, entity, metric, phase, unit, count(*) AS n, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS BIGINT) AS only_a, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS BIGINT) AS shared
    FROM (SELECT rel, entity, metric, phase, unit, list(DISTINCT val_a) AS a, list(DISTINCT val_b) AS b FROM rel GROUP BY ALL) JOIN rel USING (rel, entity, metric, phase, unit) GROUP BY ALL) r
   JOIN (SELECT rel, entity, metric, phase, unit, count(*) AS n_docs, avg(c) AS c FROM (SELECT DISTINCT rel, entity, metric, phase, unit, unnest([doc_a, doc_b]) AS doc_id FROM rel) LEFT JOIN (SELECT doc_id, avg(confidence) AS c FROM parameter GROUP BY 1) USING (doc_id) GROUP BY ALL) m
   USING (rel, entity, metric, phase, unit)""", PAIRS_SQL.strip())
 def relation_group_details(s, d):
     """With confidences and the values of one side only"""
-    return relations.grouped(_relations(s, d), relations.mean_confidence(_par(s, d)))
+    out = relations.grouped(_relations(s, d), relations.mean_confidence(_par(s, d)))
+    return out.withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-9, 6))
 
 
 @query("SELECT kind, entity, metric, phase, unit, doc_a, doc_b, val_a, val_b FROM (SELECT *, 'method_vs_method' AS kind FROM rel WHERE rel='CONTRADICTS') ORDER BY kind, entity, metric, phase, unit, doc_a, doc_b LIMIT 50", PAIRS_SQL.strip())
@@ -299,6 +300,18 @@ def technology_compare(s, d):
     return coverage.technology_comparison(_par(s, d), axes, names)
 
 
+@query("""SELECT n.canon, coalesce(p.sources,0) AS sources, coalesce(p.total,0) AS total_facts, p.lo AS returned_min, p.hi AS returned_max, p.u AS returned_unit, coalesce(p.k,0) AS returned_n, coalesce(c.conditions,'') AS conditions, coalesce(c.cold,false) AS cold_climate
+  FROM (VALUES ('Brand#1'),('Brand#2'),('Brand#3'),('none')) n(canon)
+  LEFT JOIN (SELECT canon, count(DISTINCT doc_id) AS sources, count(*) AS total, min(least(value_low,value_high)) FILTER (metric='R') AS lo, max(greatest(value_low,value_high)) FILTER (metric='R') AS hi, max(unit_canon) FILTER (metric='R') AS u, count(*) FILTER (metric='R') AS k FROM parameter GROUP BY 1) p USING (canon)
+  LEFT JOIN (SELECT canon, string_agg(DISTINCT phase, '+' ORDER BY phase) AS conditions, bool_or(phase='solid') AS cold FROM parameter WHERE phase IS NOT NULL GROUP BY 1) c USING (canon)""")
+def technologies_by_axis(s, d):
+    """A10: axes, conditions, and a technology without facts"""
+    names = s.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",), ("none",)], "canon string")
+    edges = _par(s, d).filter("phase is not null").select(F.col("canon").alias("src"), F.col("phase").alias("dst"), F.lit("OPERATES_AT_CONDITION").alias("type"))
+    out = coverage.technologies(_par(s, d), edges, names, {"returned": F.col("metric") == "R"}, cold=("solid",))
+    return out.withColumn("conditions", F.array_join("conditions", "+")).drop("capex")
+
+
 @query("SELECT canon, count(*) AS n FROM parameter GROUP BY 1 ORDER BY n DESC, canon LIMIT 5")
 def top_processes(s, d):
     """A11"""
@@ -434,6 +447,31 @@ def answer_subgraph(s, d):
     return graphs.answer_subgraph(branches, _doc(s, d).filter("kg_value = 2"))
 
 
+KINDS = "CASE phase WHEN 'solid' THEN 'Process' WHEN 'liquid' THEN 'Equipment' ELSE 'Material' END"
+LINKS = "CASE metric WHEN 'R' THEN 'USES_MATERIAL' WHEN 'A' THEN 'PRODUCES_OUTPUT' ELSE 'OPERATES_AT_CONDITION' END"
+ENDS = "CASE metric WHEN 'R' THEN 'Material' WHEN 'A' THEN 'Phase' ELSE CASE unit_canon WHEN 'O' THEN 'Condition' ELSE 'Equipment' END END"
+
+
+@query(
+    f"""SELECT src, CAST(NULL AS VARCHAR) AS dst, 'Process' AS type FROM pr
+  UNION ALL SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type, dense_rank() OVER (PARTITION BY src, type, el ORDER BY dst) AS r, CASE WHEN type='OPERATES_AT_CONDITION' THEN 4 ELSE 6 END AS most FROM (SELECT canon AS src, label AS dst, {LINKS} AS type, {ENDS} AS el FROM parameter) JOIN pr USING (src)) WHERE r<=most
+  UNION ALL SELECT canon, NULL, 'Equipment' FROM (SELECT DISTINCT canon FROM (SELECT canon, {KINDS} AS k, doc_id FROM parameter) JOIN ids USING (doc_id) WHERE k='Equipment' ORDER BY 1 LIMIT 15)
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), canon, 'MENTIONS' FROM (SELECT DISTINCT doc_id, 'f' || author AS canon FROM authors JOIN ids USING (doc_id) ORDER BY 1, 2 LIMIT 15)
+  UNION ALL SELECT CAST(a AS VARCHAR), CAST(b AS VARCHAR), 'CONTRADICTS' FROM (SELECT DISTINCT least(doc_a,doc_b) AS a, greatest(doc_a,doc_b) AS b FROM rel WHERE rel='CONTRADICTS' AND doc_a IN (SELECT doc_id FROM ids) AND doc_b IN (SELECT doc_id FROM ids) ORDER BY 1, 2 LIMIT 30)
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(author AS VARCHAR), 'AUTHORED_BY' FROM (SELECT DISTINCT doc_id, author FROM authors JOIN ids USING (doc_id) ORDER BY 1, 2 LIMIT 25)""",
+    PAIRS_SQL.strip(),
+    "ids AS (SELECT DISTINCT doc_id FROM document WHERE kg_value=2 ORDER BY doc_id LIMIT 40)",
+    f"pr AS (SELECT DISTINCT canon AS src FROM (SELECT canon, {KINDS} AS k, doc_id FROM parameter) JOIN ids USING (doc_id) WHERE k='Process' ORDER BY 1 LIMIT 60)",
+)
+def answer_graph(s, d):
+    """All its branches"""
+    p = _par(s, d)
+    rows = p.select("doc_id", "canon", F.expr(KINDS).alias("label"))
+    edges = p.select(F.col("canon").alias("src"), F.col("label").alias("dst"), F.expr(ENDS).alias("dst_label"), F.expr(LINKS).alias("type"))
+    places = ad.authors(s, d).select("doc_id", F.lit("Facility").alias("label"), F.concat(F.lit("f"), "author").alias("canon"))
+    return graphs.answer_graph(_doc(s, d).filter("kg_value = 2"), rows, edges, places, _relations(s, d), ad.authors(s, d))
+
+
 @query("SELECT src, dst, type, doc_id, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM (SELECT canon AS src, label AS dst, metric AS type, doc_id, source FROM parameter) GROUP BY 1,2,3,4")
 def edge_upsert(s, d):
     """K08 A26 U08 K02"""

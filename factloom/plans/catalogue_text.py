@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factloom.functions import gazetteer, grammar, tables, text
+from factloom.functions import display, gazetteer, grammar, tables, text
 from factloom.operators import relations, spans
 from factloom.plans import adapters as ad
 from factloom.plans.catalogue import query
@@ -43,7 +44,10 @@ def repeated_lines(s, d):
     return text.without_running_lines(rows).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query()
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text,''), '([.!?;])[\s\v]+([\p{Lu}\d])', '\1' || chr(1) || '\2', 'g'), '\n[\s\v]*\n', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) BETWEEN 12 AND 1200)"""
+
+
+@query(f"SELECT doc_id, CAST(i-1 AS INTEGER) AS sent_no, s[i] AS sent FROM (SELECT doc_id, s, unnest(range(1, len(s)+1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents))", plain=True)
 def sentence_split(s, d):
     """X08 F30 D4"""
     return text.sentence_rows(_docs(s, d))
@@ -163,3 +167,81 @@ def quotes_and_authors(s, d):
     """X10 X14 X15 X16 A24 T13"""
     rows = s.createDataFrame([("Показано, что что медь растворяется. Далее", "Петрова В., Иванов А.Б. статья", "a b c a b c a b c", "a b c d")], "c string, a string, b string, o string")
     return rows.select(text.claims(F.col("c")).alias("claim"), F.array_join(text.authors(F.col("a")), "+").alias("authors"), text.degenerate(F.col("b")).alias("bad"), text.degenerate(F.col("o")).alias("ok"))
+
+
+def _marks(kind: str) -> str:
+    """A class's list as a pattern without look-around, for DuckDB."""
+
+    def one(word: str) -> str:
+        body = "".join({"*": r"[\p{L}\p{N}_]*", "#": r"\d", " ": r"\s*"}.get(c) or (c if c.isalnum() or ord(c) > 127 else f"\\{c}") for c in word)
+        first = r"(?:^|[^\p{L}\p{N}_])" if word[0].isalnum() else ""
+        last = r"(?:$|[^\p{L}\p{N}_])" if word[-1].isalnum() else ""
+        return first + body + last
+
+    return f"(?i)(?:{'|'.join(map(one, text.DOC_TYPES[kind]))})"
+
+
+@query(
+    "SELECT origin, id, CASE " + " ".join(f"WHEN regexp_matches(t, '{_marks(k)}') THEN '{k}'" for k in text.DOC_TYPES) + """ ELSE 'other' END AS kind FROM
+  (SELECT 'document' AS origin, doc_id AS id, coalesce(source,'') || chr(10) || coalesce(text,'') AS t FROM documents UNION ALL SELECT 'page', page_id, coalesce(url,'') || chr(10) || coalesce(html,'') FROM pages)""",
+    plain=True,
+)
+def document_types_all(s, d):
+    """Of whole texts and pages"""
+    docs = _docs(s, d).select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), text.doc_type(F.col("text"), F.col("source")).alias("kind"))
+    pages = ad.table(s, d, "pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), text.doc_type(F.col("html"), F.col("url")).alias("kind"))
+    return docs.unionByName(pages)
+
+
+_WORD_MARKS = r"(?i)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(text.LINE_MARKS) + r")(?:$|[^\p{L}\p{N}_])"
+_APPARATUS = " OR ".join(
+    [f"regexp_matches(x, '{_WORD_MARKS}')", "regexp_matches(lower(x), '@[a-z0-9.-]+\\.[a-z]{2,}')"]
+    + [f"contains(lower(x), '{p}')" for p in text.LINE_PARTS]
+    + ["regexp_matches(x, '[»\"][\\s.]*20[0-9]{2}\\.\\s*№\\s*[0-9]')", r"""regexp_matches(x, '(?:^|[^\p{L}\p{N}_])(?:С\.\s*[0-9]+\s*[-–—]\s*[0-9]|Т\.\s*[0-9]+\.\s*№|Vol\.\s*[0-9]|No\.\s*[0-9]+,?\s*[Pp]\.)')"""]
+)
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_transform(string_split(coalesce(text,''), chr(10)), lambda x: CASE WHEN {_APPARATUS} THEN '' ELSE x END), chr(10))) AS kept, CAST(len(list_filter(string_split(coalesce(text,''), chr(10)), lambda x: {_APPARATUS})) AS BIGINT) AS killed FROM documents", plain=True)
+def line_kill_all(s, d):
+    """lines of apparatus in whole texts"""
+    body = F.coalesce("text", F.lit(""))
+    dead = F.size(F.filter(F.split(body, "\n", -1), text.apparatus)).cast("long")
+    return _docs(s, d).select("doc_id", F.md5(text.kill_lines(body).cast("binary")).alias("kept"), dead.alias("killed"))
+
+
+@query(r"""SELECT doc_id, CAST(arg_max(CAST(y AS INTEGER), (n, y)) AS INTEGER) AS year FROM (SELECT doc_id, y, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(' ' || substr(text,1,3000) || ' ', '[^0-9]', '  ', 'g'), ' ((?:19|20)[0-9][0-9]) ', 1)) AS y FROM documents) GROUP BY 1,2) GROUP BY 1""", plain=True)
+def year_mode_all(s, d):
+    """Of the heads of texts, which is what it looks at"""
+    return text.year_modes(_docs(s, d))
+
+
+@query()
+def noise_reasons(s, d):
+    """Of all sentences, why each is left out"""
+    rows = text.sentence_rows(_docs(s, d))
+    return rows.select("doc_id", "sent_no", text.noise(F.col("sent")).alias("reason"))
+
+
+@query()
+def either_key_dedup_all(s, d):
+    """Of all facts, in order of their keys"""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pkey", "author"))
+    rows = ad.parameter(s, d).withColumn("pos", nth).select("doc_id", "pos", "canon", "metric", "value_low", "value_high", "unit_canon", "quote")
+    return relations.without_repeats(rows).select("doc_id", "pos")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(source), '" + "|".join(display.HOME_PLACES) + "') THEN 'RU' WHEN regexp_matches(lower(source), '" + "|".join(display.FOREIGN_PLACES) + "') THEN 'WORLD' WHEN upper(lang)='RU' THEN 'RU' WHEN upper(lang)='EN' THEN 'WORLD' END AS place FROM documents", plain=True)
+def document_places(s, d):
+    """X22 X23"""
+    none = F.lit(None).cast("string")
+    return _docs(s, d).select("doc_id", display.place(F.col("lang"), none, none, F.col("source"), none).alias("place"))
+
+
+@query("""SELECT pkey, '- ' || concat_ws(' ', metric, CASE WHEN value_low=value_high THEN CAST(CAST(value_low AS BIGINT) AS VARCHAR) ELSE CAST(CAST(value_low AS BIGINT) AS VARCHAR) || '–' || CAST(CAST(value_high AS BIGINT) AS VARCHAR) END, unit_canon)
+  || CASE WHEN phase IS NOT NULL THEN ' [' || phase || ']' ELSE '' END || CASE WHEN trim(quote)<>'' THEN ' — «' || trim(quote) || '»' ELSE '' END || ' — [«' || coalesce(nullif(name,''), CAST(doc_id AS VARCHAR)) || '» (' || coalesce(CAST(year AS VARCHAR),'б.г.') || ')](/sources?doc=' || CAST(doc_id AS VARCHAR) || ')' AS line
+  FROM parameter JOIN document USING (doc_id)""")
+def fact_lines(s, d):
+    """X12 X13 X19"""
+    c = F.col
+    rows = ad.parameter(s, d).join(ad.document(s, d), "doc_id")
+    return rows.select("pkey", display.bullet(c("metric"), c("value_low"), c("value_high"), c("unit_canon"), c("phase"), c("quote"), c("doc_id"), c("name"), c("year")).alias("line"))
