@@ -7,13 +7,13 @@ numpy paths agree.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom import session
+
 _MASK = (1 << 64) - 1
 
 
@@ -34,7 +34,8 @@ def mix64(z: np.ndarray) -> np.ndarray:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_CODE = mixed(256, 7)
+#: Two independent families of hashes; the first is used where one is enough.
+_BYTE_CODE = (mixed(256, 7), mixed(256, 8))
 _BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _pow_cache: dict[tuple[int, int], np.ndarray] = {}
@@ -64,7 +65,7 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """A 64-bit hash of every word: polynomial over random byte codes, then mixed."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
@@ -72,7 +73,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         n = len(raw)
         total = np.empty(n + 1, dtype=np.uint64)
         total[0] = 0
-        np.cumsum(_BYTE_CODE[raw] * powers(_BASE, n), out=total[1:])
+        np.cumsum(_BYTE_CODE[family][raw] * powers(_BASE, n), out=total[1:])
         return mix64((total[ends] - total[starts]) * powers(_BASE_INV, n)[starts])
 
 
@@ -154,22 +155,9 @@ def releasing(run):
 # --- files in the shared folder -------------------------------------------------
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one where none is configured (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return root.rstrip("/")
-
-
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run, below the shared one."""
-    return f"{shared_root(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    return f"{session.shared_root(spark)}/factloom/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -183,7 +171,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def remove_runs(spark: SparkSession) -> None:
     """Delete what earlier runs of these operators left in the shared folder."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/factloom")
+    path = jvm.org.apache.hadoop.fs.Path(f"{session.shared_root(spark)}/factloom")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

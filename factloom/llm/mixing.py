@@ -136,17 +136,18 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """The rows of `docs`, all columns as they are, each as often as the mix takes it: taken words
-    over size, rounded to a whole number (a half rounds up). Documents without words go. A
-    source's words then miss its target by its last block and half a document at most."""
+    """The rows of `docs`, all columns as they are, whatever their names, each as often as the mix
+    takes it: taken words over size, rounded to a whole number (a half rounds up). Documents without
+    words go. A source's words then miss its target by its last block and half a document at most."""
     tie = F.xxhash64(text_col, source_col)
     part = docs.select(F.struct(F.col(id_col).alias("id"), tie.alias("tie")).alias("key"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     counts = taken(part, "key", "text", "source", block, seed, weights, share).filter("taken > 0")
-    # Equal rows (same id, text and source) share their copies: the first takes them all.
-    copies = counts.groupBy(F.col("id.id").alias("_id"), F.col("id.tie").alias("_tie")).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    own = docs.withColumn("_own", tie)
-    joined = own.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")))
-    nth = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy("_own"))
-    share_of = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.when(F.col("_nth") == 1, F.col("_copies")).otherwise(0))
-    made = joined.withColumn("_nth", nth).withColumn("_again", F.explode(F.array_repeat(F.lit(0), share_of.cast("int"))))
-    return made.select(*[F.col(c) for c in docs.columns])
+    copies = counts.groupBy(F.col("id.id").alias("of_id"), F.col("id.tie").alias("of_tie")).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies"), F.count("*").alias("n")).filter("copies > 0")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), tie.alias("tie"))
+    joined = own.join(copies, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie"))).select("row", "id", "tie", "copies", "n")
+    # Equal rows (same id, text and source) share their copies: the first takes them all. Only they are numbered.
+    nth = F.row_number().over(Window.partitionBy("id", "tie").orderBy("tie"))
+    single = joined.filter("n = 1").select("row", "copies")
+    several = joined.filter("n > 1").withColumn("nth", nth).filter("nth = 1").select("row", "copies")
+    made = single.unionByName(several).withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return made.select("row.*")

@@ -1,11 +1,13 @@
-"""Substring dedup: exact lookup of the windows under shared winnowed anchors.
+"""Substring dedup: winnowed seeds, extended both ways window by window.
 
 A match is a run of at least `least` words that also starts in a document with a smaller id.
 Of the k-grams in each window of `least` words the one with the smallest hash is the window's
 anchor (winnowing), so two equal windows have equal anchors at the same place. Seeds are
-anchors that occur in more than one document. No seed is extended: every window that a seed
-anchors is hashed and looked up for the smallest document id that holds it, and the maximal
-repeats are the unions of the windows that occur in a document with a smaller id.
+anchors that occur in more than one document. A seed is extended to either side by all windows
+that it anchors; they meet the equal windows of other documents under the same seed, and the
+smallest id among those decides. Matches that touch grow together: the maximal repeats are the
+unions of the windows that occur in a document with a smaller id. Documents are not paired: a
+pair of documents for each shared seed is quadratic in the copies of a passage.
 
 Documents are packed into blocks, written once to the shared folder; all steps exchange
 packed arrays between blocks and hash buckets, never one row a word:
@@ -16,7 +18,9 @@ packed arrays between blocks and hash buckets, never one row a word:
 4. buckets -> blocks: one bit for each: is there a smaller id elsewhere.
 
 So a passage that a third of all documents share counts once a block, no pairs are made, and
-no result depends on the size of a group. Hashes have 64 bits and stand for the words.
+no result depends on the size of a group. Buckets are as many as the words, which are counted,
+need to hold about `BUCKET_HASHES` each. A window is told by 128 bits, two hashes of 64 from
+independent hashes of its words; anchors, which only select, by 64.
 
 Nulls, empties, ties: a null text has no words; ids must be whole numbers; a null id counts
 as larger than any other and never removes anything; rows with equal ids never remove from
@@ -87,13 +91,15 @@ class Block:
         self.ids = ids
         self.least = least
         self.keys = np.array([_NO_ID if i is None else i for i in ids], np.int64)
-        hashes, self.sizes = [], np.zeros(len(ids), np.int64)
+        hashes: tuple[list, list] = ([], [])
+        self.sizes = np.zeros(len(ids), np.int64)
         for lo, hi in common.slices(self.texts, _SLICE):
             raw, bounds = common.joined(self.texts[lo:hi])
             starts, ends = common.word_bounds(raw)
             self.sizes[lo:hi] = np.diff(np.searchsorted(starts, bounds))
-            hashes.append(common.word_hashes(raw, starts, ends))
-        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            for family in (0, 1):
+                hashes[family].append(common.word_hashes(raw, starts, ends, family))
+        words, self.others = (np.concatenate(h) if h else np.zeros(0, np.uint64) for h in hashes)
         self.n = len(words)
         first = np.cumsum(self.sizes) - self.sizes
         # where windows start: at every word of a document that has least-1 words after it
@@ -117,14 +123,19 @@ class Block:
         np.maximum.at(high, which, self.doc)
         return distinct, low != high, which
 
-    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows under wanted seeds: (their places, distinct hashes, smallest id of each, number of each window's)."""
+    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows under wanted seeds: (their places, both hashes of the distinct ones, smallest
+        id of each, number of each window's)."""
         place = np.flatnonzero(wanted)
-        hashes = common.window_hashes(self.words, self.least)[self.start[place]] if len(place) else np.zeros(0, np.uint64)
-        distinct, which = np.unique(hashes, return_inverse=True)
-        least = np.full(len(distinct), _NO_ID, np.int64)
+        start = self.start[place]
+        one, two = (common.window_hashes(words, self.least)[start] if len(place) else np.zeros(0, np.uint64) for words in (self.words, self.others))
+        order, head = _sorted(one, two)
+        which = np.empty(len(place), np.int64)
+        which[order] = np.cumsum(head) - 1
+        first = order[head]
+        least = np.full(len(first), _NO_ID, np.int64)
         np.minimum.at(least, which, self.keys[self.doc[place]])
-        return place, distinct, least, which
+        return place, one[first], two[first], least, which
 
     def covered(self, hit: np.ndarray) -> np.ndarray:
         """Which words a hit window covers; hit: places of windows."""
@@ -158,7 +169,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     the removed ranges of words (maximal, half-open)."""
     blocks = common.materialise(packed(docs, id_col, text_col), "substrings-blocks", "none")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(3, int(np.ceil(np.log2(max(1, total / 4 / BUCKET_HASHES)))))
+    # a document of n words has at most n windows, and about 2 n / (windows to an anchor) distinct anchors
+    buckets = lambda n: max(5, int(np.ceil(np.log2(max(1, n / BUCKET_HASHES)))))
+    seed_bits, window_bits = buckets(2 * total / (least - gram + 2)), buckets(total)
 
     def opened(batch):
         for ids, sizes, body in zip(batch.column("ids").to_pylist(), batch.column("sizes").to_pylist(), batch.column("body").to_pylist()):
@@ -169,17 +182,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
         full = [i for i in range(len(bounds) - 1) if bounds[i] < bounds[i + 1]]
         parts = [pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary()) for x in arrays]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), *parts], ["bucket", "block", "hashes", "ids"][: 2 + len(parts)])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), *parts], ["bucket", "block", "hashes", "others", "ids"][: 2 + len(parts)])
 
     def ask_seeds(batches):
         for batch in batches:
             for block, own in zip(batch.column("block").to_pylist(), opened(batch)):
                 distinct, _, _ = own.seeds()
-                yield rows(block, [distinct], _bucketed(distinct, bits))
+                yield rows(block, [distinct], _bucketed(distinct, seed_bits))
 
     def tell_seeds(table):
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        order, sizes, head = _merged(parts)
+        order, sizes, head = _merged(table)
         several = np.concatenate((head[1:] - head[:-1], [len(order) - head[-1]])) > 1
         bit = np.empty(len(order), bool)
         bit[order] = np.repeat(several, np.diff(np.append(head, len(order))))
@@ -191,26 +203,25 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     def wanted(own, answers):
         distinct, local, which = own.seeds()
-        seed = local | _answers(answers, len(distinct), _bucketed(distinct, bits))
+        seed = local | _answers(answers, len(distinct), _bucketed(distinct, seed_bits))
         return seed[which] if len(which) else np.zeros(0, bool)
 
     def ask_windows(batches):
         for batch in batches:
             for block, answers, own in zip(batch.column("block").to_pylist(), batch.column("answers").to_pylist(), opened(batch)):
-                _, distinct, least_id, _ = own.windows(wanted(own, answers))
-                yield rows(block, [distinct, least_id], _bucketed(distinct, bits))
+                _, one, two, least_id, _ = own.windows(wanted(own, answers))
+                yield rows(block, [one, two, least_id], _bucketed(one, window_bits))
 
     def tell_windows(table):
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        order, sizes, head = _merged(parts)
+        order, sizes, head = _merged(table)
         least_id = np.minimum.reduceat(ids[order], head)
         bit = np.empty(len(order), bool)
         bit[order] = np.repeat(least_id, np.diff(np.append(head, len(order)))) < ids[order]
         return _told(table, bit, sizes)
 
     seeded = blocks.select("block", "ids", "sizes", "body").join(flags, "block", "left")
-    windows = seeded.mapInArrow(common.releasing(ask_windows), "bucket long, block long, hashes binary, ids binary")
+    windows = seeded.mapInArrow(common.releasing(ask_windows), "bucket long, block long, hashes binary, others binary, ids binary")
     told = _by_block(windows.groupBy("bucket").applyInArrow(tell_windows, "block long, bucket long, bits binary")).withColumnRenamed("answers", "told")
     both = common.materialise(flags.join(told, "block", "left"), "substrings-windows")
 
@@ -220,8 +231,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for answers, more, own in zip(batch.column("answers").to_pylist(), batch.column("told").to_pylist(), opened(batch)):
-                place, distinct, least_id, which = own.windows(wanted(own, answers))
-                smaller = _answers(more, len(distinct), _bucketed(distinct, bits))
+                place, one, _, least_id, which = own.windows(wanted(own, answers))
+                smaller = _answers(more, len(one), _bucketed(one, window_bits))
                 hit = place[smaller[which] | (least_id[which] < own.keys[own.doc[place]])] if len(place) else place
                 gone = own.covered(hit)
                 counts = np.add.reduceat(np.append(gone, False).astype(np.int64), own.first) if own.n else np.zeros(len(own.ids), np.int64)
@@ -243,12 +254,22 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return out.mapInArrow(common.releasing(finish), "id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
 
 
-def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """(order that sorts all hashes, size of each part, first place of each distinct hash)."""
-    every = np.concatenate(parts)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    return order, [len(p) for p in parts], np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+def _sorted(one: np.ndarray, two: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts the hashes, which of them in that order are the first of their kind)."""
+    order = np.argsort(one, kind="stable") if two is None else np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = one[order[1:]] != one[order[:-1]]
+    if two is not None:
+        new[1:] |= two[order[1:]] != two[order[:-1]]
+    return order, new
+
+
+def _merged(table) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """(order that sorts all hashes of a bucket, number from each block, first place of each kind)."""
+    parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    others = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("others").to_pylist()]) if "others" in table.column_names else None
+    order, new = _sorted(np.concatenate(parts), others)
+    return order, [len(p) for p in parts], np.flatnonzero(new)
 
 
 def _told(table, bit: np.ndarray, sizes: list[int]):

@@ -87,6 +87,15 @@ def test_mixing(docs, none):
     assert again.schema == docs.schema and again.filter("text is null").count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_own", "_id", "_tie", "_nth", "_row", "_again", "row", "id", "tie", "copies", "n", "nth", "a.b"]
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (2, "c d e", None), (None, "f", "s"), (3, None, "s")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in names))
+    got = mixing.repeated(docs)
+    assert got.schema == docs.schema and all(tuple(r)[3:] == tuple(range(len(names))) for r in got.collect())
+    assert {r.doc_id for r in got.collect()} <= {1, 2, None} and got.count() >= 3
+
+
 def test_schedule_is_spread_evenly(spark):
     aims = spark.createDataFrame([("a", 1000, 0, 5000.0), ("b", 1000, 1, 2000.0), ("c", 1000, 2, 1000.0)], "source string, source_size long, nth int, target double")
     got = mixing.schedule(aims, 10).collect()
@@ -160,6 +169,33 @@ def test_connected_chain(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def test_whole_tables_against_brute_force(spark):
+    """op1, op5 and op6 on every row of a table."""
+    from test_unit import brute_fingerprint, brute_repetition
+
+    folder = "/root/testdata/sf0.001"
+    rows = q.table(spark, folder, "documents").collect()
+    one = {r.doc_id: r for r in q.op1_repetition(spark, folder).collect()}
+    five = {r.doc_id: r for r in q.op5_simhash(spark, folder).collect()}
+    six = {r.doc_id: r for r in q.op6_language(spark, folder).collect()}
+    assert len(one) == len(five) == len(six) == len(rows)
+    for r in rows:
+        if len(r.text or "") < 3000:
+            n, chars, symbols, lines, repeated, *_ = brute_repetition(r.text or "")
+            own = one[r.doc_id]
+            assert (own.n_words, own.word_chars, own.n_symbols, own.n_dup_lines, own.n_repeat_words) == (n, chars, symbols, lines, repeated)
+            assert own.base_failed == (n < 20 or 100 * repeated > 30 * n) and (not own.kept or not own.base_failed)
+        assert five[r.doc_id].fingerprint == f"{brute_fingerprint(r.text or ''):016x}"
+    ids = sorted(five)
+    fps = np.array([int(five[i].fingerprint, 16) for i in ids], np.uint64)
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
+    root = simhash.components(a, b, len(ids))
+    assert [five[i].component_id for i in ids] == [ids[k] for k in root]
+    held = [r for r in rows if r.lang and six[r.doc_id].held_out and re.search(r"[^\W\d_]", r.text or "")]
+    assert len(held) > 20 and sum(six[r.doc_id].lang_pred == r.lang for r in held) >= 0.97 * len(held)
+    assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in six if six[i].held_out)
+
+
 def test_language(docs, none):
     model = langid.fit(docs)
     got = {r.id: r for r in langid.predict(docs, model).collect()}
@@ -253,6 +289,44 @@ def test_templates_are_counted_per_host(spark):
     assert templates.main_text(pages.limit(0)).collect() == []
 
 
+def page_of_shop(i, shared):
+    return f"<body><nav><ul>{''.join(f'<li><a>m{i}{k}</a></li>' for k in range(i % 4 + 2))}</ul></nav><div class=ad>ad {i}</div><article><h1>T {i}</h1><p>story {i}</p><div class=box>{shared}</div><p>{'word ' * 20}{i}</p></article><footer>foot {i}</footer>"
+
+
+def test_the_count_alone_finds_menus_whose_words_change(spark):
+    rows = [(i, f"http://s.example/{i}", page_of_shop(i, "Buy now" if i % 2 else f"own {i}")) for i in range(30)]
+    rows += [(100 + i, f"http://few.example/{i}", page_of_shop(i, "x")) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    alone = {r.id: r for r in templates.main_text(pages, rules=False).collect()}
+    none = {r.id: r for r in templates.main_text(pages, rules=False, least_pages=1000).collect()}
+    both = {r.id: r for r in templates.main_text(pages).collect()}
+    for i in range(30):  # enough pages: rules change nothing that the count has not deleted
+        assert alone[i].text == both[i].text and "foot" not in alone[i].text and "Buy now" not in alone[i].text and f"story {i}" in alone[i].text
+        assert none[i].text != alone[i].text and none[i].text.startswith("m") and alone[i].n_counted > 0
+        assert (f"own {i}" in alone[i].text) == (i % 2 == 0)
+    assert "foot 1" in alone[101].text and "foot" not in both[101].text  # a host of few pages is left to the rules
+
+
+def test_counts_of_subtrees_against_brute_force(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page_of_shop(i, ["x", "y", f"z{i}"][i % 3])) for i in range(60)] + [(None, None, None), (1, "http://a.example/", "<p>q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    total, on, above, shapes = {}, {}, {}, {}
+    for _, url, html in rows:
+        host = templates.host_of(url)
+        pieces, own = templates.Page(html or "").subtrees()
+        total[host] = total.get(host, 0) + 1
+        for h in {h for h, _ in pieces}:
+            on[host, h] = on.get((host, h), 0) + 1
+        for h, a in pieces:
+            above.setdefault((host, h), set()).add(a)
+        for h in own:
+            shapes[host, h] = shapes.get((host, h), 0) + 1
+    enough = lambda host, n: n >= 5 and n >= 0.2 * total[host]
+    want = {k for k, n in on.items() if enough(k[0], n) and len(above[k]) >= 5} | {k for k, n in shapes.items() if enough(k[0], n)}
+    got = {(r.host, r.hash) for r in templates.templates(pages, least_pages=5, share=0.2).collect()}
+    assert got == want and len(want) > 8
+
+
 def test_templates_are_counted_by_pages(spark):
     table = "<table>" + "".join(f"<tr><td>row {i}</td><td>Yes</td></tr>" for i in range(12)) + "</table>"
     rows = [(0, "http://t.example/0", f"<body>{table}<p>the end</p></body>")]
