@@ -18,7 +18,11 @@ language, those with the smallest hash of their id; all other figures cover whol
 Nulls, empties, ties: a null text, or one without a letter, is `und` with score 0; rows whose
 language or id is null teach nothing but are predicted; equal code lengths go to the language
 first in code-point order; without any labelled row everything is `und`. Repeated rows are
-returned as often as they occur.
+returned as often as they occur; an empty table gives no row.
+
+The table is broadcast. Its size is bounded by the sample, not the corpus: contexts x columns x
+languages x 4 bytes, 17 MB for 4 languages, and up to some GB for hundreds; a fit whose table
+would exceed `most_bytes` is refused, with what to lower (the order, or the sample).
 """
 
 from __future__ import annotations
@@ -55,12 +59,16 @@ def _counted(texts: list[bytes], order: int) -> np.ndarray:
 class Model:
     """Frozen context trees of all languages."""
 
-    def __init__(self, counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], order: int):
+    def __init__(self, counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], order: int, most_bytes: int = 512 << 20):
         """counts: language -> k -> (sorted grams of k+1 bytes, their counts)."""
         self.languages = sorted(counts)
         self.order = order
         if not self.languages:
             return
+        rows = sum(len(np.unique(np.concatenate([own[k][0] >> 8 for own in counts.values() if k in own] or [np.zeros(0, np.int64)]))) for k in range(order + 1))
+        size = 4 * rows * 256 * len(self.languages)
+        if size > most_bytes:
+            raise ValueError(f"the model's table may take {size >> 20} MB, {most_bytes >> 20} are allowed: lower the order or per_language")
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         grams = [[counts[lang].get(k, empty) for lang in self.languages] for k in range(order + 1)]
         seen = np.unique(np.concatenate([g for g, _ in grams[0]]))

@@ -12,7 +12,8 @@ A document passes if repeats cover at most `most_covered` of its words' code poi
 longest repeat has at most `longest` words.
 
 Nulls, empties: a null text is an empty one, with all counts 0. Ids may be null or repeated;
-each row is judged alone. Memory follows the longest text: about 150 bytes a word of it.
+each row is judged alone, so ties and repeated rows change nothing. An empty table gives no
+row. Memory follows the longest text: about 150 bytes a word of it.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ the fingerprints that have the same anchor. Equal fingerprints are merged before
 
 Within an anchor's group no list of all pairs is made: a group of more than `_SMALL`
 fingerprints is linked through single-bit variants (two words at distance 2 or less
-share one), in linear time, and every task returns a spanning forest only.
+share one), in linear time, and every task returns a spanning forest only. An anchor that
+is home to more than `hot` fingerprints is split: each of its replicas goes to three keys,
+one for each six of the 18 bits that are not anchored, as two fingerprints that differ in
+two bits agree in one of the three. Hot anchors are at most `fingerprints / hot`.
 
 Nulls, empties, ties: a null or wordless text has fingerprint zero, which links like
 any other. Fewer words than a shingle: the whole sequence is the one shingle. Rows with
@@ -36,6 +39,10 @@ GOLAY = 0b101011100011
 BLOCK, RADIUS = 23, 3
 _SMALL = 64
 _CHUNK = 200_000
+#: Fingerprints with one home anchor, and rows with one fingerprint, from which they are split.
+HOT = 20_000
+#: Variants that are sorted at a time in a large group.
+_VARIANTS = 4_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -187,13 +194,23 @@ def _links(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int
 def _large(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within one large group. For threshold 2: words at distance 2 or less share a
     single-bit variant, and those that share one are no further apart than that."""
+    left, right = [], []
     if threshold == 2:
         flips = np.concatenate(([np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)))
-        keys = (fps[None, :] ^ flips[:, None]).ravel()
-        order = np.argsort(keys)
-        same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
-        return order[same + 1] % len(fps), order[same] % len(fps)
-    left, right = [], []
+        parts = np.uint64(-(-len(fps) * len(flips) // _VARIANTS))  # equal variants fall into one part
+        for part in range(int(parts)):
+            who, keys = [], []
+            for flip in flips:
+                own = fps ^ flip
+                held = np.flatnonzero(common.mix64(own) % parts == part) if parts > 1 else np.arange(len(fps))
+                who.append(held)
+                keys.append(own[held])
+            who, keys = np.concatenate(who), np.concatenate(keys)
+            order = np.argsort(keys)
+            same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+            left.append(who[order[same + 1]])
+            right.append(who[order[same]])
+        return np.concatenate(left), np.concatenate(right)
     for i in np.flatnonzero(home):
         hit = np.flatnonzero(_bits(fps ^ fps[i]) <= threshold)
         left.append(np.full(len(hit), i))
@@ -201,11 +218,41 @@ def _large(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
+def _split(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replicas with those of hot anchors dealt over three keys each; such keys are negative."""
+    if not len(hot):
+        return anchor, fps, home
+    place = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+    split = hot[place] == anchor
+    parts = [(anchor[~split], fps[~split], home[~split])]
+    for third in range(3):
+        bits = (fps[split] >> np.uint64(2 * BLOCK + 6 * third)) & np.uint64(63)
+        key = common.mix64(common.mix64(anchor[split].astype(np.uint64) * np.uint64(3) + np.uint64(third)) + bits)
+        parts.append(((key | np.uint64(1 << 63)).view(np.int64), fps[split], home[split]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _hot_anchors(distinct: DataFrame, hot: int) -> np.ndarray:
+    """Anchors that are home to more than `hot` fingerprints, ascending."""
+
+    def homes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            _, anchor, _ = anchors(batch.column(0).to_numpy().view(np.uint64), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
+
+    many = distinct.select("fp").mapInArrow(common.releasing(homes), "anchor long").groupBy("anchor").count().filter(F.col("count") > hot)
+    return np.sort(many.select("anchor").toArrow().column(0).to_numpy())
+
+
+def links(distinct: DataFrame, threshold: int = 2, hot: int = HOT) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that give the same components
     as all pairs of at most `threshold` differing bits."""
     if not 0 <= threshold <= 2:
         raise ValueError("threshold must be 0, 1 or 2: the anchors' patterns reach radius + 2")
+    spark = distinct.sparkSession
+    heavy = spark.sparkContext.broadcast(_hot_anchors(distinct, hot))
 
     def spread(batches):
         import pyarrow as pa
@@ -215,7 +262,8 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
             for at in range(0, len(fps), 4096):
                 part = fps[at : at + 4096]
                 who, anchor, home = anchors(part, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[who].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+                anchor, own, home = _split(anchor, part[who], home, heavy.value)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own.view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
     def forest(anchor, fps, home):
         import pyarrow as pa
@@ -276,13 +324,18 @@ def connected(edges: DataFrame, name: str = "simhash") -> DataFrame:
         state = now
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2, hot: int = HOT) -> DataFrame:
     """(id, fp, component): the fingerprint of each row and the smallest id that it is linked to,
-    directly or through others."""
+    directly or through others. Fingerprints that more than `hot` rows have (at most rows / hot) are
+    broadcast to their rows, which stay where they are."""
     own = common.materialise(fingerprints(df, id_col, text_col, shingle), "simhash-fp")
-    distinct = common.materialise(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = connected(links(distinct, threshold))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    distinct = common.materialise(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    roots = connected(links(distinct, threshold, hot))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component")
-    return own.join(by_fp, "fp").select("id", "fp", "component")
+    by_fp = common.materialise(rooted.join(smallest, "root").select("fp", "n", F.struct("component").alias("of")), "simhash-component")
+    often = F.broadcast(by_fp.filter(F.col("n") > hot).select("fp", F.col("of").alias("told")))
+    marked = own.join(often, "fp", "left")
+    there = marked.filter("told is not null").select("id", "fp", F.col("told.component").alias("component"))
+    rest = marked.filter("told is null").join(by_fp.filter(F.col("n") <= hot), "fp").select("id", "fp", F.col("of.component").alias("component"))
+    return there.unionByName(rest)

@@ -160,6 +160,7 @@ def test_simhash_components(spark, docs, none):
     for r in got:
         own = [ids[k] for k in range(len(ids)) if root[k] == root[ids.index(r.id)]]
         assert r.component == min((i for i in own if i is not None), default=None)
+    assert sorted(map(str, got)) == sorted(map(str, simhash.near_duplicates(docs, hot=1).collect()))
     assert simhash.near_duplicates(none).collect() == []
 
 
@@ -356,6 +357,40 @@ def test_against_sql(spark, name):
     assert rows(got.astype({c: float for c in floats})) == rows(want.astype({c: float for c in floats}))
 
 
+def test_very_long_pages_and_urls_and_repeated_rows(spark):
+    long = "<article>" + "<p>word </p>" * 60_000 + "</article>"
+    url = "http://h.example.net/" + "p/" * 100_000 + "?q"
+    rows = [(1, url, long), (1, url, long), (None, url, "<p>x"), (None, None, None), (2, "http://net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    text = sorted(((r.id, len(r.text)) for r in templates.main_text(pages).collect()), key=repr)
+    assert text == sorted([(1, 60_000 * 6 - 2), (1, 60_000 * 6 - 2), (None, 1), (None, 0), (2, 0)], key=repr)
+    rules = spark.createDataFrame([("net", "/p/p/", "block")], "host string, path string, action string")
+    got = sorted(((r.id, r.verdict, len(r.path)) for r in urlrules.judged(pages, rules).collect()), key=repr)
+    assert got == sorted([(1, "block", 200_001), (1, "block", 200_001), (None, "block", 200_001), (None, "allow", 0), (2, "allow", 1)], key=repr)
+
+
+def test_pipeline_of_an_empty_table(spark, none):
+    import corpus_pipeline
+
+    docs = none.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.collect() == []
+
+
+def test_pipeline_of_nulls_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    rows = [(None, None, None, None, None, 1), (1, "", None, None, 0, 2), (2, "The words of this text are English, and that is what they are for.", None, None, 1, 3), (None, "The words of this text are English, and that is what they are for.", "en", "s", 1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tie long")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        if i < 4:
+            assert docs.columns[-1] == "tie"
+            docs = common.materialise(docs, "t")
+    assert {r.doc_id for r in docs.collect()} <= {2, None} and docs.count() >= 1
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 

@@ -104,6 +104,25 @@ def test_group_links_give_the_components_of_all_pairs(size):
     assert np.array_equal(simhash.components(a, b, n), simhash.components(i, j, n))
 
 
+def test_large_groups_in_parts_and_split_anchors(monkeypatch):
+    r = np.random.default_rng(9)
+    fps = np.unique(np.uint64(77) ^ np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 6), replace=False)) for _ in range(300)], dtype=np.uint64))
+    n = len(fps)
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
+    want = simhash.components(i, j, n)
+    monkeypatch.setattr(simhash, "_VARIANTS", 3000)
+    a, b = simhash._large(fps, np.ones(n, bool), 2)
+    assert np.array_equal(simhash.components(a, b, n), want)
+    # every pair that an anchor joins is joined under one of its three keys
+    anchor, own, home = simhash._split(np.full(n, 5), fps, np.ones(n, bool), np.array([2, 5, 9]))
+    assert (anchor < 0).all() and len(anchor) == 3 * n
+    order = np.argsort(anchor, kind="stable")
+    a, b = simhash._links(anchor[order], own[order], home[order], 2)
+    index = np.searchsorted(fps, own[order])
+    assert np.array_equal(simhash.components(index[a], index[b], n), want)
+    assert simhash._split(np.array([1]), fps[:1], np.ones(1, bool), np.array([2, 5]))[0].tolist() == [1]
+
+
 def brute_code_length(counts, text, order):
     bits = 0.0
     for i, s in enumerate(text):
@@ -143,6 +162,12 @@ def test_ppm_code_lengths():
     assert model.predict([b"12 3", b"", b"abra"])[0] == ["und", "und", "a"]
 
 
+def test_ppm_table_is_bounded():
+    grams = np.arange(1000)
+    with pytest.raises(ValueError, match="lower the order"):
+        langid.Model({"a": {0: (grams[:256], np.ones(256, np.int64)), 1: (grams << 8, np.ones(1000, np.int64))}}, 1, most_bytes=1000)
+
+
 def test_ppm_without_labels():
     lang, score, _ = langid.Model({}, 3).predict([b"abc", b""])
     assert lang == ["und", "und"] and score.tolist() == [0, 0]
