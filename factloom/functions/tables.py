@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: chemical signs of a composition's header (fixed values)
 SIGNS = frozenset("Cu Ni Co Fe Zn Pb S As Sb Se Te Au Ag Pt Pd Rh Ru Ir Os SiO2 Al2O3 CaO MgO FeO Fe2O3 Fe3O4 TiO2 Cr2O3 MnO Na2O K2O Cl C P Mg Ca Al Si Mn Cr".split())
@@ -87,3 +88,39 @@ def grid_facts(cells: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return cells.groupBy("doc_id", "table_no").applyInPandas(run, SCHEMA)
+
+
+#: What a model that reads page images answers: tables of compositions (fixed format).
+ANSWER = "struct<tables: array<struct<phase: string, rows: array<struct<element: string, value: string, unit: string>>>>>"
+OXIDES = ("SiO2", "Al2O3", "CaO", "MgO", "FeO", "Fe2O3", "Fe3O4", "TiO2", "Cr2O3", "MnO", "Na2O", "K2O")
+
+
+def answered_facts(answers: DataFrame, check_text: bool = False) -> DataFrame:
+    """Facts of (doc_id, answer[, text]): a model's answers in JSON, which are not trusted. Numbers are
+    read by the rules of cells; what is no number, oxygen, and percents above 100 are left out; with
+    `check_text` also values that do not stand in the page's text. An answer that is no such JSON
+    gives no fact. JVM expressions only."""
+    rows = answers.withColumn("a", F.from_json("answer", ANSWER)).select("*", F.explode(F.coalesce("a.tables", F.array().cast("array<struct<phase:string,rows:array<struct<element:string,value:string,unit:string>>>>"))).alias("t"))
+    rows = rows.select("*", F.explode(F.coalesce("t.rows", F.array().cast("array<struct<element:string,value:string,unit:string>>"))).alias("r"))
+    said, name, raw = F.lower(F.trim(F.coalesce("t.phase", F.lit("")))), F.trim(F.coalesce("r.element", F.lit(""))), F.trim(F.coalesce("r.value", F.lit("")))
+    phase = F.lit(None).cast("string")
+    for word, canon in reversed(PHASES.items()):
+        phase = F.when(F.contains(said, F.lit(word)), canon).otherwise(phase)
+    part = lambda i: F.nullif(F.regexp_extract(raw, _RANGE.pattern, i), F.lit(""))
+    number = lambda i: F.regexp_replace(part(i), ",", ".").cast("double")
+    compare = F.lit("=")
+    for mark, canon in _COMPARE.items():
+        if mark:
+            compare = F.when(part(1) == mark, canon).otherwise(compare)
+    a, b = number(2), F.coalesce(number(3), number(2))
+    unit_said = F.lower(F.coalesce("r.unit", F.lit("")))
+    has = lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(unit_said, p))
+    unit = F.when(name.isin(*OXIDES), "pct").when(has("%", "мас", "wt", "pct"), "pct").when(has("г/т", "g/t"), "g_t").when(has("мг/л", "mg/l", "мг/дм"), "mg_L").when(has("ppm"), "ppm").otherwise("pct")
+    years = part(3).isNotNull() & a.between(1900, 2100) & b.between(1900, 2100)
+    canon = F.when(name.isin(*SIGNS), name).otherwise(F.translate(F.lower(name), "ё", "е"))
+    good = (name != "") & (name != "O") & part(2).isNotNull() & ~years & ~((unit == "pct") & (F.greatest(a, b) > 100))
+    if check_text:
+        good = good & F.contains(F.coalesce("text", F.lit("")), raw)
+    low, high = F.when(~compare.isin("<", "<="), a), F.when(~compare.isin(">", ">="), b)
+    quote = F.concat(F.lit("таблица состава"), F.coalesce(F.concat(F.lit(" ["), phase, F.lit("]")), F.lit("")), F.lit(" | "), name, F.lit(": "), raw)
+    return rows.filter(good).select("doc_id", canon.alias("canon"), F.lit("содержание").alias("metric"), unit.alias("unit_canon"), compare.alias("comparator"), low.alias("value_low"), high.alias("value_high"), phase.alias("phase"), F.lit(0.9).alias("confidence"), F.lit("vision_vl").alias("source"), quote.alias("quote"))

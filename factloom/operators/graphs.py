@@ -17,6 +17,38 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def nodes_of(nodes: DataFrame, label: str | None = None, key: str | None = None, **properties) -> DataFrame:
+    """Nodes (label, key, ...) by label, key and equal properties. Plain equalities, so that a
+    table partitioned by label and sorted by key is read at their places only."""
+    rows = nodes if label is None else nodes.filter(F.col("label") == label)
+    rows = rows if key is None else rows.filter(F.col("key") == key)
+    for name, value in properties.items():
+        rows = rows.filter(F.col(name).isNull() if value is None else F.col(name) == value)
+    return rows
+
+
+def optional(rows: DataFrame, edges: DataFrame, kind: str, at: str, name: str) -> DataFrame:
+    """Each row with the other end of its edges of a type, and once with null if it has none."""
+    own = edges.filter(F.col("type") == kind).select(F.col("src").alias("_src"), F.col("dst").alias(name)).distinct()
+    return rows.join(own, F.col(at) == F.col("_src"), "left").drop("_src")
+
+
+def upserted_nodes(before: DataFrame, new: DataFrame, on_create: tuple[str, ...] = (), order: str = "at") -> DataFrame:
+    """Nodes (label, key, properties) merged: one row a (label, key), new properties over old ones
+    unless they are null; those in `on_create` are kept once they are set. Of several new rows of a
+    node the last by `order` counts, property by property."""
+    properties = [c for c in new.columns if c not in ("label", "key", order)]
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", order)))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", order)))
+    rows = before.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    return rows.groupBy("label", "key").agg(*[(first if c in on_create else last)(c).alias(c) for c in properties], F.max(order).alias(order))
+
+
+def with_labels(nodes: DataFrame) -> DataFrame:
+    """One row a key, with all labels that it bears."""
+    return nodes.groupBy("key").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
 def neighborhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, hop) within `depth` hops of the start nodes (column node), the least hop."""
     if not 1 <= depth <= 3:

@@ -138,3 +138,8 @@ def marked_seen(subscriptions: DataFrame, user: str, query: str, at: Column) ->
 def audit_tail(events: DataFrame, limit: int = 500) -> DataFrame:
     """The last events."""
     return events.orderBy(F.col("ts").desc_nulls_last(), "event_id").limit(limit)
+
+
+def subscriptions_of(subscriptions: DataFrame, user: str) -> DataFrame:
+    """What a user follows."""
+    return subscriptions.filter(F.col("user") == user).orderBy("query")

@@ -112,6 +112,15 @@ def grouped(relations: DataFrame, confidences: DataFrame) -> DataFrame:
     return out.select(*keys, "n", "n_docs", "mean_confidence", "only_a", "shared")
 
 
+def upserted(before: DataFrame, new: DataFrame) -> DataFrame:
+    """One relation a (rel, documents, metric, entity, phase), the new one where both are."""
+    key = ["rel", "doc_a", "doc_b", "metric", "entity", "phase"]
+    rest = [c for c in new.columns if c not in key]
+    rows = before.select(*new.columns, F.lit(0).alias("_new")).unionByName(new.withColumn("_new", F.lit(1)))
+    one = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", *[c for c in rest if c not in ("quote_a", "quote_b")])).alias("r"))
+    return one.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def contradictions(relations: DataFrame, limit: int = 50) -> DataFrame:
     """Disagreements by kind and entity."""
     rows = relations.filter("rel = 'CONTRADICTS'")

@@ -472,6 +472,48 @@ def answer_graph(s, d):
     return graphs.answer_graph(_doc(s, d).filter("kg_value = 2"), rows, edges, places, _relations(s, d), ad.authors(s, d))
 
 
+def _nodes(s, d) -> DataFrame:
+    p = _par(s, d)
+    return p.select(F.col("label"), F.col("canon").alias("key"), F.col("phase"), F.col("unit_canon"), F.col("extracted_at").alias("at"))
+
+
+@query("SELECT key, phase, count(*) AS n FROM (SELECT label, canon AS key, phase FROM parameter) WHERE label='PROMO' AND key='Brand#5' AND phase='solid' GROUP BY 1,2")
+def node_seek(s, d):
+    """G01 S15"""
+    return graphs.nodes_of(_nodes(s, d), "PROMO", "Brand#5", phase="solid").groupBy("key", "phase").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, e.author AS expert FROM document d LEFT JOIN (SELECT DISTINCT doc_id, author FROM authors WHERE author<=20) e USING (doc_id)")
+def optional_expand(s, d):
+    """Documents with their authors, and those without"""
+    edges = ad.authors(s, d).filter("author <= 20").select(F.col("doc_id").alias("src"), F.col("author").alias("dst"), F.lit("AUTHORED_BY").alias("type"))
+    return graphs.optional(_doc(s, d).select("doc_id"), edges, "AUTHORED_BY", "doc_id", "expert")
+
+
+@query("""SELECT label, key, max("at") AS "at", arg_max(phase, (is_new, "at", phase)) FILTER (phase IS NOT NULL) AS phase, arg_min(first_unit, (is_new, "at", first_unit)) FILTER (first_unit IS NOT NULL) AS first_unit FROM
+  (SELECT label, canon AS key, CAST(max(extracted_at) AS TIMESTAMP) AS "at", max(phase) AS phase, min(unit_canon) AS first_unit, CASE WHEN metric='R' THEN 1 ELSE 0 END AS is_new FROM parameter GROUP BY label, canon, metric='R') GROUP BY 1,2""")
+def node_upsert(s, d):
+    """Properties over old ones, one kept from the first time"""
+    p = _par(s, d)
+    part = lambda rows: rows.groupBy("label", F.col("canon").alias("key")).agg(F.max("extracted_at").alias("at"), F.max("phase").alias("phase"), F.min("unit_canon").alias("first_unit"))
+    out = graphs.upserted_nodes(part(p.filter("metric <> 'R'")), part(p.filter("metric = 'R'")), on_create=("first_unit",))
+    return out.select("label", "key", F.col("at").cast("timestamp_ntz").alias("at"), "phase", "first_unit")
+
+
+@query("SELECT canon AS key, string_agg(DISTINCT label, '+' ORDER BY label) AS labels FROM parameter GROUP BY 1")
+def node_labels(s, d):
+    """G08"""
+    return graphs.with_labels(_nodes(s, d)).select("key", F.array_join("labels", "+").alias("labels"))
+
+
+@query("""SELECT rel, doc_a, doc_b, metric, entity, phase, max(v) AS val_a FROM (SELECT rel, doc_a, doc_b, metric, entity, phase, CASE WHEN entity<'Brand#2' THEN val_a+1 ELSE val_a END AS v FROM rel) GROUP BY ALL""", PAIRS_SQL.strip())
+def relation_upsert(s, d):
+    """Some relations come again with another value"""
+    old = _relations(s, d)
+    new = old.filter("entity < 'Brand#2'").withColumn("val_a", F.col("val_a") + 1)
+    return relations.upserted(old, new).select("rel", "doc_a", "doc_b", "metric", "entity", "phase", "val_a")
+
+
 @query("SELECT src, dst, type, doc_id, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM (SELECT canon AS src, label AS dst, metric AS type, doc_id, source FROM parameter) GROUP BY 1,2,3,4")
 def edge_upsert(s, d):
     """K08 A26 U08 K02"""

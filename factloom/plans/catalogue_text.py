@@ -245,3 +245,18 @@ def fact_lines(s, d):
     c = F.col
     rows = ad.parameter(s, d).join(ad.document(s, d), "doc_id")
     return rows.select("pkey", display.bullet(c("metric"), c("value_low"), c("value_high"), c("unit_canon"), c("phase"), c("quote"), c("doc_id"), c("name"), c("year")).alias("line"))
+
+
+ANSWERS = [
+    ("d1", '{"tables":[{"phase":"Медный штейн","rows":[{"element":"Cu","value":"45,5","unit":"%"},{"element":"никель","value":"20-25","unit":"г/т"},{"element":"O","value":"5","unit":"%"},{"element":"Fe","value":"<3","unit":null},{"element":"S","value":"240","unit":"%"},{"element":"Zn","value":"много"}]}]}'),
+    ("d2", "no json"),
+    ("d3", None),
+    ("d4", '{"tables":[]}'),
+    ("d5", '{"tables":[{"rows":[{"element":"SiO2","value":"1999-2001","unit":"ppm"},{"element":"SiO2","value":"12","unit":"ppm"}]}]}'),
+]
+
+
+@query("SELECT * FROM (VALUES ('d1','Cu','pct','=',45.5::DOUBLE,45.5::DOUBLE,'штейн'),('d1','никель','g_t','=',20.0,25.0,'штейн'),('d1','Fe','pct','<',NULL,3.0,'штейн'),('d5','SiO2','pct','=',12.0,12.0,NULL)) t(doc_id,canon,unit_canon,comparator,value_low,value_high,phase)", plain=True)
+def model_tables(s, d):
+    """A model's answers, checked"""
+    return tables.answered_facts(s.createDataFrame(ANSWERS, "doc_id string, answer string")).select("doc_id", "canon", "unit_canon", "comparator", "value_low", "value_high", "phase")

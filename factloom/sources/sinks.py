@@ -1,4 +1,4 @@
-"""Tables and reports out."""
+"""Tables and reports out."""
 
 from __future__ import annotations
 
@@ -30,6 +30,19 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def export_events(events: DataFrame, path: str) -> None:
+    """Events as JSON lines, in order of time over all files."""
+    events.repartitionByRange("ts").sortWithinPartitions("ts").write.mode("overwrite").json(path)
+
+
+def write_embeddings(vectors: DataFrame, path: str, dimension: int) -> None:
+    """(vec_id, embedding, ...): vectors of one length, without nulls; another one is an error of
+    the task that meets it."""
+    fits = F.coalesce((F.size("embedding") == dimension) & ~F.exists("embedding", lambda x: x.isNull()), F.lit(False))
+    checked = F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"not a vector of {dimension} numbers: "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")))))
+    vectors.withColumn("embedding", checked).sortWithinPartitions("vec_id").write.mode("overwrite").parquet(path)
+
+
 def with_places(documents: DataFrame, first_places: DataFrame) -> DataFrame:
     """A document's place, where none is known, from its first facility."""
     found = first_places.groupBy("doc_id").agg(F.min_by("geo", "sent_no").alias("_geo"))

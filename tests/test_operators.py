@@ -329,3 +329,92 @@ def test_files_in_and_out(spark, tmp_path):
     sinks.replace_version(rows, f"file://{tmp_path}/t", "1")
     assert sinks.latest(spark, f"file://{tmp_path}/t").count() == rows.count()
     assert sinks.violations(rows, ["k"]).filter("k is not null").count() == 0
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def chunks_of(body, most=1200):
+    import re
+
+    parts = []
+    for p in re.split(r"\n\s*\n", body or ""):
+        if p.strip(" "):
+            parts += [p.strip(" ")] if len(p) <= most else re.split(r"(?<=[.!?;])\s+", p.strip(" "))
+    out, now = [], ""
+    for x in parts:
+        if len(now) + len(x) + 1 > most:
+            out += [now] if now else []
+            now = x
+        else:
+            now = f"{now}\n{x}" if now else x
+    return out + ([now] if now else [])
+
+
+def test_chunks_of_a_whole_table(spark):
+    from factloom.plans import catalogue_text
+
+    got = {}
+    for r in catalogue_text.chunk_pack(spark, FOLDER).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    assert got == {r.doc_id: c for r in rows if (c := chunks_of(r.text))}
+
+
+def test_repeats_of_a_whole_table(spark):
+    from factloom.plans import adapters, catalogue_text
+
+    kept = {(r.doc_id, r.pos) for r in catalogue_text.either_key_dedup_all(spark, FOLDER).collect()}
+    docs = {}
+    for r in sorted(adapters.parameter(spark, FOLDER).collect(), key=lambda r: (r.doc_id, r.pkey, r.author)):
+        docs.setdefault(r.doc_id, []).append(r)
+    want = set()
+    for doc, own in docs.items():
+        values, quotes = set(), set()
+        for pos, r in enumerate(own, 1):
+            value, quote = (r.canon, r.metric, r.value_low, r.value_high, r.unit_canon), " ".join(r.quote.lower().split())[:120]
+            if value not in values and quote not in quotes:
+                want.add((doc, pos))
+                values.add(value)
+                quotes.add(quote)
+    assert kept == want
+
+
+def test_noise_of_a_whole_table(spark):
+    from factloom.plans import catalogue_text
+
+    rows = catalogue_text.sentence_split(spark, FOLDER).withColumn("reason", text.noise(F.col("sent"))).collect()
+    told = catalogue_text.noise_reasons(spark, FOLDER).collect()
+    assert sorted((r.doc_id, r.sent_no, r.reason or "") for r in told) == sorted((r.doc_id, r.sent_no, r.reason or "") for r in rows)
+    marks = set(".,;:%–—-/()°")
+    for r in rows:
+        dense = len(r.sent) >= 40 and sum(c.isdecimal() or c in marks for c in r.sent) > 0.4 * len(r.sent)
+        short = sum(len(w) >= 3 and w.isalpha() and w.isascii() for w in "".join(c if c.isalpha() else " " for c in r.sent).split())
+        assert not dense or r.reason in ("market", "garble") or "pH" in r.sent
+        assert r.reason != "no_verb" or short < 6
+
+
+def test_the_sample_is_the_same_in_any_order(spark):
+    from factloom.plans import adapters
+
+    rows = adapters.parameter(spark, FOLDER).select("pkey", "doc_id").distinct()
+    a, b = files.audit_sample(rows, 100).collect(), files.audit_sample(rows.repartition(7), 100).collect()
+    assert a == b and len({r.pkey for r in a}) == 100
+
+
+def test_settings_embeddings_and_exported_events(spark, tmp_path, monkeypatch):
+    from factloom.sources import settings
+
+    (tmp_path / "env").write_text("# no=1\nA = 'x y'\nB=2\n\nbroken\n")
+    path = str(tmp_path / "env")
+    assert settings.read(path) == {"A": "x y", "B": "2"} and settings.read(str(tmp_path / "none")) == {}
+    monkeypatch.setenv("B", "3")
+    assert settings.setting("B", path=path) == "3" and settings.setting("A", path=path) == "x y" and settings.setting("C", "d", path) == "d"
+    good = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "vec_id int, embedding array<float>")
+    sinks.write_embeddings(good, f"file://{tmp_path}/v", 2)
+    assert spark.read.parquet(f"file://{tmp_path}/v").count() == 2
+    with pytest.raises(Exception, match="not a vector of 3 numbers"):
+        sinks.write_embeddings(good, f"file://{tmp_path}/w", 3)
+    events = spark.createDataFrame([(dt.datetime(2024, 1, i), f"e{i}") for i in (3, 1, 2)], "ts timestamp, event string")
+    sinks.export_events(events, f"file://{tmp_path}/e")
+    assert [r.event for r in spark.read.json(f"file://{tmp_path}/e").orderBy("ts").collect()] == ["e1", "e2", "e3"]
