@@ -251,6 +251,23 @@ def digest(text, library=[]):
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_many_nested_paths_of_a_host(spark):
+    import random
+
+    r = random.Random(5)
+    step = lambda n: "".join(r.choice(["/", "a", "b", "é", "\U0010ffff"]) for _ in range(r.randint(0, n)))
+    hosts = ["net", "h.net", "x.h.net", "org"]
+    rules = {(r.choice(hosts), "/" + step(5)): r.choice(["allow", "block"]) for _ in range(400)}
+    urls = [f"s://{r.choice(['h.net', 'x.h.net', 'q.x.h.net', 'net', 'other', 'org'])}/{step(8)}" for _ in range(300)]
+    df = spark.createDataFrame([(h, p, a) for (h, p), a in rules.items()], "host string, path string, action string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {x.id: (x.rule, x.verdict) for x in urlrules.judged(pages, df).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u[4:].partition("/")
+        fits = [(len(h + p), len(h), h + p, a) for (h, p), a in rules.items() if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[i] == max(fits, default=(0, 0, None, "allow"))[2:], u
+
+
 def test_token_shards_of_a_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = q.table(spark, folder, "documents").collect()
