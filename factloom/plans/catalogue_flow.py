@@ -27,7 +27,7 @@ TEXTS = [("d1", "Содержание меди в шлаке составило
 
 
 @query(
-    """SELECT * FROM (VALUES ('d1','медь','содержание','pct',0.6::DOUBLE,0.6::DOUBLE,'шлак'),('d1','медь','температура','degC',60.0,80.0,NULL),('d2','никель','извлечение','pct',95.2,95.2,NULL)) t(doc_id,canon,metric,unit_canon,value_low,value_high,phase)""",
+    """SELECT * FROM (VALUES ('d1','медь','содержание','pct',0.6::DOUBLE,0.6::DOUBLE,'шлак'),('d1','электроэкстракция','температура','degC',60.0,80.0,NULL),('d2','никель','извлечение','pct',95.2,95.2,NULL)) t(doc_id,canon,metric,unit_canon,value_low,value_high,phase)""",
     plain=True,
 )
 def extract_facts(s, d):

@@ -35,6 +35,25 @@ PYRO = ("плавка", "взвешенная плавка", "конвертир
 BENEFICIATION = ("флотация", "магнитная сепарация", "гравитационное обогащение", "измельчение", "флотоконцентрирование")
 OTHER_DOMAIN = "гидрометаллургия"
 
+#: metric -> types of entities that it is measured on; other metrics: any of ENTITIES
+MEASURED_ON = {
+    "температура": ("Process", "Equipment", "Phase"),
+    "плотность тока": ("Process", "Equipment"),
+    "расход": ("Process", "Equipment"),
+    "производительность": ("Process", "Equipment", "Facility"),
+    "pH": ("Phase", "Process"),
+    "содержание": ("Material", "Phase"),
+    "концентрация": ("Material", "Phase"),
+    "извлечение": ("Material", "Process"),
+    "остаток": ("Material", "Phase"),
+}
+ENTITIES = ("Material", "Process", "Equipment", "Phase")
+#: what makes a temperature one of a material: it melts or boils
+MELTING = ("плавлен", "кипен")
+#: entities that a list of regimes hangs on, whatever stands between
+CARRIERS = ("Process", "Equipment")
+COMPOSITION = ("содержание", "концентрация")
+
 VERB = T.StructType([T.StructField("span_start", T.IntegerType()), T.StructField("span_end", T.IntegerType()), T.StructField("type", T.StringType())])
 
 
@@ -108,29 +127,62 @@ def is_output(mention: Column) -> Column:
     return F.translate(F.lower(mention["canon"]), "ё", "е").isin(*OUTPUTS)
 
 
+def _is_composition(value: Column) -> Column:
+    return F.coalesce(value["metric"].isin(*COMPOSITION), F.lit(False))
+
+
+def _enumerated() -> Column:
+    """In a list of compositions each value, from left to right, takes the nearest material that
+    none has taken: an array of (at, canon), empty where there are not two of each."""
+    values = F.filter("values", lambda v: _is_composition(v) & ~intruder(v, F.col("sent")))
+    materials = _of("Material")
+    nearest = lambda v, free: F.array_min(F.transform(free, lambda m: F.struct(_gap(v, m).alias("gap"), m["span_start"].alias("at"), m["canon"].alias("canon"))))
+    start = F.struct(materials.alias("free"), F.array().cast("array<struct<at:int,canon:string>>").alias("taken"))
+
+    def step(state: Column, v: Column) -> Column:
+        best = nearest(v, state["free"])
+        taken = F.when(F.size(state["free"]) > 0, F.array_append(state["taken"], F.struct(v["span_start"].alias("at"), best["canon"].alias("canon")))).otherwise(state["taken"])
+        return F.struct(F.filter(state["free"], lambda m: m["span_start"] != F.coalesce(best["at"], F.lit(-1))).alias("free"), taken.alias("taken"))
+
+    listed = (F.size(values) >= 2) & (F.size(materials) >= 2)
+    return F.when(listed, F.aggregate(values, start, step, lambda state: state["taken"])).otherwise(F.array().cast("array<struct<at:int,canon:string>>"))
+
+
 def facts_of(sentences: DataFrame) -> DataFrame:
-    """A fact for each value, its entity the material that the grammar read, else the
-    nearest mention without another value between: materials before processes and equipment, then
-    by distance. Values of compositions that are none are left out where the sentence lists as many
-    values as materials. The mentions of a sentence are ranked in the row, so nothing is shuffled."""
-    v = F.explode("values").alias("v")
-    rows = sentences.select("doc_id", "sent_no", "sent", "values", "mentions", v)
+    """A fact for each value. Its entity is the material that it takes in a list
+    of compositions; else the material that the grammar read, if the metric is one of materials; else the nearest mention of a type that
+    the metric is measured on, without another value between; else the nearest process or
+    equipment, whatever is between. In such a list, values that are no part of a composition are
+    left out. The mentions of a sentence are ranked in the row, so nothing is shuffled."""
+    listed = sentences.withColumn("taken", _enumerated())
+    rows = listed.select("doc_id", "sent_no", "sent", "values", "mentions", "taken", F.explode("values").alias("v"))
     value = F.col("v")
-    listed = (F.size("values") >= 2) & (F.size("values") == F.size(F.filter("mentions", lambda m: m["type"].isin("Material", "Phase"))))
-    rows = rows.filter(~(listed & F.coalesce(F.col("v.metric").isin("содержание", "концентрация"), F.lit(False)) & intruder(value, F.col("sent"))))
-    tier = lambda m: F.when(m["type"] == "Material", 0).when(m["type"] == "Phase", 2).otherwise(1)
-    usable = F.filter("mentions", lambda m: m["type"].isin("Material", "Process", "Equipment", "Phase") & ~foreign_between(value, m))
-    ranked = F.array_min(F.transform(usable, lambda m: F.struct(tier(m).alias("tier"), _gap(m, value).alias("gap"), m["span_start"].alias("at"), m["canon"].alias("canon"), m["type"].alias("type"))))
+    rows = rows.filter(~((F.size("taken") > 0) & _is_composition(value) & intruder(value, F.col("sent"))))
+    own = F.get(F.filter("taken", lambda t: t["at"] == F.col("v.span_start")), F.lit(0))["canon"]
+    melts = (F.col("v.metric") == "температура") & F.col("sent").rlike(rf"(?iU)температур\w*\s+(?:{'|'.join(MELTING)})")
+
+    def measured_on(kind: Column, others: Column) -> Column:
+        """Is the value's metric measured on this type of entity? `others`: what holds for other metrics."""
+        out = others
+        for metric, types in MEASURED_ON.items():
+            out = F.when(F.col("v.metric") == metric, kind.isin(*types)).otherwise(out)
+        return out | F.coalesce(melts & (kind == "Material"), F.lit(False))
+
+    fits = lambda m: measured_on(m["type"], m["type"].isin(*ENTITIES))
+    usable = F.filter("mentions", lambda m: fits(m) & (~foreign_between(value, m) | m["type"].isin(*CARRIERS)))
+    far = lambda m: F.when(foreign_between(value, m), 1).otherwise(0)
+    ranked = F.array_min(F.transform(usable, lambda m: F.struct(far(m).alias("far"), _gap(m, value).alias("gap"), m["span_start"].alias("at"), m["canon"].alias("canon"), m["type"].alias("type"))))
     measured = F.transform("v.conditions", lambda c: F.concat_ws(" ", c["kind"], c["value"].cast("string"), c["unit_canon"]))
     conditions = F.array_join(F.array_distinct(F.concat(F.array_sort(measured), F.array_sort(_canons("Condition")))), ", ")
     # The last phase of the clause before the value is its phase, where the grammar read none
     clause = F.length(F.regexp_extract(F.substring(F.col("sent"), F.lit(1), F.col("v.span_start")), r"(?s)^(.*[,;:—(])", 1))
     before = F.filter("mentions", lambda m: (m["type"] == "Phase") & (m["span_end"] <= F.col("v.span_start")) & (m["span_start"] >= clause))
     phase = F.coalesce("v.phase", F.get(before, F.size(before) - 1)["canon"])
-    out = rows.withColumn("near", ranked).select(
+    material = F.coalesce(own, F.when(measured_on(F.lit("Material"), F.lit(True)), F.col("v.material")))
+    out = rows.withColumns({"near": ranked, "material": material}).select(
         "doc_id",
-        F.when(F.col("v.material").isNotNull(), "Material").otherwise(F.col("near.type")).alias("label"),
-        F.coalesce("v.material", "near.canon").alias("canon"),
+        F.when(F.col("material").isNotNull(), "Material").otherwise(F.col("near.type")).alias("label"),
+        F.coalesce("material", "near.canon").alias("canon"),
         F.col("v.metric").alias("metric"),
         F.col("v.unit_canon").alias("unit_canon"),
         F.col("v.value_low").alias("value_low"),

@@ -242,10 +242,20 @@ def test_edges_of_texts(spark):
 
 
 def test_other_values_come_between(spark):
-    entries = gazetteer.checked([{"type": "Process", "canon": "обжиг", "aliases": ["обжиг"]}])
-    docs = spark.createDataFrame([("d", "Доля 10 % при 500 °C и ещё 7 г/т составляет обжиг вещества.")], "doc_id string, text string")
+    said = "Доля 10 % при 500 °C и ещё 7 г/т составляет {} вещества."
+    docs = spark.createDataFrame([("d", said.format("руда")), ("e", said.format("обжиг"))], "doc_id string, text string")
+    entries = gazetteer.checked([{"type": "Process", "canon": "обжиг", "aliases": ["обжиг"]}, {"type": "Material", "canon": "руда", "aliases": ["руда"]}])
     got = extraction.facts_of(extraction.sentence_facts(docs, entries)).collect()
-    assert [r.unit_canon for r in got] == ["g_t"]  # the others are cut off from the process
+    # the others are cut off from the material; a process bears them all
+    assert sorted((r.doc_id, r.canon, r.unit_canon) for r in got) == [("d", "руда", "g_t"), ("e", "обжиг", "degC"), ("e", "обжиг", "g_t"), ("e", "обжиг", "pct")]
+
+
+def test_lists_of_compositions(spark):
+    entries = gazetteer.checked([{"type": "Material", "canon": c, "aliases": [c], "symbols": [s]} for c, s in (("медь", "Cu"), ("никель", "Ni"), ("железо", "Fe"))] + [{"type": "Process", "canon": "обжиг", "aliases": ["обжиг"]}])
+    texts_ = ["Содержание составляет 45 % Cu, 20 % Ni, более 3 % Fe и так далее.", "Температура плавления меди составляет 1083 °C при давлении.", "Обжиг меди ведут, температура составляет 900 °C обычно."]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts_)], "doc_id string, text string")
+    got = sorted((r.doc_id, r.canon, r.value_low) for r in extraction.facts_of(extraction.sentence_facts(docs, entries)).collect())
+    assert got == [("0", "медь", 45.0), ("0", "никель", 20.0), ("1", "медь", 1083.0), ("2", "обжиг", 900.0)]
 
 
 def test_rich_text_and_sheets():
