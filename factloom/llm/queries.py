@@ -22,7 +22,7 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repetition.repetition(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(F.col("id").alias("doc_id"), *counts, failed.alias("base_failed"), (~failed & repetition.passes()).alias("kept"), "covered_chars", "longest_repeat")
+    return out.select(F.col("id").alias("doc_id"), *counts, failed.alias("base_failed"), (~failed & repetition.passes()).alias("kept"), "covered_chars", (F.col("longest_repeat") > repetition.LONGEST).alias("long_repeat"))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,21 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op1_repetition": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce({_SPLIT}, []) AS w FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+words AS (SELECT doc_id, unnest(list_transform(w, lambda x: length(x))) AS size, generate_subscripts(w, 1) AS i FROM d),
+chars AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS word_chars FROM words GROUP BY 1),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p+7], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-6)) AS p FROM d)),
+again AS (SELECT doc_id, k FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p+8)) AS i FROM win JOIN again USING (doc_id, k)),
+sums AS (SELECT doc_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS chars FROM covered JOIN words USING (doc_id, i) GROUP BY 1),
+long_ AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, md5(array_to_string(w[p:p+{repetition.LONGEST}], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-{repetition.LONGEST - 1})) AS p FROM d)) GROUP BY doc_id, k HAVING count(*) > 1),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(chars, 0) AS covered_chars, long_.doc_id IS NOT NULL AS long_repeat
+  FROM d JOIN lines USING (doc_id) LEFT JOIN chars USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN long_ USING (doc_id)),
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered_chars <= 0.3::DOUBLE * word_chars AND NOT long_repeat AS kept, covered_chars, long_repeat FROM g""",
     "op2_substrings": f"""
 WITH d AS (SELECT doc_id, coalesce({_SPLIT}, []) AS w FROM documents),
 win AS (SELECT doc_id, p, array_to_string(w[p:p+12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-11)) AS p FROM d)),

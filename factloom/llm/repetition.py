@@ -27,6 +27,8 @@ from factloom.llm import common
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _SLICE = 1 << 19
+#: Words of the longest repeat that passes.
+LONGEST = 100
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_chars", "longest_repeat")
 
 
@@ -143,6 +145,6 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.releasing(run), schema)
 
 
-def passes(most_covered: float = 0.3, longest: int = 100):
+def passes(most_covered: float = 0.3, longest: int = LONGEST):
     """The verdict on a row of repetition()."""
     return (F.col("covered_chars") <= most_covered * F.col("word_chars")) & (F.col("longest_repeat") <= longest)
