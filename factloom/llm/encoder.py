@@ -68,6 +68,13 @@ def _classed(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def width_of(path: str) -> int:
+    """Bytes of an id of a tokenizer file, without what encoding needs."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
 class Encoder:
     """`encode_all` gives the ids of texts. A worker remembers the ids of at most 2 * `most` units."""
 

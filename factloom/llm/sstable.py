@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import common
-from factloom.llm.encoder import Encoder
+from factloom.llm.encoder import Encoder, width_of
 
 MAGIC = b"FLSST001"
 _FOOTER = struct.Struct("<QQQQQBB8s")
@@ -276,7 +276,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     read, so that only ids are exchanged. A worker remembers the ids of at most twice
     `remembered` units (about 0.2 KB each); fewer cost time, not results."""
     bounds = _bounds(docs, id_col, shard_docs)
-    width = _encoder(tokenizer, remembered).width
+    width = width_of(tokenizer)
 
     def run(batches):
         import pyarrow as pa
