@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,14 +70,16 @@ def verbs_of(sentence: str) -> list[dict]:
     return sorted(out, key=lambda v: (v["span_start"], v["type"]))
 
 
-def reader(entries: list[gazetteer.Entry]):
-    """One pass of Python over sentences: a struct of values, mentions and verbs, in Arrow batches."""
-    matcher = gazetteer.Matcher(entries)
+def reader(spark: SparkSession, entries: list[gazetteer.Entry]):
+    """One pass of Python over sentences: a struct of values, mentions and verbs, in Arrow batches. The
+    dictionary is built once and broadcast; it is a closed list of some thousand entries."""
+    shared = spark.sparkContext.broadcast(gazetteer.Matcher(entries))
     kind = T.StructType([T.StructField("values", T.ArrayType(VALUE)), T.StructField("mentions", T.ArrayType(MENTION)), T.StructField("verbs", T.ArrayType(VERB))])
 
     @F.pandas_udf(kind)
     def read(sentence: pd.Series) -> pd.DataFrame:
-        rows = [([asdict(v) for v in grammar.parse(t)], matcher.match(t), verbs_of(t or "")) for t in sentence]
+        match = shared.value.match
+        rows = [([asdict(v) for v in grammar.parse(t)], match(t), verbs_of(t or "")) for t in sentence]
         return pd.DataFrame(rows, columns=["values", "mentions", "verbs"])
 
     return read
@@ -89,7 +91,7 @@ def sentence_facts(documents: DataFrame, entries: list[gazetteer.Entry], guard:
     rows = text.sentence_rows(documents, id_col, text_col)
     if guard:
         rows = rows.filter(text.noise(F.col("sent")).isNull())
-    read = rows.withColumn("read", reader(entries)("sent")).select("doc_id", "sent_no", "sent", "read.values", "read.mentions", "read.verbs")
+    read = rows.withColumn("read", reader(documents.sparkSession, entries)("sent")).select("doc_id", "sent_no", "sent", "read.values", "read.mentions", "read.verbs")
     return read.filter((F.size("values") > 0) | (F.size("mentions") > 0))
 
 
