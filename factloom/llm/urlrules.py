@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm import common
 
-#: Ranges of a sweep, and sampled places for each.
-RANGES, PER_RANGE = 256, 32
+#: Rows of a range of a sweep, about; ranges at most, and sampled places for each.
+RANGE_ROWS, RANGES, PER_RANGE = 200_000, 2048, 32
 
 
 def host_of(url: Column) -> Column:
@@ -100,7 +100,10 @@ def _split_points(places: DataFrame) -> list[tuple[bytes, int]]:
     """Places that cut the rows into ranges of about equal size, from a bounded sample. Long keys are
     cut short: a point need not be a place."""
     chance = F.xxhash64("salt", F.lit("sample"))  # not the salt itself, which is part of a place
-    most, n = RANGES * PER_RANGE, places.count()
+    n = places.count()
+    most = min(RANGES, n // RANGE_ROWS) * PER_RANGE
+    if not most:
+        return []
     # A cut at about twice the sample first, so that no task sends more than its share to the driver.
     cut = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 2 * most / max(1, n))))
     near = places.select(F.substring("key", 1, 256).alias("key"), "salt", chance.alias("chance")).filter(F.col("chance") <= F.lit(cut).cast("long"))
@@ -109,12 +112,12 @@ def _split_points(places: DataFrame) -> list[tuple[bytes, int]]:
 
 
 def _range_of(key: Column, salt: Column, points: list[tuple[bytes, int]]) -> Column:
-    """How many split points are at or before a place, in two steps of about sqrt(RANGES)."""
+    """How many split points are at or before a place, in two steps of about the root of their number."""
     if not points:
         return F.lit(0)
     place = F.struct(key.alias("key"), salt.alias("salt"))
     literal = lambda p: F.struct(F.lit(p[0]).alias("key"), F.lit(p[1]).cast("long").alias("salt"))
-    step = 16
+    step = int(len(points) ** 0.5) + 1
     groups = [points[i : i + step] for i in range(0, len(points), step)]
     coarse = F.array(*[literal(g[0]) for g in groups])
     fine = F.array(*[F.array(*[literal(p) for p in g]) for g in groups])

@@ -223,7 +223,8 @@ def test_decontamination(spark, docs, none):
     assert decontam.clean(docs, bench.limit(0)).count() == len(ROWS) and decontam.contamination(none, bench).collect() == []
 
 
-def test_url_rules_against_suffixes(spark):
+def test_url_rules_against_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "RANGE_ROWS", 20)
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("b.example.net", None, "block"), ("b.example.net", "/", "allow"), ("org", "/fr/", "allow"), (None, "/", "block"), ("x.org", "/", "block")]
     urls = [None, "", "nourl", "http://net", "http://net/", "https://A.NET/x?y#z", "http://example.net/en/1", "http://b.example.net/en/", "http://cnet/", "http://a.org/fr/", "http://x.org/fr/", "http://a..net/", "http://net./", "ftp://user@example.net/en/?q=/de/"] * 40
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
@@ -251,9 +252,10 @@ def digest(text, library=[]):
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_many_nested_paths_of_a_host(spark):
+def test_many_nested_paths_of_a_host(spark, monkeypatch):
     import random
 
+    monkeypatch.setattr(urlrules, "RANGE_ROWS", 10)
     r = random.Random(5)
     step = lambda n: "".join(r.choice(["/", "a", "b", "é", "\U0010ffff"]) for _ in range(r.randint(0, n)))
     hosts = ["net", "h.net", "x.h.net", "org"]
