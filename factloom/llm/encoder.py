@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import accumulate
 
 import numpy as np
 
@@ -75,6 +76,12 @@ def width_of(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
+def cut(data: bytes, sizes: list[int]) -> list[bytes]:
+    """Consecutive parts of these sizes."""
+    ends = list(accumulate(sizes))
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Encoder:
     """`encode_all` gives the ids of texts. A worker remembers the ids of at most 2 * `most` units."""
 
@@ -137,17 +144,19 @@ class Encoder:
         for i in missing:
             out[i] = self.old.get(units[i])
         missing_ = [i for i in missing if out[i] is None]
+        for i, ids in zip(missing_, self._fresh([units[i] for i in missing_])):
+            out[i] = ids
+        self.new.update((units[i], out[i]) for i in missing)
+        return out
+
+    def _fresh(self, units: list[bytes]) -> list[bytes]:
+        """The ids of units that are not remembered."""
         flat, size = array(self.code), []
-        for i in missing_:
-            ids = self._pieces(units[i])
+        for unit in units:
+            ids = self._pieces(unit)
             flat.extend(ids)
             size.append(len(ids))
-        data, at = flat.tobytes(), 0
-        for i, n in zip(missing_, size):
-            out[i] = data[at : at + n * self.width]
-            at += n * self.width
-        self.new.update((units[i], out[i]) for i in missing)
-        return out
+        return cut(flat.tobytes(), [n * self.width for n in size])
 
     # --- many texts ---
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
+from factloom.llm import bpe, common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Labelled documents of each language that the language model is fitted on, at most.
@@ -87,6 +87,13 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_counted")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = sstable.path_of("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), ranks), ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_token_shards": op9_token_shards,
     "op10_main_text": op10_main_text,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
 
