@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
+from factloom.llm import bpe, codes, common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Labelled documents of each language that the language model is fitted on, at most.
@@ -87,6 +87,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_counted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codes.compressed(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256 if books else codes.hashlib.sha256().hexdigest()).alias("codebooks_sha256"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = sstable.path_of("byte_bpe_multi_50k.tiktoken")
     out = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_token_shards": op9_token_shards,
     "op10_main_text": op10_main_text,
+    "op11_vector_codes": op11_vector_codes,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
@@ -119,6 +125,31 @@ _SPLIT = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _vector_codes_sql() -> str:
+    """Rounds of assigning and moving, one after the other."""
+    steps = ["""
+k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, label, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS x FROM k, range(4) t(p)),
+e0 AS MATERIALIZED (SELECT p, i, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM k ORDER BY vec_id LIMIT 256) USING (vec_id))"""]
+    for r in range(5):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, p, CAST(min(d) AS BIGINT) AS d, arg_min(i, (d, i)) AS i FROM
+  (SELECT v.vec_id, v.p, e.i, list_sum(list_transform(list_zip(v.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN e{r} e USING (p)) GROUP BY 1, 2)""")
+        if r < 4:
+            steps.append(f"""
+m{r} AS (SELECT p, i, j, CAST(sum(c) AS HUGEINT) AS s, count(*) AS n FROM (SELECT v.p, a.i, unnest(v.x) AS c, generate_subscripts(v.x, 1) AS j FROM v JOIN a{r} a USING (vec_id, p)) GROUP BY 1, 2, 3),
+e{r + 1} AS MATERIALIZED (SELECT p, i, coalesce(y, x) AS x FROM e{r} LEFT JOIN
+  (SELECT p, i, list(CAST(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END AS BIGINT) ORDER BY j) AS y FROM m{r} GROUP BY 1, 2) USING (p, i))""")
+    return f"""
+WITH {",".join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', i), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM e4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
+
+
 ORACLES: dict[str, str] = {
     "op1_repetition": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce({_SPLIT}, []) AS w FROM documents),
@@ -171,6 +202,7 @@ hits AS (SELECT doc_id, item_id, dw.size, p FROM dw JOIN bw ON dw.k = bw.k AND d
 covered AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p+size)) AS i FROM hits) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_vector_codes": _vector_codes_sql(),
     "op8_url_rules": r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
