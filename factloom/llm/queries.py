@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, codes, common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
+from factloom.llm import bpe, codes, collocations, common, decontam, langid, mixing, repetition, simhash, sstable, substrings, templates, urlrules, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Labelled documents of each language that the language model is fitted on, at most.
@@ -92,6 +92,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256 if books else codes.hashlib.sha256().hexdigest()).alias("codebooks_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = sstable.path_of("byte_bpe_multi_50k.tiktoken")
     out = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_shards": op9_token_shards,
     "op10_main_text": op10_main_text,
     "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
@@ -203,6 +208,18 @@ covered AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnes
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op11_vector_codes": _vector_codes_sql(),
+    "op12_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k) GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT lang, k, phrase, a, w, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.*, h.a AS l, t.a AS r, CAST(1000000::HUGEINT * cut.a * cut.a // (h.a::HUGEINT * t.a) AS BIGINT) AS score FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = head JOIN f t ON t.lang = cut.lang AND t.phrase = tail),
+best AS (SELECT lang, k, phrase, a, arg_min(l, (score, j)) AS l, arg_min(r, (score, j)) AS r, min(score) AS score FROM s GROUP BY 1, 2, 3, 4),
+inner_ AS (SELECT lang, phrase, max(more) AS more FROM (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, a AS more FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE k = 3 OR more IS NULL OR 100 * more < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000""",
     "op8_url_rules": r"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
