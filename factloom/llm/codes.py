@@ -49,30 +49,35 @@ class Codebook:
     def __init__(self, entries: np.ndarray):
         self.entries = entries
         self.order = np.argsort(-entries.astype(np.float64).var(axis=0), kind="stable")
-        self.lead = max(1, entries.shape[1] // 4)
+        self.lead = max(1, entries.shape[1] // 2)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) of the nearest entry to each row."""
         index, least = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        largest = max(int(np.abs(x).max(initial=0)), int(np.abs(self.entries).max(initial=0)))
+        kind = np.int32 if 4 * largest * largest * x.shape[1] < 1 << 31 else np.int64  # sums fit
+        table = np.ascontiguousarray(self.entries.T, kind)
         step = max(1, _BLOCK // len(self.entries))
         for lo in range(0, len(x), step):
-            index[lo : lo + step], least[lo : lo + step] = self._nearest(np.ascontiguousarray(x[lo : lo + step].T))
+            index[lo : lo + step], least[lo : lo + step] = self._nearest(np.ascontiguousarray(x[lo : lo + step].T, kind), table)
         return index, least
 
-    def _complete(self, x: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        return ((x - self.entries[entry].T) ** 2).sum(axis=0)
+    def _nearest(self, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x: dimensions by vectors; table: dimensions by entries."""
 
-    def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x: dimensions by vectors."""
-        n, table = x.shape[1], np.ascontiguousarray(self.entries.T)
-        sums = np.zeros((n, len(self.entries)), np.int64)
+        def complete(entry: np.ndarray) -> np.ndarray:
+            return ((x - table[:, entry]) ** 2).sum(axis=0, dtype=x.dtype)
+
+        n = x.shape[1]
+        sums = np.zeros((n, table.shape[1]), x.dtype)
         for d in self.order[: self.lead]:
             apart = x[d][:, None] - table[d]
             apart *= apart
             sums += apart
-        best = self._complete(x, sums.argmin(axis=1))
-        row, entry = np.nonzero(sums <= best[:, None])  # by row, then by entry
-        sums = sums[row, entry]
+        best = complete(sums.argmin(axis=1))
+        at = np.flatnonzero(sums <= best[:, None])  # by row, then by entry
+        row, entry = np.divmod(at.astype(np.int32), np.int32(table.shape[1]))
+        sums = sums.ravel()[at]
         rest = self.order[self.lead :]
         for i, d in enumerate(rest):
             sums += (x[d][row] - table[d][entry]) ** 2
@@ -81,7 +86,7 @@ class Codebook:
                 lowest = np.minimum.reduceat(sums, starts)
                 hit = np.flatnonzero(sums == lowest[row])
                 _, first = np.unique(row[hit], return_index=True)
-                best = np.minimum(best, self._complete(x, entry[hit[first]]))
+                best = np.minimum(best, complete(entry[hit[first]]))
             alive = sums <= best[row]
             row, entry, sums = row[alive], entry[alive], sums[alive]
         least = np.minimum.reduceat(sums, np.searchsorted(row, np.arange(n)))
