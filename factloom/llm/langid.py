@@ -12,13 +12,16 @@ context that any language saw), column = byte, entry = one code length per langu
 whole text is coded by array look-ups. Bytes that no language saw all cost the same and share
 a column; this is exact, as is passing unseen contexts on to their suffix.
 
-The model is fitted on a bounded sample: at most `per_language` labelled documents of each
-language, those with the smallest hash of their id; all other figures cover whole texts.
+The model is fitted on a bounded sample of labelled rows: at most `per_language` different ones of
+each language, those with the smallest hashes of id and text, and at most `language_bytes` bytes of
+them (one row at least). All other figures cover whole texts.
 
 Nulls, empties, ties: a null text, or one without a letter, is `und` with score 0; rows whose
 language or id is null teach nothing but are predicted; equal code lengths go to the language
 first in code-point order; without any labelled row everything is `und`. Repeated rows are
-returned as often as they occur; an empty table gives no row.
+returned as often as they occur, and teach as one; rows of one id with different texts are different
+rows; every language that has a row is learned. A very long text is coded in pieces. An empty table
+gives no row. Columns may have any names.
 
 The table is broadcast. Its size is bounded by the sample, not the corpus: contexts x columns x
 languages x 4 bytes, 17 MB for 4 languages, and up to some GB for hundreds; a fit whose table
@@ -156,21 +159,39 @@ def _letter(text: bytes) -> bool:
     return not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, per_language: int = 400, seed: int = 11) -> Model:
-    """Count the trees over the sampled documents, in Spark, and collect the counts: their
-    number is bounded by the sample."""
+def sampled(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, language_bytes: int = 32 << 20, seed: int = 11) -> DataFrame:
+    """(lang, text): at most `per_language` different rows of each language, those with the smallest
+    hashes of id and text, fewer if they pass `language_bytes` together (one at least; texts longer
+    than that come last). Rows that are equal in id and text count once, whatever their number."""
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"))
-    # Hashes are spread evenly, so a cut at twice the share asked for leaves about twice as many of each
-    # language, and their rows in order are few, however large the language is.
-    size = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not size:
-        return Model({}, order)
-    low, whole = -(1 << 63), 1 << 64
-    cut = {lang: min((1 << 63) - 1, low + int(whole * min(1.0, (2 * per_language + 100) / n))) for lang, n in size.items()}
-    near = keys.filter(F.col("key") <= _by_language(cut)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
-    last = {r.lang: r.key for r in near.filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("key").alias("key")).collect()}
-    sample = known.withColumn("_key", F.xxhash64(F.col(id_col), F.lit(seed))).select(F.col(lang_col).alias("lang"), "_key", F.col(text_col).alias("text")).filter(F.col("_key") <= _by_language(last))
+    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("key"), F.col(text_col).alias("text"))
+    # Hashes are spread evenly over different rows, so a cut at twice the share asked for leaves about
+    # twice as many of each language, however large it is; a language of which too few pass is cut again.
+    size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    share = {lang: min(1.0, (2 * per_language + 100) / max(1, n)) for lang, n in size.items()}
+    found = None
+    while share:
+        low, whole = -(1 << 63), 1 << 64
+        cut = {lang: min((1 << 63) - 1, low + int(whole * part)) for lang, part in share.items()}
+        near = rows.filter(F.col("key") <= _by_language(cut)).groupBy("lang", "key").agg(F.first("text").alias("text"))
+        near = common.materialise(near, "language-sample")
+        enough = {r.lang: r.n for r in near.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        share = {lang: min(1.0, 8 * part) for lang, part in share.items() if part < 1 and enough.get(lang, 0) < per_language}
+        near = near.filter(~F.col("lang").isin(list(share)))
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return rows.select("lang", "text").limit(0)
+    bytes_ = F.octet_length("text")
+    order = Window.partitionBy("lang").orderBy(bytes_ > language_bytes, "key")
+    before = F.coalesce(F.sum(bytes_).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = found.select("lang", "text", F.row_number().over(order).alias("rank"), (before + bytes_).alias("upto"))
+    return ranked.filter((F.col("rank") == 1) | (F.col("rank") <= per_language) & (F.col("upto") <= language_bytes)).select("lang", "text")
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, per_language: int = 400, language_bytes: int = 32 << 20, seed: int = 11) -> Model:
+    """Count the trees over the sampled documents, in Spark, and collect the counts: their
+    number is bounded by the sample. Every language with a row is learned."""
+    sample = sampled(labelled, id_col, text_col, lang_col, per_language, language_bytes, seed)
 
     def count(batches):
         import pyarrow as pa
@@ -182,7 +203,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 gram, k, n = _counted([t for t, x in zip(texts, langs) if x == lang], order)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(k), pa.array(n)], ["lang", "gram", "k", "n"])
 
-    sums = sample.select("lang", "text").mapInArrow(common.releasing(count), "lang string, gram long, k long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(common.releasing(count), "lang string, gram long, k long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     table = sums.toArrow().to_pandas()
     counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     for (lang, k), part in table.groupby(["lang", "k"]):
