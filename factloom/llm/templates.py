@@ -15,7 +15,9 @@ of the host; whole subtrees must have `least_pages` surroundings too.
 
 Pass 2 deletes template subtrees first. What the count cannot know (hosts of few pages, rare
 pieces) is then deleted by `rules`: elements whose tag, role, class or id says menu, header,
-footer, sidebar, notice, advert, form or comments, and what stands beside the article. Scripts,
+footer, sidebar, notice, advert, form or comments, and what stands beside the article. A class or
+id says so by a word that stands alone or beside words of place (`ad-slot`), not as a part of
+another name (`share-price`, `related-work`). Scripts,
 styles and comments in the markup always go. Protected from the count are subtrees with half of
 the content's text or more, and, where the page says what its article is, single paragraphs,
 headings, items and cells of it. What is left is put out in blocks.
@@ -47,18 +49,21 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript".split())
+RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption summary".split())
 #: A start of the first ends an open element of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 
-GONE_TAGS = frozenset("nav footer aside form button select input label dialog menu template object applet svg canvas math audio video map head search".split())
+GONE_TAGS = frozenset("nav footer aside form button select input dialog menu template object applet svg canvas audio video map head search".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 GONE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription widget widgets pagination pager skip masthead".split()
 )
 
+#: What may stand beside such a word in a hyphened name: `ad-slot` is an advert, `share-price` is not.
+PLACE_WORDS = frozenset("area bar block body bottom box button buttons card col column container content footer form group header icons inline inner item items layer left line link links list main news outer page panel policy post posts right row section signup site slot space top unit wrap wrapper zone".split())
+
 #: What may stand in a head; the start of any other element ends an open one.
 HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
 
@@ -68,11 +73,21 @@ HEADED = frozenset("article post entry story content title".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|\Z)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"\S+")
 _HOST = re.compile(r"://([^/?#]*)")
 _DIGITS = re.compile(rb"[0-9]+")
 _LAST: dict[str, re.Pattern] = {}
 
 
+def says_gone(names: str) -> bool:
+    """Is one of the class names (or ids) a word for what goes, alone or with words of place only?"""
+    for name in _NAME.findall(names):
+        words = _WORD.findall(name)
+        if not GONE_WORDS.isdisjoint(words) and all(w in GONE_WORDS or w in PLACE_WORDS or len(w) == 1 for w in words):
+            return True
+    return False
+
+
 def host_of(url: str | None) -> str:
     found = _HOST.search(url or "")
     return found[1].lower() if found else ""
@@ -162,6 +177,14 @@ class Page:
                 if name not in _LAST:
                     _LAST[name] = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I)
                 last = _LAST[name].search(html, at)
+                if name == "xmp":  # shown as it stands
+                    flush()
+                    plain = html[at : last.start() if last else end]
+                    if plain.strip():
+                        block.append((stack[-1], plain))
+                        self.size[stack[-1]] += len(plain)
+                        parts[stack[-1]].append(plain.encode("utf-8", "surrogatepass"))
+                    flush()
                 at = last.end() if last else end
                 continue
             inline = name not in BLOCK
@@ -186,7 +209,7 @@ class Page:
                 if name == "br":
                     block.append((stack[-1], " "))
                 continue
-            gone = name in GONE_TAGS
+            gone = name in GONE_TAGS or name == "noscript" and not self.rooted[stack[-1]]
             mark = root = ""
             if attributes and not attributes.isspace():
                 for attribute in _ATTRIBUTE.finditer(attributes):
@@ -200,7 +223,7 @@ class Page:
                     else:
                         words = _WORD.findall(value)
                         if name not in ("body", "html", "article", "main") or key == "class" and name == "article":
-                            gone |= not GONE_WORDS.isdisjoint(words)
+                            gone |= says_gone(value)
                             gone |= "header" in words and not self.rooted[stack[-1]] and HEADED.isdisjoint(words)
                         mark += f" {value}"
             if inline and not gone:

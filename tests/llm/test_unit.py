@@ -278,6 +278,24 @@ def test_main_text_of_pages():
         assert templates.Page(html).text(()) == want, html
 
 
+def test_names_that_only_hold_a_word_keep_their_text():
+    inside = {
+        '<section id="related-work">w</section>': "w",
+        '<div class="share-price">w</div>': "w",
+        '<div class="social-history">w</div>': "w",
+        '<section class="menu-of-the-day">w</section>': "w",
+        "<p>a <math><mi>x</mi></math></p>": "a x",
+        "<p>a <label>l</label></p>": "a l",
+        "<p>a <noscript>n</noscript></p>": "a n",
+        "<p>a</p><xmp><b>raw &amp;</b></xmp><p>c</p>": "a\n\n<b>raw &amp;</b>\n\nc",
+        '<p>a</p><div class="ad-slot top">w</div><div class="x comment-list">w</div><div id="cookie-banner">w</div>': "a",
+    }
+    for html, want in inside.items():
+        for name in ("article", "main"):
+            assert templates.Page(f"<nav>n</nav><{name}>{html}</{name}>").text(()) == want, html
+    assert templates.Page("<noscript>Enable it</noscript><p>x</p>").text(()) == "x"
+
+
 def test_open_head_ends_where_the_body_begins():
     cases = {
         "<html><head><title>t</title><meta charset=utf-8><body><article><p>x</article>": "x",
