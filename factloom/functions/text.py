@@ -3,42 +3,19 @@ F22-F24, F30, E13, W14). All are JVM expressions but for those that say otherwis
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.guards import LINE_MARKS, LINE_PARTS, apparatus, junk_author, kill_lines, noise, number_lines  # noqa: F401
+
 # --- fixed values: words that the guards and the classes go by ------------------
-# In these lists `*` goes on in the word, `#` is a digit, a space is any white space or none.
-
-#: A line with one of these is apparatus, not text.
-LINE_MARKS = ("УДК", "ГРНТИ", "ISSN", "ISBN", "DOI", "eLIBRARY", "EDN")
-LINE_PARTS = ("doi.", "doi:", "dx.doi", "http://", "https://", "www.", "©", "email", "e-mail")
-#: Money, markets and change: what tells market statistics from measurements.
-SCALES = ("млрд", "млн", "тыс")
-CURRENCIES = ("долл", "дол", "руб", "евро", "USD")
-PRICES = ("долл / т", "долл. / т", "долл. США / т", "долларов / т", "долларов США / т", "цент за фунт", "центов за фунт", "долл / унц*", "долл. / унц*")
-MARKET = ("рынк*", "рыноч*", "цена", "цены", "цене", "продаж*", "экспорт*", "импорт*", "прогноз*", "квартал*", "выручк*", "спрос*", "потреблени*", "поставк*", "котиров*", "биржев*", "LME", "производство в мире", "производства в мире", "мировое производств*", "мирового производств*")
-CHANGES = ("рост", "вырос", "вырастет", "снизил", "снизится", "снижени", "увеличил", "увеличится", "увеличени", "сократил", "сократится", "сокращени", "упал", "упадет", "падени", "составил", "составит", "прирост", "подорожа", "подешеве")
-CHANGES_AFTER = ("рост", "снижени", "увеличени", "сокращени", "прирост")
-AGAINST = ("к", "против", "относительно")
-#: Units that stand in columns of numbers.
-COLUMN_UNITS = ("°C", "°С", "оC", "оС", "%", "МПа", "кПа", "ГПа", "мм", "см", "мкм", "нм", "км", "кг", "мг", "т", "г/*", "кВт", "МВт", "ГВт", "м3", "м³", "м2", "м²", "мин", "ч", "об/мин", "А", "В", "Гц")
-LINE_UNITS = ("°C", "°С", "оC", "оС", "%", "МПа", "мм", "см", "м", "кг", "т", "ч", "мин")
-#: Ends of Russian verbs and short participles, stems and words of verbs.
-VERB_ENDS = ("ет", "ют", "ит", "ат", "ят", "ется", "ится", "ются", "атся", "лся", "лась", "лось", "лись", "ли", "ла", "ло", "ен", "ена", "ено", "ены", "ан", "ана", "ано", "аны")
-VERBS = ("составля*", "содерж*", "равн*", "достига*", "показа*", "получ*", "приведен*", "использ*", "применя*", "снижа*", "повыша*", "обеспечива*", "является", "имеет", "был", "была", "было", "были", "будет", "может", "следует", "наблюда*")
-VERBS_EN = ("is", "are", "was", "were", "has", "have", "be", "been")
-#: Parts of nouns of measurement, in lower case: a sentence with one holds a fact without a verb.
-MEASURED = ("одержан", "емператур", "давлени", "асход", "онцентрац", "звлечен", "лотност", "корост", "рочност", "лажност", "рупност", "тепень", "тепени", "апряжени", "лубин")
-MEASURED_WHOLE = ("выход", "рН", "pH")
-SYMBOLS = ("Fe", "Ni", "Cu", "Co", "Au", "Ag", "Pt", "Pd", "Zn", "Pb", "Al", "Mg", "Si", "Ca", "Ti", "Cr", "Mn", "As", "Se", "Te", "Sb", "Bi", "Sn", "Cd", "Mo", "W", "V", "S")
 ANCHOR = r"^\s*(?:УДК\s*[\d\[]|Для цитирования:)"
 ECONOMIC = r"^\s*УДК\s*\[?3[23]"
 RUBRICS = ("ЭКОНОМИКА И УПРАВЛЕНИЕ ПРОИЗВОДСТВОМ", "НОВОСТИ", "ХРОНИКА", "НАШИ ЮБИЛЯРЫ", "ПОЗДРАВЛЯЕМ", "РЕКЛАМА", "ИНФОРМАЦИЯ")
 
-#: Type of document -> what its text or name holds; the first that fits wins.
+#: Type of document -> what its text or name holds; the first that fits wins. `*` goes on in the word,
+#: `#` is a digit, a space is any white space or none.
 DOC_TYPES = {
     "patent": ("патент", "RU ######*", "МПК", "заявка №", "приоритет от", "(51) Int Cl", "(51) Int. Cl", "IPC"),
     "standard": ("ГОСТ", "ТУ 20*", "СП #*", "СанПиН", "стандарт организации", "СТО", "стандарт"),
@@ -50,6 +27,9 @@ DOC_TYPES = {
 }
 
 
+PAGE_NUMBER = r"^\s*\d{1,4}\s*$"
+
+
 def any_of(words: tuple[str, ...], flags: str = "iuU") -> str:
     """A pattern of whole words and phrases written as above."""
 
@@ -62,10 +42,6 @@ def any_of(words: tuple[str, ...], flags: str = "iuU") -> str:
     return f"(?{flags})(?:{'|'.join(map(one, words))})"
 
 
-def begins(words: tuple[str, ...]) -> str:
-    return f"(?:{'|'.join(words)})"
-
-
 # --- normalisation --------------------------------------------------------------
 
 
@@ -80,22 +56,50 @@ def nfc():
     return compose
 
 
+#: Parts of adjectives that are written with a hyphen (fixed values).
+COMPOUNDS = (
+    "медно никелевый физико химический серно кислый окислительно восстановительный жидко твёрдый твердый газо жидкостный тепло массообмен электро гидро металлургический пиро цветной кобальто содержащий железо марганцево хромо титано рудно термический"
+).split()
+
+
 def degrees(text: Column) -> Column:
-    """The spellings of degrees Celsius as one, in JVM expressions."""
-    out = F.regexp_replace(text, "[℃]", "°C")
-    out = F.regexp_replace(out, "[°º˚]\\s*[СC](?![А-Яа-яA-Za-z])", "°C")
-    return F.regexp_replace(out, "(?<=\\d)\\s?[оo][СC](?![А-Яа-яA-Za-z])", " °C")
+    """The spellings of degrees Celsius as one: a degree sign, or an o or zero after a number."""
+    out = F.regexp_replace(text, "℃", "°C")
+    out = F.regexp_replace(out, r"(?<=\d)(\s*)[°º˚]\s*[СCсc]", "$1°C")
+    out = F.regexp_replace(out, r"(?<=\d)(\s*)[оo0][СC](?![\p{L}\d_])", "$1°C")
+    return F.regexp_replace(out, r"[°º˚]\s*[СCсc](?![\p{L}\d_])", "°C")
+
+
+def unit_letters(text: Column) -> Column:
+    """In a token that holds a Latin letter or a sign of units, and no run of three Cyrillic
+    letters, a Cyrillic C is a Latin one."""
+    parts = F.regexp_extract_all(text, F.lit(r"([A-Za-zА-Яа-яЁё0-9]+(?:[/·^²³°.\-][A-Za-zА-Яа-яЁё0-9]+)*|[^A-Za-zА-Яа-яЁё0-9]+)"), 1)
+    unit = lambda t: t.rlike("[A-Za-z/·^²³°]") & ~t.rlike("[А-Яа-яЁё]{3}")
+    return F.array_join(F.transform(parts, lambda t: F.when(unit(t), F.translate(t, "Сс", "Cc")).otherwise(t)), "")
 
 
 def dehyphenated(text: Column) -> Column:
-    """Words split at a line's end are joined."""
-    return F.regexp_replace(text, "(\\p{L}{2,})-\\n\\s*(\\p{Ll}{2,})", "$1$2")
+    """Words split at a line's end are joined; between two parts of a compound the hyphen stays."""
+    part = f"(?:{'|'.join(COMPOUNDS)})"
+    kept = F.regexp_replace(text, rf"(?iu)(?<!\p{{L}})({part})-[ \t]*\n[ \t]*(?=\p{{Ll}})({part})(?!\p{{L}})", "$1-$2")
+    return F.regexp_replace(kept, r"(\p{L})-[ \t]*\n[ \t]*(\p{Ll})", "$1$2")
 
 
 def normalised(text: Column) -> Column:
-    """One spelling of degrees, of line ends and of words split at them (composition of
-    Unicode is X01's)."""
-    return dehyphenated(degrees(F.regexp_replace(text, "\\r\\n?", "\n")))
+    """One spelling of degrees, of units, of line ends and of words split at them (composition
+    of Unicode is X01's)."""
+    return unit_letters(degrees(dehyphenated(F.regexp_replace(text, "\\r\\n?", "\n"))))
+
+
+def normalised_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text) from lines (doc_id, page_no, line_no, line): without running
+    lines and page numbers at a page's ends, then as `normalised`. A page that loses all its lines
+    stays, empty."""
+    rows = without_running_lines(pages, edges_only=True)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    kept = rows.groupBy("doc_id", "page_no").agg(lines.alias("text"))
+    every = pages.select("doc_id", "page_no").distinct()
+    return every.join(kept, ["doc_id", "page_no"], "left").select("doc_id", "page_no", normalised(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def normal_line(line: Column) -> Column:
@@ -181,14 +185,35 @@ def doc_type(text: Column, name: Column) -> Column:
     return out
 
 
+#: What stands before a field of a patent (fixed values), in lower case.
+PATENT_LABELS = {"ipc": ("мпк", "ipc", "(51) int. cl.", "(51) int cl.", "(51) int.cl.", "(51) int cl"), "applicant": ("заявитель", "патентообладатель", "applicant"), "priority_date": ("приоритет от",)}
+
+
+def _labelled(text: Column, labels: tuple[str, ...]) -> Column:
+    """What follows the first of the labels that the text has, up to the line's end."""
+    low = F.lower(text)
+    places = F.array(*[F.struct(F.when(F.instr(low, label) > 0, F.instr(low, label)).alias("at"), F.lit(-len(label)).alias("size")) for label in labels])
+    first = F.array_min(F.filter(places, lambda p: p["at"].isNotNull()))
+    return F.ltrim(F.substring_index(F.ltrim(F.substring(text, first["at"] - first["size"], F.length(text)), F.lit(" :\t")), "\n", 1))
+
+
 def patent_meta(text: Column) -> Column:
     """Number, class, applicant and priority that a patent names; null where it does not."""
-    part = lambda pattern: F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?iu){pattern}", 1)), F.lit(""))
+    whole = F.coalesce(text, F.lit(""))
+    filled = lambda value: F.nullif(F.trim(value), F.lit(""))
+    words = F.split(F.upper(whole), r"[^\p{L}\d]+")
+    digits = lambda w: F.length(F.translate(w, "0123456789", "")) == 0
+    long = lambda w: digits(w) & (F.length(w) >= 6)
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when((a == "RU") & long(b), F.concat(F.lit("RU "), b)).when(F.startswith(a, F.lit("RU")) & long(F.substring(a, 3, 99)), a))
+    group = F.split(_labelled(whole, PATENT_LABELS["ipc"]), r"[\s,;]+")
+    main, sub = F.get(group, F.lit(0)), F.coalesce(F.get(group, F.lit(1)), F.lit(""))
+    classed = F.when(F.length(F.translate(main, "0123456789", "")) < F.length(main), main)
+    day = F.regexp_extract(_labelled(whole, PATENT_LABELS["priority_date"]), "^[0-9][0-9./-]*", 0)
     return F.struct(
-        part(r"(?<!\w)(RU\s?\d{6,})").alias("number"),
-        part(r"(?:МПК|IPC|\(51\)\s*Int\.?\s*Cl\.?)[\s:]*([A-ZА-Я]\d\d[A-ZА-Я]?(?:\s?\d+)?(?:/\d+)?)").alias("ipc"),
-        part(r"(?:заявитель|патентообладатель|applicant)[\s:]*([^\n]{3,120})").alias("applicant"),
-        part(r"приоритет\s+от[\s:]*(\d[\d./-]{5,9})").alias("priority_date"),
+        F.get(F.filter(pairs, lambda x: x.isNotNull()), F.lit(0)).alias("number"),
+        filled(F.when(F.substring(sub, 1, 1).between("0", "9"), F.concat(classed, F.lit(" "), sub)).otherwise(classed)).alias("ipc"),
+        filled(F.substring(_labelled(whole, PATENT_LABELS["applicant"]), 1, 120)).alias("applicant"),
+        filled(day).alias("priority_date"),
     )
 
 
@@ -204,76 +229,7 @@ def base_name(path: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_extract(path, "([^/\\\\]*)$", 1), "\\.[^.]{1,5}$", ""), 1, 80)
 
 
-# --- guards ---------------------------------------------------------------------
-
-
-def apparatus(line: Column) -> Column:
-    """is a line of references, addresses or a running head?"""
-    low = F.lower(line)
-    marked = line.rlike(any_of(LINE_MARKS)) | low.rlike(r"@[a-z0-9.-]+\.[a-z]{2,}")
-    for part in LINE_PARTS:
-        marked = marked | F.contains(low, F.lit(part))
-    head = line.rlike(r"[»\"][\s.]*20\d{2}\.\s*№\s*\d")
-    cited = line.rlike(r"(?U)(?<!\w)(?:С\.\s*\d+\s*[-–—]\s*\d|Т\.\s*\d+\.\s*№|Vol\.\s*\d|No\.\s*\d+,?\s*[Pp]\.)")
-    return marked | head | cited
-
-
-def kill_lines(text: Column) -> Column:
-    """lines of apparatus are emptied; their number stays."""
-    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(apparatus(x), F.lit("")).otherwise(x)), "\n")
-
-
-def _unit_pattern(units: tuple[str, ...]) -> str:
-    written = sorted(units, key=len, reverse=True)
-    return "(?:" + "|".join(u.replace("*", r"[\p{Ll}³\d]+") + (r"(?!\p{L})" if u[-1].isalpha() else "") for u in written) + ")"
-
-
-def number_lines(sentence: Column) -> Column:
-    """Lines that hold a number only, perhaps with a unit."""
-    alone = rf"^\s*[-+±]?\d[\d.,]{{0,8}}\s*{_unit_pattern(LINE_UNITS)}?\s*$"
-    return F.size(F.filter(F.split(sentence, "\n", -1), lambda x: x.rlike(alone)))
-
-
-def market(sentence: Column) -> Column:
-    """trade, not technique: change against a year; or a market word beside money or a change."""
-    yearly = rf"(?iu)%\s*\)?\s*{begins(AGAINST)}\s+(?:19|20)\d\d\s*г"
-    money = sentence.rlike(rf"(?iu){begins(SCALES)}[\s.]*{begins(CURRENCIES)}") | sentence.rlike(any_of(PRICES))
-    before = rf"(?isu){begins(CHANGES)}\p{{L}}*.{{0,32}}?\d[\d\s.,]*\s*(?:%|млн\s*т|тыс\.\s*т)"
-    after = rf"(?isu)\d[\d\s.,]*\s*%.{{0,24}}?{begins(CHANGES_AFTER)}"
-    return sentence.rlike(yearly) | (sentence.rlike(any_of(MARKET)) & (money | sentence.rlike(before) | sentence.rlike(after)))
-
-
-def measured(sentence: Column) -> Column:
-    return sentence.rlike(begins(MEASURED)) | sentence.rlike(any_of(MEASURED_WHOLE, "U"))
-
-
-def garble(sentence: Column) -> Column:
-    """columns of numbers, mostly digits, or the legend of a figure."""
-    run = sentence.rlike(rf"(?U)(?:[-+±<>~]?\d[\d\s.,]{{0,12}}\s*{_unit_pattern(COLUMN_UNITS)}\s*){{3,}}")
-    signs = F.length(F.regexp_replace(sentence, r"(?U)[^\d.,;:%–—\-/()°]", ""))
-    dense = (F.length(sentence) >= 40) & (signs > 0.4 * F.length(sentence)) & ~measured(sentence)
-    legend = F.regexp_count(sentence, F.lit(r"\(\s*[0-9а-жa-g]\s*\)")) >= 3
-    return run | (number_lines(sentence) >= 3) | dense | legend
-
-
-def wordless(sentence: Column) -> Column:
-    """a few words without a verb that tie no number to anything."""
-    bound = sentence.rlike(r"[\p{L}\d)]\s*[–—-]\s*[<>~≤≥±]?\d")
-    symbol = f"(?:{'|'.join(SYMBOLS)})"
-    element = sentence.rlike(rf"(?U)\d\s*(?:%|г/[\p{{Ll}}³\d]+|ppm)?\s*(?<!\w){symbol}(?!\w)") | sentence.rlike(rf"(?U)(?<!\w){symbol}(?!\w)[\s(–—:-]{{0,3}}\d")
-    verb = sentence.rlike(rf"(?U)[А-Яа-яЁё]{{2,}}{begins(VERB_ENDS)}(?!\w)") | sentence.rlike(any_of(VERBS, "U")) | sentence.rlike(any_of(VERBS_EN, "U")) | sentence.rlike(r"(?U)(?<!\w)[a-z]{3,}ed(?!\w)")
-    words = F.regexp_count(sentence, F.lit(r"[А-Яа-яЁёA-Za-z]{3,}"))
-    return ~(bound | measured(sentence) | element | verb) & (words < 6)
-
-
-def noise(sentence: Column) -> Column:
-    """why a sentence is not worth reading: market, garble, no_verb, or null."""
-    return F.when(market(sentence), "market").when(garble(sentence), "garble").when(wordless(sentence), "no_verb")
-
-
-def junk_author(name: Column) -> Column:
-    """roles and organisations are not authors."""
-    return name.isNull() | (F.length(F.trim(name)) < 4) | name.rlike(r"(?iu)редактор|институт|университет|кафедр|завод|компани|department|university|\d") | ~name.rlike(r"\p{Lu}")
+# --- guards (the others are in guards.py) ------------------------------------
 
 
 def difference(quote: Column) -> Column:
@@ -289,15 +245,20 @@ def numeric_cell(cell: Column) -> Column:
 # --- rows -----------------------------------------------------------------------
 
 
-def without_running_lines(pages: DataFrame, share: float = 0.3, least: int = 2) -> DataFrame:
+def without_running_lines(pages: DataFrame, share: float = 0.3, least: int = 2, edges_only: bool = False) -> DataFrame:
     """Lines of (doc_id, page_no, line_no, line) that, without digits, stand on many pages of
-    their document go; and page numbers."""
+    their document go; and page numbers, everywhere or in a page's first and last line only."""
     rows = pages.withColumn("_key", normal_line(F.col("line")))
+    number = F.col("line").rlike(PAGE_NUMBER)
+    if edges_only:
+        page = Window.partitionBy("doc_id", "page_no")
+        rows = rows.withColumns({"_first": F.min("line_no").over(page), "_last": F.max("line_no").over(page)})
+        number = number & F.col("line_no").isin(F.col("_first"), F.col("_last"))
     n = rows.groupBy("doc_id").agg(F.countDistinct("page_no").alias("_pages"))
     often = rows.filter("_key <> ''").groupBy("doc_id", "_key").agg(F.countDistinct("page_no").alias("_n")).join(n, "doc_id")
     often = often.filter(F.col("_n") >= F.greatest(F.lit(least), F.ceil(share * F.col("_pages")))).select("doc_id", "_key")
-    kept = rows.join(often, ["doc_id", "_key"], "left_anti").filter(~F.col("line").rlike("^\\s*\\d{1,4}\\s*$"))
-    return kept.drop("_key")
+    kept = rows.join(often, ["doc_id", "_key"], "left_anti").filter(~number)
+    return kept.drop("_key", "_first", "_last")
 
 
 def article_segments(documents: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,18 +291,62 @@ def chunks(text: Column, most: int = 1200) -> Column:
     return F.aggregate(parts, start, step, last)
 
 
-_INITIALS = re.compile(r"(?:[А-ЯЁA-Z][а-яёa-z]+(?:-[А-ЯЁA-Z][а-яёa-z]+)?\s+[А-ЯЁA-Z]\.\s?(?:[А-ЯЁA-Z]\.)?)|(?:[А-ЯЁA-Z]\.\s?(?:[А-ЯЁA-Z]\.)?\s?[А-ЯЁA-Z][а-яёa-z]+(?:-[А-ЯЁA-Z][а-яёa-z]+)?)")
+#: A surname and initials, in either order.
+_SURNAME, _LETTERS = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?", r"\p{Lu}\.\s*(?:\p{Lu}\.)?"
+#: Words that begin sentences and headings and are no surnames (fixed values).
+NO_SURNAMES = (
+    "Рис Табл Таблица Рисунок При Для Как Что Это Так Все Из По На От До Данные Результаты Геофизика Геология Геомеханика Спасибо Ведущий Автор Авторы Докладчик Руководитель Научный Инженер Доктор Профессор Кандидат Заведующий Начальник Директор Глава Работу Работа Доклад Выполнил Подготовил Рецензент Институт Лаборатория Кафедра Отдел Секция Тема Цель Введение Заключение Выводы Аннотация Реферат Влияние Изучение Исследование Разработка Применение Использование Оценка Анализ Определение Особенности Обоснование Совершенствование Повышение Снижение Получение Технология Методика Способ Опыт Перспективы Проблемы Современные Основные Новый Новые Комплексный Текст Младший Старший Ведущая Общие Прочие The This That These Fig Figure Table Abstract Study Analysis Effect Influence Development Review Содержание Плотность Температура Извлечение Концентрация Масса Скорость Расход Давление Напряжение Мощность Объём Объем Выход Потери Степень Величина Значение Оглавление Список Литература Приложение Раздел Формула Уравнение Примечание"
+).split()
+#: Kinds of papers that a file's name begins with (fixed values).
+PAPERS = ("доклад", "презентация", "обзор", "статья", "отчет", "отчёт", "тэр", "материалы", "тезисы", "реферат", "протокол")
 
 
-def authors(text: Column, head: int = 1500, most: int = 8) -> Column:
-    """Names with initials in a head, either order; too many are none."""
-    found = F.regexp_extract_all(F.substring(F.coalesce(text, F.lit("")), 1, head), F.lit(f"({_INITIALS.pattern})"), 1)
-    distinct = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))))
-    return F.when(F.size(distinct) > most, F.array().cast("array<string>")).otherwise(distinct)
+def author_name(written: Column) -> Column:
+    """Surname, a blank, initials with dots and without blanks; a Latin letter at the end of a
+    Cyrillic surname is a footnote's."""
+    surname = F.regexp_extract(written, f"({_SURNAME})", 1)
+    surname = F.when(surname.rlike(r"^[А-ЯЁ][А-ЯЁа-яё-]+[a-z]$"), F.left(surname, F.length(surname) - 1)).otherwise(surname)
+    letters = F.regexp_extract_all(F.replace(written, surname, F.lit(" ")), F.lit(r"(\p{Lu})\."), 1)
+    return F.concat(surname, F.lit(" "), F.array_join(F.transform(letters, lambda x: F.concat(x, F.lit("."))), ""))
 
 
-def claims(sentence: Column) -> Column:
-    """What a sentence says was shown, up to its end, cut at a word."""
-    tail = F.trim(F.regexp_extract(sentence, r"(?isu)(?:показано|установлено|выявлено|доказано|shown|found|established)\s*,?\s*(?:что|that)\s+([^.;]{4,})", 1))
-    cut = F.when(F.length(tail) <= 120, tail).otherwise(F.regexp_extract(F.substring(tail, 1, 121), r"(?s)^(.*)\s", 1))
-    return F.nullif(cut, F.lit(""))
+def authors(text: Column, head: int = 1500, most: int = 8) -> Column:
+    """Names with initials in a head, either order, in one form; too many are none."""
+    start = F.substring(F.coalesce(text, F.lit("")), 1, head)
+    found = lambda form: F.regexp_extract_all(start, F.lit(f"(?<!\\p{{L}})({form})"), 1)
+    names = F.transform(F.concat(found(rf"{_SURNAME}\s+{_LETTERS}"), found(rf"{_LETTERS}\s*{_SURNAME}(?!\p{{L}})")), author_name)
+    known = F.array_sort(F.array_distinct(F.filter(names, lambda x: ~F.substring_index(x, " ", 1).isin(NO_SURNAMES))))
+    return F.when(F.size(known) > most, F.array().cast("array<string>")).otherwise(known)
+
+
+def authors_of_name(source: Column) -> Column:
+    """Authors that a file's name tells: surnames with initials anywhere in it; else what stands
+    before the first underscore, after words for kinds of papers, if it is a surname, alone or with
+    one first name."""
+    stem = F.regexp_replace(F.regexp_extract(F.coalesce(source, F.lit("")), "([^/]*)$", 1), r"\.[^.]*$", "")
+    initial = r"[А-ЯЁ]\.?(?![а-яё])"
+    full = rf"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?\s+{initial}\s*(?:{initial})?(?![А-ЯЁ])"
+    tidy = lambda x: F.rtrim(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("."))
+    named = F.array_distinct(F.transform(F.regexp_extract_all(stem, F.lit(f"({full})"), 1), tidy))
+    parts = F.filter(F.transform(F.split(stem, "_"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    start = F.aggregate(parts, F.lit("").cast("string"), lambda seen, x: F.when((seen == "") & ~F.lower(x).isin(*PAPERS), x).otherwise(seen))
+    words = F.split(start, " ")
+    capital = lambda w: w.rlike("^[А-ЯЁ][а-яё]+$")
+    single = (F.size(words) <= 2) & F.forall(F.concat(F.split(F.get(words, F.lit(0)), "-"), F.slice(words, F.lit(2), F.lit(1))), capital) & (F.size(F.split(F.get(words, F.lit(0)), "-")) <= 2)
+    return F.when(F.size(named) > 0, named).when(single, F.array(start)).otherwise(F.array().cast("array<string>"))
+
+
+#: What says that something was shown (fixed values).
+CLAIM_MARKS = ("показал", "показала", "показали", "показано", "установлено", "выявлено", "доказано", "получен эффект", "получен результат*", "получены результат*")
+
+
+def claims(sentence: Column, most: int = 120) -> Column:
+    """What a sentence says was shown, up to its end, cut at a word. Pieces of sentences, which
+    begin with a small letter, a digit or a bracket, say nothing."""
+    whole = F.trim(sentence)
+    mark = "|".join(w.replace(" ", r"\s+").replace("*", r"\p{L}*") for w in sorted(CLAIM_MARKS, key=len, reverse=True))
+    tail = F.regexp_extract(whole, rf"(?isu)(?:{mark})(?:[,\s]+(?:что|о\s+том,?\s+что))?[\s,:—-]*(.*)$", 1)
+    tail = F.trim(F.regexp_replace(F.substring_index(F.translate(tail, "!?;", "..."), ".", 1), r"\s+", " "))
+    head = F.left(tail, F.lit(most - 1))
+    cut = F.concat(F.rtrim(F.when(F.instr(head, " ") > 1, F.regexp_extract(head, r"^(.*) ", 1)).otherwise(head), F.lit(" ,;:—-–")), F.lit("…"))
+    return F.when(~whole.rlike(r"^[\p{Ll}\d(\[{]") & (F.length(tail) >= 4), F.when(F.length(tail) > most, cut).otherwise(tail))
