@@ -44,8 +44,10 @@ from factloom.llm import common
 
 SCALE = 1_000_000
 #: Bytes of text of a block, and of what is split into words at a time.
-BLOCK, SLICE = 32 << 20, 1 << 20
+BLOCK, SLICE = 8 << 20, 1 << 20
 _BATCH = 1 << 17
+#: A word's id: the number of a partition, of a block in it, and of the word in the block.
+_BLOCK_BITS, _LOCAL_BITS = 16, 27
 #: Upper case to lower case, and every cut to one sign that no word holds.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
 _CUT = b"."
@@ -119,7 +121,7 @@ def blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        number, words = TaskContext.get().partitionId() << 24, Words()
+        number, words = TaskContext.get().partitionId() << _BLOCK_BITS, Words()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1))):
                 words.add(lang, text)
@@ -177,53 +179,65 @@ class Lists:
         return Lists(self.at, self.word, self.words, start[phrase >= 0], phrase[phrase >= 0], phrases[local])
 
     def packed(self) -> bytes:
-        return packed(self.at, self.word, self.words, self.start, self.phrase, np.array([self.phrases.shape[1]]), self.phrases.ravel())
+        """Positions as steps; lists of single words once."""
+        step = lambda x: np.diff(x, prepend=np.int32(0))
+        own = (step(self.at), self.word, self.words)
+        return packed(*own) if self.phrases.shape[1] == 1 else packed(*own, step(self.start), self.phrase, np.array([self.phrases.shape[1]]), self.phrases.ravel())
 
     @classmethod
     def unpacked(cls, data: bytes) -> Lists:
-        *arrays, width, flat = unpacked(data)
-        return cls(*arrays, flat.reshape(-1, int(width[0])))
+        at, word, words, *more = unpacked(data)
+        at = np.cumsum(at, dtype=np.int32)
+        if not more:
+            return cls(at, word, words, at, word, words[:, None])
+        start, phrase, width, flat = more
+        return cls(at, word, words, np.cumsum(start, dtype=np.int32), phrase, flat.reshape(-1, int(width[0])))
 
 
 def _columns(length: int) -> list[str]:
     return [f"w{i}" for i in range(length)]
 
 
-def _extended(table: DataFrame, known: DataFrame, length: int, keep: bool) -> DataFrame:
-    """Rows of phrases of `length` words in each block, with their numbers there and counts; and
-    the lists, as a row of their own, if `keep`. known: (block, local[, id]), the frequent phrases
-    of one word less."""
-    names = _columns(length)
+def _known_lists(table: DataFrame, known: DataFrame, first: bool) -> DataFrame:
+    """(block, lists): the lists of the frequent phrases `known`, (block, local[, id]), from the
+    sequence of each block (`first`) or from the lists of phrases of one word less."""
 
     def run(left, right):
         import pyarrow as pa
 
-        def of(block, local, words, n, data):
-            types = [pa.int64(), pa.int32(), *[pa.int64()] * (length + 1), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((block, local, *words, n, data), types)], ["block", "local", *names, "n", "lists"])
-
-        made = []
-        if left.num_rows and right.num_rows:
-            (block,), (data,) = left.column("block").to_pylist(), left.column("lists").to_pylist()
-            local = right.column("known_local").to_numpy()
-            order = np.argsort(local)
-            if length == 2:
-                lists = Lists.of_words(unpacked(data)[0], local[order], right.column("known_id").to_numpy()[order])
-            else:
-                lists = Lists.unpacked(data).frequent(local[order])
-            _, _, phrases, n = lists.extended()
-            if keep:
-                made.append(of([block], [None], [[None]] * length, [None], [lists.packed()]))
-            for lo in range(0, len(n), _BATCH):
-                some = slice(lo, min(lo + _BATCH, len(n)))
-                k = some.stop - lo
-                made.append(of(np.full(k, block), np.arange(lo, some.stop), phrases[some].T, n[some], [None] * k))
-        return pa.Table.from_batches(made or [of([], [], [[]] * length, [], [])])
-
-    lists = table.filter(F.col("lists").isNotNull()).select("block", "lists")
-    schema = f"block long, local int, {', '.join(f'{x} long' for x in names)}, n long, lists binary"
+        schema = pa.schema({"block": pa.int64(), "lists": pa.binary()})
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        local = right.column("known_local").to_numpy()
+        order = np.argsort(local)
+        data = left.column("lists")[0].as_py()
+        if first:
+            lists = Lists.of_words(unpacked(data)[0], local[order], right.column("known_id").to_numpy()[order])
+        else:
+            lists = Lists.unpacked(data).frequent(local[order])
+        return pa.table([left.column("block"), pa.array([lists.packed()], pa.binary())], schema=schema)
+
     marks = known.select(*[F.col(x).alias(f"known_{x}") for x in known.columns])
-    return lists.groupBy("block").cogroup(marks.groupBy("known_block")).applyInArrow(run, schema)
+    return table.select("block", "lists").groupBy("block").cogroup(marks.groupBy("known_block")).applyInArrow(run, "block long, lists binary")
+
+
+def _extended(lists: DataFrame, length: int) -> DataFrame:
+    """(own, w0, ..., n): the phrases of `length` words in each block, with their number there
+    (block and number as one) and their counts."""
+    names = _columns(length)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, _, phrases, n = Lists.unpacked(data.as_py()).extended()
+                for lo in range(0, len(n), _BATCH):
+                    some = slice(lo, min(lo + _BATCH, len(n)))
+                    own = (block << _LOCAL_BITS) + np.arange(lo, some.stop)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(np.ascontiguousarray(w)) for w in phrases[some].T], pa.array(n[some].astype(np.int32))], ["own", *names, "n"])
+
+    return lists.select("block", "lists").mapInArrow(common.releasing(run), f"own long, {', '.join(f'{x} long' for x in names)}, n int")
 
 
 # --- phrases of all blocks ------------------------------------------------------
@@ -232,25 +246,37 @@ def _extended(table: DataFrame, known: DataFrame, length: int, keep: bool) -> Da
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = 3, least: int = 10) -> tuple[DataFrame, list[DataFrame]]:
     """((lang, n), tables): n words a language, and for each length from one word on the phrases
     found `least` times or more: their word ids w0, w1, ... and a; those of one word also with
-    lang and word."""
-    table = common.materialise(blocks(docs, lang_col, text_col), "phrases-1")
+    lang and word. Tables of a step are deleted when the next one is written."""
+    spark = docs.sparkSession
+    folder = common.run_folder(spark, "phrases")
+    table = common.materialise(blocks(docs, lang_col, text_col), "blocks", folder=folder)
     words = table.filter(F.col("word").isNotNull())
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    levels = [common.materialise(counts.withColumn("w0", F.monotonically_increasing_id()), "words")]
-    known = words.select("block", "local", "lang", "word").join(levels[0].select("lang", "word", F.col("w0").alias("id")), ["lang", "word"]).select("block", "local", "id")
+    sizes = common.materialise(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes", folder=folder)
+    same = Window.partitionBy("lang", "word")
+    own = F.shiftleft("block", _LOCAL_BITS) + F.col("local")
+    judged = words.select(own.alias("own"), "lang", "word", "n").withColumns({"id": F.min("own").over(same), "a": F.sum("n").over(same)}).filter(F.col("a") >= least)
+    judged = judged.select("own", "id", F.when(F.col("own") == F.col("id"), F.struct("lang", "word", "a")).alias("of"))
+    known = common.materialise(judged, "known-1", folder=folder)
+    levels = [common.materialise(known.filter(F.col("of").isNotNull()).select("of.*", F.col("id").alias("w0")), "words", folder=folder)]
+    place = [F.shiftright("own", _LOCAL_BITS).alias("block"), F.col("own").bitwiseAND((1 << _LOCAL_BITS) - 1).alias("local")]
+    sequences = table.filter(F.col("lists").isNotNull())
+    lists = common.materialise(_known_lists(sequences, known.select(*place, "id"), True), "lists-1", folder=folder)
+    for name in ("blocks", "known-1"):
+        common.remove(spark, f"{folder}/{name}")
     for length in range(2, longest + 1):
-        names = _columns(length)
-        table = common.materialise(_extended(table, known, length, keep=length < longest), f"phrases-{length}")
-        rows = table.filter(F.col("local").isNotNull()).drop("lists")
+        names, rows = _columns(length), _extended(lists, length)
         if length < longest:
-            judged = rows.withColumn("a", F.sum("n").over(Window.partitionBy(*names))).filter(F.col("a") >= least)
-            rows = common.materialise(judged.select("block", "local", *names, "a"), f"known-{length}")
-            known = rows.select("block", "local")
-            levels.append(rows.groupBy(*names).agg(F.first("a").alias("a")))
+            judged = rows.withColumn("a", F.sum("n").over(Window.partitionBy(*names))).filter(F.col("a") >= least).drop("n")
+            known = common.materialise(judged, f"known-{length}", folder=folder)
+            found = known.groupBy(*names).agg(F.first("a").alias("a"))
         else:
-            levels.append(rows.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
-        levels[-1] = common.materialise(levels[-1], f"frequent-{length}")
+            found = rows.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        levels.append(common.materialise(found, f"frequent-{length}", folder=folder))
+        if length < longest:
+            lists = common.materialise(_known_lists(lists, known.select(*place), False), f"lists-{length}", folder=folder)
+            for name in (f"lists-{length - 1}", f"known-{length}"):
+                common.remove(spark, f"{folder}/{name}")
+    common.remove(spark, f"{folder}/lists-{longest - 1}")
     return sizes, levels
 
 

@@ -160,21 +160,26 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{session.shared_root(spark)}/factloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` to the shared folder and read it back: the lineage ends there."""
+def materialise(df: DataFrame, name: str, codec: str = "zstd", folder: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder (below the run's `folder`, if one is given) and read it back:
+    the lineage ends there."""
     spark = df.sparkSession
-    path = f"{run_folder(spark, name)}/table"
+    path = f"{folder}/{name}" if folder else f"{run_folder(spark, name)}/table"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_runs(spark: SparkSession) -> None:
-    """Delete what earlier runs of these operators left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{session.shared_root(spark)}/factloom")
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_runs(spark: SparkSession) -> None:
+    """Delete what all earlier runs of these operators left in the shared folder."""
+    remove(spark, f"{session.shared_root(spark)}/factloom")
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI, on the driver or an executor."""
     from pyarrow import fs
