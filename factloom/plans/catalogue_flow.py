@@ -14,7 +14,7 @@ from factloom.plans import extraction, search
 from factloom.plans.catalogue import query
 from factloom.plans.catalogue_text import ENTRIES
 from factloom.sources import files, sinks
-from factloom.streaming import pipelines
+from factloom.streaming import pipelines, state
 
 
 def _folder(spark: SparkSession) -> str:
@@ -82,6 +82,55 @@ def stream_latest_per_key(s, d):
     return pipelines.current(s, f"{folder}/out", schema).select("user_id", "event_id")
 
 
+def _in_lots(spark: SparkSession, rows: DataFrame, key: str, folder: str, run, lots: int = 2, files: int = 3) -> None:
+    """Write rows in lots of several files, in no order, and run a stream over what is there after
+    each: it goes on from its checkpoint."""
+    for i in range(lots):
+        lot = rows.filter(F.pmod(F.xxhash64(key), F.lit(lots)) == i)
+        lot.repartition(files, F.xxhash64(key, F.lit(7))).write.mode("append").parquet(f"{folder}/in")
+        run(pipelines.table_stream(spark, f"{folder}/in", rows.schema, 1))
+
+
+@query("""SELECT user_id AS user, 'type ' || event_type AS query, count(DISTINCT CASE WHEN v.ts>u.last_seen THEN v.event_id END) AS new FROM
+  (SELECT user_id, min(ts) AS last_seen FROM events WHERE event_type='signup' GROUP BY 1) u JOIN (SELECT event_id, event_type, ts FROM events WHERE event_type IN ('error','purchase')) v ON true WHERE v.ts>u.last_seen GROUP BY 1,2""", plain=True)
+def stream_subscriptions(s, d):
+    """What subscription_new tells, from state per user and query, over lots with a restart between"""
+    events = ad.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kinds = s.createDataFrame([("type error",), ("type purchase",)], "query string")
+    subs = events.filter("event_type = 'signup'").groupBy(F.col("user_id").alias("user")).agg(F.min("ts").alias("last_seen")).join(F.broadcast(kinds))
+    hits = events.filter("event_type in ('error', 'purchase')").select(F.concat(F.lit("type "), F.col("event_type")).alias("query"), F.col("event_id").alias("doc_id"), F.col("ts").alias("at"))
+    folder = _folder(s)
+    subs.write.parquet(f"{folder}/subscriptions")
+    known = s.read.parquet(f"{folder}/subscriptions")
+    sink = pipelines.upsert_into(f"{folder}/out", ["user", "query"], ["new"], buckets=8)
+    schema = []
+
+    def run(stream: DataFrame) -> None:
+        out = state.novelties(stream, known)
+        schema.append(out.schema)
+        pipelines.drain(out, f"{folder}/state", sink=sink, mode="update")
+
+    _in_lots(s, hits, "doc_id", folder, run)
+    return pipelines.current(s, f"{folder}/out", schema[0]).filter("new > 0").select("user", "query", "new")
+
+
+@query("""SELECT a.pkey, 1+count(b.pkey) AS version FROM (SELECT doc_id,canon,metric,conditions,pkey,max(extracted_at) AS t FROM parameter GROUP BY ALL) a LEFT JOIN (SELECT doc_id,canon,metric,conditions,pkey,max(extracted_at) AS t FROM parameter GROUP BY ALL) b
+  ON a.doc_id=b.doc_id AND a.canon=b.canon AND a.metric=b.metric AND a.conditions IS NOT DISTINCT FROM b.conditions AND b.t<a.t GROUP BY a.doc_id,a.canon,a.metric,a.conditions,a.pkey,a.t""")
+def stream_versions(s, d):
+    """What supersedes_versions tells, from chains in state, over lots with a restart between"""
+    rows = ad.parameter(s, d).select(*lifecycle.SLOT, "pkey", "extracted_at")
+    folder, schema = _folder(s), []
+    sink = pipelines.upsert_into(f"{folder}/out", ["slot", "pkey"], ["version"], buckets=8)
+
+    def run(stream: DataFrame) -> None:
+        out = state.versions(stream, buckets=32)
+        schema.append(out.schema)
+        pipelines.drain(out, f"{folder}/state", sink=sink, mode="update")
+
+    _in_lots(s, rows, "pkey", folder, run)
+    return state.chains(pipelines.current(s, f"{folder}/out", schema[0]), dict(rows.dtypes)).select("pkey", "version")
+
+
 @query("SELECT pkey, count(*) AS n FROM parameter GROUP BY 1 HAVING count(*)>1")
 def key_violations(s, d):
     """What a uniqueness constraint would refuse"""
