@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import contain
 
 def summary(documents: DataFrame, facts: DataFrame, authors: DataFrame, domains: DataFrame, contradictions: DataFrame, home: str) -> DataFrame:
     """One row of key figures; shares are null without documents."""
@@ -169,14 +170,22 @@ def coverage_gaps(facts: DataFrame, documents: DataFrame, column: str) -> DataFr
     return sides.filter("only = _max").drop("_max")
 
 
+#: Entries that one of the two lists of `combination_gaps` may have.
+MOST_COMBINED = 10_000
+
+
 def combination_gaps(left: DataFrame, right: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs of two short lists (column canon each) of which no fact names either part: the
-    parts that facts name are found first, each list against the distinct entities, so the
-    pairs are of list entries only."""
+    """Pairs of two short lists (column canon each) of which no fact names either part. The
+    parts that facts name are found by n-grams of the distinct entities; what is left of the second
+    list, `MOST_COMBINED` entries at most, is put to each of the first."""
     entities = facts.select(F.lower("canon").alias("entity")).distinct()
-    free_left = left.join(entities, F.contains(F.col("entity"), F.lower(left["canon"])), "left_anti").select(F.col("canon").alias("a"))
-    free_right = right.join(entities, F.contains(F.col("entity"), F.lower(right["canon"])), "left_anti").select(F.col("canon").alias("b"))
-    return free_left.join(free_right)
+    both = left.select(F.lower("canon").alias("needle")).union(right.select(F.lower("canon").alias("needle")))
+    named = contain.containing(entities, both, "entity").select("needle").distinct()
+    free = lambda rows: rows.withColumn("needle", F.lower("canon")).join(named, "needle", "left_anti").select("canon")
+    names = [r.canon for r in free(right).limit(MOST_COMBINED + 1).collect()]
+    if len(names) > MOST_COMBINED:
+        raise ValueError(f"a list of more than {MOST_COMBINED} entries is not combined")
+    return free(left).select(F.col("canon").alias("a"), F.explode(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")).alias("b"))
 
 
 def two_sided(facts: DataFrame, documents: DataFrame, column: str, home: str, most_values: int = 4, limit: int = 15) -> DataFrame:

@@ -82,6 +82,32 @@ def document_counts(edges: DataFrame, documents: DataFrame) -> DataFrame:
     return near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("source_count"))
 
 
+def document_count_changes(before: DataFrame, added: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, source_count): by how much `document_counts` grows when edges are added. Only paths
+    over an added edge are walked, and only what they reach is looked up in the edges before.
+    Documents are nodes from their first edge on."""
+    docs = documents.select(F.col("doc_id").alias("node")).distinct()
+    old, new = undirected(before), undirected(added)
+    every = old.select("src", "dst").union(new.select("src", "dst")).distinct()
+    ends = lambda rows: rows.join(docs, F.col("dst") == F.col("node"), "left_semi")
+    step = lambda first, then: first.select("src", F.col("dst").alias("mid")).join(then.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    fresh = new.select("src", "dst").distinct()
+    near = fresh.select(F.col("dst").alias("src")).distinct()  # ends of added edges
+    beyond = ends(every.join(near, "src", "left_semi"))
+    until = every.join(near.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+    reached = ends(fresh).union(step(fresh, beyond)).union(step(until, ends(fresh))).filter("src <> dst").distinct()
+    # which of these pairs had a path already
+    from_here = old.join(reached.select("src").distinct(), "src", "left_semi").select("src", "dst")
+    to_there = old.join(reached.select("dst").distinct(), "dst", "left_semi").select("src", "dst")
+    known = from_here.union(step(from_here, to_there)).distinct()
+    return reached.join(known, ["src", "dst"], "left_anti").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("source_count"))
+
+
+def counts_changed(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Maintained counts, from the counts before and their changes."""
+    return counts.select("node", "source_count").unionByName(changes).groupBy("node").agg(F.sum("source_count").alias("source_count"))
+
+
 def adjacent(edges: DataFrame, start: DataFrame, wanted: Column, limit: int) -> DataFrame:
     """Neighbours of the start nodes that satisfy `wanted` on column node, without those."""
     near = undirected(edges).join(start.select(F.col("node").alias("_s")), F.col("src") == F.col("_s"), "left_semi").select(F.col("dst").alias("node")).distinct()

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import segments
+from factloom.functions import registry
+from factloom.operators import contain, graphs, segments
 from factloom.plans import adapters as ad
-from factloom.plans.catalogue import TF_SQL, query
+from factloom.plans import dictionary
+from factloom.plans.catalogue import EDGES_SQL, TF_SQL, _edges, query
 from factloom.plans.catalogue_flow import _folder
+from factloom.sources import layout
 
 _WORD = "[a-z]{4,}"
 
@@ -39,3 +42,74 @@ def kw_segments(s, d):
 def kw_segments_search(s, d):
     """Idf at the time of the question, over all segments"""
     return segments.search(s, _indexed(s, d), ["this", "thed", "therhean", "inst"], kind=dict(ad.table(s, d, "documents").dtypes)["doc_id"])
+
+
+@query("SELECT doc_id, pkey, value_low FROM parameter WHERE metric='A' AND unit_canon='F' AND value_low BETWEEN 2 AND 4")
+def layout_range(s, d):
+    """A range of one metric, from facts laid out by value"""
+    path = f"{_folder(s)}/by-value"
+    layout.write_by_value(ad.parameter(s, d), path, parts=8)
+    return layout.facts_between(s, path, "A", "F", 2, 4, parts=8).select("doc_id", "pkey", "value_low")
+
+
+@query("SELECT doc_id, year, count(*) AS facts, max(value_high) AS most FROM parameter JOIN document USING (doc_id) GROUP BY 1,2")
+def layout_join(s, d):
+    """Facts and documents in the same buckets, joined and grouped where they lie"""
+    folder = _folder(s)
+    mark = folder.rpartition("-")[2][:12]
+    layout.write_bucketed({f"facts_{mark}": ad.parameter(s, d), f"documents_{mark}": ad.document(s, d)}, folder, buckets=8)
+    rows = s.table(f"facts_{mark}").join(s.table(f"documents_{mark}").select("doc_id", "year"), "doc_id")
+    return rows.groupBy("doc_id", "year").agg(F.count("*").alias("facts"), F.max("value_high").alias("most"))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (source='vision_ocr') AS vision, count(*) FILTER (phase IS NULL) AS no_phase, CAST(sum(length(quote)) AS BIGINT) AS quoted FROM parameter")
+def run_counters(s, d):
+    """What a load of facts wrote, counted while it was written"""
+    counters = {"vision": F.count_if(F.col("source") == "vision_ocr"), "no_phase": F.count_if(F.col("phase").isNull()), "quoted": F.sum(F.length("quote"))}
+    found = layout.write_counted(ad.parameter(s, d).repartition(4, "doc_id"), f"{_folder(s)}/facts", counters)
+    return s.createDataFrame([tuple(found[c] for c in ("rows", "vision", "no_phase", "quoted"))], "rows long, vision long, no_phase long, quoted long")
+
+
+@query("SELECT DISTINCT b.p AS needle, n.p_name AS text FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS p FROM part) b JOIN (SELECT DISTINCT p_name FROM part) n ON contains(n.p_name, b.p)", plain=True)
+def containment(s, d):
+    """Which names contain which first words of names, by n-grams"""
+    names = ad.table(s, d, "part").select(F.col("p_name").alias("text"))
+    return contain.containing(names, names.select(F.substring_index("text", " ", 1).alias("needle")))
+
+
+ALIASES = [("this one", "this", 0), ("that one", "that", 0), ("to the", "to the", 0), ("the there", "the there", 1), ("the", "the", 1), ("to", "To", 1), ("other", "to", 2), ("of", "of", 0), ("of the to", "of the to", 0), ("none", "...", 0)]
+_ALIAS_SQL = "(VALUES ('this','this one'),('that','that one'),('to the','to the'),('the there','the there'),('the','the'),('to','to'),('of','of'),('of the to','of the to')) a(alias, canon)"
+
+
+@query(rf"""SELECT doc_id, canon, count(*) AS n FROM (SELECT doc_id, replace(unnest(regexp_extract_all(t, ' (of  the  to|the  there|to  the|that|this|the|of|to) ', 1)), '  ', ' ') AS alias FROM
+  (SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(lower(coalesce(text,'')), '[\p{{L}}\p{{N}}]+'), lambda x: x || ' '), ' ') AS t FROM documents)) x JOIN {_ALIAS_SQL} USING (alias) GROUP BY 1,2""", plain=True)
+def dictionary_mentions(s, d):
+    """Mentions of a dictionary in whole texts, by joins of word n-grams"""
+    aliases = s.createDataFrame(ALIASES, "canon string, alias string, tier int")
+    return dictionary.mentions(ad.table(s, d, "documents"), aliases).groupBy("doc_id", "canon").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + EDGES_SQL + """, docs AS (SELECT DISTINCT dst AS doc FROM edges WHERE dst LIKE 'n%'), one AS (SELECT b.src, b.dst AS doc FROM both_ways b JOIN docs ON b.dst=doc),
+  near AS (SELECT * FROM one UNION SELECT b.src, o.doc FROM both_ways b JOIN one o ON b.dst=o.src) SELECT src AS node, count(DISTINCT doc) AS source_count FROM near WHERE src<>doc GROUP BY 1""", plain=True)
+def source_count_maintained(s, d):
+    """The counts of source_count_2hop, kept up while edges come in three lots"""
+    folder = _folder(s)
+    edges = _edges(s, d).withColumn("lot", F.pmod(F.xxhash64("src", "dst"), F.lit(3)))
+    docs = edges.filter("dst like 'n%'").select(F.col("dst").alias("doc_id")).distinct()
+    counts = s.createDataFrame([], "node string, source_count long")
+    for i in range(3):
+        changes = graphs.document_count_changes(edges.filter(F.col("lot") < i), edges.filter(F.col("lot") == i), docs)
+        graphs.counts_changed(counts, changes).write.parquet(f"{folder}/{i}")
+        counts = s.read.parquet(f"{folder}/{i}")
+    return counts
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS owner, segment, count(*) AS n, min(event_id) AS first FROM (SELECT *, CAST(sum(CASE WHEN event_type='signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM events) GROUP BY 1,2""", plain=True)
+def segments_in_sql(s, d):
+    """The table function, called from SQL"""
+    registry.register_table_functions(s)
+    rows = ad.table(s, d, "events").select(F.col("user_id").cast("string").alias("owner"), "ts", F.col("event_id").alias("item"), (F.col("event_type") == "signup").alias("starts"))
+    rows = rows.withColumn("place", F.struct("ts", "item")).drop("ts")
+    name = f"events_{_folder(s).rpartition('-')[2][:12]}"
+    rows.createOrReplaceTempView(name)
+    return s.sql(f"SELECT owner, segment, n, first FROM segments(TABLE({name}) PARTITION BY owner ORDER BY place)")
