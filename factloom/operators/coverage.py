@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import contain
+from factloom.functions import text
+from factloom.operators import contain, lifecycle
 
 def summary(documents: DataFrame, facts: DataFrame, authors: DataFrame, domains: DataFrame, contradictions: DataFrame, home: str) -> DataFrame:
     """One row of key figures; shares are null without documents."""
@@ -208,6 +209,60 @@ def review_groups(facts: DataFrame) -> DataFrame:
     )
 
 
+def _first_of(rows: DataFrame, keys: list[str], value: Column, order: list[Column], most: int, name: str) -> DataFrame:
+    """Per group its first different values and how many more there are: ranked before they are
+    gathered, so that no group is gathered whole. Groups with null keys are groups."""
+    distinct = rows.select(*keys, value.alias("value"), *[c.alias(f"_{i}") for i, c in enumerate(order)]).filter("value is not null").distinct()
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(f"_{i}").asc_nulls_first() for i in range(len(order))], "value"))
+    kept = distinct.withColumn("nth", nth)
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "value")))), lambda x: x["value"])
+    return kept.groupBy(*keys).agg(listed.alias(name), F.greatest(F.count("*") - most, F.lit(0)).alias(f"{name}_more"))
+
+
+def value_of() -> Column:
+    """A value or a range of values, whole numbers without a fraction."""
+    low, high = lifecycle.number_key("value_low"), lifecycle.number_key("value_high")
+    both = F.when(F.col("value_low") == F.col("value_high"), low).otherwise(F.concat(low, F.lit("–"), high))
+    return F.nullif(F.when(F.col("value_low").isNull(), high).when(F.col("value_high").isNull(), low).otherwise(both), F.lit(""))
+
+
+def two_sided_lists(facts: DataFrame, documents: DataFrame, column: str, home: str, most_values: int = 4, limit: int = 15) -> DataFrame:
+    """Per (canon, metric, unit) the first values of either side and how many more; both needed."""
+    rows = facts.join(documents.select("doc_id", F.col(column).alias("_side")), "doc_id")
+    keys = ["canon", "metric", "unit_canon"]
+    side = lambda wanted, name: _first_of(rows.filter(wanted), keys, value_of(), [F.col("value_low"), F.col("value_high")], most_values, name)
+    here, there = side(F.col("_side") == home, "home"), side(F.col("_side") != home, "other")
+    renamed = there.select(*[F.col(k).alias(f"_{k}") for k in keys], "other", "other_more")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return here.join(renamed, on).drop(*[f"_{k}" for k in keys]).orderBy(*keys).limit(limit)
+
+
+def review_lists(facts: DataFrame, most: int = 4) -> DataFrame:
+    """Per (canon, unit) its first metrics and values, and how many more there are of each."""
+    keys = ["canon", "unit_canon"]
+    metrics = _first_of(facts, keys, F.col("metric"), [F.col("metric")], most, "metrics")
+    values = _first_of(facts, keys, value_of(), [F.col("value_low"), F.col("value_high")], most, "values")
+    every = facts.select(*keys).distinct()
+    for part in (metrics, values):
+        named = part.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in part.columns if c not in keys])
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        every = every.join(named, on, "left").drop(*[f"_{k}" for k in keys])
+    return every
+
+
+def card_facts(facts: DataFrame, most: int = 50) -> DataFrame:
+    """The facts that a document's card shows: the `most` surest, of these good quotes first:
+    (doc_id, nth, bad, and the columns of the facts)."""
+    surest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("confidence").desc_nulls_last(), "pkey"))
+    rows = facts.withColumn("_nth", surest).filter(F.col("_nth") <= most).withColumn("bad", F.coalesce(text.degenerate(F.col("quote")), F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("bad", "_nth"))
+    return rows.withColumn("nth", nth).drop("_nth")
+
+
 def sources_line(facts: DataFrame, cap: int = 3) -> DataFrame:
     """Per entity its first documents in order, and how many more there are."""
     docs = facts.select("canon", "doc_id").distinct()

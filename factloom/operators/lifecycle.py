@@ -109,10 +109,12 @@ def normalised_text_key(text: Column) -> Column:
 
 
 def distinct_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per normalised text the first document. Only ids and keys are shuffled; the texts
-    of the kept rows are joined back by id."""
-    firsts = documents.groupBy(normalised_text_key(F.col(text_col)).alias("key")).agg(F.min(id_col).alias(id_col))
-    return documents.join(firsts.select(id_col), id_col, "left_semi")
+    """Per normalised text the first document. Only ids and keys are shuffled for that; rows
+    are joined back by id and key, and of those that agree in both one stays. Null ids come last."""
+    rows = documents.withColumn("_key", normalised_text_key(F.col(text_col)))
+    firsts = rows.groupBy("_key").agg(F.min(id_col).alias("_id"))
+    back = rows.join(firsts.withColumnRenamed("_key", "_first"), (F.col("_key") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    return back.drop("_first", "_id").dropDuplicates(["_key"]).drop("_key")
 
 
 def not_known(new: DataFrame, known: DataFrame, key: Column) -> DataFrame:

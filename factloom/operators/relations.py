@@ -112,6 +112,22 @@ def grouped(relations: DataFrame, confidences: DataFrame) -> DataFrame:
     return out.select(*keys, "n", "n_docs", "mean_confidence", "only_a", "shared")
 
 
+def group_lists(relations: DataFrame, documents: DataFrame, confidences: DataFrame, cap: int = 3) -> DataFrame:
+    """What a report says of each group (rel, entity, metric, phase, unit): how many documents, the
+    first of them and how many more, their mean confidence, years and places, the kinds of relation,
+    and the values: `same` on both sides, or those that the sides do not share (all, if they share
+    every value). Lists are sorted. A group has at most 41 documents (`pairs`)."""
+    keys = ["rel", "entity", "metric", "phase", "unit"]
+    one = relations.groupBy(*keys).agg(F.sort_array(F.collect_set("val_a")).alias("a"), F.sort_array(F.collect_set("val_b")).alias("b"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.sort_array(F.array_union(F.collect_set("doc_a"), F.collect_set("doc_b"))).alias("docs"))
+    told = documents.select(F.col("doc_id").alias("_doc"), F.col("year").cast("string").alias("year"), "geo")
+    each = one.select(*keys, F.explode("docs").alias("doc_id")).join(told, F.col("doc_id") == F.col("_doc"), "left").join(confidences, "doc_id", "left")
+    about = each.groupBy(*keys).agg(F.sort_array(F.collect_set("year")).alias("years"), F.sort_array(F.collect_set("geo")).alias("places"), F.avg("confidence").alias("mean_confidence"))
+    same = F.col("a") == F.col("b")
+    side = lambda own, other: F.when(same, own).when(F.size(F.array_except(own, other)) > 0, F.array_except(own, other)).otherwise(own)
+    out = one.join(about, keys)  # keys of `pairs` are never null
+    return out.select(*keys, "kinds", F.size("docs").cast("long").alias("n_docs"), F.slice("docs", 1, cap).alias("first_docs"), F.greatest(F.size("docs") - cap, F.lit(0)).cast("long").alias("more"), "mean_confidence", "years", "places", same.alias("same"), side(F.col("a"), F.col("b")).alias("left_values"), side(F.col("b"), F.col("a")).alias("right_values"))
+
+
 def upserted(before: DataFrame, new: DataFrame) -> DataFrame:
     """One relation a (rel, documents, metric, entity, phase), the new one where both are."""
     key = ["rel", "doc_a", "doc_b", "metric", "entity", "phase"]

@@ -137,7 +137,7 @@ def key_violations(s, d):
     return sinks.violations(ad.parameter(s, d), ["pkey"]).select("pkey", "n")
 
 
-@query("SELECT doc_id, CASE WHEN length(p)>180 THEN substr(p,1,180) || '…' ELSE p END AS preview FROM (SELECT doc_id, trim(regexp_replace(substr(text,1,3600),'\\s+',' ','g')) AS p FROM (SELECT doc_id, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15))", plain=True)
+@query("SELECT doc_id, CASE WHEN length(p)>180 THEN rtrim(substr(p,1,179)) || '…' ELSE p END AS preview FROM (SELECT doc_id, trim(regexp_replace(text,'[\\s\\v]+',' ','g')) AS p FROM (SELECT doc_id, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15))", plain=True)
 def previews(s, d):
     """Of the documents that a list shows, here the longest"""
     docs = ad.table(s, d, "documents")

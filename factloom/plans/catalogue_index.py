@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import registry
-from factloom.operators import contain, graphs, segments
+from factloom.operators import contain, coverage, graphs, relations, segments
 from factloom.plans import adapters as ad
 from factloom.plans import dictionary
-from factloom.plans.catalogue import EDGES_SQL, TF_SQL, _edges, query
+from factloom.plans.catalogue import EDGES_SQL, HOME, PAIRS_SQL, TF_SQL, _edges, _relations, query
 from factloom.plans.catalogue_flow import _folder
 from factloom.sources import layout
 
@@ -113,3 +113,48 @@ def segments_in_sql(s, d):
     name = f"events_{_folder(s).rpartition('-')[2][:12]}"
     rows.createOrReplaceTempView(name)
     return s.sql(f"SELECT owner, segment, n, first FROM segments(TABLE({name}) PARTITION BY owner ORDER BY place)")
+
+
+@query("""SELECT rel, entity, metric, phase, unit, len(docs) AS n_docs, array_to_string(docs[1:3], ',') AS first_docs, greatest(0, len(docs)-3) AS more, round(c + 1e-9, 6) AS mean_confidence, years, places, a=b AS same,
+  array_to_string(CASE WHEN a=b OR len(oa)=0 THEN a ELSE oa END, '/') AS left_values, array_to_string(CASE WHEN a=b OR len(ob)=0 THEN b ELSE ob END, '/') AS right_values FROM
+  (SELECT *, list_filter(a, lambda x: NOT list_contains(b, x)) AS oa, list_filter(b, lambda x: NOT list_contains(a, x)) AS ob FROM (SELECT rel, entity, metric, phase, unit, list_sort(list(DISTINCT val_a)) AS a, list_sort(list(DISTINCT val_b)) AS b FROM rel GROUP BY ALL))
+  JOIN (SELECT rel, entity, metric, phase, unit, list(doc_id ORDER BY doc_id) AS docs, avg(c) AS c, string_agg(DISTINCT CAST(year AS VARCHAR), ', ' ORDER BY CAST(year AS VARCHAR)) AS years, string_agg(DISTINCT geo, ', ' ORDER BY geo) AS places
+   FROM (SELECT DISTINCT rel, entity, metric, phase, unit, unnest([doc_a, doc_b]) AS doc_id FROM rel) LEFT JOIN document USING (doc_id) LEFT JOIN (SELECT doc_id, avg(confidence) AS c FROM parameter GROUP BY 1) USING (doc_id) GROUP BY ALL) USING (rel, entity, metric, phase, unit)""", PAIRS_SQL.strip())
+def relation_group_lists(s, d):
+    """Groups with documents, years, places and the values of either side"""
+    par = ad.parameter(s, d)
+    out = relations.group_lists(_relations(s, d), ad.document(s, d), relations.mean_confidence(par))
+    joined = lambda c, sep: F.array_join(F.col(c).cast("array<string>"), sep).alias(c)
+    return out.select("rel", "entity", "metric", "phase", "unit", "n_docs", joined("first_docs", ","), "more", F.round(F.col("mean_confidence") + 1e-9, 6).alias("mean_confidence"), joined("years", ", "), joined("places", ", "), "same", joined("left_values", "/"), joined("right_values", "/"))
+
+
+_SHOWN = "CASE WHEN value_low=value_high THEN CAST(CAST(value_low AS BIGINT) AS VARCHAR) ELSE CAST(CAST(value_low AS BIGINT) AS VARCHAR) || '–' || CAST(CAST(value_high AS BIGINT) AS VARCHAR) END"
+
+
+@query(f"""SELECT * FROM (SELECT canon, metric, unit_canon, string_agg(v, ', ' ORDER BY nth) FILTER (side='home' AND nth<=4) AS home, greatest(0, count(*) FILTER (side='home')-4) AS home_more,
+   string_agg(v, ', ' ORDER BY nth) FILTER (side='other' AND nth<=4) AS other, greatest(0, count(*) FILTER (side='other')-4) AS other_more FROM
+  (SELECT *, row_number() OVER (PARTITION BY canon, metric, unit_canon, side ORDER BY value_low, value_high) AS nth FROM (SELECT DISTINCT canon, metric, unit_canon, CASE WHEN geo='EUROPE' THEN 'home' ELSE 'other' END AS side, value_low, value_high, {_SHOWN} AS v FROM parameter JOIN document USING (doc_id) WHERE geo IS NOT NULL)) GROUP BY 1,2,3)
+  WHERE home IS NOT NULL AND other IS NOT NULL ORDER BY canon, metric, unit_canon LIMIT 15""")
+def two_sided_lists(s, d):
+    """The values of either side, in order"""
+    out = coverage.two_sided_lists(ad.parameter(s, d), ad.document(s, d), "geo", HOME)
+    return out.withColumns({c: F.array_join(c, ", ") for c in ("home", "other")})
+
+
+@query(f"""SELECT canon, unit_canon, m.metrics, m.metrics_more, v.v AS "values", v.more AS values_more FROM
+  (SELECT canon, unit_canon, string_agg(metric, ', ' ORDER BY nth) FILTER (nth<=4) AS metrics, greatest(0, count(*)-4) AS metrics_more FROM (SELECT *, row_number() OVER (PARTITION BY canon, unit_canon ORDER BY metric) AS nth FROM (SELECT DISTINCT canon, unit_canon, metric FROM parameter)) GROUP BY 1,2) m
+  JOIN (SELECT canon, unit_canon, string_agg(v, ', ' ORDER BY nth) FILTER (nth<=4) AS v, greatest(0, count(*)-4) AS more FROM (SELECT *, row_number() OVER (PARTITION BY canon, unit_canon ORDER BY value_low, value_high) AS nth FROM (SELECT DISTINCT canon, unit_canon, value_low, value_high, {_SHOWN} AS v FROM parameter)) GROUP BY 1,2) v USING (canon, unit_canon)""")
+def review_lists(s, d):
+    """Metrics and values of each entity and unit"""
+    out = coverage.review_lists(ad.parameter(s, d))
+    return out.withColumns({c: F.array_join(c, ", ") for c in ("metrics", "values")})
+
+
+_GRAMS = "list_transform(range(1, len(w)-1), lambda i: array_to_string(w[i:i+2], ' '))"
+
+
+@query(f"""SELECT doc_id, pkey, bad, row_number() OVER (PARTITION BY doc_id ORDER BY bad, surest) AS nth FROM (SELECT *, coalesce(list_max(list_transform(list_distinct(g), lambda x: len(list_filter(g, lambda y: y=x)))), 0)>=3 AS bad FROM
+  (SELECT doc_id, pkey, surest, {_GRAMS} AS g FROM (SELECT doc_id, pkey, regexp_split_to_array(lower(trim(coalesce(quote,''))), '\\s+') AS w, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC NULLS LAST, pkey) AS surest FROM parameter) WHERE surest<=50))""")
+def card_facts(s, d):
+    """The facts on a document's card, good quotes first"""
+    return coverage.card_facts(ad.parameter(s, d)).select("doc_id", "pkey", "bad", "nth")

@@ -224,9 +224,10 @@ def union_of_facts(*parts: DataFrame) -> DataFrame:
 
 
 def previews(texts_: DataFrame, doc_ids: DataFrame, n: int = 180) -> DataFrame:
-    """The beginnings of a few texts."""
-    plain = F.trim(F.regexp_replace(F.substring("text", 1, 20 * n), "\\s+", " "))
-    short = F.when(F.length(plain) > n, F.concat(F.substring(plain, 1, n), F.lit("…"))).otherwise(plain)
+    """The beginnings of a few texts: white space of the whole text is one blank each; of a
+    text longer than n, n - 1 characters and an ellipsis."""
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
+    short = F.when(F.length(plain) > n, F.concat(F.rtrim(F.substring(plain, 1, n - 1)), F.lit("…"))).otherwise(plain)
     return texts_.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", short.alias("preview"))
 
 
