@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import display, grammar
@@ -109,11 +109,54 @@ def sulfate_limit(numbers: list, default: float = 300.0) -> float:
     return next((v.value_high for v in numbers if v.unit_canon == "mg_L" and v.value_high is not None), default)
 
 
-def shortcut_facts(corpus: Corpus, query: str, seen: DataFrame, nf: ops.Filters | None) -> DataFrame | None:
-    """Q06: facts of the ready questions, within the role's view and the filters, marked `ref`."""
+#: What the ready questions look for in entities, phases and metrics (fixed values).
+SALTS, FLOW, CURRENT = ("сульфат", "хлорид"), ("скорост",), ("плотност", "ток", "скорост")
+NOBLE, MELTS = ("au", "ag", "золот", "серебр", "мпг", "платин"), ("штейн", "шлак")
+CONTENTS, CONTENT_UNITS = ("содержан", "концентрац", "распределен"), ("pct", "g_t")
+
+
+def _holds(column: str, words: tuple[str, ...]) -> Column:
+    low, out = F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(False)
+    for word in words:
+        out = out | F.contains(low, F.lit(word))
+    return out
+
+
+def ready_questions(corpus: Corpus, now: int, years: int = 5) -> dict:
+    """The ready questions over a corpus: functions of the query's numbers to facts.
+
+    desalination: salts in mg/L up to the limit asked for. catholyte: densities and speeds measured in
+    the catholyte, and ten speeds without a phase of documents that measure in it. pgm: noble metals
+    in matte and slag, of the last years or of documents without a year."""
+    p = corpus.parameters
+    bound = F.coalesce("value_high", "value_low")
+
+    def desalination(numbers: list) -> DataFrame:
+        return p.filter(_holds("canon", SALTS) & (F.col("unit_canon") == "mg_L") & (bound <= sulfate_limit(numbers)))
+
+    def catholyte(numbers: list) -> DataFrame:
+        bath = _holds("phase", ("католит",))
+        direct = p.filter(bath & _holds("metric", CURRENT))
+        same = p.filter(bath).select(F.col("doc_id").alias("_bath")).distinct()
+        speeds = p.filter(F.col("phase").isNull() & _holds("metric", FLOW) & F.coalesce("value_low", "value_high").isNotNull())
+        near = speeds.join(same, F.col("doc_id") == F.col("_bath"), "left_semi").orderBy(F.coalesce("value_low", "value_high"), "doc_id", "pkey").limit(10)
+        return direct.unionByName(near.withColumn("phase", F.lit("католит (эксперимент)")).select(direct.columns))
+
+    def pgm(numbers: list) -> DataFrame:
+        recent = corpus.documents.filter(F.col("year").isNull() | (F.col("year") >= now - years)).select(F.col("doc_id").alias("_recent"))
+        rows = p.filter(_holds("canon", NOBLE) & _holds("phase", MELTS) & (F.coalesce(F.col("unit_canon").isin(*CONTENT_UNITS), F.lit(False)) | _holds("metric", CONTENTS)))
+        return rows.join(recent, F.col("doc_id") == F.col("_recent"), "left_semi")
+
+    return {"desalination": desalination, "catholyte": catholyte, "pgm": pgm}
+
+
+def shortcut_facts(corpus: Corpus, query: str, seen: DataFrame, nf: ops.Filters | None, now: int = 2024) -> DataFrame | None:
+    """Q06: facts of the ready questions, within the role's view and the filters, marked `ref`. Those
+    of `corpus.shortcuts` if it has any, else those of `ready_questions`."""
     numbers, out = grammar.parse(query), None
+    known = corpus.shortcuts if corpus.shortcuts is not None else ready_questions(corpus, now)
     for name in shortcut_names(query):
-        make = (corpus.shortcuts or {}).get(name)
+        make = known.get(name)
         if make is None:
             continue
         rows = make(numbers).drop("year", "geo").join(seen.select("doc_id", "year", "geo"), "doc_id").withColumn("ref", F.lit(True))
@@ -190,7 +233,8 @@ def search(corpus: Corpus, query: str, role: str = "researcher", filters: dict |
     result = Result(query, intent_of(query, len(numbers)), nf)
     seen = ops.visible(corpus.documents, role)
     track = fact_track(corpus, query, role, nf, entities or [])
-    ready = shortcut_facts(corpus, query, seen, nf)
+    asked = shortcut_facts(corpus, query, ops.visible(corpus.documents, ops.HIGHEST_ROLE), nf, now)
+    ready = None if asked is None else asked.join(seen.select("doc_id"), "doc_id", "left_semi")
     semantic = corpus.semantic(query) if corpus.semantic else None
     target = ops.Wanted(None, None, numbers[0].value_low, numbers[0].value_high).point() if numbers else None
     if track is not None:
@@ -219,17 +263,23 @@ def search(corpus: Corpus, query: str, role: str = "researcher", filters: dict |
         rows = retrieval.keyword_search(corpus.index.join(seen.select("doc_id"), "doc_id", "left_semi"), n, terms)
         hits += [{"doc_id": r.doc_id, "source": "keyword", "score": r.score} for r in rows.collect() if r.doc_id not in known]
     result.docs = hits[:most_docs]
-    result.hidden_count = hidden_hits(corpus, query, role, nf, entities or [], semantic)
+    result.hidden_count = hidden_hits(corpus, query, role, nf, entities or [], semantic, asked)
     if result.intent == "expert":
         result.experts = expert_track(corpus, [h["doc_id"] for h in hits if h["source"] != "semantic"], [h["doc_id"] for h in hits if h["source"] == "semantic"])
     return result
 
 
-def hidden_hits(corpus: Corpus, query: str, role: str, nf: ops.Filters | None, entities: list[str], semantic: DataFrame | None, most: int = 50) -> int:
+def hidden_hits(corpus: Corpus, query: str, role: str, nf: ops.Filters | None, entities: list[str], semantic: DataFrame | None, ready: DataFrame | None, most: int = 50) -> int:
     """how many documents the same search would show to a role that sees all, but not to this one:
-    of the documents in its tracks, those above the role's levels."""
+    of the documents in its tracks (50 facts a number, the ready questions, 50 like it, 8 by words),
+    those above the role's levels."""
     found = fact_track(corpus, query, ops.HIGHEST_ROLE, nf, entities, most)
     ids = None if found is None else found.select("doc_id")
+    if ready is not None:
+        ids = ready.select("doc_id") if ids is None else ids.unionByName(ready.select("doc_id"))
+    if corpus.index is not None and ids is None and semantic is None:
+        words = retrieval.keyword_search(corpus.index, corpus.documents.agg(F.count("*").alias("n")), [w.lower() for w in re.findall(retrieval.TOKEN, query.lower())])
+        ids = words.select("doc_id")
     if semantic is not None:
         near = semantic.filter(F.col("score") >= 0.35).orderBy(F.col("score").desc(), "doc_id").limit(most).select("doc_id")
         ids = near if ids is None else ids.unionByName(near)
@@ -239,21 +289,45 @@ def hidden_hits(corpus: Corpus, query: str, role: str, nf: ops.Filters | None, e
     return ops.hidden_count(rows, role).first()[0]
 
 
+def _sources(rows: list[dict], cap: int = 3) -> str:
+    docs = list(dict.fromkeys(r["doc_id"] for r in rows))
+    more = f" +{len(docs) - cap}" if len(docs) > cap else ""
+    return f" [{', '.join(map(str, docs[:cap]))}{more}]" if docs else ""
+
+
+def _group_line(r: dict) -> str:
+    """What a group of relations says, in one line."""
+    show = lambda xs: "/".join(f"{x:.6g}" for x in xs)
+    head = " · ".join(x for x in (r["entity"], r["metric"]) if x) + (f" [{r['phase']}]" if r["phase"] else "")
+    values = f"≈{show(r['left_values'])}" if r["same"] else f"{show(r['left_values'])} vs {show(r['right_values'])}"
+    sure = f", confidence {r['mean_confidence']:.2f}" if r["mean_confidence"] is not None else ""
+    more = f" +{r['more']}" if r["more"] else ""
+    return f"- **{head}** ({values} {r['unit'] or ''}".rstrip() + f") — sources: {r['n_docs']}{sure}; {'/'.join(r['kinds'])}; years: {', '.join(r['years']) or display.NO_YEAR}; places: {', '.join(r['places']) or '—'}; [{', '.join(map(str, r['first_docs']))}{more}]"
+
+
 def review(corpus: Corpus, query: str, role: str = "researcher", filters: dict | None = None, entities: list[str] | None = None, now: int = 2024) -> str:
-    """Q02: methods, regimes, agreement, disagreement and gaps, as Markdown."""
+    """Q02: methods, regimes, agreement, disagreement and gaps, as Markdown. Methods and regimes are
+    those of the facts that the search shows, by entity and unit; agreement and disagreement are all
+    groups of relations between the documents found."""
     result = search(corpus, query, role, filters, entities, now)
+    groups: dict[tuple[str, str], list[dict]] = {}
+    for f in result.facts:
+        groups.setdefault((f.get("canon") or "—", f.get("unit_canon") or "—"), []).append(f)
+    ordered = sorted(groups.items())
+    lines = [f"# {query}", "", "## Methods"]
+    lines += [f"- {canon}: {metric} ({unit}){_sources(rows)}" for (canon, unit), rows in ordered for metric in sorted({f.get("metric") or "—" for f in rows})] or ["- none"]
+    valued = {key: [f for f in rows if f.get("value_low") is not None or f.get("value_high") is not None] for key, rows in ordered}
+    lines += ["", "## Regimes"]
+    lines += [f"- {canon}, {', '.join(sorted({f.get('metric') or '—' for f in rows}))}: {', '.join(dict.fromkeys(value_text(f) for f in rows))}{_sources(rows)}" for (canon, _), rows in valued.items() if rows] or ["- none"]
     ids = [d["doc_id"] for d in result.docs]
-    lines = [f"# {query}", "", "## Regimes"]
-    lines += [f"- {f['canon']}, {f['metric']}: {value_text(f)}" for f in result.facts] or ["- none"]
     if ids:
         scope = corpus.parameters.filter(F.col("doc_id").isin(ids))
-        nth = F.row_number().over(Window.partitionBy("rel").orderBy("entity", "metric", "phase", "unit", "doc_a", "doc_b"))
-        found = relations.pairs(scope).withColumn("nth", nth).filter("nth <= 100").orderBy("rel", "nth").collect()
+        lists = relations.group_lists(relations.pairs(scope), corpus.documents, relations.mean_confidence(scope))
+        found = [r.asDict() for r in lists.orderBy(F.col("n_docs").desc(), "entity", "metric", "phase", "unit").collect()]
         for title, rel in (("Agreement", "VALIDATED_BY"), ("Disagreement", "CONTRADICTS")):
-            own = [r.asDict() for r in found if r.rel == rel]
-            lines += ["", f"## {title}"] + ([f"- {r['entity']}, {r['metric']}: {r['val_a']:g} and {r['val_b']:g}" for r in own] or ["- none"])
-    gaps = [f for f in result.facts if not f.get("quote")]
-    lines += ["", "## Gaps"] + ([f"- {f['canon']}: no quote" for f in gaps] or ["- none"])
+            lines += ["", f"## {title}"] + ([_group_line(r) for r in found if r["rel"] == rel] or ["- none"])
+    gaps = [f"- {canon} ({unit}): no values" if not valued[canon, unit] else f"- {canon} ({unit}): no quote" for (canon, unit), rows in ordered if not valued[canon, unit] or not any((f.get("quote") or "").strip() for f in rows)]
+    lines += ["", "## Gaps"] + (gaps or ["- none"])
     return "\n".join(lines)
 
 
