@@ -12,13 +12,19 @@ from factloom.plans import adapters as ad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries of rows that stand in their code, or of a slice of a table that another query reads whole:
+#: name -> (query, oracle). Tests run them; they are not registered.
+FIXTURES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 HOME = "EUROPE"
 
 
-def query(sql: str | None = None, *more: str, plain: bool = False):
+def query(sql: str | None = None, *more: str, plain: bool = False, fixture: bool = False):
     """Registers a query under its function's name, with its oracle."""
 
     def keep(f):
+        if fixture:
+            FIXTURES[f.__name__] = f, sql.strip() if plain else ad.with_views(sql, *more)
+            return f
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql.strip() if plain else ad.with_views(sql, *more)
@@ -255,14 +261,14 @@ def summary_kpis(s, d):
     return coverage.summary(_doc(s, d), p, ad.authors(s, d), ad.domains(p), p.filter("comparator = '<='"), HOME)
 
 
-@query("""SELECT canon, count(DISTINCT doc_id) AS sources FROM parameter WHERE metric='R' AND unit_canon='O' AND phase='solid' GROUP BY 1 HAVING count(DISTINCT doc_id)<1500 ORDER BY sources, canon LIMIT 12""")
+@query("""SELECT canon, count(DISTINCT doc_id) AS sources FROM parameter WHERE metric='R' AND unit_canon='O' AND phase='solid' GROUP BY 1 HAVING count(DISTINCT doc_id)<1500 ORDER BY sources, canon LIMIT 12""", fixture=True)
 def risk_low_sources(s, d):
     """A05 A30"""
     return coverage.low_sources(_par(s, d).filter("metric = 'R' and unit_canon = 'O' and phase = 'solid'"), 1500, 12)
 
 
 @query("""SELECT * FROM (SELECT canon, count(*) FILTER (geo='EUROPE') AS home, count(*) FILTER (geo<>'EUROPE') AS abroad, CASE WHEN home>0 AND abroad=0 THEN 'only_home' WHEN home=0 AND abroad>0 THEN 'only_abroad' END AS side
-  FROM (SELECT DISTINCT p.quote AS canon, p.doc_id, d.geo FROM parameter p JOIN document d USING (doc_id) WHERE p.value_high<1 AND p.confidence=1) GROUP BY 1) WHERE side IS NOT NULL""")
+  FROM (SELECT DISTINCT p.quote AS canon, p.doc_id, d.geo FROM parameter p JOIN document d USING (doc_id) WHERE p.value_high<1 AND p.confidence=1) GROUP BY 1) WHERE side IS NOT NULL""", fixture=True)
 def risk_only_side(s, d):
     """A06"""
     p = _par(s, d).filter("value_high < 1 and confidence = 1").select(F.col("quote").alias("canon"), "doc_id")
@@ -318,7 +324,7 @@ def top_processes(s, d):
     return coverage.top_entities(_par(s, d), 5)
 
 
-@query("""SELECT canon, min(geo) AS only, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT p.quote || p.canon AS canon, p.doc_id, d.geo FROM parameter p JOIN document d USING (doc_id) WHERE d.geo IS NOT NULL AND p.value_low=0) GROUP BY 1 HAVING min(geo)=max(geo)""")
+@query("""SELECT canon, min(geo) AS only, count(DISTINCT doc_id) AS docs FROM (SELECT DISTINCT p.quote || p.canon AS canon, p.doc_id, d.geo FROM parameter p JOIN document d USING (doc_id) WHERE d.geo IS NOT NULL AND p.value_low=0) GROUP BY 1 HAVING min(geo)=max(geo)""", fixture=True)
 def lang_coverage_gap(s, d):
     """A15"""
     p = _par(s, d).filter("value_low = 0").select(F.concat("quote", "canon").alias("canon"), "doc_id")
@@ -690,7 +696,7 @@ def cross_in_sentence(s, d):
     return spans.cross_in_group(u, a, "conv_id").select("conv_id", "u", F.length("a").cast("long").alias("a_size")).distinct()
 
 
-@query("""SELECT pkey, doc_id FROM parameter WHERE source='grammar' AND (value_low IS NOT NULL OR value_high IS NOT NULL) AND canon='Brand#11'""")
+@query("""SELECT pkey, doc_id FROM parameter WHERE source='grammar' AND (value_low IS NOT NULL OR value_high IS NOT NULL) AND canon='Brand#11'""", fixture=True)
 def verify_needed(s, d):
     """F29 L04"""
     return facts.needs_check(_par(s, d).filter("canon = 'Brand#11'")).select("pkey", "doc_id")

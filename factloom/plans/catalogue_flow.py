@@ -29,6 +29,7 @@ TEXTS = [("d1", "Содержание меди в шлаке составило
 @query(
     """SELECT * FROM (VALUES ('d1','медь','содержание','pct',0.6::DOUBLE,0.6::DOUBLE,'шлак'),('d1','электроэкстракция','температура','degC',60.0,80.0,NULL),('d2','никель','извлечение','pct',95.2,95.2,NULL)) t(doc_id,canon,metric,unit_canon,value_low,value_high,phase)""",
     plain=True,
+    fixture=True,
 )
 def extract_facts(s, d):
     """Sentences, guards, grammar, dictionary, resolution, load gate"""
@@ -37,14 +38,14 @@ def extract_facts(s, d):
     return out.select("doc_id", "canon", "metric", "unit_canon", "value_low", "value_high", "phase")
 
 
-@query("SELECT * FROM (VALUES ('электроэкстракция','медь','USES_MATERIAL','d1')) t(src,dst,type,doc_id)", plain=True)
+@query("SELECT * FROM (VALUES ('электроэкстракция','медь','USES_MATERIAL','d1')) t(src,dst,type,doc_id)", plain=True, fixture=True)
 def extract_edges(s, d):
     """J24 J25 K08"""
     rows = extraction.sentence_facts(s.createDataFrame(TEXTS, "doc_id string, text string"), ENTRIES)
     return extraction.edges_of(rows).select("src", "dst", "type", "doc_id")
 
 
-@query("SELECT doc_id, lang FROM (VALUES ('a','ru'),('b','en'),('c',NULL)) t(doc_id,lang)", plain=True)
+@query("SELECT doc_id, lang FROM (VALUES ('a','ru'),('b','en'),('c',NULL)) t(doc_id,lang)", plain=True, fixture=True)
 def document_meta(s, d):
     """S10 X17 X18 X24 M11"""
     rows = s.createDataFrame([("x/a.pdf", "Текст статьи"), ("x/b.docx", "A text"), ("x/c.xls", "12")], "path string, text string")
@@ -165,7 +166,7 @@ def union_of_tracks(s, d):
     return both.agg(F.count("*").alias("rows"), F.countDistinct("source").alias("parts"))
 
 
-@query("SELECT p.pkey, least(p.value_low*1.0, p.value_high-3) AS value_low, greatest(p.value_low, p.value_high-3) AS value_high FROM parameter p WHERE canon='Brand#13'")
+@query("SELECT p.pkey, least(p.value_low*1.0, p.value_high-3) AS value_low, greatest(p.value_low, p.value_high-3) AS value_high FROM parameter p WHERE canon='Brand#13'", fixture=True)
 def swapped_bounds(s, d):
     """K07"""
     rows = ad.parameter(s, d).filter("canon = 'Brand#13'").withColumn("value_high", F.col("value_high") - 3)

@@ -28,7 +28,7 @@ def language_ratio(s, d):
     return _docs(s, d).select("doc_id", F.round(text.cyrillic_share(F.col("text")), 4).alias("share"))
 
 
-@query("""SELECT page_id AS doc_id, CAST(arg_max(y, (n, y)) AS INTEGER) AS year FROM (SELECT page_id, y, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(' ' || replace(replace(substr(url || ' 1999/2001/2001/1987',1,3000),'/',' /'),'.',' .') || ' ', '[^0-9]((?:19|20)[0-9][0-9])(?:[^0-9])', 1)) AS y FROM pages) GROUP BY 1,2) GROUP BY 1""", plain=True)
+@query("""SELECT page_id AS doc_id, CAST(arg_max(y, (n, y)) AS INTEGER) AS year FROM (SELECT page_id, y, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(' ' || replace(replace(substr(url || ' 1999/2001/2001/1987',1,3000),'/',' /'),'.',' .') || ' ', '[^0-9]((?:19|20)[0-9][0-9])(?:[^0-9])', 1)) AS y FROM pages) GROUP BY 1,2) GROUP BY 1""", plain=True, fixture=True)
 def year_mode(s, d):
     """A21"""
     rows = ad.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.regexp_replace(F.regexp_replace("url", "/", " /"), "\\.", " ."), F.lit(" 1999 /2001 /2001 /1987")).alias("text"))
@@ -67,7 +67,7 @@ FIXTURE_SENTENCES = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1,'market'),(2,'garble'),(3,'no_verb'),(4,NULL)) t(id, reason)", plain=True)
+@query("SELECT * FROM (VALUES (1,'market'),(2,'garble'),(3,'no_verb'),(4,NULL)) t(id, reason)", plain=True, fixture=True)
 def noise_classify(s, d):
     """F19 H07"""
     rows = s.createDataFrame([x[:2] for x in FIXTURE_SENTENCES], "id int, sent string")
@@ -89,6 +89,7 @@ GOLDEN = [
     """SELECT * FROM (VALUES (1,'концентрация','медь',12500.0::DOUBLE,NULL::DOUBLE,'>=','mg_L',1.0::DOUBLE),(2,'pH',NULL,10.0,NULL,'>','pH',1.0),(3,'температура',NULL,60.0,80.0,'=','degC',1.0),
   (4,'температура',NULL,90.0,90.0,'=','degC',1.0),(5,'извлечение',NULL,5.0,3.0,'=','pct',0.5),(6,NULL,'железо',15.0,15.0,'=','ppm',0.6)) t(id,metric,material,value_low,value_high,comparator,unit_canon,confidence)""",
     plain=True,
+    fixture=True,
 )
 def grammar_golden(s, d):
     """E01-E09 M01 M02"""
@@ -107,7 +108,7 @@ ENTRIES = gazetteer.checked(
 )
 
 
-@query("SELECT * FROM (VALUES (1,'медь','Material','меди'),(1,'электроэкстракция','Process','электроэкстракции'),(2,'медь','Material','copper'),(2,'электроэкстракция','Process','electrowinning'),(3,'медь','Material','Cu'),(3,'сера','Material','S'),(5,'Надежда','Facility','Надежда')) t(id,canon,type,form)", plain=True)
+@query("SELECT * FROM (VALUES (1,'медь','Material','меди'),(1,'электроэкстракция','Process','электроэкстракции'),(2,'медь','Material','copper'),(2,'электроэкстракция','Process','electrowinning'),(3,'медь','Material','Cu'),(3,'сера','Material','S'),(5,'Надежда','Facility','Надежда')) t(id,canon,type,form)", plain=True, fixture=True)
 def gazetteer_golden(s, d):
     """E10 S14 H09 H10"""
     rows = s.createDataFrame([(1, "католит меди при электроэкстракции"), (2, "copper electrowinning"), (3, "Cu, S и 5 %"), (4, "Дело S и Надежда"), (5, "завод Надежда")], "id int, sent string")
@@ -118,21 +119,21 @@ def gazetteer_golden(s, d):
 GRID = [("d", 1, r, c, t) for r, row in enumerate([["Продукт", "Cu", "Ni", "Fe", "S"], ["Штейн", "45,5", "20-25", "<3", "24"], ["Шлак", "0,6", "", "38", "1999"], ["Итого", "1", "2", "3", "4"]]) for c, t in enumerate(row)]
 
 
-@query("SELECT * FROM (VALUES ('Cu','=',45.5::DOUBLE,45.5::DOUBLE,'штейн'),('Ni','=',20.0,25.0,'штейн'),('Fe','<',NULL,3.0,'штейн'),('S','=',24.0,24.0,'штейн'),('Cu','=',0.6,0.6,'шлак'),('Fe','=',38.0,38.0,'шлак')) t(canon,comparator,value_low,value_high,phase)", plain=True)
+@query("SELECT * FROM (VALUES ('Cu','=',45.5::DOUBLE,45.5::DOUBLE,'штейн'),('Ni','=',20.0,25.0,'штейн'),('Fe','<',NULL,3.0,'штейн'),('S','=',24.0,24.0,'штейн'),('Cu','=',0.6,0.6,'шлак'),('Fe','=',38.0,38.0,'шлак')) t(canon,comparator,value_low,value_high,phase)", plain=True, fixture=True)
 def grid_to_facts(s, d):
     """E14 S18 F21 F22 M12 X26 X27"""
     cells = s.createDataFrame(GRID, "doc_id string, table_no int, r int, c int, text string")
     return tables.grid_facts(cells).select("canon", "comparator", "value_low", "value_high", "phase")
 
 
-@query("SELECT * FROM (VALUES ('s',0::BIGINT,'Cu'),('s',1::BIGINT,'Ni')) t(sid,value_no,canon)", plain=True)
+@query("SELECT * FROM (VALUES ('s',0::BIGINT,'Cu'),('s',1::BIGINT,'Ni')) t(sid,value_no,canon)", plain=True, fixture=True)
 def enumeration_pairs(s, d):
     """J22"""
     rows = [("s", [(10, 12), (20, 22)], [(7, 9, "Cu"), (17, 19, "Ni"), (90, 92, "Fe")]), ("one", [(1, 2)], [(4, 6, "Cu")])]
     return spans.enumerated(s.createDataFrame(rows, "sid string, values array<struct<s:int,e:int>>, materials array<struct<s:int,e:int,canon:string>>"))
 
 
-@query("SELECT * FROM (VALUES ('d',0),('d',3)) t(doc_id,pos)", plain=True)
+@query("SELECT * FROM (VALUES ('d',0),('d',3)) t(doc_id,pos)", plain=True, fixture=True)
 def either_key_dedup(s, d):
     """What was dropped does not count"""
     rows = [("d", 0, "a", "m", 1.0, 1.0, "u", "q1"), ("d", 1, "a", "m", 1.0, 1.0, "u", "q2"), ("d", 2, "b", "m", 2.0, 2.0, "u", "Q1 "), ("d", 3, "c", "m", 3.0, 3.0, "u", "q2")]
@@ -140,7 +141,7 @@ def either_key_dedup(s, d):
     return relations.without_repeats(df).select("doc_id", "pos")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT,'preamble'),(1::BIGINT,'science'),(2::BIGINT,'econ'),(3::BIGINT,'rubric')) t(segment,kind)", plain=True)
+@query("SELECT * FROM (VALUES (0::BIGINT,'preamble'),(1::BIGINT,'science'),(2::BIGINT,'econ'),(3::BIGINT,'rubric')) t(segment,kind)", plain=True, fixture=True)
 def journal_segments(s, d):
     """E13 F32 B04"""
     body = "слово " * 100
@@ -148,21 +149,21 @@ def journal_segments(s, d):
     return text.article_segments(s.createDataFrame([("j", issue)], "doc_id string, text string")).select("segment", "kind")
 
 
-@query("SELECT * FROM (VALUES ('patent'),('standard'),('other')) t(kind)", plain=True)
+@query("SELECT * FROM (VALUES ('patent'),('standard'),('other')) t(kind)", plain=True, fixture=True)
 def document_types(s, d):
     """X17"""
     rows = s.createDataFrame([("Патент на изобретение", "a"), ("ГОСТ 123", "b"), ("просто текст", "c")], "text string, name string")
     return rows.select(text.doc_type(F.col("text"), F.col("name")).alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('a\n\nb','x°C')) t(killed,unit)", plain=True)
+@query("SELECT * FROM (VALUES ('a\n\nb','x°C')) t(killed,unit)", plain=True, fixture=True)
 def line_kill(s, d):
     """F20 X02"""
     rows = s.createDataFrame([("a\nhttps://x.y ISSN 1\nb", "x℃")], "t string, u string")
     return rows.select(text.kill_lines(F.col("t")).alias("killed"), text.degrees(F.col("u")).alias("unit"))
 
 
-@query("SELECT * FROM (VALUES ('что медь растворяется','Иванов А.Б.+Петрова В.',true,false)) t(claim,authors,bad,ok)", plain=True)
+@query("SELECT * FROM (VALUES ('что медь растворяется','Иванов А.Б.+Петрова В.',true,false)) t(claim,authors,bad,ok)", plain=True, fixture=True)
 def quotes_and_authors(s, d):
     """X10 X14 X15 X16 A24 T13"""
     rows = s.createDataFrame([("Показано, что что медь растворяется. Далее", "Петрова В., Иванов А.Б. статья", "a b c a b c a b c", "a b c d")], "c string, a string, b string, o string")
@@ -259,7 +260,7 @@ ANSWERS = [
 ]
 
 
-@query("SELECT * FROM (VALUES ('d1','Cu','pct','=',45.5::DOUBLE,45.5::DOUBLE,'штейн'),('d1','никель','g_t','=',20.0,25.0,'штейн'),('d1','Fe','pct','<',NULL,3.0,'штейн'),('d5','SiO2','pct','=',12.0,12.0,NULL)) t(doc_id,canon,unit_canon,comparator,value_low,value_high,phase)", plain=True)
+@query("SELECT * FROM (VALUES ('d1','Cu','pct','=',45.5::DOUBLE,45.5::DOUBLE,'штейн'),('d1','никель','g_t','=',20.0,25.0,'штейн'),('d1','Fe','pct','<',NULL,3.0,'штейн'),('d5','SiO2','pct','=',12.0,12.0,NULL)) t(doc_id,canon,unit_canon,comparator,value_low,value_high,phase)", plain=True, fixture=True)
 def model_tables(s, d):
     """A model's answers, checked"""
     return tables.answered_facts(s.createDataFrame(ANSWERS, "doc_id string, answer string")).select("doc_id", "canon", "unit_canon", "comparator", "value_low", "value_high", "phase")

@@ -48,6 +48,15 @@ def test_query_equals_its_oracle(spark, con, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.FIXTURES))
+def test_fixture_equals_its_oracle(spark, con, name):
+    run, sql = catalogue.FIXTURES[name]
+    got, want = run(spark, FOLDER).toPandas(), con.execute(sql).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+    assert name not in entry.queries()
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_without_oracle_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
