@@ -39,6 +39,11 @@ def host_of(url: Column) -> Column:
     """What stands after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case."""
     rest = F.substring_index(_rest(url), "/", 1)
     host = F.substring_index(F.substring_index(rest, "?", 1), "#", 1)
+    return _lowered(host)
+
+
+def _lowered(host: Column) -> Column:
+    """A-Z only, in hosts of urls and of rules alike."""
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -61,7 +66,7 @@ def key_of(host: Column) -> Column:
 
 def parsed(rules: DataFrame) -> DataFrame:
     """(key, host, path, rule, action) of distinct rules (host, path, action)."""
-    whole = rules.filter(F.col("host").isNotNull()).select(F.lower("host").alias("host"), F.coalesce("path", F.lit("/")).alias("path"), "action")
+    whole = rules.filter(F.col("host").isNotNull()).select(_lowered(F.col("host")).alias("host"), F.coalesce("path", F.lit("/")).alias("path"), "action")
     one = whole.groupBy("host", "path").agg(F.min_by("action", F.when(F.col("action") == "block", 0).otherwise(1)).alias("action"))
     return one.select(key_of(F.col("host")).alias("key"), "host", "path", F.concat("host", "path").alias("rule"), "action")
 
