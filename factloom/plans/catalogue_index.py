@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from factloom.functions import registry
 from factloom.operators import contain, coverage, graphs, relations, segments
 from factloom.plans import adapters as ad
-from factloom.plans import dictionary
+from factloom.plans import dictionary, verify
 from factloom.plans.catalogue import EDGES_SQL, HOME, PAIRS_SQL, TF_SQL, _edges, _relations, query
 from factloom.plans.catalogue_flow import _folder
-from factloom.sources import layout
+from factloom.sources import layout, lines
+from factloom.streaming import pipelines
 
 _WORD = "[a-z]{4,}"
 
@@ -158,3 +159,48 @@ _GRAMS = "list_transform(range(1, len(w)-1), lambda i: array_to_string(w[i:i+2],
 def card_facts(s, d):
     """The facts on a document's card, good quotes first"""
     return coverage.card_facts(ad.parameter(s, d)).select("doc_id", "pkey", "bad", "nth")
+
+
+def _strict():
+    """A verifier for the query: it refuses what is over five and was returned."""
+
+    def answer(questions):
+        return [{"id": q["id"], "keep": not (q["metric"] == "R" and float(q["value"].lstrip("<=>").split("..")[0]) > 5)} for q in questions]
+
+    return answer
+
+
+@query("SELECT canon, metric, count(*) AS n FROM parameter WHERE NOT (source='grammar' AND metric='R' AND value_low>5) GROUP BY 1,2")
+def verified_facts(s, d):
+    """Facts judged in batches by a verifier, verdicts kept by content"""
+    path = f"{_folder(s)}/verdicts"
+    return verify.verified(s, ad.parameter(s, d), path, _strict).groupBy("canon", "metric").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL '7 days', CAST(extracted_at AS TIMESTAMP), TIMESTAMP '1970-01-01') AS start, count(*) AS facts, CAST(max(extracted_at) AS TIMESTAMP) AS last_extracted FROM parameter GROUP BY 1")
+def stream_activity(s, d):
+    """Facts by week of extraction, from a stream over lots with a restart between"""
+    from factloom.plans.catalogue_flow import _in_lots
+
+    folder = _folder(s)
+    rows = ad.parameter(s, d).select("pkey", "doc_id", "extracted_at")
+
+    def run(stream: DataFrame) -> None:
+        pipelines.drain(pipelines.activity(stream, late="4000 days"), f"{folder}/state", sink=lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out"), mode="complete")
+
+    _in_lots(s, rows, "pkey", folder, run)
+    return s.read.parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "facts", F.col("last_extracted").cast("timestamp_ntz").alias("last_extracted"))
+
+
+@query("SELECT doc_id, lang, n_chars, md5(coalesce(text,'')) AS text FROM documents", plain=True)
+def json_by_ranges(s, d):
+    """Documents written as JSON lines, early versions and broken lines among them, and read back by byte ranges"""
+    folder = _folder(s)
+    docs = ad.table(s, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    early = docs.withColumn("text", F.lit("early")).select(F.to_json(F.struct("*")).alias("value"))
+    whole = docs.select(F.to_json(F.struct("*")).alias("value"))
+    broken = docs.select(F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "lang"')).alias("value"))
+    early.write.text(f"{folder}/lines/1")
+    whole.unionByName(broken).write.text(f"{folder}/lines/2")
+    rows = lines.json_ranges(s, f"{folder}/lines", "doc_id long, lang string, n_chars long, text string", "doc_id", range_bytes=1 << 20)
+    return rows.select("doc_id", "lang", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text"))

@@ -215,6 +215,14 @@ def json_lines(spark: SparkSession, path: str, schema: StructType, key: str | No
     return rows.withColumn("_place", place).withColumn("_last", last).filter("_last = 1").drop("_last", "_place")
 
 
+def modified_at(spark: SparkSession, path: str) -> float | None:
+    """When a file or folder was last changed, in seconds; none if it is not there. The time
+    of data of which no fact tells one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(where).getModificationTime() / 1000 if fs.exists(where) else None
+
+
 def union_of_facts(*parts: DataFrame) -> DataFrame:
     """Facts of all tracks, absent columns null."""
     out = parts[0]

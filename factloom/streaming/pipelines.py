@@ -35,6 +35,15 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 hour", time
     return out.select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def activity(facts: DataFrame, size: str = "7 days", late: str = "30 days", time: str = "extracted_at") -> DataFrame:
+    """How many facts were extracted in each stretch of time, and the last of them; later facts
+    than the watermark are dropped, in a stream."""
+    rows = facts.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if rows.isStreaming else rows
+    out = rows.groupBy(F.window(time, size).alias("w")).agg(F.count("*").alias("facts"), F.max(time).alias("last_extracted"))
+    return out.select(F.col("w.start").alias("start"), "facts", "last_extracted")
+
+
 def first_seen(uploads: DataFrame, late: str = "1 day", time: str = "ts", key: str = "doc_id") -> DataFrame:
     """Each document once while the watermark remembers it."""
     return uploads.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if uploads.isStreaming else uploads.dropDuplicates([key])
