@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: chemical signs of a composition's header (fixed values)
@@ -74,20 +74,62 @@ def is_composition(grid: dict[tuple[int, int], str]) -> bool:
     return bool(found) and 2 * len(small) >= len(found)
 
 
-SCHEMA = "doc_id string, table_no int, canon string, metric string, unit_canon string, comparator string, value_low double, value_high double, phase string, label string, source string"
+def _sign(cell: Column) -> Column:
+    """X27 as a column."""
+    token = F.translate(F.regexp_replace(cell, r"[\s,%*()]+", ""), "".join(map(chr, LOOKALIKE)), "".join(map(chr, LOOKALIKE.values())))
+    return F.when(token.isin(*sorted(SIGNS)), token)
 
 
-def grid_facts(cells: DataFrame) -> DataFrame:
-    """E14 over a long table of cells: one table is one group, and is as large as a page."""
-
-    def run(key, pdf):
-        import pandas as pd
+def _value(cell: Column) -> Column:
+    """M12 as a column: (comparator, low, high), null if the cell is no number."""
+    part = lambda i: F.nullif(F.regexp_extract(cell, _RANGE.pattern, i), F.lit(""))
+    number = lambda i: F.replace(part(i), F.lit(","), F.lit(".")).cast("double")
+    a, b = number(2), F.coalesce(number(3), number(2))
+    mark = F.coalesce(F.create_map(*[F.lit(x) for pair in _COMPARE.items() if pair[0] for x in pair])[part(1)], F.lit("="))
+    years = part(3).isNotNull() & a.between(1900, 2100) & b.between(1900, 2100)
+    return F.when(a.isNotNull() & ~years, F.struct(mark.alias("comparator"), F.when(~mark.isin("<", "<="), a).alias("low"), F.when(~mark.isin(">", ">="), b).alias("high")))
 
-        grid = {(int(r), int(c)): t or "" for r, c, t in zip(pdf["r"], pdf["c"], pdf["text"])}
-        rows = [{"doc_id": key[0], "table_no": key[1], **f, "source": "vision_ocr"} for f in (facts_of(grid) if is_composition(grid) else [])]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return cells.groupBy("doc_id", "table_no").applyInPandas(run, SCHEMA)
+def grid_facts(cells: DataFrame) -> DataFrame:
+    """E14, F21 over a long table of cells (doc_id, table_no, r, c, text), in windows: which row or
+    column is the header, what each line is called, what it says. Cells are dealt out once, by
+    table; all windows lie within a table's rows, columns or cells, so a page's worth is sorted
+    together and no table is gathered. Null texts are empty; of cells at one place the greatest text
+    counts. `facts_of` tells the same of one table in plain Python."""
+    one = cells.repartition("doc_id", "table_no").groupBy("doc_id", "table_no", "r", "c").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    table = Window.partitionBy("doc_id", "table_no")
+    row, column = Window.partitionBy("doc_id", "table_no", "r"), Window.partitionBy("doc_id", "table_no", "c")
+    rows = one.withColumns({"sign": _sign(F.col("text")), "v": _value(F.col("text"))})
+    rows = rows.withColumns({"in_row": F.count("sign").over(row), "in_column": F.count("sign").over(column)})
+    small = F.coalesce(F.col("v.low").between(0, 100), F.lit(True)) & F.coalesce(F.col("v.high").between(0, 100), F.lit(True))
+    rows = rows.withColumns(
+        {
+            "best_row": F.max(F.struct("in_row", (-F.col("r")).alias("at"))).over(table),
+            "best_column": F.max(F.struct("in_column", (-F.col("c")).alias("at"))).over(table),
+            "numbers": F.count("v").over(table),
+            "small": F.count(F.when(F.col("v").isNotNull() & small, 1)).over(table),
+            "per_ton": F.max(F.col("text").rlike("г/т|g/t")).over(table),
+            "first_r": F.min("r").over(table),
+            "first_c": F.min("c").over(table),
+        }
+    )
+    rows = rows.filter((F.col("numbers") > 0) & (2 * F.col("small") >= F.col("numbers")) & (F.greatest("best_row.in_row", "best_column.in_column") >= 3))
+    across = F.col("best_row.in_row") >= F.col("best_column.in_column")
+    head_r, head_c = -F.col("best_row.at"), -F.col("best_column.at")
+    rows = rows.withColumns(
+        {
+            "name": F.when(across, F.max(F.when(F.col("r") == head_r, F.col("sign"))).over(column)).otherwise(F.max(F.when(F.col("c") == head_c, F.col("sign"))).over(row)),
+            "label": F.coalesce(F.when(across, F.max(F.when(F.col("c") == F.col("first_c"), F.col("text"))).over(row)).otherwise(F.max(F.when(F.col("r") == F.col("first_r"), F.col("text"))).over(column)), F.lit("")),
+        }
+    )
+    unit = F.when(F.col("per_ton"), "g_t").otherwise("pct")
+    line = F.when(across, F.col("r") > head_r).otherwise(F.col("c") > head_c)
+    sane = (unit != "pct") | (F.greatest("v.low", "v.high") <= 100)
+    phase = F.lit(None).cast("string")
+    for word, canon in reversed(PHASES.items()):
+        phase = F.when(F.contains(F.lower("label"), F.lit(word)), canon).otherwise(phase)
+    kept = rows.filter(line & F.col("name").isNotNull() & F.col("v").isNotNull() & ~F.col("label").rlike("(?iu)" + _TOTAL.pattern.removeprefix("(?i)")) & sane)
+    return kept.select("doc_id", "table_no", F.col("name").alias("canon"), F.lit("содержание").alias("metric"), unit.alias("unit_canon"), "v.comparator", F.col("v.low").alias("value_low"), F.col("v.high").alias("value_high"), phase.alias("phase"), "label", F.lit("vision_ocr").alias("source"))
 
 
 #: What a model that reads page images answers: tables of compositions (fixed format).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import registry
+from factloom.functions import registry, tables
 from factloom.operators import contain, coverage, graphs, relations, segments
 from factloom.plans import adapters as ad
 from factloom.plans import dictionary, verify
@@ -204,3 +204,27 @@ def json_by_ranges(s, d):
     whole.unionByName(broken).write.text(f"{folder}/lines/2")
     rows = lines.json_ranges(s, f"{folder}/lines", "doc_id long, lang string, n_chars long, text string", "doc_id", range_bytes=1 << 20)
     return rows.select("doc_id", "lang", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text"))
+
+
+_GRID_SQL = """l AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, max(CAST(l_quantity AS BIGINT)) AS q, max(CAST(round(l_discount*100) AS BIGINT)) AS lo, max(CAST(round((l_discount+l_tax)*100) AS BIGINT)) AS hi, max(CAST(round(l_tax*100) AS BIGINT)) AS t, max(CAST(l_extendedprice AS BIGINT)) AS price, max(l_returnflag) AS mode FROM lineitem GROUP BY 1,2)"""
+
+
+@query(f"""WITH {_GRID_SQL}, n AS (SELECT *, CASE WHEN line%7=0 THEN 'Итого' WHEN line%2=0 THEN 'штейн ' || mode ELSE mode END AS label, CASE WHEN line%7<>0 AND line%2=0 THEN 'штейн' END AS phase FROM l)
+SELECT doc_id, 'Cu' AS canon, '=' AS comparator, CAST(q AS DOUBLE) AS value_low, CAST(q AS DOUBLE) AS value_high, phase, label FROM n WHERE line%7<>0 AND q<=100
+UNION ALL SELECT doc_id, 'Ni', '=', lo, hi, phase, label FROM n WHERE line%7<>0 UNION ALL SELECT doc_id, 'Fe', '<', NULL, t, phase, label FROM n WHERE line%7<>0
+UNION ALL SELECT doc_id, 'S', '=', price, price, phase, label FROM n WHERE line%7<>0 AND price<=100""", plain=True)
+def grid_facts_all(s, d):
+    """Tables made of the lines of each order, half of them with the header in a column"""
+    c = lambda x: F.col(x)
+    whole = lambda x: F.round(x * 100).cast("long")
+    lines = ad.table(s, d, "lineitem").groupBy(c("l_orderkey").alias("doc_id"), c("l_linenumber").cast("int").alias("line")).agg(
+        F.max(c("l_quantity").cast("long")).alias("q"), F.max(whole(c("l_discount"))).alias("lo"), F.max(whole(c("l_discount") + c("l_tax"))).alias("hi"), F.max(whole(c("l_tax"))).alias("t"), F.max(c("l_extendedprice").cast("long")).alias("price"), F.max("l_returnflag").alias("mode")
+    )
+    label = F.when(c("line") % 7 == 0, "Итого").when(c("line") % 2 == 0, F.concat(F.lit("штейн "), "mode")).otherwise(c("mode"))
+    cell = lambda at, text: F.struct(F.lit(at).alias("at"), text.cast("string").alias("text"))
+    body = F.array(cell(0, label), cell(1, c("q")), cell(2, F.concat(c("lo").cast("string"), F.lit("-"), c("hi").cast("string"))), cell(3, F.concat(F.lit("< "), c("t").cast("string"))), cell(4, c("price")))
+    heads = F.array(*[cell(i, F.lit(x)) for i, x in enumerate(["Продукт", "Сu, %", "Ni", "Fe", "S"])])
+    rows = lines.select("doc_id", "line", F.explode(body).alias("x")).unionByName(lines.select("doc_id").distinct().select("doc_id", F.lit(0).alias("line"), F.explode(heads).alias("x")))
+    turned = c("doc_id") % 2 == 0
+    cells = rows.select("doc_id", F.lit(1).alias("table_no"), F.when(turned, c("x.at")).otherwise(c("line")).alias("r"), F.when(turned, c("line")).otherwise(c("x.at")).alias("c"), c("x.text").alias("text"))
+    return tables.grid_facts(cells).select("doc_id", "canon", "comparator", "value_low", "value_high", "phase", "label")
