@@ -362,7 +362,7 @@ def test_templates_are_counted_by_pages(spark):
 def test_against_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     want = con.execute(q.ORACLES[name]).df()
     got = q.QUERIES[name](spark, folder).toPandas()
