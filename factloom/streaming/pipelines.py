@@ -6,6 +6,7 @@ rows; the tests hold the two against each other.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,25 +55,50 @@ def new_hits(hits: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return hits.join(subscriptions, "query").filter(F.col("at") > F.col("last_seen")).select("user", "query", "doc_id", "at")
 
 
+def _fs(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def _listed(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+    fs, where = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions that `upsert_into` has finished, oldest first."""
-    return sorted(int(n[2:]) for n in _listed(spark, path) if n.startswith("v=") and "_SUCCESS" in _listed(spark, f"{path}/{n}"))
+    """The versions that `upsert_into` has finished, oldest first: those with a list of parts."""
+    return sorted(int(n[6:-5]) for n in _listed(spark, path) if n.startswith("parts-") and n.endswith(".json"))
+
+
+def _parts_of(spark: SparkSession, path: str, version: int) -> dict[int, int]:
+    """Bucket -> version of its last folder, as a version left them."""
+    text = spark.read.text(f"{path}/parts-{version:012d}.json", wholetext=True).first().value
+    return {int(bucket): v for bucket, v in json.loads(text).items()}
+
+
+def _folder_of(path: str, bucket: int, version: int) -> str:
+    return f"{path}/v={version}/bucket={bucket}"
 
 
 def current_parts(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
-    """Bucket -> folder of its last version (before a version, if one is given)."""
-    out = {}
-    for v in versions(spark, path):
-        if before is None or v < before:
-            out |= {int(n[7:]): f"{path}/v={v}/{n}" for n in _listed(spark, f"{path}/v={v}") if n.startswith("bucket=")}
-    return out
+    """Bucket -> folder of its last version (before a version, if one is given): one listing and one
+    small file, however many versions there are."""
+    known = [v for v in versions(spark, path) if before is None or v < before]
+    return {b: _folder_of(path, b, v) for b, v in (_parts_of(spark, path, known[-1]) if known else {}).items()}
+
+
+def _finish(spark: SparkSession, path: str, number: int, known: dict[int, int]) -> None:
+    """Put the list of parts of a version in its place, whole or not at all."""
+    made = {int(n[7:]): number for n in _listed(spark, f"{path}/v={number}") if n.startswith("bucket=")}
+    fs, draft = _fs(spark, f"{path}/_parts-{number:012d}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(known | made).encode()))
+    out.close()
+    _, place = _fs(spark, f"{path}/parts-{number:012d}.json")
+    fs.delete(place, False)
+    fs.rename(draft, place)
 
 
 def current(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -93,12 +119,14 @@ def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64)
         batch = batch.persist()
         try:
             touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
-            known = current_parts(spark, path, number)
-            before = [known[b] for b in touched if b in known]
+            done = [v for v in versions(spark, path) if v < number]
+            known = _parts_of(spark, path, done[-1]) if done else {}
+            before = [_folder_of(path, b, known[b]) for b in touched if b in known]
             new = lifecycle.keep_last(batch, keys, order)
             if before:
                 new = lifecycle.upserted(spark.read.schema(batch.schema).parquet(*before), batch, keys, order)
             new.withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/v={number}")
+            _finish(spark, path, number, known)
         finally:
             batch.unpersist()
 
