@@ -18,6 +18,8 @@ Nulls, empties, ties: a null or wordless text has no words and is clean; a null
 item has no window; items with equal text are all named; repeated document rows are returned
 as often as they occur; null ids are kept. An empty benchmark leaves every document clean, an
 empty table gives no row. Item ids are whole numbers or strings, document ids of any type.
+A document of any length is scanned whole, by the numbers of its words. Items with equal text are
+one block's.
 """
 
 from __future__ import annotations

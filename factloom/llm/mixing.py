@@ -14,6 +14,7 @@ Nulls, empties, ties: a null source is a source of its own, ordered last; a null
 size 0; documents of size 0 are in no block and have `taken` 0; rows with equal ids are
 ordered by a hash of their text, and rows equal in both by chance, which leaves the same
 multiset of rows. An empty table, or one without any word, gives an empty schedule.
+Rows with null or equal ids share a shuffle key and so one bin.
 """
 
 from __future__ import annotations

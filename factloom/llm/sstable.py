@@ -17,7 +17,8 @@ again replaces it.
 
 Nulls, empties, ties: a null text is the empty text and holds the end id only; a null id is
 the smallest key; rows with equal ids are kept all, next to each other; an empty table gives
-no shard; ids are whole numbers or strings. The order of rows with equal ids is by their token ids.
+no shard; ids are whole numbers or strings. The order of rows with equal ids is by their token ids,
+and they are one shard, however many.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ independent hashes of its words; anchors, which only select, by 64.
 
 Nulls, empties, ties: a null text has no words; ids must be whole numbers; a null id counts
 as larger than any other and never removes anything; rows with equal ids never remove from
-each other; a text of fewer than `least` words stays whole; an empty table gives no row.
+each other; a text of fewer than `least` words stays whole; an empty table gives no row. A very
+long text is a block alone, whose hashes (some tens of bytes a word) are in one task.
 """
 
 from __future__ import annotations
