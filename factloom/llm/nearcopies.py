@@ -1,8 +1,8 @@
-"""Near-duplicates by five-word shingles: SimHash anchors, min-hash bands, and an exact test.
+"""Near-duplicates by five-word shingles: SimHash anchors, min-hash bands, and prefixes for the rest.
 
-Sets of word shingles are near-duplicates from a Jaccard similarity of `least` on. SimHash
-fingerprints of such sets differ in about ten of 64 bits at 0.8, out of reach of any covering
-code whose anchors still tell documents apart. So sets become candidates in two ways:
+Sets of word shingles are near-duplicates from a Jaccard similarity of `least` on. The groups
+are those that all pairs of at least that similarity link; every link is tested on whole texts.
+They are found in two steps. The first is cheap and links most:
 
 * fingerprints of the shingles that the anchor points link (`simhash.links`, two bits), and
 * bands: `BANDS` groups of `ROWS` minima of the shingles under fixed permutations. Sets with a
@@ -12,23 +12,30 @@ Whoever shares a component of fingerprints or a band is a bucket. Each bucket ha
 the member that has most companions in all its buckets (a text that was copied often has more
 than its copies have), and those with the smallest and the largest hash. Every member is tested
 against the centres on the whole texts, so a bucket of n members costs 3 n tests, however large
-it is, and no list of pairs is made. What the tests link is put together in components. Not
-found are similar sets that share no band, or of which in every bucket that they share one is
-similar to no centre that leads to the other. More bands (`count`) and further centres (`rounds`)
-find those: see `deduplicated`.
+it is, and no list of pairs is made. What the tests link is put together in components. More
+bands (`count`) and further centres (`rounds`) let this step link more.
+
+The second step finds every link between components that the first has left apart, by prefix
+filtering: with the shingles of all sets in one order, two sets as similar as that share one of
+the first n - ceil(least * n) + 1 of the n shingles of either. All members of a shingle's group
+that are in different components, and whose sizes and places allow the similarity, are tested.
+Any order is exact. The one used puts shingles last that are frequent among every `EVERY`th set,
+so that a passage of many texts makes no large groups; what is counted has no say in the result.
+Not alike texts that consist of the same frequent shingles for the most part still meet in pairs.
 
 Hot buckets are never gathered: members meet their bucket's centre over salted keys, and a
-centre's text is repeated for every `PER_COPY` members.
+centre's text is repeated for every `PER_COPY` members. Groups of a shingle are dealt likewise.
 
 Nulls, empties, ties: null and wordless texts are equal to each other. Fewer words than a
-shingle: the whole sequence is the one shingle. Words are lower-cased, shingles of a text count
-once. Rows with null or repeated ids take part; of equal rows one stays. An empty table gives
-an empty one. Columns may have any names.
+shingle: the whole sequence is the one shingle. Words are lower-cased, shingles of a text
+count once; they, texts and sets are told by 64-bit hashes. Rows with null or repeated ids take
+part; of equal rows one stays. An empty table gives an empty one. Columns may have any names.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +45,8 @@ from factloom.llm import common, simhash
 
 BANDS, ROWS = 12, 5
 SALTS, PER_COPY = 16, 512
+#: Frequent shingles: among every `EVERY`th set, from `OFTEN` sets on, the `ORDERED` most frequent at most.
+EVERY, OFTEN, ORDERED = 16, 3, 500_000
 _SLACK = 1e-9
 _SLICE = 1 << 19
 _KEPT_BYTES = 32 << 20
@@ -90,23 +99,36 @@ def fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.array([xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+
+
+def _lists(sets: list[np.ndarray]):
+    """An Arrow column of lists of hashes."""
+    import pyarrow as pa
+
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat.view(np.int64)))
+
+
 def _sets(texts: DataFrame, k: int, count: int) -> DataFrame:
-    """(tie, s, n, fp, bands): digest, size, fingerprint and bands of the set of each text."""
+    """(tie, s, n, fp, bands, counted): digest, size, fingerprint and bands of the set of each text;
+    the hashes of every `EVERY`th set, whose frequencies give the order of prefixes."""
 
     def run(batches):
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
             every = common.utf8(batch.column(1))
             for lo, hi in common.slices(every, _SLICE):
                 own = [shingles(t, k) for t in every[lo:hi]]
-                digest = np.array([xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
-                flat = pa.array(bands(own, count).view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, count), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest), pa.array([len(x) for x in own], pa.int64()), pa.array([fingerprint(x) for x in own], pa.int64()), lists], ["tie", "s", "n", "fp", "bands"])
+                digest = _digests(own)
+                counted = [x if s % EVERY == 0 else x[:0] for x, s in zip(own, digest.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest), pa.array([len(x) for x in own], pa.int64()), pa.array([fingerprint(x) for x in own], pa.int64()), _lists(list(bands(own, count))), _lists(counted)], ["tie", "s", "n", "fp", "bands", "counted"])
 
-    return texts.select("tie", F.lower("text")).mapInArrow(common.releasing(run), "tie long, s long, n long, fp long, bands array<long>")
+    return texts.select("tie", F.lower("text")).mapInArrow(common.releasing(run), "tie long, s long, n long, fp long, bands array<long>, counted array<long>")
 
 
 def _salted(members: DataFrame, of_key: DataFrame) -> DataFrame:
@@ -195,13 +217,86 @@ def _more_links(members: DataFrame, centres: DataFrame, links: DataFrame, least:
     return links
 
 
+def _frequent(by_text: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, ascending, and in how many of the counted sets they are."""
+    counted = by_text.filter(F.size("counted") > 0).groupBy("s").agg(F.first("counted").alias("counted"))
+    often = counted.select(F.explode("counted").alias("h")).groupBy("h").count().filter(F.col("count") >= OFTEN)
+    often = common.materialise(often, "nearcopies-often")
+    least, total = OFTEN, 0
+    for row in often.groupBy("count").agg(F.count("*").alias("of")).orderBy(F.col("count").desc()).collect():
+        total += row["of"]
+        if total > ORDERED:
+            least = row["count"] + 1
+            break
+    found = often.filter(F.col("count") >= least).toArrow()
+    known, times = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(known)
+    return known[order], times[order].astype(np.int32)
+
+
+def prefix(own: np.ndarray, known: np.ndarray, times: np.ndarray, least: float) -> np.ndarray:
+    """Those shingles of a set of which every set as similar has one among its own: the first by
+    frequency, then by hash."""
+    size = min(len(own), len(own) - ceil(least * len(own) - _SLACK) + 1)
+    place = np.searchsorted(known, own)
+    place[place == len(known)] = 0
+    seen = np.flatnonzero(known[place] == own) if len(known) else place[:0]
+    often = np.zeros(len(own), np.int32)
+    often[seen] = times[place[seen]]
+    # few sets have no frequent shingle; `own` is ascending, so a stable sort keeps the hashes' order
+    return own[np.argsort(often, kind="stable")[:size]] if len(seen) else own[:size]
+
+
+def _prefixes(rows: DataFrame, k: int, least: float, order) -> DataFrame:
+    """(key, s, n, at): each shingle of a set's prefix, the set, its size and the shingle's place.
+    Equal sets of a batch are given once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known, times = order.value
+        for batch in batches:
+            every = common.utf8(batch.column(0))
+            for lo, hi in common.slices(every, _SLICE):
+                own = [shingles(t, k) for t in every[lo:hi]]
+                digest, first = np.unique(_digests(own), return_index=True)
+                own = [own[i] for i in first]
+                keys = [prefix(x, known, times, least) for x in own]
+                size = np.array([len(x) for x in keys])
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                n = np.repeat([len(x) for x in own], size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(digest, size)), pa.array(n, pa.int32()), pa.array(at, pa.int32())], ["key", "s", "n", "at"])
+
+    return rows.select(F.lower("text")).mapInArrow(common.releasing(run), "key long, s long, n int, at int")
+
+
+def _left_apart(rows: DataFrame, by_text: DataFrame, links: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, copies): every pair of sets that may be similar and that `links` leave in different
+    components, to be tested."""
+    order = rows.sparkSession.sparkContext.broadcast(_frequent(by_text))
+    of_key = Window.partitionBy("key")
+    shared = _prefixes(rows, k, least, order).withColumns({"low": F.min("s").over(of_key), "high": F.max("s").over(of_key)})
+    members = shared.filter("low <> high").dropDuplicates(["key", "s"]).select("key", "s", "n", "at")
+    roots = simhash.connected(links, "nearcopies-links")
+    rooted = members.join(roots, F.col("s") == F.col("node"), "left").select("key", "s", "n", "at", F.coalesce("root", "s").alias("root"))
+    rooted = common.materialise(rooted, "nearcopies-prefixes")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high")
+    apart = common.materialise(rooted.join(apart.select("key", "m"), "key").withColumn("parts", F.ceil(F.col("m") / PER_COPY)), "nearcopies-apart")
+    own = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("s", "n", "at", "root")], F.pmod(F.xxhash64("s"), "parts").alias("part"))
+    other = apart.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))  # what follows in either set, the shingle itself included
+    fit = (F.col("root_a") != F.col("root")) & (F.least("n_a", "n") >= least * F.greatest("n_a", "n") - _SLACK)
+    fit = fit & (F.col("s_a") < F.col("s")) & (rest * (1 + least) >= least * (F.col("n_a") + F.col("n")) - 1e-6)
+    pairs = own.join(other, ["key", "part"]).filter(fit)
+    return pairs.groupBy(F.col("s_a").alias("a"), F.col("s").alias("b")).agg(F.ceil(F.max("m") / PER_COPY).alias("copies"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, count: int = BANDS, rounds: int | None = 0) -> DataFrame:
     """The rows of `docs`, all columns as they are, one of each group of near-duplicates: that
     with the smallest id (nulls first; of equal ids, the smallest hash of the text).
 
-    `count` bands and further `rounds` of centres buy recall. With `rounds` of none no pair of a
-    bucket is left open, and with 60 bands one pair of similarity 0.8 in 10**10 shares none; a
-    bucket of n members that are not alike then costs n rounds and n * n tests."""
+    The groups are those of all pairs, whatever `count` and `rounds` are: more bands and further
+    rounds of centres (none: as many as it takes) only leave less to the prefixes."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     by_text = common.materialise(_sets(rows.select("tie", "text"), shingle, count), "nearcopies-sets")
     sets = by_text.groupBy("s").agg(F.min("tie").alias("tie"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
@@ -214,9 +309,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     members = buckets(sets)
     centres = centres_of(members)
-    links = test(common.materialise(candidates(members, centres, least), "nearcopies-candidates"))
+    links = common.materialise(test(common.materialise(candidates(members, centres, least), "nearcopies-candidates")), "nearcopies-linked")
     if rounds != 0:
-        links = _more_links(members, centres, common.materialise(links, "nearcopies-linked"), least, rounds, test)
+        links = _more_links(members, centres, links, least, rounds, test)
+    rest = common.materialise(_left_apart(rows, by_text, links, shingle, least), "nearcopies-candidates")
+    links = links.unionByName(test(rest))
     roots = simhash.connected(links, "nearcopies-links")
     rooted = by_text.select("tie", "s").distinct().join(roots, F.col("s") == F.col("node"), "left").select("tie", F.coalesce("root", "s").alias("root"))
     return one_of_each(docs, rows.select("id", "tie"), rooted, F.col(f"`{id_col}`"), F.xxhash64(text_col))

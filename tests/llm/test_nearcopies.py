@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from factloom.llm import nearcopies
 
@@ -82,6 +83,34 @@ def test_many_bands_and_rounds_find_every_group(spark):
     assert got == set(kept_by_brute_force(rows))
 
 
+def test_pairs_that_share_no_bucket_are_found(spark):
+    """Neither a band nor a fingerprint brings these pairs together. Beside them, texts that are not
+    alike but share a long passage."""
+    rows, i = [], 0
+    while len(rows) < 6:
+        i += 1
+        base = [f"{i}x{j}" for j in range(104)]
+        pair = [" ".join(base), " ".join(base[:30] + ["other"] + base[31:60] + ["word"] + base[61:])]
+        a, b = (nearcopies.shingles(t.encode(), 5) for t in pair)
+        found = nearcopies.bands([a, b])
+        if not (found[0] == found[1]).any() and ((nearcopies.fingerprint(a) ^ nearcopies.fingerprint(b)) & (1 << 64) - 1).bit_count() > 2:
+            rows += pair
+    passage = " ".join(f"p{j}" for j in range(40))
+    rows += [" ".join(f"{g}o{j}" for j in range(30)) + " " + passage for g in range(100)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id for x in nearcopies.deduplicated(docs).collect()}
+    assert got == set(kept_by_brute_force(rows)) == set(range(len(rows))) - {1, 3, 5}
+
+
+def test_sets_that_are_similar_share_a_shingle_of_their_prefixes():
+    sets = [nearcopies.shingles(t.lower().encode(), 5) for seed in (1, 2) for t in texts(seed) if t and t.split()]
+    every, count = np.unique(np.concatenate(sets), return_counts=True)
+    for known in (count > 1, count > 3, count > len(sets)):
+        keys = [nearcopies.prefix(s, every[known], count[known].astype(np.int32), 0.8) for s in sets]
+        for i in range(len(sets)):
+            assert all(len(np.intersect1d(keys[i], keys[j])) for j in range(i) if nearcopies.similar(sets[i], sets[j], 0.8))
+
+
 def test_bands_of_more_begin_with_those_of_fewer():
     sets = [nearcopies.shingles(t.encode(), 5) for t in texts(5) if t]
     assert (nearcopies.bands(sets, 30)[:, : nearcopies.BANDS] == nearcopies.bands(sets)).all()
