@@ -33,80 +33,199 @@ def _whole(rows: Iterator) -> Any:
     return pd.concat(list(rows), ignore_index=True)
 
 
+def _packed(**columns: Any) -> bytes:
+    """Columns as one value of the state: no cell of them is handled on its own."""
+    import pyarrow as pa
+
+    table, out = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(held: tuple | None, empty: dict[str, str]) -> dict[str, Any]:
+    """The columns as arrays; empty ones, of these types, if nothing is held."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not held:
+        return {name: np.empty(0, kind) for name, kind in empty.items()}
+    table = pa.ipc.open_stream(pa.py_buffer(bytes(held[0]))).read_all()
+    return {name: table.column(name).to_numpy().copy() for name in empty}
+
+
 # --- subscriptions --------------------------------------------------------------
 
+#: Microseconds that stand for no time at all.
+NEVER = -(1 << 63)
+#: Kinds of rows that the state is told.
+HIT, SUBSCRIBED, MARKED = 0, 1, 2
+#: Buckets of a query's documents in the state: a batch asks for those that it touches.
+DOC_BUCKETS = 64
+_USERS = {"user": "object", "seen": "int64", "new": "int64", "due": "int64", "own": "bool"}
+_DOCS = {"doc": "object", "at": "int64"}
+
 
 class Novelties(StatefulProcessor):
-    """Per (user, query): what was last seen, and the documents that are newer, each with its latest
-    time. A mark moves what was last seen forward only and takes what it covers away; a document
-    that comes late counts if it is newer than that. While something is unseen, a timer reminds of
-    it after `remind` milliseconds without a new document."""
+    """Per query and part of its users: the documents of the query, each with its latest time, and of each
+    user what was last seen and how many documents are newer. A batch changes the counts by the times that
+    it brings and takes away, so no document is kept or met once for each user. A mark moves what was
+    last seen forward only, and the count is taken again from all times; documents that no user of the part
+    can count any more go then. A document that comes late counts if it is newer than what was seen.
+    While something is unseen, a timer reminds the user of it after `remind` milliseconds without a new
+    document."""
 
     def __init__(self, remind: int):
         self.remind = remind
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "at long")
-        self.unseen = handle.getValueState("unseen", "docs array<string>, at array<long>")
+        self.users = handle.getValueState("users", "data binary")
+        self.docs = handle.getMapState("docs", "bucket int", "data binary")
 
-    def _held(self) -> tuple[int | None, dict[str, int]]:
-        seen, unseen = self.seen.get(), self.unseen.get()
-        return seen[0] if seen else None, dict(zip(*unseen)) if unseen else {}
+    def _docs(self, bucket: int) -> dict[str, Any]:
+        return _unpacked(self.docs.getValue((bucket,)), _DOCS)
 
-    def _row(self, key, new: int, seen: int | None, reminder: bool):
+    def _taken(self, hits) -> tuple[Any, Any]:
+        """Keep the hits; (times that are new, times that they take the place of), sorted."""
+        import numpy as np
         import pandas as pd
 
-        return pd.DataFrame({"user": [key[0]], "query": [key[1]], "new": [new], "last_seen": pd.array([seen], "Int64"), "reminder": [reminder]})
+        came, gone = [np.empty(0, "int64")], [np.empty(0, "int64")]
+        latest = hits.groupby("doc_id", sort=False).agg(at=("at", "max"), bucket=("bucket", "first"))
+        for bucket, part in latest.groupby("bucket"):
+            held, at = self._docs(int(bucket)), part["at"].to_numpy()
+            place = pd.Index(held["doc"]).get_indexer(part.index)
+            known = place >= 0
+            old, now = held["at"][place[known]], at[known]
+            later = now > old
+            if not later.any() and known.all():
+                continue
+            times = held["at"].copy()
+            times[place[known]] = np.maximum(now, old)
+            docs = np.concatenate([held["doc"], part.index.to_numpy()[~known]])
+            self.docs.updateValue((int(bucket),), (_packed(doc=docs, at=np.concatenate([times, at[~known]])),))
+            came += [now[later], at[~known]]
+            gone += [old[later]]
+        return np.sort(np.concatenate(came)), np.sort(np.concatenate(gone))
+
+    def _times(self, floor: int) -> Any:
+        """All times, sorted; documents that are not newer than `floor` go."""
+        import numpy as np
+
+        times = [np.empty(0, "int64")]
+        for (bucket,) in list(self.docs.keys()):
+            held = self._docs(bucket)
+            keep = held["at"] > floor
+            if not keep.any():
+                self.docs.removeKey((bucket,))
+            elif not keep.all():
+                self.docs.updateValue((bucket,), (_packed(doc=held["doc"][keep], at=held["at"][keep]),))
+            times.append(held["at"][keep])
+        return np.sort(np.concatenate(times))
+
+    def _rows(self, key, users, which, reminder: bool):
+        import pandas as pd
+
+        return pd.DataFrame({"user": users["user"][which], "query": [key[0]] * int(which.sum()), "new": users["new"][which], "last_seen": users["seen"][which], "reminder": reminder})
 
     def handleInputRows(self, key, rows, timerValues):
-        seen, unseen = self._held()
+        import numpy as np
+        import pandas as pd
+
         batch = _whole(rows)
-        marks = batch.loc[batch["doc_id"].isna(), "at"].dropna()
-        known = [int(x) for x in (seen, *batch["since"].dropna().unique(), *marks) if x is not None]
-        seen = max(known) if known else None
-        hits = batch.dropna(subset=["doc_id", "at"]).groupby("doc_id")["at"].max()
-        before = len(unseen)
-        for doc, at in hits.items():
-            unseen[doc] = max(int(at), unseen.get(doc, int(at)))
-        unseen = {doc: at for doc, at in unseen.items() if seen is not None and at > seen}
-        if seen is not None:
-            self.seen.update((seen,))
-        self.unseen.update((list(unseen), list(unseen.values())))
+        hits, told = batch[batch["kind"] == HIT], batch[batch["kind"] != HIT]
+        users = _unpacked(self.users.get(), _USERS)
+        heard = told.groupby("user").agg(at=("at", "max"), kind=("kind", "min"))
+        fresh = heard.index.difference(pd.Index(users["user"], dtype="object")).to_numpy()
+        none = np.zeros(len(fresh), "int64")
+        more = {"user": fresh, "seen": none + NEVER, "new": none, "due": none + NEVER, "own": none > 0}
+        users = {c: np.concatenate([users[c], more[c]]) for c in _USERS}
+        place = pd.Index(users["user"]).get_indexer(heard.index)
+        seen, before = users["seen"], users["new"]
+        moved, met = np.zeros(len(seen), "bool"), np.full(len(seen), len(hits) > 0)
+        moved[place] = heard["at"].to_numpy() > seen[place]
+        met[place] = True
+        seen[place] = np.maximum(seen[place], heard["at"].to_numpy())
+        users["own"][place] |= (heard["kind"] == SUBSCRIBED).to_numpy()
+        floor = int(seen.min()) if len(seen) else NEVER
+        came, gone = self._taken(hits[hits["at"] > floor])
+        later = lambda times, than: len(times) - np.searchsorted(times, than, side="right")
+        new = before + later(came, seen) - later(gone, seen)
+        if moved.any():
+            new[moved] = later(self._times(floor), seen[moved])
+        new[seen == NEVER] = 0
+        users["new"] = new
         if self.remind:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if unseen:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.remind)
-        if unseen or before:
-            yield self._row(key, len(unseen), seen, False)
+            due = timerValues.getCurrentProcessingTimeInMs() + self.remind
+            users["due"][met] = np.where(users["own"][met] & (new[met] > 0), due, NEVER)
+            self._timers(users["due"])
+        self.users.update((_packed(**users),))
+        which = users["own"] & met & ((new > 0) | (before > 0))
+        if which.any():
+            yield self._rows(key, users, which, False)
+
+    def _timers(self, due) -> None:
+        """Timers at the times when some user is due, and no others."""
+        wanted, there = {int(x) for x in set(due.tolist()) if x != NEVER}, set(self.handle.listTimers())
+        for timer in there - wanted:
+            self.handle.deleteTimer(timer)
+        for timer in wanted - there:
+            self.handle.registerTimer(timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        seen, unseen = self._held()
-        if unseen:
-            yield self._row(key, len(unseen), seen, True)
+        users = _unpacked(self.users.get(), _USERS)
+        due = (users["due"] != NEVER) & (users["due"] <= expiredTimerInfo.getExpiryTimeInMs())
+        which = due & users["own"] & (users["new"] > 0)
+        users["due"][due] = NEVER
+        self.users.update((_packed(**users),))
+        if which.any():
+            yield self._rows(key, users, which, True)
 
     def close(self) -> None:
         pass
 
 
-def novelties(hits: DataFrame, subscriptions: DataFrame, marks: DataFrame | None = None, remind: int = 0) -> DataFrame:
+def _each_once(batches: Iterator) -> Iterator:
+    """The different values of a task's only column."""
+    import pyarrow as pa
+
+    known: set = set()
+    for batch in batches:
+        values = [x for x in batch.column(0).unique().to_pylist() if x not in known]
+        known.update(values)
+        yield pa.RecordBatch.from_arrays([pa.array(values, batch.schema.field(0).type)], schema=batch.schema)
+
+
+def novelties(hits: DataFrame, subscriptions: DataFrame, marks: DataFrame | None = None, remind: int = 0, parts: int = 8) -> DataFrame:
     """A stream of (user, query, new, last_seen, reminder), a row whenever a subscription's
     count may have changed, or a timer reminds of it. hits: a stream of (query, doc_id, at), at null
     if unknown; subscriptions: a table (user, query, last_seen); marks: a stream (user, query, at) of
     what users have seen since. With `remind` the stream runs on, as its timers go by the clock: it has
-    to be stopped. Hits meet the subscriptions of their query by a join with the table;
-    times are microseconds."""
-    known = subscriptions.select("user", "query", F.unix_micros("last_seen").alias("since"))
-    rows = hits.select("query", F.col("doc_id").cast("string").alias("doc_id"), F.unix_micros("at").alias("at")).filter("doc_id is not null").join(known, "query")
-    rows = rows.select("user", "query", "doc_id", "at", "since")
-    if marks is not None:
-        nothing = F.lit(None)
-        rows = rows.unionByName(marks.select("user", "query", nothing.cast("string").alias("doc_id"), F.unix_micros("at").alias("at"), nothing.cast("long").alias("since")))
+    to be stopped. Times are microseconds.
+
+    A query's users are dealt out over `parts`, each of which gets the query's hits; a batch names each of
+    its queries once, and that row meets the subscriptions. So a batch costs its hits times the parts,
+    and the subscriptions of the queries that it touches, which are also the rows it puts out. A
+    subscription that is entered later counts what comes from then on, and what its part still keeps."""
+    name = lambda: F.coalesce(F.concat(F.lit("="), F.col("user").cast("string")), F.lit(""))
+    micros = lambda c: F.coalesce(F.unix_micros(c), F.lit(NEVER))
+    dealt = F.pmod(F.xxhash64("user"), F.lit(parts)).cast("int")
     kinds = dict(subscriptions.dtypes)
-    schema = f"user {kinds['user']}, query {kinds['query']}, new long, last_seen long, reminder boolean"
+    told = lambda rows, kind: rows.withColumns({"user": name(), "kind": F.lit(kind), "doc_id": F.lit(None).cast("string"), "bucket": F.lit(0)}).withColumn("part", dealt)
+    columns = ["query", "part", "kind", "user", "doc_id", "bucket", "at"]
+    known = told(subscriptions.filter("query is not null").select("user", "query", micros("last_seen").alias("at")), SUBSCRIBED).select(columns)
+    found = hits.select("query", F.col("doc_id").cast("string").alias("doc_id"), micros("at").alias("at")).filter("doc_id is not null and query is not null")
+    named = found.select("query")
+    once = named.mapInArrow(_each_once, named.schema).repartition("query").mapInArrow(_each_once, named.schema)
+    rows = found.join(known.select("query", "part").distinct(), "query").withColumns({"kind": F.lit(HIT), "user": F.lit(""), "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(DOC_BUCKETS)).cast("int")})
+    rows = rows.select(columns).unionByName(once.join(known, "query").select(columns))
+    if marks is not None:
+        rows = rows.unionByName(told(marks.filter("query is not null and at is not null").select("user", "query", micros("at").alias("at")), MARKED).select(columns))
+    schema = f"user string, query {kinds['query']}, new long, last_seen long, reminder boolean"
     prepare(rows.sparkSession)
-    return rows.groupBy("user", "query").transformWithStateInPandas(Novelties(remind), schema, "Update", "ProcessingTime" if remind else "None")
+    out = rows.groupBy("query", "part").transformWithStateInPandas(Novelties(remind), schema, "Update", "ProcessingTime" if remind else "None")
+    return out.withColumn("user", F.when(F.col("user") != "", F.expr("substring(user, 2)")).cast(kinds["user"]))
 
 
 # --- versions -------------------------------------------------------------------
