@@ -38,7 +38,7 @@ def _packed(**columns: Any) -> bytes:
     import pyarrow as pa
 
     table, out = pa.table(columns), pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema) as writer:
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(table)
     return out.getvalue().to_pybytes()
 
@@ -231,44 +231,99 @@ def novelties(hits: DataFrame, subscriptions: DataFrame, marks: DataFrame | None
 # --- versions -------------------------------------------------------------------
 
 
+#: Pieces of a key's slots in the state, and the new rows that are worked on at once.
+PIECES, SPAN = 512, 100_000
+_FACTS = ("slot", "pkey", "at")
+
+
 class Chains(StatefulProcessor):
-    """Per slot its facts with the time of their last extraction, oldest first. A fact that comes
-    late moves the versions of those after it; rows are put out for what is new or moved."""
+    """Per slot its facts with the time of their last extraction. A fact that comes late moves the
+    versions of those after it; rows are put out for what is new or moved. Slots lie in pieces, each
+    one value of the state; all slots of some pieces are worked on together, as columns."""
 
     def init(self, handle) -> None:
-        self.chains = handle.getMapState("chains", "slot string", "facts array<string>, at array<long>")
+        self.chains = handle.getMapState("chains", "piece int", "data binary")
+
+    def _held(self, piece: int):
+        import pyarrow as pa
+
+        held = self.chains.getValue((piece,))
+        return pa.ipc.open_stream(pa.py_buffer(bytes(held[0]))).read_all() if held else None
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
+        import numpy as np
 
-        found = _whole(rows).groupby(["slot", "pkey"], as_index=False)["at"].max()
-        out: list[tuple[str, str, int, int]] = []
-        for slot, new in found.groupby("slot"):
-            held = self.chains.getValue((slot,)) if self.chains.containsKey((slot,)) else None
-            before = dict(zip(*held)) if held else {}
-            after = dict(before)
-            for fact, at in zip(new["pkey"], new["at"]):
-                after[fact] = max(int(at), after.get(fact, int(at)))
-            if after == before:
-                continue
-            old, versions = _numbered(before), _numbered(after)
-            order = sorted(after, key=lambda fact: (after[fact], fact))
-            self.chains.updateValue((slot,), (order, [after[fact] for fact in order]))
-            out += [(slot, fact, after[fact], versions[fact]) for fact in order if before.get(fact) != after[fact] or old.get(fact) != versions[fact]]
-        if out:
-            yield pd.DataFrame(out, columns=["slot", "pkey", "at", "version"])
+        batch = _whole(rows).sort_values("piece", kind="stable")
+        pieces = batch["piece"].to_numpy()
+        ends = np.append(np.flatnonzero(pieces[1:] != pieces[:-1]) + 1, len(pieces))
+        begin = 0
+        for i, end in enumerate(ends):  # of whole pieces
+            if end - begin >= SPAN or i == len(ends) - 1:
+                out = self._told(batch.iloc[begin:end])
+                begin = end
+                if out is not None:
+                    yield out
+
+    def _told(self, new):
+        import numpy as np
+        import pyarrow as pa
+
+        touched = np.unique(new["piece"].to_numpy())
+        held = [(p, t) for p in touched.tolist() if (t := self._held(p)) is not None]
+        n = sum(len(t) for _, t in held)
+        table = pa.concat_tables([*(t for _, t in held), pa.table({"slot": pa.array(new["slot"], "string"), "pkey": pa.array(new["pkey"], "string"), "at": pa.array(new["at"], "int64")})])
+        piece = np.concatenate([*(np.full(len(t), p) for p, t in held), new["piece"].to_numpy()])
+        slot, fact = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("slot", "pkey"))
+        at, was = table.column("at").to_numpy(), np.arange(len(table)) < n
+        meant = np.zeros(slot.max() + 1, "bool")
+        meant[slot[n:]] = True
+        order = np.flatnonzero(meant[slot])
+        order = order[np.lexsort((at[order], fact[order], slot[order]))]
+        first = _starts(slot[order], fact[order])
+        group = np.cumsum(first) - 1  # of one fact of one slot: one row at most was held
+        last = order[np.append(np.flatnonzero(first)[1:], len(order)) - 1]
+        version = _numbered(slot[last], at[last])
+        old_at, old_version, there = (np.zeros(len(last), kind) for kind in ("int64", "int64", "bool"))
+        before = was[order]
+        old = order[before]
+        there[group[before]] = True
+        old_at[group[before]] = at[old]
+        old_version[group[before]] = _numbered(slot[old], at[old])
+        later = ~there | (old_at != at[last])
+        if not later.any():
+            return None
+        changed = np.unique(piece[last[later]])
+        rest = np.flatnonzero(was & ~meant[slot])
+        keep = np.concatenate([rest, last])
+        keep = keep[np.isin(piece[keep], changed)]
+        keep = keep[np.argsort(piece[keep], kind="stable")]
+        kept, place = table.take(pa.array(keep)), np.searchsorted(piece[keep], changed)
+        for p, i, j in zip(changed.tolist(), place, np.append(place[1:], len(keep))):
+            self.chains.updateValue((p,), (_packed(**{c: kept.column(c).slice(i, j - i) for c in _FACTS}),))
+        tell = later | (old_version != version)
+        return table.take(pa.array(last[tell])).to_pandas().assign(version=version[tell])
 
     def close(self) -> None:
         pass
 
 
-def _numbered(facts: dict[str, int]) -> dict[str, int]:
-    """One more than the number of strictly older facts."""
-    out, older, last = {}, 0, None
-    for n, (fact, at) in enumerate(sorted(facts.items(), key=lambda x: x[1])):
-        if at != last:
-            older, last = n, at
-        out[fact] = 1 + older
+def _starts(*keys) -> Any:
+    """Where, in sorted rows, a key differs from that of the row before."""
+    import numpy as np
+
+    out = np.ones(len(keys[0]), "bool")
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def _numbered(slot, at) -> Any:
+    """One more than the number of strictly older facts of the slot, of each row."""
+    import numpy as np
+
+    order, place, out = np.lexsort((at, slot)), np.arange(len(slot)), np.empty(len(slot), "int64")
+    of = lambda starts: np.maximum.accumulate(np.where(starts, place, 0))
+    out[order] = of(_starts(slot[order], at[order])) - of(_starts(slot[order])) + 1
     return out
 
 
@@ -278,12 +333,12 @@ def slot_key() -> Column:
 
 def versions(facts: DataFrame, buckets: int = 256) -> DataFrame:
     """A stream of changes (slot, pkey, at, version) to the chains of versions, from a stream of
-    facts. Slots are dealt out over `buckets` keys, each with a map of its slots, so a batch asks the
-    state for the slots that it touches only. A slot's chain is in one task's memory. Facts without a
-    time of extraction have no version."""
+    facts. Slots are dealt out over `buckets` keys, each with a map of pieces of its slots, so a batch
+    asks the state for the pieces that it touches only, and writes those that change. A slot's chain is
+    in one task's memory. Facts without a time of extraction have no version."""
     rows = facts.select(slot_key().alias("slot"), "pkey", F.unix_micros(F.col("extracted_at").cast("timestamp")).alias("at")).filter("at is not null and pkey is not null")
     prepare(rows.sparkSession)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("slot"), F.lit(buckets)))
+    dealt = rows.withColumns({"bucket": F.pmod(F.xxhash64("slot"), F.lit(buckets)), "piece": F.pmod(F.xxhash64("slot", F.lit(1)), F.lit(PIECES)).cast("int")})
     return dealt.groupBy("bucket").transformWithStateInPandas(Chains(), "slot string, pkey string, at long, version long", "Update", "None")
 
 
