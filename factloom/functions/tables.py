@@ -74,20 +74,21 @@ def is_composition(grid: dict[tuple[int, int], str]) -> bool:
     return bool(found) and 2 * len(small) >= len(found)
 
 
-def _sign(cell: Column) -> Column:
-    """X27 as a column."""
-    token = F.translate(F.regexp_replace(cell, r"[\s,%*()]+", ""), "".join(map(chr, LOOKALIKE)), "".join(map(chr, LOOKALIKE.values())))
-    return F.when(token.isin(*sorted(SIGNS)), token)
-
-
-def _value(cell: Column) -> Column:
-    """M12 as a column: (comparator, low, high), null if the cell is no number."""
-    part = lambda i: F.nullif(F.regexp_extract(cell, _RANGE.pattern, i), F.lit(""))
-    number = lambda i: F.replace(part(i), F.lit(","), F.lit(".")).cast("double")
-    a, b = number(2), F.coalesce(number(3), number(2))
-    mark = F.coalesce(F.create_map(*[F.lit(x) for pair in _COMPARE.items() if pair[0] for x in pair])[part(1)], F.lit("="))
-    years = part(3).isNotNull() & a.between(1900, 2100) & b.between(1900, 2100)
-    return F.when(a.isNotNull() & ~years, F.struct(mark.alias("comparator"), F.when(~mark.isin("<", "<="), a).alias("low"), F.when(~mark.isin(">", ">="), b).alias("high")))
+def _read(rows: DataFrame) -> DataFrame:
+    """X27 and M12 as columns of cells: `sign`, and `v` (comparator, low, high), null if the text is no number.
+    Each text is taken apart once, and what it gives is put into columns before it is looked at."""
+    token = F.translate(F.regexp_replace("text", r"[\s,%*()]+", ""), "".join(map(chr, LOOKALIKE)), "".join(map(chr, LOOKALIKE.values())))
+    apart = F.split(F.regexp_replace("text", _RANGE.pattern, "$1\x01$2\x01$3"), "\x01")
+    rows = rows.withColumns({"_token": token, "_parts": F.when(F.col("text").rlike(_RANGE.pattern), apart)})
+    number = lambda i: F.replace(F.nullif(F.col("_parts")[i], F.lit("")), F.lit(","), F.lit(".")).cast("double")
+    rows = rows.withColumns({"_a": number(1), "_to": number(2), "_mark": F.translate(F.col("_parts")[0], "≈", "~")})
+    a, b = F.col("_a"), F.coalesce("_to", "_a")
+    mark = F.when(F.col("_mark") == "≤", "<=").when(F.col("_mark") == "≥", ">=").when(F.col("_mark") == "", "=").otherwise(F.col("_mark"))
+    years = F.col("_to").isNotNull() & a.between(1900, 2100) & b.between(1900, 2100)
+    bound = lambda value, *open_at: F.when(~F.col("_mark").isin(*open_at), value)
+    value = F.when(a.isNotNull() & ~years, F.struct(mark.alias("comparator"), bound(a, "<", "≤").alias("low"), bound(b, ">", "≥").alias("high")))
+    sign = F.when(F.col("_token").isin(*sorted(SIGNS)), F.col("_token"))
+    return rows.withColumns({"sign": sign, "v": value}).drop("_token", "_parts", "_a", "_to", "_mark")
 
 
 def grid_facts(cells: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def grid_facts(cells: DataFrame) -> DataFrame:
     one = cells.repartition("doc_id", "table_no").groupBy("doc_id", "table_no", "r", "c").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     table = Window.partitionBy("doc_id", "table_no")
     row, column = Window.partitionBy("doc_id", "table_no", "r"), Window.partitionBy("doc_id", "table_no", "c")
-    rows = one.withColumns({"sign": _sign(F.col("text")), "v": _value(F.col("text"))})
+    rows = _read(one)
     rows = rows.withColumns({"in_row": F.count("sign").over(row), "in_column": F.count("sign").over(column)})
     small = F.coalesce(F.col("v.low").between(0, 100), F.lit(True)) & F.coalesce(F.col("v.high").between(0, 100), F.lit(True))
     rows = rows.withColumns(
@@ -108,7 +109,7 @@ def grid_facts(cells: DataFrame) -> DataFrame:
             "best_column": F.max(F.struct("in_column", (-F.col("c")).alias("at"))).over(table),
             "numbers": F.count("v").over(table),
             "small": F.count(F.when(F.col("v").isNotNull() & small, 1)).over(table),
-            "per_ton": F.max(F.col("text").rlike("г/т|g/t")).over(table),
+            "per_ton": F.max(F.contains("text", F.lit("г/т")) | F.contains("text", F.lit("g/t"))).over(table),
             "first_r": F.min("r").over(table),
             "first_c": F.min("c").over(table),
         }

@@ -36,3 +36,16 @@ def test_windows_tell_what_one_table_tells(spark):
 def test_no_cells(spark):
     assert tables.grid_facts(spark.createDataFrame([], CELLS)).collect() == []
     assert tables.grid_facts(spark.createDataFrame([("d", 1, 0, 0, None)], CELLS)).collect() == []
+
+
+def test_a_text_is_taken_apart_once(spark):
+    rnd = random.Random(4)
+    pieces = ["<", "≤", "≥", ">", "~", "≈", " ", "", "12", "1999", "2001", "7,5", "0.3", "-", "–", "—", "…", "\x01", "Cu", "Сu, %", "SiO2", "\n", "|", "$1"]
+    texts = ["", "≈ 5,5", "≤7", "≥ 7-9", "1990–2000", "1990", "\x011\x012", "5\x01", *("".join(rnd.choices(pieces, k=rnd.randrange(1, 5))) for _ in range(3000))]
+    rows = tables._read(spark.createDataFrame([(x,) for x in texts], "text string"))
+    for r in rows.collect():
+        assert r.sign == tables.sign(r.text), repr(r.text)
+        assert (r.v and tuple(r.v)) == tables.cell_value(r.text), repr(r.text)
+    facts = tables.grid_facts(spark.createDataFrame([("d", 1, 0, 0, "Cu")], CELLS))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") + plan.count("regexp_replace(") <= 2
