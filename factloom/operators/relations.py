@@ -148,24 +148,36 @@ def mean_confidence(facts: DataFrame) -> DataFrame:
     return facts.groupBy("doc_id").agg(F.avg("confidence").alias("confidence"))
 
 
+#: What makes two facts of a document the same value.
+VALUE_KEY = ("canon", "metric", "value_low", "value_high", "unit_canon")
+
+
 def without_repeats(facts: DataFrame, pos: str = "pos") -> DataFrame:
     """Per document in order of `pos`, a fact goes if its value key or its quote key was kept
-    before. What was dropped does not count, so this is a scan of one document's facts."""
-
+    before. What was dropped does not count, so this is a scan of one document's facts: documents lie
+    sorted one after another, and a task holds the keys that the document it is at has kept."""
+    columns = facts.columns
 
-    def keep(table):
+    def keep(batches):
         import pyarrow as pa
 
-        table = table.sort_by(pos)
-        values, quotes, flags = set(), set(), []
-        keys = ("canon", "metric", "value_low", "value_high", "unit_canon")
-        for row in zip(*(table.column(k).to_pylist() for k in keys), table.column("quote").to_pylist()):
-            quote = " ".join((row[-1] or "").lower().split())[:120]
-            new = row[:-1] not in values and quote not in quotes
-            flags.append(new)
-            if new:
-                values.add(row[:-1])
-                quotes.add(quote)
-        return table.filter(pa.array(flags, pa.bool_()))
-
-    return facts.groupBy("doc_id").applyInArrow(keep, facts.schema)
+        at, values, quotes = None, set(), set()
+        for batch in batches:
+            flags = []
+            keys = (batch.column(columns.index(c)).to_pylist() for c in VALUE_KEY)
+            said = batch.column(columns.index("quote")).dictionary_encode()
+            texts = [" ".join((x or "").lower().split())[:120] for x in [*said.dictionary.to_pylist(), None]]
+            which = (len(texts) - 1 if i is None else i for i in said.indices.to_pylist())
+            for doc, quote, *value in zip(batch.column(columns.index("doc_id")).to_pylist(), which, *keys):
+                if doc != at and (doc == doc or at == at):  # not a number is one document
+                    at, values, quotes = doc, set(), set()
+                value, quote = tuple(value), texts[quote]
+                new = value not in values and quote not in quotes
+                flags.append(new)
+                if new:
+                    values.add(value)
+                    quotes.add(quote)
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    rows = facts.repartition("doc_id").sortWithinPartitions("doc_id", F.col(pos).asc_nulls_last())
+    return rows.mapInArrow(keep, facts.schema)
